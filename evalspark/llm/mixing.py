@@ -53,7 +53,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
         .withColumn("_ratio", F.col("_stop") / F.col("_weight"))
         .withColumn("_total", F.sum("source_size").over(everything).cast("double"))
         .withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_stop").over(ahead), F.lit(0.0))) / (F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(ahead), F.lit(0.0))))
-        .withColumn("_share", F.min(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(everything))
+        .withColumn("_first", F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", F.row_number().over(order).alias("_at"), "_level"))).over(everything))
+        .withColumn("_share", F.col("_first._level"))
     )
     return got.select("source", "source_size", F.least("_stop", F.col("_weight") * F.coalesce("_share", F.lit(float("inf")))).alias("target"))
 
