@@ -6,9 +6,10 @@
    order of all shingles. The order is by hash, but the most frequent shingles (more than HOT sets
    have them among those first ones) come last, so that a passage many texts share opens no tile.
    The list of these is bounded by MAX_HOT; it changes the work only, not the result.
-3. Shingles that two sets share among their first ones are tiles. A tile's sets are split into
-   bands of size: within a band, and between it and the next, sizes are close enough for a link. In a tile the smallest set id
-   of each band is the pivot, and all compatible sets meet it: as many pairs as members, not their square.
+3. Shingles that two sets share among their first ones are tiles, split into bands of size: only
+   within a band, and between it and the next, sizes are close enough for a link. Each band of a
+   tile has a pivot, the set with the fewest shingles before the tile's own, and the sets that may be linked
+   to it by their sizes and places meet it: as many pairs as members, not their square.
 4. A pair's overlap is bounded from above by hashed bitmaps, as wide as the sizes ask for: what is set
    in one bitmap only is missing from the intersection. Pairs that pass are verified by intersecting
    their sorted arrays.
@@ -129,14 +130,14 @@ def hot_shingles(counted: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) ->
 
 
 def tiles(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """token, doc_id, n for shingles that at least two documents have among their first ones."""
+    """token, doc_id, n, pos (the shingle's place in the order) for shingles that two documents have among their first ones."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            tokens, doc, size = [], [], []
+            tokens, doc, size, place = [], [], [], []
             for i, hashes in _sets(batch.column(1).to_pylist()):
                 if not len(hashes):
                     continue
@@ -148,33 +149,34 @@ def tiles(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 tokens.append(hashes[:k])
                 doc.append(np.full(k, ids[i], dtype=np.int64))
                 size.append(np.full(k, len(hashes), dtype=np.int32))
+                place.append(np.arange(k, dtype=np.int32))
             if not tokens:
                 continue
-            tokens, doc, size = np.concatenate(tokens), np.concatenate(doc), np.concatenate(size)
-            order = np.argsort(tokens, kind="stable")
-            tokens, doc, size = tokens[order], doc[order], size[order]
+            order = np.argsort(np.concatenate(tokens), kind="stable")
+            tokens, doc, size, place = (np.concatenate(x)[order] for x in (tokens, doc, size, place))
             cuts = np.searchsorted(tokens, (np.arange(buckets + 1, dtype=np.float64) * (2.0**54 / buckets)).astype(np.uint64))
             full = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32())] + [pa.array([x[cuts[j] : cuts[j + 1]].tobytes() for j in full], pa.binary()) for x in (tokens, doc, size)],
-                names=["bucket", "tokens", "docs", "sizes"],
+                [pa.array(full, pa.int32())] + [pa.array([x[cuts[j] : cuts[j + 1]].tobytes() for j in full], pa.binary()) for x in (tokens, doc, size, place)],
+                names=["bucket", "tokens", "docs", "sizes", "places"],
             )
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, doc, size = (np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[name]]) for name, kind in (("tokens", np.uint64), ("docs", np.int64), ("sizes", np.int32)))
+        kinds = {"tokens": np.uint64, "docs": np.int64, "sizes": np.int32, "places": np.int32}
+        tokens, doc, size, place = (np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[name]]) for name, kind in kinds.items())
         order = np.argsort(tokens, kind="stable")
-        tokens, doc, size = tokens[order], doc[order], size[order]
+        tokens, doc, size, place = tokens[order], doc[order], size[order], place[order]
         same = np.concatenate(([False], tokens[1:] == tokens[:-1]))
         keep = same | np.concatenate((same[1:], [False]))
-        return pd.DataFrame({"token": tokens[keep].astype(np.int64), "doc_id": doc[keep], "n": size[keep].astype(np.int64)})
+        return pd.DataFrame({"token": tokens[keep].astype(np.int64), "doc_id": doc[keep], "n": size[keep].astype(np.int64), "pos": place[keep].astype(np.int64)})
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "bucket int, tokens binary, docs binary, sizes binary")
-    return rows.groupBy("bucket").applyInPandas(meet, "token long, doc_id long, n long")
+    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "bucket int, tokens binary, docs binary, sizes binary, places binary")
+    return rows.groupBy("bucket").applyInPandas(meet, "token long, doc_id long, n long, pos long")
 
 
-def compatible(n: Column, m: Column) -> Column:
-    """Whether sets of these sizes can be linked."""
-    return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
+def compatible(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Whether sets of n and m shingles can be linked if the first one in both has these places: what is left bounds the overlap."""
+    return F.least(n - pos, m - at) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,11 +248,11 @@ def crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
     known = members.join(labels.withColumnRenamed("component_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("token")
     rows = known.join(mixed, "token").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))))
-    left = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).select("token", "band", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    right = rows.select("token", "band", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    left = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).select("token", "band", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("c").alias("c_a"))
+    right = rows.select("token", "band", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"))
     # a is the smaller set, or of equal sets the smaller id: each pair meets once.
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    met = left.join(right, ["token", "band"]).where((F.col("c_a") != F.col("c_b")) & smaller & compatible(F.col("n_a"), F.col("n_b")))
+    met = left.join(right, ["token", "band"]).where((F.col("c_a") != F.col("c_b")) & smaller & compatible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
     return met.select("a", "b").distinct()
 
 
@@ -265,15 +267,16 @@ def join_near(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFr
     named = rows.where("doc_id is not null and n > 0")
     owners = written(named.groupBy("sig").agg(F.min("doc_id").alias("rep")), "join-owners")
     heads = owners.select(F.col("rep").alias("doc_id")).distinct()
-    members = written(tiles(docs, frequent, buckets).join(heads, "doc_id", "left_semi").distinct(), "join-tiles")
+    members = written(tiles(docs, frequent, buckets).join(heads, "doc_id", "left_semi"), "join-tiles")
     sets = rows.where("doc_id is not null").select("doc_id", "n", "bits", "sig").join(heads, "doc_id", "left_semi")
     sets = written(sets.dropDuplicates(["doc_id", "sig"]).drop("sig"), "join-heads")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)))
     banded = members.withColumn("band", band)
-    pivots = banded.groupBy("token", "band").agg(F.min(F.struct("doc_id", "n")).alias("p"))
-    pivots = pivots.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("p.doc_id").alias("a"), F.col("p.n").alias("n_a"))
-    stars = banded.join(pivots, ["token", "band"]).where((F.col("a") != F.col("doc_id")) & compatible(F.col("n"), F.col("n_a")))
+    # The set with the fewest shingles before the tile's own is nearest to all others: of near copies, the original.
+    pivots = banded.groupBy("token", "band").agg(F.min(F.struct(F.col("pos") / F.col("n"), "doc_id", "n", "pos")).alias("p"))
+    pivots = pivots.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("p.doc_id").alias("a"), F.col("p.n").alias("n_a"), F.col("p.pos").alias("pos_a"))
+    stars = banded.join(pivots, ["token", "band"]).where((F.col("a") != F.col("doc_id")) & compatible(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a")))
     stars = stars.select("a", F.col("doc_id").alias("b")).distinct()
     first = written(verified(docs, written(bounded(stars, sets), "join-stars")), "join-links")
     same = copies(named)
