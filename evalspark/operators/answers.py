@@ -120,7 +120,7 @@ def error_report(answers: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_histogram(answers: DataFrame, labels: DataFrame, labels_known: tuple[str, ...]) -> DataFrame:
-    return labelled(answers, labels).where(~F.col("correct")).groupBy("source").pivot("label", list(labels_known)).agg(F.count("*")).na.fill(0)
+    return labelled(answers, labels).where(~F.col("correct")).groupBy("source").pivot("label", list(labels_known)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def reason_counts(answers: DataFrame, labels: DataFrame) -> DataFrame:

@@ -102,13 +102,13 @@ def confusion(ratings: DataFrame, a: str, b: str, labels: Iterable[str] = LABELS
     """One row a label of rater a, one column a label of rater b, zeros included."""
     left = ratings.where(F.col("rater") == a).select("item_id", F.col("label").alias("label_a"))
     right = ratings.where(F.col("rater") == b).select("item_id", F.col("label").alias("label_b"))
-    counts = left.join(right, "item_id").groupBy("label_a").pivot("label_b", list(labels)).agg(F.count("*"))
+    counts = left.join(right, "item_id").groupBy("label_a").pivot("label_b", list(labels)).agg(F.count(F.lit(1)))
     every = ratings.sparkSession.createDataFrame([(x,) for x in labels], "label_a string")
     return every.join(counts, "label_a", "left").na.fill(0)
 
 
 def label_counts(ratings: DataFrame, labels: Iterable[str] = LABELS) -> DataFrame:
-    return ratings.groupBy("rater").pivot("label", list(labels)).agg(F.count("*")).na.fill(0)
+    return ratings.groupBy("rater").pivot("label", list(labels)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def against_truth(annotations: DataFrame, truth: DataFrame) -> DataFrame:

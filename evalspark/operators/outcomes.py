@@ -56,7 +56,7 @@ def best_repairs(outcomes: DataFrame, keys: list[str] | None = None) -> DataFram
 def transitions(outcomes: DataFrame) -> DataFrame:
     """failure_type, intervention and how many answers became rejected, zero, fabricated or other."""
     kind = F.when(F.col("outcome").isin(*TRANSITIONS), F.col("outcome")).otherwise("other")
-    return outcomes.withColumn("_o", kind).groupBy("failure_type", "intervention").pivot("_o", [*TRANSITIONS, "other"]).agg(F.count("*")).na.fill(0)
+    return outcomes.withColumn("_o", kind).groupBy("failure_type", "intervention").pivot("_o", [*TRANSITIONS, "other"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def pivoted(outcomes: DataFrame, actions: tuple[str, ...] = (BASELINE, *REPAIRS)) -> DataFrame:

@@ -164,7 +164,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES = r"""scores AS (
   SELECT *, ('0x' || substr(sha1('42' || chr(31) || figure_id), 1, 8))::bigint % 5 AS fold FROM (
     SELECT vec_id AS item_id, 'g' || (vec_id % 50) AS figure_id, (label < 5)::int AS y, ['C', 'S', 'F', 'Z', 'R'][label % 5 + 1] AS cls,
-      floor(10 * embedding[1]::double) / 10.0 AS binary, floor(10 * embedding[2]::double) / 10.0 AS missing, floor(10 * embedding[3]::double) / 10.0 AS misread,
+      floor(10 * embedding[1]::double) / 10.0 AS "binary", floor(10 * embedding[2]::double) / 10.0 AS missing, floor(10 * embedding[3]::double) / 10.0 AS misread,
       floor(10 * embedding[1]::double)::bigint AS score FROM embeddings))"""
 
 
