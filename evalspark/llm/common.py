@@ -88,8 +88,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lowered) of the texts, and the number of words of each text."""
+def word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in UTF-8 with A-Z lowered, laid end to end; the start, end and 64-bit hash of each word; the words of each text."""
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
     buffer = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
     lower = buffer + (((buffer >= 65) & (buffer <= 90)).astype(np.uint8) << 5)
@@ -102,7 +102,12 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     words = mixed((sums[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64))
     limits = np.cumsum([len(e) + 1 for e in encoded])
     owner = np.searchsorted(limits, starts, side="right")
-    return words, np.bincount(owner, minlength=len(texts))
+    return lower, starts, ends, words, np.bincount(owner, minlength=len(texts))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lowered) of the texts, and the number of words of each text."""
+    return word_places(texts)[3:]
 
 
 def shingle_sets(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:

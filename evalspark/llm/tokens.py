@@ -8,8 +8,7 @@ statistics. starts() adds the number of ids before each document from the per-fi
 
 Encoding remembers the ids of white-space-separated pieces in a bounded cache: the tokenizer drops
 white space and never joins over it, so a text's ids are those of its pieces in a row. Texts with
-control characters that Python and the tokenizer split differently, or with the brackets of special
-tokens, are encoded whole.
+the control characters below, or the brackets of special tokens, are encoded whole.
 
 Null and empty texts have only the end id. Repeated rows are encoded each; extra columns are
 dropped from the files. An empty table gives files without rows.
@@ -17,9 +16,9 @@ dropped from the files. An empty table gives files without rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.llm.common import word_places
+
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES = 8 << 20, 64 << 10
-MAX_CACHED = 400_000
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+#: At most about so many pieces of text are kept in a worker.
+MAX_PIECES = 600_000
+#: Texts with one of these are encoded whole: separators that only some take for white space, and special tokens.
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_MARKS = ".,!?;:"
 IDS_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
@@ -41,7 +45,12 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Encodes lists of texts; keeps the ids of pieces it has seen."""
+    """Encodes lists of texts; keeps the ids of the white-space-separated pieces that it has seen.
+
+    Pieces are found by their hashes, A-Z lowered as the tokenizer does. A new piece that is a word of letters and
+    marks after it is encoded as the two, for the tokenizer cuts there; new words are encoded many
+    at a time, their ids told apart by the ends of words.
+    """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -49,48 +58,100 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.lengths, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-        self.starts = np.zeros(0, dtype=np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.place) + len(pieces) > MAX_CACHED:
-            self._forget()
-        got = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        base = len(self.place)
-        self.place.update(zip(pieces, range(base, base + len(pieces))))
-        lengths = np.array([len(g) for g in got], dtype=np.int64)
-        first = len(self.flat) + np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        self.starts = np.concatenate((self.starts, first))
+        self.words: dict[str, int] = {}
+        self.hashes, self.places = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.int32)
+
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Keeps lists of ids, laid end to end, and returns their places."""
+        base = len(self.starts)
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.flat = np.concatenate((self.flat, np.array([i for g in got for i in g], dtype=np.int32)))
+        self.flat = np.concatenate((self.flat, ids))
+        return np.arange(base, base + len(lengths))
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at the places, end to end, and their running totals."""
+        lengths = self.lengths[places]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[places] - (ends - lengths), lengths) + np.arange(total)], ends
+
+    def _encode_each(self, pieces: list[str]) -> np.ndarray:
+        got = [e.ids for i in range(0, len(pieces), 5000) for e in self.tokenizer.encode_batch(pieces[i : i + 5000], add_special_tokens=False)]
+        return self._store(np.array(list(chain.from_iterable(got)), dtype=np.int32), np.array([len(g) for g in got], dtype=np.int64))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters, or runs of marks."""
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.int32)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            # A tokenizer that doesn't mark the ends of words gets them one by one.
+            places = self._store(ids, np.diff(ends, prepend=0)) if len(ends) == len(part) else self._encode_each(part)
+            self.words.update(zip(part, places.tolist()))
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        cores = [p if p.isalpha() else p.rstrip(_MARKS) for p in pieces]
+        plain = np.array([c.isalpha() for c in cores], dtype=bool)
+        tails = [p[len(c) :] for p, c in zip(pieces, cores)]
+        fresh = {x for c, t, k in zip(cores, tails, plain) if k for x in (c, t) if x}
+        self._learn_words([x for x in fresh if x not in self.words])
+        places = np.full(len(pieces), -1)
+        places[plain] = [self.words[c] for c, k in zip(cores, plain) if k]
+        marked = np.flatnonzero(plain & np.array([bool(t) for t in tails], dtype=bool))
+        if len(marked):
+            pairs = np.column_stack((places[marked], [self.words[tails[i]] for i in marked])).ravel()
+            ids, ends = self._gather(pairs)
+            places[marked] = self._store(ids, np.diff(ends[1::2], prepend=0))
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            places[odd] = self._encode_each([pieces[i] for i in odd])
+        return places
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, each text closed by END_ID; and the number of ids of each."""
         texts = [t or "" for t in texts]
-        whole = [i for i, t in enumerate(texts) if _WHOLE.search(t)]
-        split = [[] if i in set(whole) else t.split() for i, t in enumerate(texts)]
-        fresh = set().union(*split)
-        if len(self.place) + len(fresh) > MAX_CACHED:
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in _WHOLE)]
+        kept = texts if not whole else ["" if any(x in t for x in _WHOLE) else t for t in texts]
+        if len(self.starts) > MAX_PIECES:
             self._forget()
-        fresh = [w for w in fresh if w not in self.place]
-        for i in range(0, len(fresh), 50_000):
-            self._learn(fresh[i : i + 50_000])
-        counts = np.array([len(s) for s in split], dtype=np.int64)
-        at = np.fromiter((self.place[w] for s in split for w in s), dtype=np.int64, count=int(counts.sum()))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)] if total else np.zeros(0, dtype=np.int32)
-        sums = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        buffer, starts, ends, hashes, counts = word_places(kept)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), dtype=bool) if not len(self.hashes) else self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct
+        if new.any():
+            data, place = buffer.tobytes(), first[new]
+            learnt = self._learn([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[place].tolist(), ends[place].tolist())])
+            self.hashes, self.places = np.concatenate((self.hashes, distinct[new])), np.concatenate((self.places, learnt))
+            order = np.argsort(self.hashes, kind="stable")
+            self.hashes, self.places = self.hashes[order], self.places[order]
+            at = np.searchsorted(self.hashes, distinct)
+        ids, totals = self._gather(self.places[at][inverse] if len(distinct) else np.zeros(0, dtype=np.int64))
+        sums = np.concatenate(([0], totals))[np.concatenate(([0], np.cumsum(counts)))]
         parts = [ids[a:b] for a, b in zip(sums[:-1], sums[1:])]
         for i in whole:
             parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.int32)
-        out = [np.append(p, np.int32(END_ID)) for p in parts]
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int32), np.array([len(o) for o in out], dtype=np.int64)
+        end = np.array([END_ID], dtype=np.int32)
+        out = [x for p in parts for x in (p, end)]
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int32), np.array([len(p) + 1 for p in parts], dtype=np.int64)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_file: str) -> Encoder:
+    """This process's encoder for a file: tasks that follow each other in a worker share what it has learnt."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = Encoder(tokenizer_file)
+    return _encoders[tokenizer_file]
 
 
 def encode(docs: DataFrame, tokenizer_file: str, partitions: int) -> DataFrame:
@@ -98,11 +159,11 @@ def encode(docs: DataFrame, tokenizer_file: str, partitions: int) -> DataFrame:
     rows = docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file)
+        known = encoder(tokenizer_file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                ids, n = encoder(part.column(1).to_pylist())
+            for at in range(0, batch.num_rows, 300):
+                part = batch.slice(at, 300)
+                ids, n = known(part.column(1).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, type=pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
