@@ -128,17 +128,17 @@ def auroc_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.interval(bootstrap.weighted_auroc(S.scores(spark, sf_dir), "figure_id", "score", F.col("y") == 1, 100), "value")
 
 
-@query(f"""WITH {S.CONTROLLER}, u AS (SELECT cls, unnest(['I_0', 'I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS action, unnest([0, 1, 2, 3, 4]) AS at, unnest([I_0, I_reask, I_upsample, I_crop, I_verify])::int AS ok FROM controller),
-  a AS (SELECT cls, action, at, avg(ok) AS accuracy FROM u GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY accuracy DESC, at) AS k FROM a) SELECT cls, action, round(accuracy, 6) AS accuracy FROM r WHERE k = 1""")
+@query(f"""WITH {S.CONTROLLER}, u AS (SELECT cls, unnest(['I_0', 'I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS action, unnest([0, 1, 2, 3, 4]) AS ord, unnest([I_0, I_reask, I_upsample, I_crop, I_verify])::int AS ok FROM controller),
+  a AS (SELECT cls, action, ord, avg(ok) AS accuracy FROM u GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY accuracy DESC, ord) AS k FROM a) SELECT cls, action, round(accuracy, 6) AS accuracy FROM r WHERE k = 1""")
 def oracle_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(policy.oracle_plan(S.controller_items(spark, sf_dir)), "accuracy")
 
 
 _RULES = """o AS (SELECT f.fold AS k, c.* FROM (SELECT DISTINCT fold FROM controller) f JOIN controller c ON f.fold <> c.fold),
   q AS (SELECT k, list_distinct(quantile_cont(misread, [0.5 + 0.5 * i / 50 for i in range(51)])) AS cuts FROM o GROUP BY 1), t AS (SELECT k, unnest(cuts) AS threshold FROM q),
-  l AS (SELECT k, misread, I_0::int AS base, unnest(['I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS repair, unnest([0, 1, 2, 3]) AS at, unnest([I_reask, I_upsample, I_crop, I_verify])::int AS ok FROM o),
-  g AS (SELECT k, repair, at, threshold, sum(ok - base) AS gain FROM l JOIN t USING (k) WHERE misread > threshold GROUP BY 1, 2, 3, 4),
-  b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, at, threshold) AS n FROM g WHERE gain > 0)"""
+  l AS (SELECT k, misread, I_0::int AS base, unnest(['I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS repair, unnest([0, 1, 2, 3]) AS ord, unnest([I_reask, I_upsample, I_crop, I_verify])::int AS ok FROM o),
+  g AS (SELECT k, repair, ord, threshold, sum(ok - base) AS gain FROM l JOIN t USING (k) WHERE misread > threshold GROUP BY 1, 2, 3, 4),
+  b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, ord, threshold) AS n FROM g WHERE gain > 0)"""
 
 
 @query(f"WITH {S.CONTROLLER}, {_RULES} SELECT f.fold::bigint AS fold, repair, round(threshold, 6) AS threshold FROM (SELECT DISTINCT fold FROM controller) f LEFT JOIN b ON b.k = f.fold AND b.n = 1")
