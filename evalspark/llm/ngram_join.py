@@ -14,8 +14,9 @@
    in one bitmap only is missing from the intersection. Pairs that pass are verified by intersecting
    their sorted arrays.
 5. Verified links give components. Tiles whose sets are in one component are done. In the others,
-   sets of different components meet in the same way, and the links found complete the components;
-   a link left out by then joins two sets that are in one component already.
+   sets of different components meet, in small tiles by a join, in large ones block by block within
+   tasks, and pass the same bounds and the same verification; the links found complete the components. A
+   link left out by then joins two sets that are in one component already.
 
 Rows with NULL doc_id have a set size and no component. A null or empty text, or one of white space,
 has an empty set and links with nothing. Rows that repeat a doc_id are one document with several
@@ -38,7 +39,9 @@ from evalspark.llm.common import pieces, shingle_sets, written
 #: Links are at NUMERATOR / DENOMINATOR of the union or more.
 NUMERATOR, DENOMINATOR = 3, 4
 HOT, MAX_HOT = 12, 1 << 18
-MIN_BITS, MAX_BITS = 256, 1 << 15
+MIN_BITS, MAX_BITS, BITS_EACH = 256, 1 << 16, 4
+#: Tiles up to SMALL_TILE sets meet by a join; larger ones in blocks of BLOCK sets, within a task.
+SMALL_TILE, BLOCK, EARLY = 16, 1024, 8
 #: Documents up to this many are picked from the input by broadcast, more by a join on doc_id.
 BROADCAST_IDS = 1_000_000
 
@@ -49,8 +52,8 @@ def first_ones(n: np.ndarray) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Hashed bitmap of a set: at least twice as many bits as members, a power of two within the bounds."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << int(2 * len(hashes) - 1).bit_length())) if len(hashes) else MIN_BITS
+    """Hashed bitmap of a set: at least BITS_EACH times as many bits as members, a power of two within the bounds."""
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << int(BITS_EACH * len(hashes) - 1).bit_length())) if len(hashes) else MIN_BITS
     out = np.zeros(bits, dtype=bool)
     out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -243,11 +246,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = after.select("a", "label")
 
 
-def crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of compatible sets of different components that share a tile not yet in one component."""
+def crossing(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the tiles that aren't yet in one component, with their components: (of tiles up to SMALL_TILE, of larger ones)."""
     known = members.join(labels.withColumnRenamed("component_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("token")
-    rows = known.join(mixed, "token").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))))
+    mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("token", "k")
+    rows = written(known.join(mixed, "token"), "join-mixed")
+    return rows.where(F.col("k") <= SMALL_TILE).drop("k"), rows.where(F.col("k") > SMALL_TILE)
+
+
+def small_tile_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of compatible sets of different components in tiles of few sets."""
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))))
     left = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).select("token", "band", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("c").alias("c_a"))
     right = rows.select("token", "band", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"))
     # a is the smaller set, or of equal sets the smaller id: each pair meets once.
@@ -256,6 +265,63 @@ def crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def large_tile_pairs(rows: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components in tiles of many sets whose sizes, places and bitmaps allow a link.
+
+    A tile is cut into blocks of BLOCK sets; two blocks are a task's work, done on arrays in it, so
+    that only pairs that pass leave it. A pair that meets in an earlier tile, told by the first EARLY shingles
+    of both sets, is left to that tile.
+    """
+    docs = rows.select("doc_id").distinct()
+    early = members.join(docs, "doc_id", "left_semi").groupBy("doc_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), 1, EARLY).alias("early"))
+    told = early.join(sets.select("doc_id", "bits"), "doc_id")
+    blocks = F.ceil(F.col("k") / BLOCK)
+    block = F.pmod(F.xxhash64("doc_id"), blocks)
+    placed = rows.withColumn("block", block).join(told, "doc_id")
+    other = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    placed = placed.withColumn("other", F.explode(other)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def meet(tile: pa.Table) -> pa.Table:
+        n, pos, doc, c, block = (tile.column(x).to_numpy() for x in ("n", "pos", "doc_id", "c", "block"))
+        order = np.lexsort((doc, n))
+        n, pos, doc, c, block = n[order], pos[order], doc[order], c[order], block[order]
+        bits = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in tile.column("bits")]
+        early = tile.column("early").to_pylist()
+        token, inside = tile.column("token")[0].as_py(), tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
+        before = np.arange(len(n) * EARLY, dtype=np.int64).reshape(len(n), EARLY) - (1 << 62)  # equal to nothing
+        for k, o in enumerate(order):
+            seen = early[o][: early[o].index(token)] if token in early[o] else early[o]
+            before[k, : len(seen)] = seen
+        widths = np.array([len(bits[o]) for o in order])
+        maps = {w: np.stack([bits[o] for o in order[widths == w]]) for w in np.unique(widths)}
+        place = np.zeros(len(n), dtype=np.int64)
+        for w in maps:
+            place[widths == w] = np.arange((widths == w).sum())
+        halves = {w: np.bitwise_or.reduce(m.reshape(len(m), 2, w // 2), axis=1) for w, m in maps.items() if w > 1}
+        last = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, side="right")
+        out_a, out_b = [], []
+        for x in range(len(n) - 1):
+            y = np.arange(x + 1, last[x])
+            y = y[(c[y] != c[x]) & ((block[y] != block[x]) | inside)]
+            y = y[np.minimum(n[x] - pos[x], n[y] - pos[y]) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n[x] + n[y])]
+            if len(y):
+                y = y[~(before[y][:, :, None] == before[x][None, None, :]).any(axis=(1, 2))]
+            w = widths[x]
+            for wide, table in ((w, maps), (2 * w, halves)):
+                z = y[widths[y] == wide]
+                if len(z):
+                    one, many = maps[w][place[x]], table[wide][place[z]]
+                    bound = np.minimum(n[x] - np.bitwise_count(one & ~many).sum(axis=1), n[z] - np.bitwise_count(many & ~one).sum(axis=1))
+                    z = z[bound * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n[x] + n[z])]
+                    out_a.append(np.full(len(z), doc[x]))
+                    out_b.append(doc[z])
+        ends = [np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (out_a, out_b)]
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    kept = placed.select("token", "i", "j", "doc_id", "n", "pos", "c", "block", "early", "bits")
+    return kept.groupBy("token", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
 def join_near(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -282,7 +348,9 @@ def join_near(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFr
     same = copies(named)
     labels = components(first.union(same))
 
-    more = written(bounded(crossing(members, labels), sets), "join-crossing")
+    small, large = crossing(members, labels)
+    more = bounded(small_tile_pairs(small), sets).union(large_tile_pairs(large, members, sets))
+    more = written(more.distinct(), "join-crossing")
     if not more.isEmpty():
         labels = components(first.union(same).union(written(verified(docs, more), "join-links")))
     found = rows.join(owners, "sig", "left").join(labels.withColumnRenamed("doc_id", "_d"), F.coalesce("rep", "doc_id") == F.col("_d"), "left")
