@@ -104,7 +104,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     theirs = summed(F.map_values("_weights"))
     pairs = pairs.withColumn("_both", both).withColumn("similarity", F.col("_both") / (mine + theirs - F.col("_both")))
     found = pairs.where(F.col("similarity") >= similarity - 1e-9)
-    best = F.struct(F.col("similarity"), -F.col("start"), F.size("window").alias("size"))
+    best = F.struct(F.round("similarity", 9), -F.col("start"), F.size("window").alias("size"), "similarity")
     top = found.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
     start = -F.col("b").getField("col2")
     return top.select("doc_id", "item_id", start.alias("start"), (start + F.col("b.size")).alias("end"), F.col("b.similarity").alias("similarity"))

@@ -73,4 +73,37 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_exact_dedup, op3_ngram_join, op4_toxicity, op5_warc, op6_tokens, op7_quality, op8_decontaminate, op9_mix, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+_SHINGLES = "CASE WHEN len({0}) = 0 THEN [] WHEN len({0}) < 5 THEN [array_to_string({0}, ' ')] ELSE [array_to_string({0}[i:i + 4], ' ') FOR i IN range(1, len({0}) - 3)] END"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": f"""WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+  SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op3_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, list_distinct({_SHINGLES.format('w')}) AS s FROM w),
+  n AS (SELECT doc_id, len(s) AS n FROM s), u AS (SELECT doc_id, unnest(s) AS g FROM s), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+  SELECT doc_id, n::bigint AS n_shingles, (SELECT min(b) FROM r WHERE r.a = doc_id) AS component_id FROM n""",
+    "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h), d AS (SELECT page_id, h, m, sha1(h) AS s FROM p JOIN g USING (h))
+  SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, i // 4 * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+    CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM d""",
+    "op8_decontaminate": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  ip AS (SELECT item_id, len(w) AS n, p - 1 AS pos, array_to_string(w[p:p + 4], ' ') AS g FROM i, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS p) WHERE len(w) > 0),
+  df AS (SELECT g, count(DISTINCT item_id) AS df FROM ip GROUP BY 1), total AS (SELECT count(*) + 1 AS n FROM i WHERE len(w) > 0),
+  ig AS (SELECT DISTINCT item_id, g, ln(1 + (SELECT n FROM total) / df::double) AS wt FROM ip JOIN df USING (g)), iw AS (SELECT item_id, sum(wt) AS theirs FROM ig GROUP BY 1),
+  dp AS (SELECT doc_id, p - 1 AS pos, array_to_string(w[p:p + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS p) WHERE len(w) > 0),
+  st AS (SELECT DISTINCT doc_id, item_id, ip.n, greatest(0, least(dp.pos - ip.pos, len(d.w) - ip.n)) AS start FROM dp JOIN ip USING (g) JOIN d USING (doc_id)),
+  win AS (SELECT doc_id, item_id, n, start, least(n, len(w)) AS size, w[start + 1:start + n] AS w FROM st JOIN d USING (doc_id)),
+  wg AS (SELECT doc_id, item_id, start, size, unnest(list_distinct({_SHINGLES.format('w')})) AS g FROM win),
+  sc AS (SELECT doc_id, item_id, start, size, sum(coalesce(ig.wt, 0)) AS shared, sum(coalesce(ig.wt, ln(1 + (SELECT n FROM total)::double))) AS mine FROM wg LEFT JOIN ig USING (item_id, g) GROUP BY 1, 2, 3, 4),
+  sim AS (SELECT doc_id, item_id, start, size, shared / (mine + theirs - shared) AS s FROM sc JOIN iw USING (item_id)),
+  best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(s, 9) DESC, start) AS k FROM sim WHERE s >= 0.75 - 1e-9)
+  SELECT doc_id, item_id, start::int AS start, (start + size)::int AS "end", round(s, 6) AS similarity FROM best WHERE k = 1""",
+    "op10_line_dedup": rf"""WITH p AS (SELECT page_id, lower(coalesce(regexp_extract(url, '{boilerplate.HOST}', 1), '')) AS host,
+    list_filter([trim(regexp_replace(x, '<[^>]*>', '', 'g')) FOR x IN string_split_regex(regexp_replace(coalesce(html, ''), '{boilerplate.DROPPED}', '', 'g'), '{boilerplate.LINE_BREAK}')], lambda x: x <> '') AS lines FROM pages),
+  t AS (SELECT host, count(*) AS host_pages FROM p GROUP BY 1), l AS (SELECT host, unnest(list_distinct(lines)) AS line FROM p), o AS (SELECT host, line, count(*) AS k FROM l GROUP BY 1, 2),
+  b AS (SELECT host, list(line) AS bad FROM o JOIN t USING (host) WHERE k >= 2 AND host_pages >= {boilerplate.MIN_PAGES} AND k > {boilerplate.MAX_RATIO} * host_pages GROUP BY 1),
+  f AS (SELECT page_id, host, host_pages, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(bad, x), false)) AS kept FROM p JOIN t USING (host) LEFT JOIN b USING (host))
+  SELECT page_id, host, host_pages, len(lines)::bigint AS n_lines, (len(lines) - len(kept))::bigint AS n_dropped, md5(array_to_string(kept, chr(10))) AS text_md5 FROM f""",
+}
