@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.common import WORD_PATTERN, written
 
-BLOCK, MAX_REPEATS, SHARD_TOKENS = 64, 3, 5_000_000
+BLOCK, MAX_REPEATS, SHARD_TOKENS = 64, 3, 500_000
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -82,7 +82,7 @@ def apportioned(shares: DataFrame, group: list[str], share: str, seats: str, cap
 
 
 def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """docs (needs doc_id, source, text) with size, source_size, target and taken; all columns are kept."""
+    """doc_id, source, size, source_size, target, taken (and what identifies the row) of each row of docs (doc_id, source, text)."""
     spark = docs.sparkSession
     row = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).cast("long").alias("size"), row.alias("_row")), "mix-sizes")
@@ -116,7 +116,8 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, weights: tuple[floa
     same = lambda a, b: a.eqNullSafe(b)
     e = extra.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), F.col("_block").alias("_b"))
     overlap = F.least(F.col("_end"), (F.col("_block") + 1) * block) - F.greatest(F.col("_start"), F.col("_block") * block)
-    more = covered.join(e, same(F.col("source"), F.col("_s")) & (F.col("shard") == F.col("_h")) & (F.col("_block") == F.col("_b")))
+    # The planner takes the exploded blocks for as small as what they come from; they grow with the corpus.
+    more = covered.join(e.hint("merge"), same(F.col("source"), F.col("_s")) & (F.col("shard") == F.col("_h")) & (F.col("_block") == F.col("_b")))
     more = more.groupBy("doc_id", "_row", "_start", F.col("source").alias("_s"), F.col("shard").alias("_h")).agg(F.sum(overlap).alias("_more"))
     s = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), every.alias("_every"))
     known = dealt.join(s, same(F.col("source"), F.col("_s")) & (F.col("shard") == F.col("_h"))).drop("_s", "_h")
