@@ -141,7 +141,8 @@ def resolved(archive: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; a revisit has its response's payload."""
     archive = archive.drop("html", "url")
     whole = archive.where("record_type = 'response'").groupBy(F.col("record_id").alias("_id")).agg(F.max("page_id").alias("_page"), F.max("payload_bytes").alias("_bytes"), F.max("digest").alias("_digest"))
-    known = archive.join(whole, F.col("refers_to_id") == F.col("_id"), "left")
+    # A response refers to itself here, so that no NULL key gathers all responses in one task.
+    known = archive.join(whole, F.coalesce("refers_to_id", "record_id") == F.col("_id"), "left")
     return known.select(
         "page_id",
         F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"),
