@@ -30,6 +30,14 @@ def one_hot(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
     return each.join(names, "feature").select(key, "feature", "place")
 
 
+def dense_one_hot(hot: DataFrame, key: str) -> DataFrame:
+    """key, vec: 1.0 at the places of a row's features, as wide as there are features."""
+    width = hot.agg((F.max("place") + 1).alias("_w"))
+    rows = hot.groupBy(key).agg(F.collect_set("place").alias("_p")).crossJoin(width)
+    vec = F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda i: F.array_contains("_p", i).cast("double"))
+    return rows.select(key, vec.alias("vec"))
+
+
 def surface_items(items: DataFrame) -> DataFrame:
     """items with answer_in_figure, answer_length (standardised by the population), answer_type."""
     length = F.length("answer").cast("double")

@@ -205,3 +205,27 @@ def sanity_gate(curve: DataFrame, least: float = 0.9) -> DataFrame:
 def disjoint(one: DataFrame, other: DataFrame, key: str = "figure_id") -> Column:
     """Number of keys that both have, as a one-row frame's only column."""
     return one.select(key).distinct().join(other.select(key), key, "left_semi").agg(F.count("*").alias("shared"))
+
+
+def transfer(source: DataFrame, target: DataFrame, l2: tuple[float, ...], folds: int = 5) -> DataFrame:
+    """item_id, figure_id, cls, score of target under a probe that never saw it.
+
+    Layer and penalty are those with the best AUROC of the source's pooled out-of-fold scores (ties: smaller
+    penalty, then shallower layer); the probe is then fitted on all source rows with a y.
+    """
+    known = source.where("y is not null").withColumn("outer", F.explode(F.array(*map(F.lit, range(folds)))))
+    known = exploded_grid(known.withColumn("role", F.when(F.col("fold") == F.col("outer"), "score").otherwise("fit")), l2)
+    cell = ["layer", "l2", "outer"]
+    pooled = auroc(grid_scores(known.select(*cell, "role", "y", "vec"), cell, ["y"]), "score", F.col("y") == 1, ["layer", "l2"])
+    best = pooled.orderBy(F.col("auroc").desc_nulls_last(), "l2", "layer").limit(1).select("layer", "l2")
+    columns = ["layer", "item_id", "figure_id", "cls", "y", "vec"]
+    both = source.where("y is not null").select(*columns).withColumn("role", F.lit("fit")).unionByName(target.select(*columns[:4], F.lit(0).alias("y"), "vec").withColumn("role", F.lit("score")))
+    return grid_scores(both.join(F.broadcast(best), "layer"), ["layer", "l2"], ["item_id", "figure_id", "cls"])
+
+
+def contrast_sweep(rows: DataFrame, l2: tuple[float, ...]) -> DataFrame:
+    """contrast, position, layer, l2, auroc on validation rows, for contrasts with enough rows of either class."""
+    seen = rows.join(usable(rows, ["contrast"], splits=("train", "val")), "contrast", "left_semi").where(F.col("split").isin("train", "val"))
+    seen = exploded_grid(seen.withColumn("role", F.when(F.col("split") == "train", "fit").otherwise("score")), l2)
+    cell = ["contrast", "position", "layer", "l2"]
+    return auroc(grid_scores(seen.select(*cell, "role", "y", "vec"), cell, ["y"]), "score", F.col("y") == 1, cell)

@@ -156,3 +156,41 @@ def shared_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standardised_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").cast("double").alias("x"))
     return features.standardised(rows, ["x"], F.col("item_id") % 3 != 0).select("item_id", F.round("x", 6).alias("x"))
+
+
+@query()
+def transfer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe of S against C from one half of the figures, on the contrasts of the other half."""
+    rows = _one(spark, sf_dir).withColumn("y", F.when(F.col("cls") == "S", 1).when(F.col("cls") == "C", 0))
+    half = F.crc32(F.col("figure_id").cast("binary")) % 2
+    scored = probes.transfer(rows.where(half == 0), rows.where(half == 1), L2)
+    return _rounded(probes.type_matrix(scored, TARGETS), "auroc")
+
+
+@query()
+def contrast_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe of each contrast of classes, on validation rows."""
+    cells = [F.when(F.col("cls").isin(*p, *n), F.struct(F.lit(name).alias("contrast"), F.col("cls").isin(*p).cast("int").alias("y"))) for name, (p, n) in TARGETS.items()]
+    rows = _one(spark, sf_dir).where("layer < 2").drop("y").withColumn("_c", F.explode(F.array_compact(F.array(*cells))))
+    rows = rows.withColumn("contrast", F.col("_c.contrast")).withColumn("y", F.col("_c.y"))
+    return _rounded(probes.contrast_sweep(rows, (10.0,)), "auroc")
+
+
+@query()
+def metadata_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold AUROC of a probe on one-hot metadata alone."""
+    from evalspark.functions.ids import fold_of
+
+    answers = S.answers(spark, sf_dir).select("item_id", "figure_id", "source", "event_type", (~F.col("correct")).cast("int").alias("y"))
+    vec = features.dense_one_hot(features.one_hot(answers, ["source", "event_type"], "item_id"), "item_id")
+    rows = answers.join(vec, "item_id").withColumn("fold", fold_of(F.col("figure_id"))).withColumn("layer", F.lit(0)).withColumn("cls", F.lit("-"))
+    oof = probes.nested_cv(rows, (10.0,))
+    return _rounded(metrics.auroc(oof, "score", F.col("y") == 1), "auroc")
+
+
+@query("""WITH p AS (SELECT p_partkey AS item_id, p_type AS answer, length(p_type)::double AS n, p_type = 'x' AS odd FROM part), s AS (SELECT avg(n) AS m, stddev_pop(n) AS d FROM p)
+  SELECT item_id, true AS answer_in_figure, round(CASE WHEN d > 0 THEN (n - m) / d ELSE n END, 6) AS answer_length, 'categorical' AS answer_type FROM p, s""")
+def surface_item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("answer"), F.array(F.col("p_type"), F.lit("7")).alias("texts"))
+    got = features.surface_items(rows).select("item_id", "answer_in_figure", F.round("answer_length", 6).alias("answer_length"), "answer_type")
+    return got
