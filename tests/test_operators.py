@@ -215,3 +215,13 @@ def test_vector_table(spark, tmp_path):
         tables.scan_vectors(spark, str(tmp_path / "v"), "query_last", [5])
     with pytest.raises(ValueError):
         tables.merge_shards([rows, rows], rows.select("item_id").distinct())
+
+
+def test_changed_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"one")
+    (tmp_path / "b.bin").write_bytes(b"two")
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.bin")).select(F.regexp_extract("path", "[^/]+$", 0).alias("path"), "content")
+    manifest = spark.createDataFrame([("a.bin", hashlib.sha256(b"one").hexdigest()), ("b.bin", hashlib.sha256(b"2").hexdigest()), ("c.bin", "x")], "path string, sha256 string")
+    assert {tuple(r) for r in quality.changed_files(files, manifest).collect()} == {("b.bin", "changed"), ("c.bin", "missing")}
