@@ -36,10 +36,11 @@ def logistic(z: np.ndarray) -> np.ndarray:
 
 def fit_squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss (y in -1, 1), by Newton steps on the active rows."""
-    design = np.column_stack((x, np.ones(len(x))))
+    design = np.column_stack((x, np.ones(len(x), dtype=x.dtype)))
     beta = np.zeros(design.shape[1])
     penalty = np.full(design.shape[1], l2)
     penalty[-1] = 1e-6
+    weight, y = weight.astype(x.dtype), y.astype(x.dtype)
     active = np.ones(len(x), dtype=bool)
     for _ in range(rounds):
         rows, w = design[active], weight[active]
