@@ -25,7 +25,7 @@ from evalspark.llm.common import hash_fold, pieces, smallest
 
 PROFILE, BITS = 300, 7
 #: At most so many labelled rows are collected for the profiles.
-MAX_TRAINING_ROWS = 4000
+MAX_TRAINING_ROWS = 2000
 _CODES = 1 << BITS
 
 
@@ -46,8 +46,8 @@ _LETTERS = _letter_codes()
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
-def ranked_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The up to PROFILE most frequent n-grams of each text: text number, code, rank from 0."""
+def counted_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of each text: text number, code, count, sorted by text and code."""
     units = [np.frombuffer(f" {t} ".encode("utf-16-le", "surrogatepass"), dtype=np.uint16) for t in texts]
     flat = _LETTERS[np.concatenate(units)]
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(u) for u in units])
@@ -68,9 +68,14 @@ def ranked_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(key, prepend=np.uint64(2**63)) != 0)
     count = np.diff(np.append(edge, len(key)))
     key = key[edge]
-    text = (key >> np.uint64(24)).astype(np.int64)
+    return (key >> np.uint64(24)).astype(np.int64), (key & np.uint64(0xFFFFFF)).astype(np.int64), count
+
+
+def ranked_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The up to PROFILE most frequent n-grams of each text: text number, code, rank from 0."""
+    text, code, count = counted_grams(texts)
     order = np.lexsort((-count, text))
-    text, code = text[order], (key[order] & np.uint64(0xFFFFFF)).astype(np.int64)
+    text, code = text[order], code[order]
     first = np.searchsorted(text, np.arange(len(texts)))
     rank = np.arange(len(text)) - first[text]
     top = rank < PROFILE
@@ -83,14 +88,24 @@ class Profiles:
     ranks: np.ndarray
 
 
+def _profile(texts: list[str | None]) -> np.ndarray:
+    """The codes of the most frequent n-grams of all texts together, most frequent first, counted piece by piece."""
+    codes, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for _, part in pieces(texts, max_chars=500_000):
+        _, code, count = counted_grams(part)
+        codes, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate((counts, count)), minlength=len(codes)).astype(np.int64)
+    return codes[np.lexsort((codes, -counts))[:PROFILE]]
+
+
 def fit(texts: list[str | None], langs: list[str]) -> Profiles:
     """One profile for each language, from all its texts together."""
     names = sorted(set(langs))
-    found = [ranked_grams([" ".join(t or "" for t, x in zip(texts, langs) if x == name)])[1:] for name in names]
-    used = np.unique(np.concatenate([code for code, _ in found])) if found else np.zeros(0, dtype=np.int64)
+    found = [_profile([t for t, x in zip(texts, langs) if x == name]) for name in names]
+    used = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
     ranks = np.full((len(names), len(used)), PROFILE)
-    for row, (code, rank) in zip(ranks, found):
-        row[np.searchsorted(used, code)] = rank
+    for row, code in zip(ranks, found):
+        row[np.searchsorted(used, code)] = np.arange(len(code))
     return Profiles(names, np.vstack([used, ranks]))
 
 

@@ -2,7 +2,7 @@
 
 Layout: one table in ascending doc_id order (NULL ids first, then by text), range-partitioned into
 files; within a file, row groups of ROW_GROUP_BYTES with dictionary or delta encoding, page indexes
-and the columns part, doc_id, n_tokens, ids. A reader that wants some documents' lengths touches
+and the columns row (the place in the order, with the file in its upper bits), doc_id, n_tokens, ids. A reader that wants some documents' lengths touches
 the small columns only; one that wants some documents' ids skips row groups and pages by the doc_id
 statistics. starts() adds the number of ids before each document from the per-file totals.
 
@@ -175,9 +175,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None,
     """Encodes docs and writes them to path in the layout that the module describes."""
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = encode(docs, tokenizer_file or default_tokenizer(), partitions).withColumn("part", F.spark_partition_id())
+    coded = encode(docs, tokenizer_file or default_tokenizer(), partitions).withColumn("row", F.monotonically_increasing_id())
     (
-        coded.select("part", "doc_id", "n_tokens", "ids")
+        coded.select("row", "doc_id", "n_tokens", "ids")
         .write.option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
         .option("parquet.writer.version", "v2")
@@ -188,19 +188,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None,
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(T.StructType([T.StructField("part", T.IntegerType()), *IDS_SCHEMA.fields])).parquet(path)
+    return spark.read.schema(T.StructType([T.StructField("row", T.LongType()), *IDS_SCHEMA.fields])).parquet(path)
 
 
 def starts(tokens: DataFrame) -> DataFrame:
     """tokens with start: the ids of all documents before. Only the per-file totals meet in one task."""
+    tokens = tokens.withColumn("part", F.shiftright("row", 33))
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = totals.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "_crc").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     return tokens.join(F.broadcast(before), "part").withColumn("start", F.col("_before") + within).drop("_before")
 
 
 def id_checksums(tokens: DataFrame) -> DataFrame:
-    """part, doc_id, n_tokens and the unsigned crc32 of each document's ids as little-endian 32-bit integers."""
+    """row, doc_id, n_tokens and the unsigned crc32 of each document's ids as little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,6 +209,6 @@ def id_checksums(tokens: DataFrame) -> DataFrame:
             values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(np.concatenate(([0], ends[:-1])).astype(int), ends.astype(int))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, type=pa.int64())], names=["part", "doc_id", "n_tokens", "_crc"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, type=pa.int64())], names=["row", "doc_id", "n_tokens", "_crc"])
 
-    return tokens.select("part", "doc_id", "n_tokens", "ids").mapInArrow(run, "part int, doc_id long, n_tokens long, _crc long")
+    return tokens.select("row", "doc_id", "n_tokens", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, _crc long")

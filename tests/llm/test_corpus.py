@@ -272,6 +272,7 @@ def test_tokens_round_trip(spark):
     tokenizers = pytest.importorskip("tokenizers")
     texts = ODD_TEXTS + ["It's a <|endoftext|> don't\x1cstop, 3.14!", "word, word. Word; WORD", " nbsp wide"]
     df = docs_of(spark, texts)
+    df = df.union(df.where("doc_id = 4").withColumn("text", F.lit("zz other text")))
     path = common.shared_path(spark, "token-test")
     tokens.write_tokens(df, path, partitions=3)
     known = tokenizers.Tokenizer.from_file(tokens.default_tokenizer())
