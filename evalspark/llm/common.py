@@ -48,7 +48,7 @@ def smallest(df: DataFrame, key: Column, limit: int) -> DataFrame:
     return df.withColumn("_k", key).orderBy("_k").limit(limit).drop("_k")
 
 
-def pieces(texts: list[str | None], max_docs: int = 512, max_chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def pieces(texts: list[str | None], max_docs: int = 512, max_chars: int = 500_000) -> Iterator[tuple[int, list[str]]]:
     """Consecutive runs of texts, small enough for numpy work arrays: (offset, texts). None becomes empty."""
     at, run, size = 0, [], 0
     for i, text in enumerate(texts):
