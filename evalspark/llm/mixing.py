@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import WORD_PATTERN, written
 
 BLOCK, MAX_REPEATS, SHARD_TOKENS = 64, 3, 500_000
+#: Parts of a document that the rounding to whole documents counts in.
+PARTS = 1 << 30
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -124,21 +126,37 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, weights: tuple[floa
     m = more.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("_start").alias("_t"), "_s", "_h", "_more")
     known = known.join(m, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")) & (F.col("_start") == F.col("_t")) & same(F.col("source"), F.col("_s")) & (F.col("shard") == F.col("_h")) & (F.col("size") > 0), "left")
     taken = F.col("size") * F.col("_every") + F.coalesce("_more", F.lit(0))
-    known = known.select("doc_id", "source", "size", "_row", "_start", taken.cast("long").alias("taken"))
+    known = known.select("doc_id", "source", "shard", "size", "_row", "_start", taken.cast("long").alias("taken"))
     t = sources.select(F.col("source").alias("_s"), "source_size", "target")
     return known.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
+def copies(taken: DataFrame, seed: int = 17) -> DataFrame:
+    """mix's rows with _copies: taken / size by systematic rounding, so that a shard's words are kept but for two documents.
+
+    The parts of taken / size below 1 are summed along each shard from the shortest document to the
+    longest; where the sum, from a seeded start, passes a whole number, the document is given once
+    more. Short and long documents are so given in the same proportion.
+    """
+    line = Window.partitionBy("source", "shard").orderBy("size", "_row", "doc_id", "_start").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.when(F.col("size") > 0, F.floor((F.col("taken") % F.col("size")) * F.lit(PARTS) / F.col("size"))).otherwise(0).cast("long")
+    start = F.pmod(F.xxhash64(F.lit(seed + 3), "source", "shard"), F.lit(PARTS))
+    rows = taken.withColumn("_part", part).withColumn("_upto", F.sum("_part").over(line) + start)
+    more = F.floor(F.col("_upto") / PARTS) - F.floor((F.col("_upto") - F.col("_part")) / PARTS)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")) + more).otherwise(1)
+    return rows.withColumn("_copies", times.cast("int")).drop("_part", "_upto")
+
+
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """docs' rows, each repeated as often as the mix takes it: taken / size, rounded half up, 0 to 3 times.
+    """docs' rows, each repeated as often as the mix takes it: taken / size, rounded by copies, 0 to 3 times.
 
-    Documents without words stay once. Of rows equal in doc_id and text each gets its own count.
+    Documents without words stay once. Of rows equal in doc_id, text and source each gets its own count.
     """
     mark = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
-    counts = mix(docs, seed).withColumn("_copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int"))
-    counts = counts.groupBy("_row", F.col("doc_id").alias("_d")).agg(F.sum("_copies").alias("_sum"), F.count("*").alias("_rows"))
-    same = Window.partitionBy("_row", "_d").orderBy("_row")
-    rows = docs.withColumn("_mark", mark).join(counts, (F.col("_mark") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    counts = copies(mix(docs, seed), seed)
+    counts = counts.groupBy("_row", F.col("doc_id").alias("_d"), F.col("source").alias("_s")).agg(F.sum("_copies").alias("_sum"), F.count("*").alias("_rows"))
+    same = Window.partitionBy("_row", "_d", "_s").orderBy("_row")
+    rows = docs.withColumn("_mark", mark).join(counts, (F.col("_mark") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
     rows = rows.withColumn("_at", F.row_number().over(same))
     each = F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.col("_at") <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)
     rows = rows.withColumn("_times", each.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))

@@ -345,6 +345,24 @@ def test_mix_stops_and_odd_rows(spark):
     assert kept.columns == df.columns and {(r["doc_id"], r["text"]) for r in kept.collect()} <= {(a, b) for a, b, _ in rows}
 
 
+def test_mixed_documents_deliver_the_targets(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, "w " * int(rng.integers(20, 600)), f"s{i % 6}") for i in range(1800)] + [(0, "w " * 300, f"s{k}") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r["source"]: r for r in mixing.mix(df).groupBy("source").agg(F.max("target").alias("target"), F.max("source_size").alias("whole"), F.sum(F.when(F.col("size") >= 300, F.col("taken"))).alias("long")).collect()}
+    given_, long_ = Counter(), Counter()
+    kept = mixing.mixed_documents(df).collect()
+    for r in kept:
+        n = len(plain.words(r["text"]))
+        given_[r["source"]] += n
+        long_[r["source"]] += n * (n >= 300)
+    assert min(r["target"] / r["whole"] for r in plan.values()) < 0.5
+    assert all(abs(given_[s] - r["target"]) <= 2 * 600 + 2 * mixing.BLOCK for s, r in plan.items())
+    assert all(abs(long_[s] - r["long"]) <= 4 * 600 for s, r in plan.items())
+    assert max(Counter((r["doc_id"], r["source"]) for r in kept if r["doc_id"]).values()) <= mixing.MAX_REPEATS
+    assert sorted(map(tuple, mixing.mixed_documents(df.repartition(7)).collect())) == sorted(map(tuple, kept))
+
+
 def test_apportionment_is_sainte_lague(spark):
     rng = np.random.default_rng(2)
     for case in range(6):
