@@ -1,7 +1,9 @@
 """Toxicity scores by a subsequence string-kernel support vector machine.
 
 The strings are the words of a text: its white-space tokens without their non-letters, and runs of
-single letters put together, so that "i-d-i-o-t" and "i d i o t" become one word. Two words are
+single letters put together, so that "i-d-i-o-t" and "i d i o t" become one word. A string of more
+than LONGEST letters is covered by windows of WINDOW letters, STRIDE apart, each a word of its own, so
+that every run of up to WINDOW - STRIDE + 1 of its letters is whole in one of them. Two words are
 compared by the gap-weighted subsequence kernel of order 3: every triple of letters in order, at
 most SPAN places apart, weighs DECAY to the number of letters that it skips, so inserted letters
 lower the similarity and don't destroy it. The Nyström method projects on landmark words. The
@@ -34,6 +36,8 @@ from evalspark.llm.common import column, hash_fold, smallest
 from evalspark.llm.models import fit_logistic, fit_squared_hinge, logistic
 
 SPAN, DECAY, LETTERS = 5, 0.6, 64
+#: Strings of more than LONGEST letters are cut into windows; an insult with its gaps fits into the overlap.
+LONGEST, WINDOW, STRIDE = 64, 24, 4
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS = 160, 64
 #: At most so many labelled rows are collected to fit the model.
 MAX_TRAINING_ROWS = 4000
@@ -54,6 +58,14 @@ def _letter_codes() -> np.ndarray:
 _CODES = _letter_codes()
 
 
+def windows(string: str) -> list[str]:
+    """The string, or the overlapping windows that cover a long one."""
+    if len(string) <= LONGEST:
+        return [string]
+    last = len(string) - WINDOW
+    return [string[i : i + WINDOW] for i in [*range(0, last, STRIDE), last]]
+
+
 def words_of(text: str) -> set[str]:
     """The distinct strings that the kernel compares."""
     tokens = text.lower().split()
@@ -61,7 +73,7 @@ def words_of(text: str) -> set[str]:
     if sum(len(t) == 1 for t in tokens) >= 4:
         for run in re.findall(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)", text.lower()):
             found.add("".join(filter(str.isalpha, run)))
-    return {w for w in found if len(w) >= 3}
+    return {w for s in found if len(s) >= 3 for w in windows(s)}
 
 
 @dataclass
@@ -75,7 +87,7 @@ class Triples:
 
 
 def triples(words: list[str]) -> Triples:
-    marked = ["^" + w[:64] for w in words]
+    marked = ["^" + w for w in words]
     flat = np.frombuffer("".join(marked).encode("utf-16-le", "replace"), dtype=np.uint16)
     codes = _CODES[flat]
     lengths = np.array([len(w.encode("utf-16-le", "replace")) // 2 for w in marked], dtype=np.int64)

@@ -149,6 +149,23 @@ def test_toxicity_finds_planted_and_gapped_insults(spark):
     assert clean < 0.5 < min(gapped, spaced, inserted) and empty[0] == empty[1] < 0.7
 
 
+def test_toxicity_covers_long_strings(spark):
+    docs, labels = labelled(spark)
+    scorer = toxicity.Scorer(toxicity.fit_rows(toxicity.training_rows(docs, labels)))
+    calm = "tar mo len sik ver ban dol pi rus gam tarmo lensik verban dolpi rusgam molen sikver bandol pirus gamtar".split()
+    clean, chained, spaced = scorer(["-".join(calm), "-".join(calm + ["wretchling", "quibbazord"] + calm), " ".join("".join(calm + ["quibbazord", "wretchling"] + calm))])
+    assert clean < 0.5 < min(chained, spaced)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(3, 400), st.integers(0, 400), st.integers(1, 21))
+def test_windows_hold_every_run_of_letters(n, at, k):
+    string = "".join(chr(0x4E00 + i) for i in range(n))
+    run = string[at : at + k]
+    assert any(run in w for w in toxicity.windows(string)) and toxicity.words_of(string) == set(toxicity.windows(string))
+    assert all(len(w) <= toxicity.LONGEST for w in toxicity.windows(string))
+
+
 def test_toxicity_without_labels_and_odd_rows(spark):
     docs, labels = labelled(spark, 30)
     model = toxicity.fit_rows(toxicity.training_rows(docs, labels.limit(0)))
