@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ MIN_BITS, MAX_BITS, BITS_EACH = 256, 1 << 16, 4
 SMALL_TILE, BLOCK, EARLY = 16, 1024, 8
 #: Documents up to this many are picked from the input by broadcast, more by a join on doc_id.
 BROADCAST_IDS = 1_000_000
+#: At most so many repeated sets, those with the most rows, are told to the tasks; first shingles to a bucket, and to a row of those known to be shared.
+MAX_COPIED, BUCKET_SHINGLES, PACKED = 1 << 17, 1 << 20, 1 << 16
 
 
 def first_ones(n: np.ndarray) -> np.ndarray:
@@ -132,49 +135,107 @@ def hot_shingles(counted: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) ->
     return np.sort(top.toPandas()["token"].to_numpy(dtype=np.int64)).astype(np.uint64)
 
 
-def tiles(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """token, doc_id, n, pos (the shingle's place in the order) for shingles that two documents have among their first ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+@dataclass
+class Copied:
+    """The sets that most rows repeat: the two halves of their digests, sorted, and the doc_id that stands for each."""
+
+    high: np.ndarray
+    low: np.ndarray
+    rep: np.ndarray
+
+    def of(self, digest: bytes) -> int | None:
+        """The doc_id that stands for the set, None for one that isn't listed."""
+        high, low = np.frombuffer(digest, dtype=np.uint64)
+        at = int(np.searchsorted(self.high, high))
+        return int(self.rep[at]) if at < len(self.high) and self.high[at] == high and self.low[at] == low else None
+
+
+def copied_sets(owners: DataFrame, most: int) -> Copied:
+    """The most sets (sig, rep, rows) with the most rows, of those that two rows or more have."""
+    top = owners.where("rows > 1").orderBy(F.col("rows").desc(), "sig").limit(most).select("sig", "rep").toPandas()
+    halves = np.frombuffer(b"".join(bytes(x) for x in top["sig"]), dtype=np.uint64).reshape(-1, 2)
+    order = np.argsort(halves[:, 0], kind="stable")
+    return Copied(halves[order, 0], halves[order, 1], top["rep"].to_numpy(dtype=np.int64)[order])
+
+
+def bucket_count(docs: DataFrame, each: int = BUCKET_SHINGLES) -> int:
+    """Buckets for at most about each first ones: a word has two characters with its space, a set a fourth of its words and one."""
+    size = docs.agg((F.sum(F.octet_length("text")) / 8).alias("words"), F.count("*").alias("rows")).first()
+    return max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(((size["words"] or 0) + size["rows"]) // each))
+
+
+#: The columns of packed entries.
+KINDS = {"tokens": np.uint64, "docs": np.int64, "sizes": np.int32, "places": np.int32}
+
+
+def packed(keys: np.ndarray | list[int], cuts: list[tuple[int, int]], columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32())] + [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in columns], names=["bucket", *KINDS])
+
+
+def entries(docs: DataFrame, hot: np.ndarray, copied: Copied, buckets: int) -> DataFrame:
+    """First shingles of the documents, packed by bucket.
+
+    Of the rows of a set in copied only that of its doc_id takes part, of other equal sets in a batch the smallest
+    doc_id. What a batch has twice is known to be shared: it goes to buckets below 0, in rows of up to PACKED
+    entries, and leaves one entry without a place (-1), so that a bucket from 0 gathers one entry of
+    a shingle from each batch at most.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((hot, copied))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        hot, copied = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            tokens, doc, size, place = [], [], [], []
+            best: dict[bytes, tuple[int, int, np.ndarray]] = {}
             for i, hashes in _sets(batch.column(1).to_pylist()):
                 if not len(hashes):
                     continue
+                digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+                if (rep := copied.of(digest)) is not None and rep != ids[i] or digest in best and best[digest][0] <= ids[i]:
+                    continue
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
                     late = hot[at] == hashes
                     hashes = np.concatenate((hashes[~late], hashes[late]))
-                k = int(first_ones(np.int64(len(hashes))))
-                tokens.append(hashes[:k])
-                doc.append(np.full(k, ids[i], dtype=np.int64))
-                size.append(np.full(k, len(hashes), dtype=np.int32))
-                place.append(np.arange(k, dtype=np.int32))
-            if not tokens:
+                best[digest] = (ids[i], len(hashes), hashes[: int(first_ones(np.int64(len(hashes))))].copy())
+            if not best:
                 continue
-            order = np.argsort(np.concatenate(tokens), kind="stable")
-            tokens, doc, size, place = (np.concatenate(x)[order] for x in (tokens, doc, size, place))
-            cuts = np.searchsorted(tokens, (np.arange(buckets + 1, dtype=np.float64) * (2.0**54 / buckets)).astype(np.uint64))
+            firsts = [x for _, _, x in best.values()]
+            lengths = [len(x) for x in firsts]
+            tokens = np.concatenate(firsts)
+            doc = np.repeat(np.array([x for x, _, _ in best.values()], dtype=np.int64), lengths)
+            size = np.repeat(np.array([x for _, x, _ in best.values()], dtype=np.int32), lengths)
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+            order = np.argsort(tokens, kind="stable")
+            tokens, doc, size, place = tokens[order], doc[order], size[order], place[order]
+            again = np.concatenate(([False], tokens[1:] == tokens[:-1]))
+            twice = again | np.concatenate((again[1:], [False]))
+            known = tuple(x[twice] for x in (tokens, doc, size, place))
+            for at in range(0, len(known[0]), PACKED):
+                yield packed([-1 - ((int(known[0][at]) ^ int(known[1][at])) & 0x3FFFFFFF)], [(at, at + PACKED)], known)
+            place[twice] = -1
+            rest = tuple(x[~again] for x in (tokens, doc, size, place))
+            cuts = np.searchsorted(rest[0], (np.arange(buckets + 1, dtype=np.float64) * (2.0**54 / buckets)).astype(np.uint64))
             full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32())] + [pa.array([x[cuts[j] : cuts[j + 1]].tobytes() for j in full], pa.binary()) for x in (tokens, doc, size, place)],
-                names=["bucket", "tokens", "docs", "sizes", "places"],
-            )
+            yield packed(full, [(cuts[j], cuts[j + 1]) for j in full], rest)
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "bucket int, tokens binary, docs binary, sizes binary, places binary")
+
+
+def tiles(docs: DataFrame, hot: np.ndarray, copied: Copied, buckets: int) -> DataFrame:
+    """token, doc_id, n, pos (the shingle's place in the order) for shingles that two documents have among their first ones."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        kinds = {"tokens": np.uint64, "docs": np.int64, "sizes": np.int32, "places": np.int32}
-        tokens, doc, size, place = (np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[name]]) for name, kind in kinds.items())
-        order = np.argsort(tokens, kind="stable")
-        tokens, doc, size, place = tokens[order], doc[order], size[order], place[order]
-        same = np.concatenate(([False], tokens[1:] == tokens[:-1]))
-        keep = same | np.concatenate((same[1:], [False]))
+        tokens, doc, size, place = (np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[name]]) for name, kind in KINDS.items())
+        keep = np.ones(len(tokens), dtype=bool)
+        if rows["bucket"].iloc[0] >= 0:
+            order = np.argsort(tokens, kind="stable")
+            tokens, doc, size, place = tokens[order], doc[order], size[order], place[order]
+            same = np.concatenate(([False], tokens[1:] == tokens[:-1]))
+            keep = (same | np.concatenate((same[1:], [False]))) & (place >= 0)
         return pd.DataFrame({"token": tokens[keep].astype(np.int64), "doc_id": doc[keep], "n": size[keep].astype(np.int64), "pos": place[keep].astype(np.int64)})
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "bucket int, tokens binary, docs binary, sizes binary, places binary")
-    return rows.groupBy("bucket").applyInPandas(meet, "token long, doc_id long, n long, pos long")
+    return entries(docs, hot, copied, buckets).groupBy("bucket").applyInPandas(meet, "token long, doc_id long, n long, pos long")
 
 
 def compatible(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -325,15 +386,16 @@ def large_tile_pairs(rows: DataFrame, members: DataFrame, sets: DataFrame) -> Da
 def join_near(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(docs)
     told = written(described(docs, buckets), "join-sets")
     rows = told.where("bucket is null").select("doc_id", "n", "sig", "bits")
     frequent = hot_shingles(told.where("bucket is not null").select("bucket", "tokens", "counts"), hot, max_hot)
 
     named = rows.where("doc_id is not null and n > 0")
-    owners = written(named.groupBy("sig").agg(F.min("doc_id").alias("rep")), "join-owners")
+    owners = written(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "join-owners")
     heads = owners.select(F.col("rep").alias("doc_id")).distinct()
-    members = written(tiles(docs, frequent, buckets).join(heads, "doc_id", "left_semi"), "join-tiles")
+    copied, owners = copied_sets(owners, MAX_COPIED), owners.drop("rows")
+    members = written(tiles(docs, frequent, copied, buckets).join(heads, "doc_id", "left_semi"), "join-tiles")
     sets = rows.where("doc_id is not null").select("doc_id", "n", "bits", "sig").join(heads, "doc_id", "left_semi")
     sets = written(sets.dropDuplicates(["doc_id", "sig"]).drop("sig"), "join-heads")
 

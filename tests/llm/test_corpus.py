@@ -114,6 +114,26 @@ def test_bitmaps_bound_the_overlap(a, b):
     assert ngram_join.overlap_bound(ngram_join.bitmap(x), ngram_join.bitmap(y), len(a), len(b)) >= len(a & b)
 
 
+@pytest.mark.parametrize("most", [0, 1, 100])
+def test_copies_and_near_copies_do_not_pile_up_in_a_bucket(spark, monkeypatch, most):
+    texts = [BASE] * 300 + [near(60, 1, k) for k in range(300)] + [near(90, 2, 1)] * 5
+    df = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    stored, entries = [], ngram_join.entries
+    monkeypatch.setattr(ngram_join, "entries", lambda *args: stored.append(entries(*args)) or stored[-1])
+    monkeypatch.setattr(ngram_join, "MAX_COPIED", most)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_near(df).collect()}
+    assert got == plain.near_components(pairs(df))
+    per_token = Counter()
+    for r in stored[0].where("bucket >= 0").collect():
+        per_token.update(np.frombuffer(r["tokens"], dtype=np.uint64).tolist())
+    assert max(per_token.values()) <= 2
+
+
+def test_buckets_grow_with_the_shingles(spark):
+    df = spark.createDataFrame([(1, "a b c d " * 1000), (2, None)], "doc_id long, text string")
+    assert ngram_join.bucket_count(df, each=2) == 501 and ngram_join.bucket_count(df.limit(0), each=2) == ngram_join.bucket_count(df) == 64
+
+
 def test_one_of_each(spark):
     df = docs_of(spark, ODD_TEXTS)
     kept = ngram_join.one_of_each(df)
