@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import is_correct
 from evalspark.operators import bootstrap, metrics, outcomes, policy
-from evalspark.operators.answers import lookup
 from evalspark.plans import standins as S
 from evalspark.plans.registry import query
 from evalspark.streaming.labels import running_accuracy
@@ -167,13 +166,18 @@ def policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ablation_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a, b, difference of AURC and its interval over the same 50 draws for both policies."""
+    """one, other, difference of AURC and its interval (lo, hi) over the same 50 draws for both policies."""
     rows = policy.policies(S.controller_items(spark, sf_dir))
     values = bootstrap.weighted_aurc(rows, "figure_id", "ok", "conf", 50, ["policy"])
-    pairs = {"controller": "missing", "relook_binary": "binary"}
-    left = values.where(F.col("policy").isin(*pairs)).select("b", F.col("policy").alias("one"), lookup(pairs, F.col("policy")).alias("other"), F.col("value").alias("v"))
-    both = left.join(values.select("b", F.col("policy").alias("other"), F.col("value").alias("w")), ["b", "other"])
-    return bootstrap.interval(both.withColumn("d", F.col("v") - F.col("w")), "d", ["one", "other"])
+    pairs = F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("other")) for a, b in (("controller", "missing"), ("controller", "binary"), ("relook_binary", "binary"))])
+    whole = policy.evaluate(S.controller_items(spark, sf_dir)).select(F.lit(-1).cast("long").alias("b"), "policy", F.col("aurc").alias("value"))
+
+    def differences(of: DataFrame) -> DataFrame:
+        left = of.withColumn("_p", F.explode(pairs)).where("policy = _p.one").select("b", "_p.one", "_p.other", F.col("value").alias("v"))
+        return left.join(of.select("b", F.col("policy").alias("other"), F.col("value").alias("w")), ["b", "other"]).withColumn("d", F.col("v") - F.col("w"))
+
+    point = differences(whole).select("one", "other", F.col("d").alias("difference"))
+    return point.join(bootstrap.interval(differences(values), "d", ["one", "other"]), ["one", "other"])
 
 
 @query(f"""WITH {S.OUTCOMES} SELECT failure_type, """ + ", ".join(f"round(avg(recovered::int) FILTER (intervention = '{a}'), 3) AS {a}, count(*) FILTER (intervention = '{a}') AS {a}_n" for a in S.ACTIONS) + " FROM outcomes GROUP BY 1")

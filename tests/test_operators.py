@@ -225,3 +225,15 @@ def test_changed_files(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path / "*.bin")).select(F.regexp_extract("path", "[^/]+$", 0).alias("path"), "content")
     manifest = spark.createDataFrame([("a.bin", hashlib.sha256(b"one").hexdigest()), ("b.bin", hashlib.sha256(b"2").hexdigest()), ("c.bin", "x")], "path string, sha256 string")
     assert {tuple(r) for r in quality.changed_files(files, manifest).collect()} == {("b.bin", "changed"), ("c.bin", "missing")}
+
+
+def test_ablation_differences_has_three_pairs_and_their_differences(spark):
+    from evalspark.operators import policy
+    import __spark_entry__  # noqa: F401
+    from evalspark.plans import score_queries, standins
+
+    sf = "/root/testdata/sf0.001"
+    aurc = {r["policy"]: r["aurc"] for r in policy.evaluate(standins.controller_items(spark, sf)).collect()}
+    got = {(r["one"], r["other"]): r for r in score_queries.ablation_differences(spark, sf).collect()}
+    assert set(got) == {("controller", "missing"), ("controller", "binary"), ("relook_binary", "binary")}
+    assert all(abs(r["difference"] - (aurc[a] - aurc[b])) < 1e-12 and r["lo"] <= r["hi"] for (a, b), r in got.items())
