@@ -10,8 +10,9 @@ lower the similarity and don't destroy it. The Nyström method projects on landm
 support vector machine on that projection is linear in the kernel's own feature space, so scoring a
 word sums one table entry for each of its triples.
 
-The sentences of the labelled documents teach it: words that a toxic sentence may owe its label to
-are positives, words of sentences in documents that are not toxic are negatives, in a few rounds
+The words of whole labelled documents teach it, not sentences: the labels are the documents', and
+nothing tells which sentence of a toxic one earned it. Words that a toxic document may owe its label to
+are positives, words of documents that are not toxic are negatives, in a few rounds
 that replace both by what the last machine confuses. Document features are the highest decision
 value, the mean of the three highest, and how many words are above zero and clearly above it; a logistic fit on
 out-of-fold features turns them into a probability.
