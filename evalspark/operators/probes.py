@@ -1,8 +1,8 @@
 """Linear probes: L2 logistic fits over grids of layers, positions, penalties and folds.
 
-A grid's cells are independent and each is small (its rows times its dimensions are bounded by
-MAX_CELL), so cells are the groups of a grouped map, and a fit is a Newton iteration in numpy inside
-the task. Larger cells go to MLlib one by one, which distributes the rows. Roles are a column: "fit"
+A grid's cells are independent, so cells are the groups of a grouped map, and a fit is a Newton
+iteration in numpy inside the task. No query yet sends cells above MAX_CELL (rows times dimensions)
+to large_cell_scores, which distributes the rows by MLlib: each cell must fit into a task. Roles are a column: "fit"
 rows train, "score" rows are only scored; selection sees what it is given and nothing else.
 """
 
