@@ -34,6 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to this many pick their rows by a broadcast, more by a shuffle; either gives the same rows.
+BROADCAST_KEYS = 1_000_000
+
+
+def picked(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose columns on are in keys, a written table."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

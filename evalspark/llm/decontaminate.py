@@ -1,31 +1,70 @@
-"""Benchmark decontamination by SimHash over item-sized windows, with DataFrame functions only.
-
-A window is a run of a document's words as long as a benchmark item. Windows are laid wherever they
-share a word shingle with an item, in that shingle's alignment: a window in no such place has
-similarity 0 with every item. Windows and items get 64-bit SimHash fingerprints of their words, the
-64 bits are cut into RADIUS + 1 blocks, and a window meets the items of its length that equal it in
-one block: by the pigeonhole principle these are at least all fingerprints within RADIUS. Pairs
-within the radius are verified by the exact weighted similarity of their shingle sets: the weight of
-the shingles in both over the weight of those in either. A shingle weighs the more the fewer items
-have it.
-
-Words have A-Z lowered; shingles are of SHINGLE words, a text with fewer words is one shingle. Null
-texts have no words and match nothing, as do items without words. Repeated rows are found each;
-rows with a NULL doc_id can't be reported. Empty tables give no rows. Extra columns are ignored.
+"""Benchmark decontamination by SimHash over windows, with DataFrame functions only.
+
+1. Runs of a document's words, and of every benchmark item's, get SimHash fingerprints of BITS bits: bit b
+   is set if most word hashes of the run have it set. A run is as long as the size of the item allows: a
+   passage that is similar enough to an item of n words keeps least_run(n) words in a row of it, and the
+   longest of SIZES that fits in there wherever it starts is the item's window size. Documents have windows of
+   each size at every stride(size)-th word, items at every word, so that one document window lies on
+   the run that is kept and has its item's fingerprint.
+2. Fingerprints are cut into RADIUS + 1 blocks. A document window meets the item windows of its size that equal it
+   in one block: by the pigeonhole principle these are at least all within RADIUS; what is farther is
+   left out. No shingle is compared before this index.
+3. A meeting says where in the document the item would begin. There the exact similarity is taken for
+   item-sized windows, in each alignment that a shared shingle gives: the weight of the shingles in both over the
+   weight of those in either. A shingle weighs the more the fewer items have it.
+
+least_run supposes shingles of equal weight. Where a passage has lost its lighter shingles only, it may keep
+a shorter run and still be similar; the radius finds most of those, and the README has the recall measured against all windows.
+
+Words have A-Z lowered; shingles are of SHINGLE words, a text with fewer words is one shingle, so an item
+with fewer words is found in documents that are as short. A document shorter than the item is one window. Null
+texts have no words and match nothing, as do items without words. Of rows that repeat an item_id the smallest text counts. Repeated rows and rows that repeat a doc_id with
+other texts are searched each; a document has its best window. Of equal windows the first counts. Rows with a NULL doc_id can't be
+reported. Long texts are cut into segments of SEGMENT words for the windows. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import written
+from evalspark.llm.common import picked, written
 
-SHINGLE, RADIUS, SIMILARITY = 5, 15, 0.75
-_BLOCKS = RADIUS + 1
-_BLOCK_BITS = 64 // _BLOCKS
+SHINGLE, SIMILARITY = 5, 0.75
+#: Fingerprints: LANES lanes of WIDTH bits count the votes of as many bits at once, in WIDTH longs; a lane counts to 31.
+LANES, WIDTH = 12, 5
+BITS, RADIUS = LANES * WIDTH, 3
+_LANE = sum(1 << (WIDTH * i) for i in range(LANES))
+_BLOCK_BITS = BITS // (RADIUS + 1)
+#: Window sizes in words. SEGMENT is a multiple of all their strides.
+SIZES, SEGMENT = (1, 2, 3, 5, 8, 12, 17), 4032
+#: Item windows up to this many are sent to all tasks, more are met by a shuffle.
+BROADCAST_WINDOWS = 1_000_000
+
+
+def stride(size: int) -> int:
+    return -(-size // 2)
+
+
+def least_run(n: int) -> int:
+    """Words in a row that a window keeps of an item of n words if their shingles' similarity is SIMILARITY or more.
+
+    Of m shingles k breaks inside leave at least (3 m / 4 + 3 k) in k + 1 runs, and k is at most m / 28: a
+    break takes four shingles of the item or more, and brings four others or more.
+    """
+    if n < SHINGLE:
+        return n
+    m = n - SHINGLE + 1
+    k = m // 28
+    return -(-(3 * m + 12 * k) // (4 * (k + 1))) + SHINGLE - 1
+
+
+def window_size(n: int) -> int:
+    """The largest of SIZES that has a window at a multiple of its stride within any least_run(n) words in a row."""
+    return max(s for s in SIZES if s + stride(s) - 1 <= least_run(n))
 
 
 def words(text: Column) -> Column:
@@ -33,37 +72,82 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _hash_at(words_: Column, at: Column) -> Column:
-    return F.xxhash64(*[F.get(words_, at + k) for k in range(SHINGLE)])
+def shingles(words_: Column) -> Column:
+    """The hashes of a text's shingles, in order."""
+    last = F.greatest(F.lit(0), F.size(words_) - SHINGLE)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words_, i + k) for k in range(SHINGLE)]))
 
 
-def shingle_positions(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows (with words) for each of their shingles: keep, words, pos, shingle."""
-    last = F.greatest(F.lit(0), F.size("words") - SHINGLE)
-    each = rows.where(F.size("words") > 0).select(*keep, "words", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
-    return each.withColumn("shingle", _hash_at(F.col("words"), F.col("pos")))
+def lanes(words_: Column) -> list[Column]:
+    """WIDTH arrays of longs: in the k-th, bit WIDTH * i + k of each word's hash is the lowest bit of lane i."""
 
+    def lane(k: int) -> Column:
+        return F.transform(words_, lambda w: F.shiftrightunsigned(F.xxhash64(w), k).bitwiseAND(F.lit(_LANE)))
+
+    return [lane(k) for k in range(WIDTH)]
 
-def shingle_set(words_: Column) -> Column:
-    last = F.greatest(F.lit(0), F.size(words_) - SHINGLE)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _hash_at(words_, i)))
 
+def fingerprint(lanes_: list[Column], start: Column, size: int) -> Column:
+    """SimHash of the words from start (from 0): bit b is set if more than half of the word hashes have it set."""
+    above = F.lit(((1 << (WIDTH - 1)) - 1 - size // 2) * _LANE)
+    print_ = F.lit(0).cast("long")
+    for k, lane in enumerate(lanes_):
+        votes = F.aggregate(F.slice(lane, start + 1, F.lit(size)), above, lambda acc, x: acc + x)
+        print_ = print_.bitwiseOR(F.shiftleft(F.shiftrightunsigned(votes, WIDTH - 1).bitwiseAND(F.lit(_LANE)), k))
+    return print_
 
-def fingerprint(words_: Column) -> Column:
-    """64-bit SimHash of a list of words: bit b is set if most word hashes have it set."""
-    hashes = F.transform(words_, lambda w: F.xxhash64(w))
 
-    def bit(b: Column) -> Column:
-        votes = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.getbit(h, b).cast("int"))
-        return F.when(votes * 2 > F.size(hashes), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+def windows(rows: DataFrame, keep: list[str], sizes: list[tuple[int, int, Column]]) -> DataFrame:
+    """keep, size, start, print of the windows of rows (keep, words) for each (size, step, whether the row has such windows)."""
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int"))).alias("_part")
+    cut = rows.where(F.size("words") > 0).select(*keep, "words", parts)
+    cut = cut.withColumn("_words", F.slice("words", F.col("_part") * SEGMENT + 1, F.lit(SEGMENT + max(SIZES)))).drop("words")
+    cut = cut.select(*keep, "_part", F.size("_words").alias("_n"), *[x.alias(f"_lane{k}") for k, x in enumerate(lanes(F.col("_words")))])
+    columns = [F.col(f"_lane{k}") for k in range(WIDTH)]
 
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x))
+    def window(size: int) -> Callable[[Column], Column]:
+        return lambda i: F.struct(F.lit(size).alias("size"), (i + F.col("_part") * SEGMENT).alias("start"), fingerprint(columns, i, size).alias("print"))
+
+    found = []
+    for size, step, has in sizes:
+        starts = F.sequence(F.lit(0), F.least(F.col("_n") - size, F.lit(SEGMENT - 1)), F.lit(step))
+        found.append(F.when(has & (F.col("_n") >= size), F.transform(starts, window(size))).otherwise(F.array().cast("array<struct<size:int,start:int,print:bigint>>")))
+    return cut.select(*keep, F.inline(F.concat(*found)))
 
 
 def blocks(print_: Column) -> Column:
     mask = F.lit((1 << _BLOCK_BITS) - 1)
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(print_, i * _BLOCK_BITS).bitwiseAND(mask).alias("value")) for i in range(_BLOCKS)])
+    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(print_, i * _BLOCK_BITS).bitwiseAND(mask).alias("value")) for i in range(RADIUS + 1)])
+
+
+def weighted(items: DataFrame) -> DataFrame:
+    """item_id, n, _weights (shingle to weight), _places (shingle to its places) of items (item_id, n, words)."""
+    each = items.select("item_id", "n", F.posexplode(shingles(F.col("words"))).alias("pos", "shingle"))
+    counts = each.groupBy("shingle").agg(F.countDistinct("item_id").alias("_df"))
+    total = items.agg(F.count("*").cast("double").alias("_total"))
+    once = each.groupBy("item_id", "n", "shingle").agg(F.sort_array(F.collect_list("pos")).alias("at")).join(counts, "shingle").crossJoin(total)
+    weight = F.log(1 + (F.col("_total") + 1) / F.col("_df"))
+    entries = lambda x: F.map_from_entries(F.collect_list(F.struct("shingle", x)))
+    unknown = F.log(1 + F.max(F.col("_total") + 1))
+    return once.groupBy("item_id", "n").agg(entries(weight).alias("_weights"), entries(F.col("at")).alias("_places"), unknown.alias("_unknown"))
+
+
+def meetings(text: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, _row, item_id, at: where by their fingerprints items (item_id, n, words) may begin in text (doc_id, _row, words)."""
+    lengths = [r["n"] for r in items.select("n").distinct().collect()]
+    of = {n: window_size(n) for n in lengths}
+    used = sorted(set(of.values()))
+    if not used:
+        return text.select("doc_id", "_row", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("at")).limit(0)
+    n_of = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("n"))
+    sized = items.withColumn("_size", n_of)
+    item_windows = windows(sized, ["item_id", "_size"], [(s, 1, F.col("_size") == s) for s in used]).drop("_size")
+    index = item_windows.select("item_id", "size", F.col("start").alias("_at"), F.col("print").alias("_print"), F.inline(blocks(F.col("print"))))
+    few = item_windows.count() <= BROADCAST_WINDOWS
+    left = windows(text, ["doc_id", "_row"], [(s, stride(s), F.lit(True)) for s in used])
+    left = left.select("*", F.inline(blocks(F.col("print"))))
+    near = left.join(F.broadcast(index) if few else index, ["size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("_print"))) <= RADIUS)
+    return near.select("doc_id", "_row", "item_id", (F.col("start") - F.col("_at")).alias("at")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -71,45 +155,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Words start to end - 1 of the document, counted from 0, are the window.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("words")).where("item_id is not null")
+    items = benchmark.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", words(F.col("text")).alias("words"))
     items = written(items.where(F.size("words") > 0).withColumn("n", F.size("words")), "leak-items")
-    each = shingle_positions(items, ["item_id", "n"]).select("item_id", "n", "pos", "shingle")
-    # Same length and alignment give the same window, whatever the item.
-    places = each.select("shingle", F.col("pos").alias("_at"), F.col("n").alias("_n")).distinct()
-
-    text = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("words"))
-    met = shingle_positions(text, ["doc_id"]).join(places, "shingle")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("_at"), F.size("words") - F.col("_n")))
-    laid = met.select("doc_id", start.alias("start"), F.least(F.col("_n"), F.size("words")).alias("_size"), F.col("_n").alias("n"), F.slice("words", start + 1, F.col("_n")).alias("window"))
-    windows = laid.groupBy("doc_id", "start", "n").agg(F.first("window").alias("window"))
-    windows = written(windows.withColumn("print", fingerprint(F.col("window"))), "leak-windows")
-
-    marked = items.withColumn("_print", fingerprint(F.col("words")))
-    left = windows.select("doc_id", "start", "n", "print", F.inline(blocks(F.col("print"))))
-    right = marked.select("item_id", "n", "_print", F.inline(blocks(F.col("_print"))))
-    near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("_print"))) <= RADIUS)
-    near = near.select("doc_id", "start", "n", "item_id").distinct()
-
-    counts = each.groupBy("shingle").agg(F.countDistinct("item_id").alias("_df"))
-    total = F.lit(float(items.count() + 1))
-    weight = lambda df: F.log(1 + total / df)
-    weighed = each.join(counts, "shingle").groupBy("item_id").agg(F.map_from_entries(F.collect_set(F.struct("shingle", weight(F.col("_df"))))).alias("_weights"))
-    pairs = near.join(windows.select("doc_id", "start", "n", "window"), ["doc_id", "start", "n"]).join(weighed, "item_id")
-    unknown = weight(F.lit(1.0))
-    own = shingle_set(F.col("window"))
-    pairs = pairs.withColumn("_own", own)
-    summed = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    both = summed(F.transform("_own", lambda s: F.coalesce(F.element_at("_weights", s), F.lit(0.0))))
-    mine = summed(F.transform("_own", lambda s: F.coalesce(F.element_at("_weights", s), unknown)))
-    theirs = summed(F.map_values("_weights"))
-    pairs = pairs.withColumn("_both", both).withColumn("similarity", F.col("_both") / (mine + theirs - F.col("_both")))
-    found = pairs.where(F.col("similarity") >= similarity - 1e-9)
-    best = F.struct(F.round("similarity", 9), -F.col("start"), F.size("window").alias("size"), "similarity")
-    top = found.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
-    start = -F.col("b").getField("col2")
+    marked = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_row"), "text")
+    met = written(meetings(marked.select("doc_id", "_row", words(F.col("text")).alias("words")), items), "leak-meetings")
+
+    some = picked(marked, met.select("doc_id", "_row").distinct(), ["doc_id", "_row"]).dropDuplicates(["doc_id", "_row"])
+    pairs = met.join(some.select("doc_id", "_row", words(F.col("text")).alias("words")), ["doc_id", "_row"]).join(weighted(items), "item_id")
+    # The words around the place that the windows told, and the shingles of these.
+    low, size = F.greatest(F.lit(0), F.col("at") - F.col("n")), F.size("words")
+    pairs = pairs.select("doc_id", "item_id", "n", "_weights", "_places", "_unknown", size.alias("_size"), low.alias("_low"), F.slice("words", low + 1, 3 * F.col("n")).alias("_near"))
+    pairs = pairs.withColumn("_own", shingles(F.col("_near")))
+    aligned = lambda g, p: F.transform(F.coalesce(F.element_at("_places", g), F.array().cast("array<int>")), lambda q: F.greatest(F.lit(0), F.least(p + F.col("_low") - q, F.col("_size") - F.col("n"))))
+    inside = lambda at: (at >= F.col("_low")) & (at + F.least(F.col("n"), F.col("_size")) <= F.col("_low") + F.size("_near"))
+    starts = F.filter(F.array_distinct(F.flatten(F.transform("_own", aligned))), inside)
+    pairs = pairs.withColumn("_starts", starts).where(F.size("_starts") > 0)
+
+    width = F.greatest(F.lit(1), F.least(F.col("n"), F.col("_size")) - (SHINGLE - 1))
+    summed = lambda of, default: F.aggregate(of, F.lit(0.0), lambda acc, s: acc + F.coalesce(F.element_at("_weights", s), default))
+    theirs = F.aggregate(F.map_values("_weights"), F.lit(0.0), lambda acc, x: acc + x)
+    own = lambda at: F.array_distinct(F.slice("_own", at - F.col("_low") + 1, width))
+    sums = F.transform("_starts", lambda at: F.struct(at.alias("start"), summed(own(at), F.lit(0.0)).alias("both"), summed(own(at), F.col("_unknown")).alias("mine")))
+    pairs = pairs.select("doc_id", "item_id", "n", "_size", F.lit(1).alias("_one"), theirs.alias("_theirs"), F.inline(sums))
+    scored = pairs.withColumn("similarity", F.col("both") / (F.col("mine") + F.col("_theirs") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-9)
+    best = F.struct(F.round("similarity", 9).alias("rounded"), (-F.col("start")).alias("back"), F.least("n", "_size").alias("size"), "similarity")
+    top = scored.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
+    start = -F.col("b.back")
     return top.select("doc_id", "item_id", start.alias("start"), (start + F.col("b.size")).alias("end"), F.col("b.similarity").alias("similarity"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has no benchmark item in it."""
+    """The rows of docs whose doc_id has no benchmark item in it; rows with a NULL doc_id stay."""
     return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -430,11 +430,55 @@ def test_decontaminate(spark, which):
 
 
 def test_fingerprints_vote(spark):
-    ws = [f"w{k}" for k in range(30)]
-    df = spark.createDataFrame([(ws, ws[:-1] + ["other"], list(reversed(ws)))], "a array<string>, b array<string>, c array<string>")
-    p = {c: decontaminate.fingerprint(F.col(c)) for c in "abc"}
-    one, two = df.select(F.bit_count(p["a"].bitwiseXOR(p["b"])), p["a"] == p["c"]).first()
-    assert one <= decontaminate.RADIUS and two
+    """Against a count of votes, bit by bit."""
+    ws = [f"w{k % 23}" for k in range(60)]
+    df = spark.createDataFrame([(1, ws)], "id int, words array<string>")
+    hashes = df.select(F.transform("words", lambda w: F.xxhash64(w)).alias("h")).first()["h"]
+    for size in decontaminate.SIZES:
+        got = {r["start"]: r["print"] for r in decontaminate.windows(df, ["id"], [(size, decontaminate.stride(size), F.lit(True))]).collect()}
+        assert sorted(got) == list(range(0, 60 - size + 1, decontaminate.stride(size)))
+        for at, found in got.items():
+            votes = [sum(h >> b & 1 for h in hashes[at : at + size]) for b in range(decontaminate.BITS)]
+            assert found == sum(1 << b for b, v in enumerate(votes) if 2 * v > size)
+
+
+def test_windows_of_long_texts_are_whole(spark):
+    ws = [f"w{k}" for k in range(2 * decontaminate.SEGMENT + 40)]
+    df = spark.createDataFrame([(1, ws)], "id int, words array<string>")
+    for size in (5, 17):
+        got = [r["start"] for r in decontaminate.windows(df, ["id"], [(size, decontaminate.stride(size), F.lit(True))]).select("start").collect()]
+        assert sorted(got) == list(range(0, len(ws) - size + 1, decontaminate.stride(size)))
+    assert all(decontaminate.SEGMENT % decontaminate.stride(s) == 0 for s in decontaminate.SIZES)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(5, 150), st.integers(0, 10**6), st.integers(0, 5), st.integers(0, 30))
+def test_similar_passages_keep_a_run(n, seed, edits, cut):
+    """Edited copies of an item, whole or cut short: the similar ones keep least_run(n) words in a row."""
+    rng = np.random.default_rng(seed)
+    item = [f"w{k}" for k in range(n)]
+    copy = list(item)
+    for e in range(edits):
+        at, kind = int(rng.integers(0, len(copy))), int(rng.integers(0, 3))
+        copy[at : at + 1] = [[f"e{e}"], [], [copy[at], f"e{e}"]][kind]
+    copy = copy[int(rng.integers(0, cut + 1)) :][:n]
+    a, b = plain.shingles(item), plain.shingles(copy)
+    if 4 * len(a & b) >= 3 * len(a | b) and a & b:
+        text = " ".join(copy) + " "
+        run = decontaminate.least_run(n)
+        assert any(" ".join(item[k : k + run]) + " " in text for k in range(n - run + 1))
+
+
+def test_the_index_finds_all_fingerprints_within_the_radius(spark):
+    """Recall 1 of the multi-index against every pair of windows, and of the meetings against the similar windows of the given documents."""
+    rng = np.random.default_rng(4)
+    prints = [int(x) for x in rng.integers(0, 1 << decontaminate.BITS, 60)]
+    near_ = [p ^ sum(1 << int(b) for b in rng.choice(decontaminate.BITS, int(rng.integers(0, 6)), replace=False)) for p in prints]
+    left, right = (spark.createDataFrame(list(enumerate(x)), f"{n} int, {n}p long") for n, x in (("a", prints), ("b", near_)))
+    cut = lambda df, n: df.select("*", F.inline(decontaminate.blocks(F.col(f"{n}p"))))
+    met = cut(left, "a").join(cut(right, "b"), ["block", "value"]).where(F.bit_count(F.col("ap").bitwiseXOR(F.col("bp"))) <= decontaminate.RADIUS)
+    expected = {(i, j) for i, p in enumerate(prints) for j, q in enumerate(near_) if bin(p ^ q).count("1") <= decontaminate.RADIUS}
+    assert {(r["a"], r["b"]) for r in met.select("a", "b").distinct().collect()} == expected and len(expected) > 20
 
 
 def test_boilerplate(spark):
