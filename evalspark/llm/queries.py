@@ -35,7 +35,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.resolved(warc.read_archives(spark, path))
+    return warc.resolved(warc.read_archives(spark, path, payloads=False))
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

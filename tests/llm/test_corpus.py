@@ -269,42 +269,82 @@ def test_out_of_place_distance():
     assert [by_code[c] for c in code[np.argsort(rank)]] == counts
 
 
+PART = "<p>big</p>\r\n\r\n"
+BIG_PAGE = PART * 4_000_000
+
+
 def pages_of(spark):
     rows = [(1, "http://a.b/x", "<p>one</p>", "e"), (2, "http://a.b/y z\r\nX: 1", "<p>one</p>", "e"), (3, None, None, None), (4, "u", "", "e"), (5, "http://A.b/", "x\r\n\r\nWARC/1.1\r\n", "e"), (6, "q", "é" * 5000, "e"), (7, "q", "<p>one</p>", "e"), (None, "q", "lost", "e"), (8, "q", "twice", "e"), (8, "q", "twice", "e")]
+    rows += [(9, "q", "aaa", "e"), (9, "q", "bbbbb", "e"), (0, "q", "aaa", "e"), (0, "q", "bbbbb", "e"), (None, "q", "bbbbb", "e"), (None, "q", "lost", "e"), (10, "q", "m" * 70_000, "e"), (11, "q", "m" * 70_000, "e")]
     return spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
 
 
-def test_warc_round_trip(spark):
+def expected_captures(pages, min_bytes=0):
+    """Of equal payloads one row with the largest page_id is the response."""
+    groups, expected = defaultdict(list), Counter()
+    for i, html in pages:
+        groups[html or ""].append(i)
+    for html, ids in groups.items():
+        data = html.encode()
+        ids = sorted(ids, key=lambda i: (i is not None, i), reverse=True)
+        for k, i in enumerate(ids):
+            revisit = k > 0 and len(data) >= min_bytes
+            expected[i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", ids[0] if revisit else None] += 1
+    return expected
+
+
+def captures(spark, path):
+    got = warc.resolved(warc.read_archives(spark, path, payloads=False))
+    return Counter(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
+
+
+@pytest.mark.parametrize("few", [1, 1_000_000])
+def test_warc_round_trip(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_KEYS", few)
     path = common.shared_path(spark, "warc-test")
     pages = pages_of(spark)
     warc.write_archives(pages, path)
-    groups = defaultdict(list)
-    for r in pages.collect():
-        groups[r["html"] or ""].append(r["page_id"])
-    expected = Counter()
-    for html, ids in groups.items():
-        top = max((i for i in ids if i is not None), default=None)
-        for i in ids:
-            data = html.encode()
-            revisit = i != top
-            expected[i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", top if revisit else None] += 1
-    got = warc.resolved(warc.read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
-    assert Counter(map(tuple, got)) == expected
+    assert captures(spark, path) == expected_captures([(r["page_id"], r["html"]) for r in pages.collect()])
     whole = {(r["page_id"], r["html"]) for r in warc.read_archives(spark, path).where("record_type = 'response'").collect()}
     assert (7, "<p>one</p>") in whole and (5, "x\r\n\r\nWARC/1.1\r\n") in whole
+    assert whole >= {(9, "aaa"), (9, "bbbbb")} and whole <= {(r["page_id"], r["html"] or "") for r in pages.collect()}
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in Path(path).glob("*.gz"))
-    assert raw.count(b"WARC-Record-ID") == 10 and raw.endswith(b"\r\n\r\n")
+    names = re.findall(rb"\r\nWARC-Record-ID: (\S+)", raw)
+    assert len(names) == len(set(names)) == 18 and raw.endswith(b"\r\n\r\n")
+
+
+def test_warc_of_a_page_of_60_megabytes(spark):
+    path = common.shared_path(spark, "warc-test")
+    pages = spark.createDataFrame([(i, "u") for i in range(300)], "page_id long, url string")
+    html = F.when(F.col("page_id") % 100 == 7, F.repeat(F.lit(PART), 4_000_000)).otherwise(F.concat(F.lit("p"), F.col("page_id")))
+    warc.write_archives(pages.withColumn("html", html).repartition(2), path)
+    rows = [(i, BIG_PAGE if i % 100 == 7 else f"p{i}") for i in range(300)]
+    assert captures(spark, path) == expected_captures(rows)
+    unpacked = [sum(map(len, iter(lambda f=gzip.open(p): f.read(1 << 20), b""))) for p in Path(path).glob("*.gz")]
+    assert max(unpacked) < warc.FILE_BYTES and sum(unpacked) > 56_000_000
 
 
 def test_warc_keeps_small_payloads_and_takes_no_rows(spark):
     path = common.shared_path(spark, "warc-test")
     warc.write_archives(pages_of(spark), path, min_bytes=1000)
-    assert warc.read_archives(spark, path).where("record_type = 'revisit'").count() == 0
+    assert captures(spark, path) == expected_captures([(r["page_id"], r["html"]) for r in pages_of(spark).collect()], 1000)
     empty = common.shared_path(spark, "warc-test")
     warc.write_archives(pages_of(spark).limit(0), empty)
     assert warc.resolved(warc.read_archives(spark, empty)).count() == 0
 
 
+@pytest.mark.parametrize("damage", [lambda x: x.replace(b"aaa", b"aba"), lambda x: x.replace(b"Content-Length: 3\r\n", b"Content-Length: 3\r\nA: b\r\n")])
+def test_damaged_archives_are_refused(spark, damage):
+    path = common.shared_path(spark, "warc-test")
+    warc.write_archives(pages_of(spark).where("page_id = 9").coalesce(1), path)
+    for p in Path(path).glob("*.gz"):
+        p.write_bytes(gzip.compress(damage(gzip.decompress(p.read_bytes()))))
+    for p in Path(path).glob(".*.crc"):
+        p.unlink()
+    with pytest.raises(Exception, match="digest|doesn't end|no WARC record"):
+        warc.read_archives(spark, path).count()
+
+
 def test_tokens_round_trip(spark):
     tokenizers = pytest.importorskip("tokenizers")
     texts = ODD_TEXTS + ["It's a <|endoftext|> don't\x1cstop, 3.14!", "word, word. Word; WORD", " nbsp wide"]
