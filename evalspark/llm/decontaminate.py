@@ -39,14 +39,14 @@ LANES, WIDTH = 12, 5
 BITS, RADIUS = LANES * WIDTH, 3
 _LANE = sum(1 << (WIDTH * i) for i in range(LANES))
 _BLOCK_BITS = BITS // (RADIUS + 1)
-#: Window sizes in words. SEGMENT is a multiple of all their strides.
-SIZES, SEGMENT = (1, 2, 3, 5, 8, 12, 17), 4032
+#: Window sizes in words, beside whole texts of less than SHINGLE words. SEGMENT is a multiple of all their strides.
+SIZES, SEGMENT = (4, 8, 12, 16), 4032
 #: Item windows up to this many are sent to all tasks, more are met by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
 
 def stride(size: int) -> int:
-    return -(-size // 2)
+    return size // 2
 
 
 def least_run(n: int) -> int:
@@ -63,8 +63,8 @@ def least_run(n: int) -> int:
 
 
 def window_size(n: int) -> int:
-    """The largest of SIZES that has a window at a multiple of its stride within any least_run(n) words in a row."""
-    return max(s for s in SIZES if s + stride(s) - 1 <= least_run(n))
+    """The largest of SIZES that has a window at a multiple of its stride within any least_run(n) words in a row; n below SHINGLE."""
+    return n if n < SHINGLE else max(s for s in SIZES if s + stride(s) - 1 <= least_run(n))
 
 
 def words(text: Column) -> Column:
@@ -78,41 +78,66 @@ def shingles(words_: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words_, i + k) for k in range(SHINGLE)]))
 
 
-def lanes(words_: Column) -> list[Column]:
-    """WIDTH arrays of longs: in the k-th, bit WIDTH * i + k of each word's hash is the lowest bit of lane i."""
+def hashes(words_: Column) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
 
-    def lane(k: int) -> Column:
-        return F.transform(words_, lambda w: F.shiftrightunsigned(F.xxhash64(w), k).bitwiseAND(F.lit(_LANE)))
 
-    return [lane(k) for k in range(WIDTH)]
+def votes(hash_: Column, k: int) -> Column:
+    """The k-th of WIDTH longs: bit WIDTH * i + k of a word's hash as the lowest bit of lane i."""
+    return F.shiftrightunsigned(hash_, k).bitwiseAND(F.lit(_LANE))
 
 
-def fingerprint(lanes_: list[Column], start: Column, size: int) -> Column:
-    """SimHash of the words from start (from 0): bit b is set if more than half of the word hashes have it set."""
-    above = F.lit(((1 << (WIDTH - 1)) - 1 - size // 2) * _LANE)
+def fingerprint(sums: list[Column], size: Column) -> Column:
+    """SimHash from the sums of the votes of size words: bit b is set if more than half of the word hashes have it set."""
     print_ = F.lit(0).cast("long")
-    for k, lane in enumerate(lanes_):
-        votes = F.aggregate(F.slice(lane, start + 1, F.lit(size)), above, lambda acc, x: acc + x)
-        print_ = print_.bitwiseOR(F.shiftleft(F.shiftrightunsigned(votes, WIDTH - 1).bitwiseAND(F.lit(_LANE)), k))
+    for k, total in enumerate(sums):
+        majority = total + ((1 << (WIDTH - 1)) - 1 - F.floor(size / 2)) * F.lit(_LANE)
+        print_ = print_.bitwiseOR(F.shiftleft(F.shiftrightunsigned(majority, WIDTH - 1).bitwiseAND(F.lit(_LANE)), k))
     return print_
 
 
-def windows(rows: DataFrame, keep: list[str], sizes: list[tuple[int, int, Column]]) -> DataFrame:
-    """keep, size, start, print of the windows of rows (keep, words) for each (size, step, whether the row has such windows)."""
-    parts = F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int"))).alias("_part")
-    cut = rows.where(F.size("words") > 0).select(*keep, "words", parts)
-    cut = cut.withColumn("_words", F.slice("words", F.col("_part") * SEGMENT + 1, F.lit(SEGMENT + max(SIZES)))).drop("words")
-    cut = cut.select(*keep, "_part", F.size("_words").alias("_n"), *[x.alias(f"_lane{k}") for k, x in enumerate(lanes(F.col("_words")))])
-    columns = [F.col(f"_lane{k}") for k in range(WIDTH)]
+def run_print(hashes_: Column) -> Column:
+    """The fingerprint of all of a short list of hashes."""
+    return fingerprint([F.aggregate(hashes_, F.lit(0).cast("long"), lambda acc, h: acc + votes(h, k)) for k in range(WIDTH)], F.size(hashes_))
 
-    def window(size: int) -> Callable[[Column], Column]:
-        return lambda i: F.struct(F.lit(size).alias("size"), (i + F.col("_part") * SEGMENT).alias("start"), fingerprint(columns, i, size).alias("print"))
 
-    found = []
-    for size, step, has in sizes:
-        starts = F.sequence(F.lit(0), F.least(F.col("_n") - size, F.lit(SEGMENT - 1)), F.lit(step))
-        found.append(F.when(has & (F.col("_n") >= size), F.transform(starts, window(size))).otherwise(F.array().cast("array<struct<size:int,start:int,print:bigint>>")))
-    return cut.select(*keep, F.inline(F.concat(*found)))
+def item_windows(items: DataFrame) -> DataFrame:
+    """item_id, size, start, print of the windows at each word of items (item_id, n, size, words)."""
+    every = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: F.struct(i.alias("start"), run_print(F.slice("_hashes", i + 1, F.col("size"))).alias("print")))
+    return items.withColumn("_hashes", hashes(F.col("words"))).select("item_id", "size", F.inline(every))
+
+
+def windows(text: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
+    """keep, size, start, print of the windows of text (keep, words), each size at every second half of it; a text of less than SHINGLE words is one window."""
+    parts = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int")))
+    cut = text.select(*keep, "words", F.explode(parts).alias("_part"))
+    # Single entries are read, as a slice would copy the whole array.
+    last = F.least(F.size("words"), (F.col("_part") + 1) * SEGMENT + max(SIZES)) - 1
+    cut = cut.select(*keep, "_part", F.transform(F.sequence(F.col("_part") * SEGMENT, last), lambda i: F.xxhash64(F.get("words", i))).alias("_hashes"))
+    pair = lambda k: lambda i: votes(F.get("_hashes", 2 * i), k) + votes(F.get("_hashes", 2 * i + 1), k)
+    pairs = F.sequence(F.lit(0), F.floor(F.size("_hashes") / 2).cast("int") - 1)
+    short = F.when((F.size("_hashes") < SHINGLE) & (F.col("_part") == 0), F.array(run_print(F.col("_hashes"))))
+    cut = cut.select(*keep, "_part", F.size("_hashes").alias("_n"), short.alias("_short"), *[F.when(F.size("_hashes") >= SHINGLE, F.transform(pairs, pair(k))).alias(f"_pairs{k}") for k in range(WIDTH)])
+
+    def prints(size: int) -> Column:
+        step, half = stride(size), size // 2
+        starts = F.sequence(F.lit(0), F.floor((F.least(F.col("_n") - size, F.lit(SEGMENT - step))) / step).cast("int"))
+
+        def one(i: Column) -> Column:
+            sums = []
+            for k in range(WIDTH):
+                first = i * (step // 2)
+                total = F.get(f"_pairs{k}", first)
+                for j in range(1, half):
+                    total = total + F.get(f"_pairs{k}", first + j)
+                sums.append(total)
+            return fingerprint(sums, F.lit(size))
+
+        return F.struct(F.lit(size).alias("size"), F.lit(step).alias("_step"), F.when((F.col("_n") >= size) & (F.col("_n") >= SHINGLE), F.transform(starts, one)).alias("_prints"))
+
+    kinds = F.array(F.struct(F.col("_n").alias("size"), F.lit(1).alias("_step"), F.col("_short").alias("_prints")), *map(prints, sizes))
+    each = cut.select(*keep, "_part", F.inline(kinds)).select(*keep, "size", "_step", "_part", F.posexplode("_prints").alias("_at", "print"))
+    return each.select(*keep, "size", (F.col("_part") * SEGMENT + F.col("_at") * F.col("_step")).alias("start"), "print")
 
 
 def blocks(print_: Column) -> Column:
@@ -136,16 +161,13 @@ def meetings(text: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, _row, item_id, at: where by their fingerprints items (item_id, n, words) may begin in text (doc_id, _row, words)."""
     lengths = [r["n"] for r in items.select("n").distinct().collect()]
     of = {n: window_size(n) for n in lengths}
-    used = sorted(set(of.values()))
-    if not used:
+    if not of:
         return text.select("doc_id", "_row", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("at")).limit(0)
-    n_of = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("n"))
-    sized = items.withColumn("_size", n_of)
-    item_windows = windows(sized, ["item_id", "_size"], [(s, 1, F.col("_size") == s) for s in used]).drop("_size")
-    index = item_windows.select("item_id", "size", F.col("start").alias("_at"), F.col("print").alias("_print"), F.inline(blocks(F.col("print"))))
-    few = item_windows.count() <= BROADCAST_WINDOWS
-    left = windows(text, ["doc_id", "_row"], [(s, stride(s), F.lit(True)) for s in used])
-    left = left.select("*", F.inline(blocks(F.col("print"))))
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("n"))
+    known = item_windows(items.withColumn("size", size))
+    index = known.select("item_id", "size", F.col("start").alias("_at"), F.col("print").alias("_print"), F.inline(blocks(F.col("print"))))
+    few = known.count() <= BROADCAST_WINDOWS
+    left = windows(text, ["doc_id", "_row"], sorted(set(of.values()) & set(SIZES))).select("*", F.inline(blocks(F.col("print"))))
     near = left.join(F.broadcast(index) if few else index, ["size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("_print"))) <= RADIUS)
     return near.select("doc_id", "_row", "item_id", (F.col("start") - F.col("_at")).alias("at")).distinct()
 

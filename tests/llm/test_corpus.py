@@ -470,25 +470,31 @@ def test_decontaminate(spark, which):
 
 
 def test_fingerprints_vote(spark):
-    """Against a count of votes, bit by bit."""
+    """Against a count of votes, bit by bit; the windows of items agree with those of texts."""
     ws = [f"w{k % 23}" for k in range(60)]
-    df = spark.createDataFrame([(1, ws)], "id int, words array<string>")
-    hashes = df.select(F.transform("words", lambda w: F.xxhash64(w)).alias("h")).first()["h"]
-    for size in decontaminate.SIZES:
-        got = {r["start"]: r["print"] for r in decontaminate.windows(df, ["id"], [(size, decontaminate.stride(size), F.lit(True))]).collect()}
-        assert sorted(got) == list(range(0, 60 - size + 1, decontaminate.stride(size)))
-        for at, found in got.items():
-            votes = [sum(h >> b & 1 for h in hashes[at : at + size]) for b in range(decontaminate.BITS)]
-            assert found == sum(1 << b for b, v in enumerate(votes) if 2 * v > size)
+    df = spark.createDataFrame([(1, ws), (2, ws[:3]), (3, [])], "id int, words array<string>")
+    texts = {1: ws, 2: ws[:3]}
+    hashes = {1: df.select(F.transform("words", lambda w: F.xxhash64(w)).alias("h")).first()["h"]}
+    hashes[2] = hashes[1][:3]
+
+    def voted(i, at, size):
+        votes = [sum(h >> b & 1 for h in hashes[i][at : at + size]) for b in range(decontaminate.BITS)]
+        return sum(1 << b for b, v in enumerate(votes) if 2 * v > size)
+
+    got = {(r["id"], r["size"], r["start"]): r["print"] for r in decontaminate.windows(df, ["id"], list(decontaminate.SIZES)).collect()}
+    assert got == {(1, size, at): voted(1, at, size) for size in decontaminate.SIZES for at in range(0, 60 - size + 1, size // 2)} | {(2, 3, 0): voted(2, 0, 3)}
+    for size in (1, 3, *decontaminate.SIZES):
+        items = spark.createDataFrame([(i, len(texts[i]), size, texts[i]) for i in texts if len(texts[i]) >= size], "item_id int, n int, size int, words array<string>")
+        found = {(r["item_id"], r["start"]): r["print"] for r in decontaminate.item_windows(items).collect()}
+        assert found == {(i, at): voted(i, at, size) for i in texts for at in range(len(texts[i]) - size + 1)}
 
 
 def test_windows_of_long_texts_are_whole(spark):
-    ws = [f"w{k}" for k in range(2 * decontaminate.SEGMENT + 40)]
-    df = spark.createDataFrame([(1, ws)], "id int, words array<string>")
-    for size in (5, 17):
-        got = [r["start"] for r in decontaminate.windows(df, ["id"], [(size, decontaminate.stride(size), F.lit(True))]).select("start").collect()]
-        assert sorted(got) == list(range(0, len(ws) - size + 1, decontaminate.stride(size)))
-    assert all(decontaminate.SEGMENT % decontaminate.stride(s) == 0 for s in decontaminate.SIZES)
+    for n in (2 * decontaminate.SEGMENT + 40, 2 * decontaminate.SEGMENT, decontaminate.SEGMENT + 1):
+        df = spark.createDataFrame([(1, [f"w{k}" for k in range(n)])], "id int, words array<string>")
+        got = [(r["size"], r["start"]) for r in decontaminate.windows(df, ["id"], list(decontaminate.SIZES)).select("size", "start").collect()]
+        assert sorted(got) == [(s, at) for s in decontaminate.SIZES for at in range(0, n - s + 1, s // 2)]
+    assert all(decontaminate.SEGMENT % decontaminate.stride(s) == 0 and s < 1 << decontaminate.WIDTH - 1 or s == 16 for s in decontaminate.SIZES)
 
 
 @settings(max_examples=300, deadline=None)
