@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder in spark.checkpoint.dir, which all executors see.
 
-    Only where that setting is absent (local tests) a folder of this machine is used.
+    Where that setting is absent a folder of this machine is used if Spark runs on this machine only; else it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{tempfile.gettempdir()}/evalspark-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -58,7 +62,39 @@ def smallest(df: DataFrame, key: Column, limit: int) -> DataFrame:
     return df.withColumn("_k", key).orderBy("_k").limit(limit).drop("_k")
 
 
-def pieces(texts: list[str | None], max_docs: int = 512, max_chars: int = 500_000) -> Iterator[tuple[int, list[str]]]:
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within it, jobs send their rows to Python in batches of at most so many: for wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Longer texts are cut for numpy work arrays, at white space.
+LONG_TEXT = 500_000
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def cuts(text: str, size: int = LONG_TEXT) -> Iterator[str]:
+    """The text in parts of about size characters that end at white space, so that no word is cut."""
+    at = 0
+    while len(text) - at > size and (end := _BLANK.search(text, at + size)):
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:]
+
+
+def cut_texts(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The parts of all texts, and the number of the text that each is from."""
+    parts = [list(cuts(t)) if len(t) > LONG_TEXT else [t] for t in texts]
+    return [p for x in parts for p in x], np.repeat(np.arange(len(texts)), [len(x) for x in parts])
+
+
+def pieces(texts: list[str | None], max_docs: int = 512, max_chars: int = LONG_TEXT) -> Iterator[tuple[int, list[str]]]:
     """Consecutive runs of texts, small enough for numpy work arrays: (offset, texts). None becomes empty."""
     at, run, size = 0, [], 0
     for i, text in enumerate(texts):
@@ -117,7 +153,12 @@ def word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lowered) of the texts, and the number of words of each text."""
-    return word_places(texts)[3:]
+    parts, owner = cut_texts(texts)
+    found = [word_places(run)[3:] for _, run in pieces(parts)]
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    hashes, counts = (np.concatenate(x) for x in zip(*found))
+    return hashes, np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
 
 
 def shingle_sets(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:

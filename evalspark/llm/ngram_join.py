@@ -30,12 +30,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import pieces, shingle_sets, written
+from evalspark.llm.common import arrow_rows, picked, pieces, shingle_sets, written
 
 #: Links are at NUMERATOR / DENOMINATOR of the union or more.
 NUMERATOR, DENOMINATOR = 3, 4
@@ -43,8 +42,8 @@ HOT, MAX_HOT = 12, 1 << 18
 MIN_BITS, MAX_BITS, BITS_EACH = 256, 1 << 16, 4
 #: Tiles up to SMALL_TILE sets meet by a join; larger ones in blocks of BLOCK sets, within a task.
 SMALL_TILE, BLOCK, EARLY = 16, 1024, 8
-#: Documents up to this many are picked from the input by broadcast, more by a join on doc_id.
-BROADCAST_IDS = 1_000_000
+#: Rows that Python gets at once: of texts, and of pairs of bitmaps or arrays.
+TEXT_ROWS, PAIR_ROWS = 2000, 500
 #: At most so many repeated sets, those with the most rows, are told to the tasks; first shingles to a bucket, and to a row of those known to be shared.
 MAX_COPIED, BUCKET_SHINGLES, PACKED = 1 << 17, 1 << 20, 1 << 16
 
@@ -76,12 +75,14 @@ def links(common: int, n_a: int, n_b: int) -> bool:
     return DENOMINATOR * common >= NUMERATOR * (n_a + n_b - common) and common > 0
 
 
-def _sets(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-    for at, run in pieces(texts):
-        hashes, sizes = shingle_sets(run)
-        ends = np.cumsum(sizes)
-        for i, (a, b) in enumerate(zip(ends - sizes, ends)):
-            yield at + i, hashes[a:b]
+def _sets(texts: pa.Array, each: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """The number and the set of each text, few texts at a time."""
+    for first in range(0, len(texts), each):
+        for at, run in pieces(texts.slice(first, each).to_pylist()):
+            hashes, sizes = shingle_sets(run)
+            ends = np.cumsum(sizes)
+            for i, (a, b) in enumerate(zip(ends - sizes, ends)):
+                yield first + at + i, hashes[a:b]
 
 
 def described(docs: DataFrame, buckets: int) -> DataFrame:
@@ -91,7 +92,7 @@ def described(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             doc, n, sig, bits, firsts, seen = [], [], [], [], [], set()
-            for i, hashes in _sets(batch.column(1).to_pylist()):
+            for i, hashes in _sets(batch.column(1)):
                 doc.append(ids[i])
                 n.append(len(hashes))
                 digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
@@ -99,7 +100,7 @@ def described(docs: DataFrame, buckets: int) -> DataFrame:
                 bits.append(bitmap(hashes))
                 if digest not in seen:
                     seen.add(digest)
-                    firsts.append(hashes[: int(first_ones(np.int64(len(hashes))))])
+                    firsts.append(hashes[: int(first_ones(np.int64(len(hashes))))].copy())
             none = lambda k, kind: pa.nulls(k, kind)
             k = len(doc)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), none(k, pa.int32()), none(k, pa.binary()), none(k, pa.binary())], names=names)
@@ -117,20 +118,29 @@ def described(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, bits binary, bucket int, tokens binary, counts binary")
 
 
+def unpacked(rows: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The numbers of all rows of a packed column, end to end."""
+    found = []
+    for chunk in rows.column(name).chunks:
+        ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk):
+            found.append(np.frombuffer(chunk.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind))
+    return np.concatenate(found) if found else np.zeros(0, dtype=kind)
+
+
 def hot_shingles(counted: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) -> np.ndarray:
     """The shingles that more than hot sets have among their first ones, the max_hot most frequent of them at most."""
 
-    def frequent(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows["tokens"]])
-        counts = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in rows["counts"]])
+    def frequent(rows: pa.Table) -> pa.Table:
+        tokens, counts = unpacked(rows, "tokens", np.uint64), unpacked(rows, "counts", np.int32)
         order = np.argsort(tokens, kind="stable")
         tokens, counts = tokens[order], counts[order]
         edge = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]) != 0)
         total = np.add.reduceat(counts, edge)
         often = total > hot
-        return pd.DataFrame({"token": tokens[edge][often].astype(np.int64), "total": total[often].astype(np.int64)})
+        return pa.table({"token": tokens[edge][often].astype(np.int64), "total": total[often].astype(np.int64)})
 
-    found = counted.groupBy("bucket").applyInPandas(frequent, "token long, total long")
+    found = counted.groupBy("bucket").applyInArrow(frequent, "token long, total long")
     top = found.orderBy(F.col("total").desc(), "token").limit(max_hot).select("token")
     return np.sort(top.toPandas()["token"].to_numpy(dtype=np.int64)).astype(np.uint64)
 
@@ -187,7 +197,7 @@ def entries(docs: DataFrame, hot: np.ndarray, copied: Copied, buckets: int) -> D
         for batch in batches:
             ids = batch.column(0).to_pylist()
             best: dict[bytes, tuple[int, int, np.ndarray]] = {}
-            for i, hashes in _sets(batch.column(1).to_pylist()):
+            for i, hashes in _sets(batch.column(1)):
                 if not len(hashes):
                     continue
                 digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
@@ -225,17 +235,19 @@ def entries(docs: DataFrame, hot: np.ndarray, copied: Copied, buckets: int) -> D
 def tiles(docs: DataFrame, hot: np.ndarray, copied: Copied, buckets: int) -> DataFrame:
     """token, doc_id, n, pos (the shingle's place in the order) for shingles that two documents have among their first ones."""
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, doc, size, place = (np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[name]]) for name, kind in KINDS.items())
-        keep = np.ones(len(tokens), dtype=bool)
-        if rows["bucket"].iloc[0] >= 0:
+    def meet(rows: pa.Table) -> pa.Table:
+        tokens, doc, size, place = (unpacked(rows, name, kind) for name, kind in KINDS.items())
+        if rows.column("bucket")[0].as_py() >= 0:
             order = np.argsort(tokens, kind="stable")
-            tokens, doc, size, place = tokens[order], doc[order], size[order], place[order]
+            tokens = tokens[order]
             same = np.concatenate(([False], tokens[1:] == tokens[:-1]))
-            keep = (same | np.concatenate((same[1:], [False]))) & (place >= 0)
-        return pd.DataFrame({"token": tokens[keep].astype(np.int64), "doc_id": doc[keep], "n": size[keep].astype(np.int64), "pos": place[keep].astype(np.int64)})
+            keep = same | np.concatenate((same[1:], [False]))
+            keep[keep] = place[order[keep]] >= 0
+            order = order[keep]
+            tokens, doc, size, place = tokens[keep], doc[order], size[order], place[order]
+        return pa.table({"token": tokens.astype(np.int64), "doc_id": doc, "n": size.astype(np.int64), "pos": place.astype(np.int64)})
 
-    return entries(docs, hot, copied, buckets).groupBy("bucket").applyInPandas(meet, "token long, doc_id long, n long, pos long")
+    return entries(docs, hot, copied, buckets).groupBy("bucket").applyInArrow(meet, "token long, doc_id long, n long, pos long")
 
 
 def compatible(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -260,21 +272,21 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, hashes (the sorted set, as bytes) of the documents named in ids."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    chosen = picked(docs.select("doc_id", "text"), ids, ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [hashes.tobytes() for _, hashes in _sets(batch.column(1).to_pylist())]
+            out = [hashes.tobytes() for _, hashes in _sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "hashes"])
 
     return chosen.mapInArrow(run, "doc_id long, hashes binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, by intersecting their sorted arrays."""
+    """The pairs (a, b) that are links, by intersecting their sorted arrays: a written table."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "join-ids")
-    sets = written(arrays(docs, ids), "join-arrays")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        sets = written(arrays(docs, ids), "join-arrays")
     met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("right")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("left")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +297,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+    with arrow_rows(docs.sparkSession, PAIR_ROWS):
+        return written(met.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct(), "join-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -385,9 +398,11 @@ def large_tile_pairs(rows: DataFrame, members: DataFrame, sets: DataFrame) -> Da
 
 def join_near(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(docs)
-    told = written(described(docs, buckets), "join-sets")
+    with arrow_rows(spark, TEXT_ROWS):
+        told = written(described(docs, buckets), "join-sets")
     rows = told.where("bucket is null").select("doc_id", "n", "sig", "bits")
     frequent = hot_shingles(told.where("bucket is not null").select("bucket", "tokens", "counts"), hot, max_hot)
 
@@ -395,7 +410,8 @@ def join_near(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFr
     owners = written(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "join-owners")
     heads = owners.select(F.col("rep").alias("doc_id")).distinct()
     copied, owners = copied_sets(owners, MAX_COPIED), owners.drop("rows")
-    members = written(tiles(docs, frequent, copied, buckets).join(heads, "doc_id", "left_semi"), "join-tiles")
+    with arrow_rows(spark, TEXT_ROWS):
+        members = written(tiles(docs, frequent, copied, buckets).join(heads, "doc_id", "left_semi"), "join-tiles")
     sets = rows.where("doc_id is not null").select("doc_id", "n", "bits", "sig").join(heads, "doc_id", "left_semi")
     sets = written(sets.dropDuplicates(["doc_id", "sig"]).drop("sig"), "join-heads")
 
@@ -406,15 +422,18 @@ def join_near(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFr
     pivots = pivots.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("p.doc_id").alias("a"), F.col("p.n").alias("n_a"), F.col("p.pos").alias("pos_a"))
     stars = banded.join(pivots, ["token", "band"]).where((F.col("a") != F.col("doc_id")) & compatible(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a")))
     stars = stars.select("a", F.col("doc_id").alias("b")).distinct()
-    first = written(verified(docs, written(bounded(stars, sets), "join-stars")), "join-links")
+    with arrow_rows(spark, PAIR_ROWS):
+        near = written(bounded(stars, sets), "join-stars")
+    first = verified(docs, near)
     same = copies(named)
     labels = components(first.union(same))
 
     small, large = crossing(members, labels)
-    more = bounded(small_tile_pairs(small), sets).union(large_tile_pairs(large, members, sets))
-    more = written(more.distinct(), "join-crossing")
+    with arrow_rows(spark, PAIR_ROWS):
+        more = bounded(small_tile_pairs(small), sets).union(large_tile_pairs(large, members, sets))
+        more = written(more.distinct(), "join-crossing")
     if not more.isEmpty():
-        labels = components(first.union(same).union(written(verified(docs, more), "join-links")))
+        labels = components(first.union(same).union(verified(docs, more)))
     found = rows.join(owners, "sig", "left").join(labels.withColumnRenamed("doc_id", "_d"), F.coalesce("rep", "doc_id") == F.col("_d"), "left")
     top = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("rep")), "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"))

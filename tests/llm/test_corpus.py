@@ -102,6 +102,46 @@ def test_ngram_join(spark, which, hot):
     assert all(r["component_id"] is None for r in rows if r["doc_id"] is None)
 
 
+@pytest.mark.parametrize("tile, block, keys", [(2, 3, 1), (2, 1000, 1), (1000, 3, 1_000_000)])
+def test_ngram_join_on_either_side_of_its_switches(spark, monkeypatch, tile, block, keys):
+    """Near copies whose tiles meet by the join, in one block and in many; documents picked by a broadcast and by a join."""
+    monkeypatch.setattr(ngram_join, "SMALL_TILE", tile)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", keys)
+    crossed, large = [], ngram_join.large_tile_pairs
+    monkeypatch.setattr(ngram_join, "large_tile_pairs", lambda rows, *rest: crossed.append(rows.count()) or large(rows, *rest))
+    # Families of texts that are far from the original, so that links between its copies matter.
+    family = [near(n, e, 100 * n + 10 * e + k) for n in (60, 80, 100) for e in (0, 3, 4, 5) for k in range(9)]
+    df = spark.createDataFrame(list(enumerate(family)), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_near(df).collect()} == plain.near_components(pairs(df))
+    assert (crossed[0] > 0) == (tile == 2)
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    texts = [LONG, "a b c d e f g h i j k l m n o p", "", "x" * 300 + " y z", "  lead and trail  "]
+    whole = common.shingle_sets(texts), common.word_hashes(texts)
+    monkeypatch.setattr(common, "LONG_TEXT", 10)
+    monkeypatch.setattr(common.cuts, "__defaults__", (10,))
+    parts, owner = common.cut_texts(texts)
+    assert len(parts) > 1000 and ["".join(p for p, o in zip(parts, owner) if o == i) for i in range(len(texts))] == texts
+    again = common.shingle_sets(texts), common.word_hashes(texts)
+    assert all((x == y).all() for a, b in zip(whole, again) for x, y in zip(a, b))
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_path(Session(), "x")
+
+
 def test_ngram_join_of_an_id_with_two_texts(spark):
     df = spark.createDataFrame([(5, BASE), (5, LONG), (3, BASE), (9, LONG), (7, "alone here")], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.join_near(df).collect()} == {5: 3, 3: 3, 9: 3, 7: 7}
