@@ -52,7 +52,7 @@ def ratio_splits(figures: DataFrame, ratios: dict[str, float], seed: int = 42) -
     """
     counts = ratio_counts(figures.count(), ratios)
     hashed = figures.withColumn("_h", F.sha1(F.encode(F.concat(F.lit(f"{seed}{SEPARATOR}"), "figure_id"), "UTF-8")))
-    hashed = hashed.withColumn("_range", F.substring("_h", 1, 2))
+    hashed = hashed.withColumn("_range", F.substring("_h", 1, 3))
     totals = hashed.groupBy("_range").count()
     before = totals.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
     ranked = hashed.join(before, "_range").withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_h", "figure_id")))

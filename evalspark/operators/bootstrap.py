@@ -2,7 +2,7 @@
 
 A replicate draws as many groups as there are, with replacement. Draw j of replicate b is the group
 whose place is hash(seed, b, j) modulo the number of groups, so a draw can be repeated anywhere. The
-weights table (b, place, w) has how often each group was drawn; joined to rows aggregated by group
+weights table (b, place, w) has how often each group was drawn, and is counted from draws that Spark spreads over all tasks; joined to rows aggregated by group
 it gives any statistic of weighted rows, grouped by b.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 
 def group_places(rows: DataFrame, group: str) -> DataFrame:
-    """group, place: its place from 0 in sorted order, counted in hash ranges so no window holds all groups."""
-    groups = rows.select(group).distinct().withColumn("_h", F.sha1(F.col(group).cast("string").cast("binary"))).withColumn("_r", F.substring("_h", 1, 2))
+    """group, place: its place from 0 in hash order, counted in 4,096 hash ranges so no window holds all groups."""
+    groups = rows.select(group).distinct().withColumn("_h", F.sha1(F.col(group).cast("string").cast("binary"))).withColumn("_r", F.substring("_h", 1, 3))
     before = groups.groupBy("_r").count().select("_r", (F.sum("count").over(Window.orderBy("_r")) - F.col("count")).alias("_b"))
     place = F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy("_h")) - 1
     return groups.join(before, "_r").select(group, place.cast("long").alias("place"))
@@ -22,11 +22,10 @@ def group_places(rows: DataFrame, group: str) -> DataFrame:
 
 def weights(places: DataFrame, group: str, draws: int, seed: int = 42) -> DataFrame:
     """group, b, w for draws replicates."""
-    n = places.agg(F.count("*").alias("_n"))
-    spark = places.sparkSession
-    each = spark.range(draws).withColumnRenamed("id", "b").crossJoin(n).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    n = places.count()
+    each = places.sparkSession.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.expr(f"id % {max(n, 1)}").alias("j"))
     text = F.concat_ws("/", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))
-    drawn = F.conv(F.substring(F.sha1(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("_n")
+    drawn = F.conv(F.substring(F.sha1(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
     counts = each.select("b", drawn.alias("place")).groupBy("b", "place").agg(F.count("*").alias("w"))
     return counts.join(places, "place").select(group, "b", "w")
 
@@ -66,16 +65,15 @@ def weighted_auroc(rows: DataFrame, group: str, score: str, label: Column, draws
 
 def weighted_aurc(rows: DataFrame, group: str, ok: str, conf: str, draws: int, keys: list[str] | None = None, seed: int = 42) -> DataFrame:
     """b, keys, value: the AURC of each replicate, a tied group's risks summed at once from its counts."""
-    from evalspark.operators.metrics import prefix_sums
+    from evalspark.operators.metrics import prefix_sums, tied_area
 
     keys = keys or []
     cells = rows.groupBy(group, *keys, conf).agg(F.count("*").alias("g0"), F.count_if(~F.col(ok)).alias("e0"))
     drawn = cells.join(weights(group_places(rows, group), group, draws, seed), group)
     groups = drawn.groupBy("b", *keys, conf).agg(F.sum(F.col("g0") * F.col("w")).alias("g"), F.sum(F.col("e0") * F.col("w")).alias("e"))
     placed = prefix_sums(groups, ["b", *keys], conf, ["g", "e"], descending=True)
-    steps = F.transform(F.sequence(F.lit(1).cast("long"), F.col("g")), lambda i: (F.col("before_e") + i * F.col("e") / F.col("g")) / (F.col("before_g") + i))
-    area = F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
-    return placed.withColumn("_area", area).groupBy("b", *keys).agg((F.sum("_area") / F.sum("g")).alias("value"))
+    area = tied_area(F.col("before_g"), F.col("before_e"), F.col("g"), F.col("e"))
+    return placed.groupBy("b", *keys).agg((F.sum(area) / F.sum("g")).alias("value"))
 
 
 def flip_stability(outcomes: DataFrame, group: str, draws: int, seed: int = 42) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import text as X
+from evalspark.operators.bootstrap import group_places
 
 # Gridlines of the three tick densities.
 TICK_COUNTS = {"sparse": 6, "medium": 11, "dense": 21}
@@ -85,11 +86,46 @@ def neighbours(points: DataFrame) -> DataFrame:
 
 
 def absent_names(points: DataFrame, names: DataFrame, seed: int = 42) -> DataFrame:
-    """figure_id, absent: of a vocabulary's names that a figure doesn't show, the first by hash. names is a short fixed list."""
-    every = points.select("figure_id").distinct().crossJoin(F.broadcast(names.limit(10_000).select("name")))
-    free = every.join(points.select("figure_id", F.col("category").alias("name")), ["figure_id", "name"], "left_anti")
-    h = F.sha1(F.concat_ws("/", F.lit(str(seed)), "figure_id", "name").cast("binary"))
-    return free.groupBy("figure_id").agg(F.min_by("name", F.struct(h, "name")).alias("absent"))
+    """figure_id, absent: a name of the vocabulary that the figure doesn't show.
+
+    The names stand in a circle in hash order. A figure starts at a place that its own hash gives and takes the
+    first name that it doesn't show; that is among as many as it shows and one, so only these are looked up. A figure
+    that shows all names has none and is left out.
+    """
+    places = group_places(names.select("name"), "name")
+    size = places.count()
+    if not size:
+        return points.select("figure_id", F.lit(None).cast("string").alias("absent")).limit(0)
+    shown = points.groupBy("figure_id").agg(F.countDistinct("category").alias("_k"))
+    first = F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}/"), F.col("figure_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    tried = shown.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_k", F.lit(size - 1)))))
+    tried = tried.select("figure_id", "_i", ((first + F.col("_i")) % size).alias("place")).join(places, "place")
+    free = tried.join(points.select("figure_id", F.col("category").alias("name")).distinct(), ["figure_id", "name"], "left_anti")
+    return free.groupBy("figure_id").agg(F.min_by("name", "_i").alias("absent"))
+
+
+def lookalikes(points: DataFrame, names: DataFrame, seed: int = 42) -> DataFrame:
+    """figure_id, lookalike_of, absent: a name (name, like) that the figure doesn't show, but shows the one that it looks like; the first pair by hash."""
+    near = points.select("figure_id", F.col("category").alias("lookalike_of")).join(names.select(F.col("like").alias("lookalike_of"), "name"), "lookalike_of")
+    free = near.join(points.select("figure_id", F.col("category").alias("name")), ["figure_id", "name"], "left_anti")
+    h = F.sha1(F.concat_ws("/", F.lit(str(seed)), F.col("figure_id").cast("string"), "lookalike_of", "name").cast("binary"))
+    best = free.groupBy("figure_id").agg(F.min(F.struct(h.alias("h"), "lookalike_of", "name")).alias("b"))
+    return best.select("figure_id", "b.lookalike_of", F.col("b.name").alias("absent"))
+
+
+def path_questions(graphs: DataFrame) -> DataFrame:
+    """figure_id, template, question, gold of node-link figures (path_nodes, edges): the steps of the path, what follows its first node, a node that isn't there."""
+    nodes = F.array_distinct(F.flatten("edges"))
+    letters = F.array(*[F.lit(chr(65 + i)) for i in range(26)])
+    absent = F.get(F.array_except(letters, F.array_union(nodes, F.col("path_nodes"))), F.lit(0))
+    first, second, last = F.get("path_nodes", F.lit(0)), F.get("path_nodes", F.lit(1)), F.element_at("path_nodes", -1)
+    made = [
+        ("path_length", F.concat(F.lit("How many steps lead from "), first, F.lit(" to "), last, F.lit("?")), (F.size("path_nodes") - 1).cast("string")),
+        ("successor", F.concat(F.lit("Which node follows "), first, F.lit("?")), second),
+        ("absent_node", F.concat(F.lit("Which node follows "), absent, F.lit("?")), F.lit("not shown")),
+    ]
+    cells = F.array(*[F.struct(F.lit(t).alias("template"), q.alias("question"), g.alias("gold")) for t, q, g in made])
+    return graphs.where(F.size("path_nodes") > 1).select("figure_id", F.inline(cells)).where("question is not null and gold is not null")
 
 
 def pooled(tokens: DataFrame) -> DataFrame:

@@ -25,8 +25,15 @@ def last_labels(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFra
     return best.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def kappa_of_cells(cells: DataFrame, keys: list[str], a: str, b: str, n: str = "n") -> DataFrame:
-    """keys, n, agreement, kappa from a confusion table; kappa is 1 for full agreement by chance alone, else rounded to 4."""
+def kappa_of_cells(cells: DataFrame, keys: list[str], a: str, b: str, n: str = "n", labels: Iterable[str] | None = None) -> DataFrame:
+    """keys, n, agreement, kappa from a confusion table; kappa is 1 for full agreement by chance alone, else rounded to 4.
+
+    With labels, a cell of another label is an error.
+    """
+    if labels is not None:
+        known = F.col(a).isin(*labels) & F.col(b).isin(*labels)
+        wrong = F.raise_error(F.concat(F.lit("a label is none of the categories: "), F.concat_ws(" or ", a, b)))
+        cells = cells.withColumn(a, F.when(F.coalesce(known, F.lit(False)), F.col(a)).otherwise(wrong.cast("string")))
     total = cells.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col(n)).otherwise(0)).alias("same"))
     left = cells.groupBy(*keys, F.col(a).alias("_l")).agg(F.sum(n).alias("_a"))
     right = cells.groupBy(*keys, F.col(b).alias("_l")).agg(F.sum(n).alias("_b"))
@@ -147,11 +154,17 @@ def hash_order(seed: int, item: str = "item_id") -> Column:
 
 
 def stratified_sample(errors: DataFrame, n: int, floor: int, seed: int = 42) -> DataFrame:
-    """errors (model, label, item_id): n of each model, allocated to labels; those first in hash order."""
-    counts = errors.groupBy("model", "label").agg(F.count("*").alias("k"))
-    takes = allocate(counts, n, floor, ["model"]).drop("k")
-    rank = F.row_number().over(Window.partitionBy("model", "label").orderBy(hash_order(seed), "item_id"))
-    return errors.withColumn("_rank", rank).join(takes, ["model", "label"]).where("_rank <= take").drop("_rank", "take")
+    """errors (model, label, item_id): n of each model, allocated to labels; those first in hash order.
+
+    Of a label's 4,096 hash ranges only those that the sample reaches into are ranked, each by itself.
+    """
+    strata, ranged = ["model", "label"], errors.withColumn("_h", hash_order(seed)).withColumn("_r", F.substring("_h", 1, 3))
+    counts = ranged.groupBy(*strata, "_r").agg(F.count("*").alias("k"))
+    takes = allocate(counts.groupBy(*strata).agg(F.sum("k").alias("k")), n, floor, ["model"]).drop("k")
+    ahead = F.coalesce(F.sum("k").over(Window.partitionBy(*strata).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = counts.withColumn("_before", ahead).join(takes, strata).where("_before < take").drop("k")
+    rank = F.row_number().over(Window.partitionBy(*strata, "_r").orderBy("_h", "item_id"))
+    return ranged.join(F.broadcast(reached), [*strata, "_r"]).withColumn("_rank", rank + F.col("_before")).where("_rank <= take").select(*errors.columns)
 
 
 def blind_pool(answers: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +195,7 @@ def water_fill(loads: dict[str, int], n: int) -> dict[str, int]:
 def assign(pool: DataFrame, annotators: list[str], overlap: int, seed: int = 42) -> DataFrame:
     """annotator, item_id: the first overlap items in hash order to two annotators each, the rest to the least loaded."""
     pairs = list(combinations(annotators, 2))
-    ranges = pool.withColumn("_h", hash_order(seed)).withColumn("_r", F.substring("_h", 1, 2))
+    ranges = pool.withColumn("_h", hash_order(seed)).withColumn("_r", F.substring("_h", 1, 3))
     totals = ranges.groupBy("_r").count()
     before = totals.select("_r", (F.sum("count").over(Window.orderBy("_r")) - F.col("count")).alias("_b"))
     ranked = ranges.join(before, "_r").withColumn("_n", F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy("_h", "item_id")) - 1)
@@ -203,8 +216,8 @@ def assign(pool: DataFrame, annotators: list[str], overlap: int, seed: int = 42)
 
 
 def batches(pool: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """pool with batch numbers from 1, of size items each, in hash order within 256 hash ranges laid end to end."""
-    ranges = pool.withColumn("_h", hash_order(seed)).withColumn("_r", F.substring("_h", 1, 2))
+    """pool with batch numbers from 1, of size items each, in hash order within 4,096 hash ranges laid end to end."""
+    ranges = pool.withColumn("_h", hash_order(seed)).withColumn("_r", F.substring("_h", 1, 3))
     before = ranges.groupBy("_r").count().select("_r", (F.sum("count").over(Window.orderBy("_r")) - F.col("count")).alias("_b"))
     place = F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy("_h", "item_id")) - 1
     return ranges.join(before, "_r").withColumn("batch", (F.floor(place / size) + 1).cast("long")).drop("_h", "_r", "_b")

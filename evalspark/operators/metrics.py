@@ -1,7 +1,8 @@
 """Ranking and calibration statistics over score tables.
 
 Running sums over all scores are taken in two steps: within score ranges cut by approximate
-quantiles, then over the ranges' totals. No window holds more than a range.
+quantiles, then over the ranges' totals. No window holds more than a range. Rows with one confidence are one row of
+counts; what their risks sum to has a closed form, so that a tie of any size costs no more.
 """
 
 from __future__ import annotations
@@ -9,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Score ranges: COARSE of COARSE each, so that a score finds its range among two short lists.
+COARSE = 64
+RANGES = COARSE * COARSE
+#: Rows of a curve that are made at once.
+CURVE_STEP = 4096
 
 
 def prefix_sums(rows: DataFrame, keys: list[str], order: str, sums: list[str], ranges: int = RANGES, descending: bool = False) -> DataFrame:
@@ -17,8 +22,12 @@ def prefix_sums(rows: DataFrame, keys: list[str], order: str, sums: list[str], r
 
     rows must have one row for each key and order value.
     """
-    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)]), 10000).alias("_cuts"))
-    cut = rows.crossJoin(cuts).withColumn("_range", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(order)))).drop("_cuts")
+    cuts = rows.agg(F.array_distinct(F.percentile_approx(order, F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)]), 10000)).alias("_cuts"))
+    marks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / COARSE).cast("int")), lambda i: F.get("_cuts", i * COARSE))
+    cuts = cuts.select("_cuts", F.when(F.size("_cuts") > 0, marks).otherwise(F.col("_cuts")).alias("_marks"))
+    cut = rows.crossJoin(F.broadcast(cuts)).withColumn("_coarse", F.greatest(F.lit(0), F.size(F.filter("_marks", lambda c: c < F.col(order))) - 1) * COARSE)
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_coarse") + 1, F.lit(COARSE)), lambda c: c < F.col(order)))
+    cut = cut.withColumn("_range", F.col("_coarse") + fine).drop("_cuts", "_marks", "_coarse")
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     within = Window.partitionBy(*keys, "_range").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy(*keys).orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,23 +67,54 @@ def calibration(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     return each.agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / n).alias("ece"), (F.sum("sq") / n).alias("brier"), (F.sum("sp") / n).alias("mean_p"), (F.sum("sy") / n).alias("base_rate"))
 
 
-def risk_coverage(rows: DataFrame, ok: str, conf: str, keys: list[str] | None = None) -> DataFrame:
-    """keys, k, n, risk: expected error rate of the k most confident rows; ties share their errors evenly."""
+def harmonic_difference(low: Column, g: Column) -> Column:
+    """1 / (low + 1) + ... + 1 / (low + g)."""
+    small = [sum(1.0 / i for i in range(1, n + 1)) for n in range(COARSE + 1)]
+
+    def rest(n: Column) -> Column:
+        return 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * n * n * n * n)
+
+    def whole(n: Column) -> Column:
+        x = n.cast("double")
+        return F.when(n <= COARSE, F.get(F.array(*map(F.lit, small)), F.least(n, F.lit(COARSE)).cast("int"))).otherwise(F.log(x) + 0.5772156649015329 + rest(x))
+
+    a, b = low.cast("double"), (low + g).cast("double")
+    return F.when(low <= COARSE, whole(low + g) - whole(low)).otherwise(F.log1p(g / a) + rest(b) - rest(a))
+
+
+def tied_area(before_g: Column, before_e: Column, g: Column, e: Column) -> Column:
+    """The sum of the risks of a tie of g rows with e errors after before_g rows with before_e errors."""
+    return e + (before_e - before_g * e / g) * harmonic_difference(before_g, g)
+
+
+def stretches(rows: DataFrame, ok: str, conf: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, conf, g, e, before_g, before_e, n: rows and errors of each confidence, and of the higher ones."""
     keys = keys or []
     groups = rows.groupBy(*keys, conf).agg(F.count("*").alias("g"), F.sum(F.when(F.col(ok), 0).otherwise(1)).alias("e"))
     placed = prefix_sums(groups, keys, conf, ["g", "e"], descending=True)
-    total = rows.groupBy(*keys).agg(F.count("*").alias("n")) if keys else rows.agg(F.count("*").alias("n"))
-    placed = placed.join(total, keys) if keys else placed.crossJoin(total)
-    steps = placed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("g"))))
-    k = F.col("before_g") + F.col("_i")
-    return steps.select(*keys, k.alias("k"), "n", ((F.col("before_e") + F.col("_i") * F.col("e") / F.col("g")) / k).alias("risk"))
+    total = groups.groupBy(*keys).agg(F.sum("g").alias("n")) if keys else groups.agg(F.sum("g").alias("n"))
+    return placed.join(total, keys) if keys else placed.crossJoin(total)
+
+
+def _risk_at(k: Column) -> Column:
+    return (F.col("before_e") + (k - F.col("before_g")) * F.col("e") / F.col("g")) / k
+
+
+def risk_coverage(rows: DataFrame, ok: str, conf: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, k, n, risk: expected error rate of the k most confident rows; ties share their errors evenly. One row a k, made a few thousand at a time."""
+    steps = stretches(rows, ok, conf, keys).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1, F.lit(CURVE_STEP).cast("long"))))
+    steps = steps.withColumn("_k", F.explode(F.sequence(F.col("_i") + 1, F.least(F.col("_i") + CURVE_STEP, F.col("g")))))
+    k = F.col("before_g") + F.col("_k")
+    return steps.select(*(keys or []), k.alias("k"), "n", _risk_at(k).alias("risk"))
 
 
-def aurc(curve: DataFrame, keys: list[str] | None = None, coverages: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) -> DataFrame:
-    """keys, n, aurc and risk_100, risk_90 ...: the mean risk and the risk at each coverage."""
+def aurc(placed: DataFrame, keys: list[str] | None = None, coverages: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) -> DataFrame:
+    """keys, n, aurc and risk_100, risk_90 ...: the mean risk and the risk at each coverage, from stretches."""
     at = lambda c: F.greatest(F.lit(1.0), F.rint(F.lit(c) * F.col("n")))
-    picks = [F.max(F.when(F.col("k") == at(c), F.col("risk"))).alias(f"risk_{round(100 * c)}") for c in coverages]
-    return curve.groupBy(*(keys or [])).agg(F.max("n").alias("n"), F.avg("risk").alias("aurc"), *picks)
+    within = lambda k: (k > F.col("before_g")) & (k <= F.col("before_g") + F.col("g"))
+    picks = [F.max(F.when(within(at(c)), _risk_at(at(c)))).alias(f"risk_{round(100 * c)}") for c in coverages]
+    area = F.sum(tied_area(F.col("before_g"), F.col("before_e"), F.col("g"), F.col("e"))) / F.sum("g")
+    return placed.groupBy(*(keys or [])).agg(F.max("n").alias("n"), area.alias("aurc"), *picks)
 
 
 def summary(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.operators.metrics import aurc, risk_coverage
+from evalspark.operators.metrics import aurc, stretches
 from evalspark.operators.outcomes import BASELINE, REPAIRS
 
 POLICIES = ("plain", "binary", "missing", "controller", "relook_binary", "oracle")
@@ -72,6 +72,6 @@ def policies(items: DataFrame) -> DataFrame:
 def evaluate(items: DataFrame) -> DataFrame:
     """policy, n, aurc, risk at the coverages, accuracy."""
     rows = policies(items)
-    curve = risk_coverage(rows, "ok", "conf", ["policy"])
+    placed = stretches(rows, "ok", "conf", ["policy"])
     right = rows.groupBy("policy").agg(F.avg(F.col("ok").cast("int")).alias("accuracy"))
-    return aurc(curve, ["policy"]).join(right, "policy")
+    return aurc(placed, ["policy"]).join(right, "policy")

@@ -198,15 +198,39 @@ def right_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.neighbours(S.points(spark, sf_dir))
 
 
-@query(f"""WITH {S.POINTS}, n AS (SELECT DISTINCT p_type || ' ' || m AS name FROM part, (SELECT unnest(['A', 'B']) AS m) UNION SELECT DISTINCT p_type FROM part),
-  f AS (SELECT * FROM (SELECT DISTINCT figure_id FROM points), n), x AS (SELECT f.*, sha1('42/' || figure_id || '/' || name) AS h FROM f WHERE NOT exists (SELECT 1 FROM points p WHERE p.figure_id = f.figure_id AND p.category = f.name)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY figure_id ORDER BY h, name) AS k FROM x) SELECT figure_id, name AS absent FROM r WHERE k = 1""")
+@query(f"""WITH {S.POINTS}, n AS (SELECT name, row_number() OVER (ORDER BY sha1(name)) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT p_type || ' ' || m AS name FROM part, (SELECT unnest(['A', 'B']) AS m) UNION SELECT DISTINCT p_type FROM part)),
+  f AS (SELECT figure_id, ('0x' || substr(sha1('42/' || figure_id), 1, 8))::bigint AS h FROM (SELECT DISTINCT figure_id FROM points)),
+  x AS (SELECT figure_id, name, (place - h % size + size) % size AS i FROM f, n WHERE NOT exists (SELECT 1 FROM points p WHERE p.figure_id = f.figure_id AND p.category = n.name))
+  SELECT figure_id, min_by(name, i) AS absent FROM x GROUP BY 1""")
 def absent_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = S.read(spark, sf_dir, "part").select("p_type").distinct()
     names = kinds.select(F.explode(F.array(F.col("p_type"), F.concat("p_type", F.lit(" A")), F.concat("p_type", F.lit(" B")))).alias("name"))
     return features.absent_names(S.points(spark, sf_dir), names)
 
 
+@query(f"""WITH {S.POINTS}, n AS (SELECT DISTINCT p_type AS "like", p_type || ' ' || m AS name FROM part, (SELECT unnest(['A', 'B']) AS m) UNION SELECT DISTINCT p_type, upper(p_type) || '' FROM part),
+  x AS (SELECT figure_id, category AS lookalike_of, name, sha1('42/' || figure_id || '/' || category || '/' || name) AS h FROM points JOIN n ON n."like" = category WHERE NOT exists (SELECT 1 FROM points p WHERE p.figure_id = points.figure_id AND p.category = n.name)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY figure_id ORDER BY h, lookalike_of, name) AS k FROM x) SELECT figure_id, lookalike_of, name AS absent FROM r WHERE k = 1""")
+def lookalike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = S.read(spark, sf_dir, "part").select(F.col("p_type").alias("like")).distinct()
+    names = kinds.select("like", F.explode(F.array(F.upper("like"), F.concat("like", F.lit(" A")), F.concat("like", F.lit(" B")))).alias("name"))
+    return features.lookalikes(S.points(spark, sf_dir), names)
+
+
+_GRAPHS = """graphs AS (SELECT l_orderkey AS figure_id, list(chr((65 + l_partkey % 20)::int) ORDER BY l_linenumber, l_partkey, l_suppkey) AS path, list(chr((65 + l_suppkey % 20)::int) ORDER BY l_linenumber, l_partkey, l_suppkey) AS others FROM lineitem GROUP BY 1)"""
+
+
+@query(f"""WITH {_GRAPHS}, g AS (SELECT *, (SELECT min(x) FROM (SELECT unnest([chr((65 + i)::int) FOR i IN range(26)]) AS x) WHERE NOT list_contains(path, x) AND NOT list_contains(others, x)) AS free FROM graphs WHERE len(path) > 1),
+  q AS (SELECT figure_id, unnest([{{'t': 'path_length', 'q': 'How many steps lead from ' || path[1] || ' to ' || path[-1] || '?', 'g': (len(path) - 1)::varchar}}, {{'t': 'successor', 'q': 'Which node follows ' || path[1] || '?', 'g': path[2]}}, {{'t': 'absent_node', 'q': 'Which node follows ' || free || '?', 'g': 'not shown'}}]) AS u FROM g)
+  SELECT figure_id, u.t AS template, u.q AS question, u.g AS gold FROM q""")
+def path_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about node-link figures whose path is a row of parts, each with an edge to its supplier."""
+    node = lambda c: F.char((65 + F.col(c) % 20).cast("long"))
+    cells = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", node("l_partkey").alias("a"), node("l_suppkey").alias("b"))))
+    rows = S.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("figure_id")).agg(cells.alias("c"))
+    return features.path_questions(rows.select("figure_id", F.transform("c", lambda x: x["a"]).alias("path_nodes"), F.transform("c", lambda x: F.array(x["a"], x["b"])).alias("edges")))
+
+
 @query(f"""WITH {S.POINTS}, p AS (SELECT figure_id, value, (value - 0) / 10.0 AS r FROM points)
   SELECT figure_id, count(*) AS n, sum(floor(abs(r - round_even(r, 0)) * 1000 + 0.5)::bigint)::bigint AS grid_offsets, sum(floor(abs(value - 10 * round_even(value / 10.0, 0)) / greatest(value, 1) * 1000 + 0.5)::bigint)::bigint AS rel_ten_offsets FROM p GROUP BY 1""")
 def grid_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,9 +167,9 @@ def label_batch_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd
 
 
-@query(f"WITH {S.LABELLED} SELECT item_id FROM joined WHERE event_id % 2 = 0 AND label IS NULL")
+@query(f"WITH {S.LABELLED} SELECT item_id FROM joined WHERE label IS NULL")
 def correction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.check_corrections(S.answers(spark, sf_dir).where("event_id % 2 = 0"), S.labels(spark, sf_dir))
+    return quality.check_corrections(S.answers(spark, sf_dir), S.labels(spark, sf_dir))
 
 
 @query(f"""WITH {S.ITEMS} SELECT figure_id || '::' || question AS item_id, figure_id AS image_path, question, gold AS gold_answer, prediction AS model_answer FROM items""")
@@ -179,10 +179,10 @@ def annotation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kappa_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lo, hi of Cohen's kappa of two raters over 100 item bootstraps, from confusion cells per replicate."""
+    """lo, hi of Cohen's kappa of two raters over 2,000 item bootstraps, from confusion cells per replicate."""
     rows = S.ratings(spark, sf_dir)
     a = rows.where("rater = 'r0'").select("item_id", F.col("label").alias("a"))
     both = a.join(rows.where("rater = 'r1'").select("item_id", F.col("label").alias("b_label")), "item_id")
-    drawn = both.join(bootstrap.weights(bootstrap.group_places(both, "item_id"), "item_id", 100), "item_id")
+    drawn = both.join(bootstrap.weights(bootstrap.group_places(both, "item_id"), "item_id", 2000), "item_id")
     cells = drawn.groupBy("b", "a", "b_label").agg(F.sum("w").alias("n"))
     return bootstrap.order_statistics(L.kappa_of_cells(cells, ["b"], "a", "b_label"), "kappa")

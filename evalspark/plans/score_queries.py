@@ -30,6 +30,8 @@ def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.auroc(S.scores(spark, sf_dir), "score", F.col("y") == 1), "auroc")
 
 
+#: Draws of a report's intervals.
+DRAWS = 2000
 _EVENTS = "ev AS (SELECT event_type, floor(value)::bigint AS score, (user_id % 2)::bigint AS y FROM events)"
 
 
@@ -39,12 +41,12 @@ def auroc_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.auroc(rows, "score", F.col("y") == 1, ["event_type"]), "auroc")
 
 
-_LOOKALIKE = "ev AS (SELECT floor(value)::bigint AS score, (user_id % 2)::bigint AS y FROM events WHERE event_id % 2 = 0)"
+_LOOKALIKE = "ev AS (SELECT floor(value)::bigint AS score, (user_id % 2)::bigint AS y FROM events WHERE event_type IN ('view', 'click'))"
 
 
 @query(f"WITH {_LOOKALIKE}, {_auroc_sql('ev')}")
 def auroc_of_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.read(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.floor("value").alias("score"), (F.col("user_id") % 2).alias("y"))
+    rows = S.read(spark, sf_dir, "events").where("event_type in ('view', 'click')").select(F.floor("value").alias("score"), (F.col("user_id") % 2).alias("y"))
     return _rounded(metrics.auroc(rows, "score", F.col("y") == 1), "auroc")
 
 
@@ -76,7 +78,7 @@ def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S.SCORES}, {_CURVE} SELECT max(n) AS n, round(avg(risk), 6) AS aurc, " + ", ".join(f"round(max(risk) FILTER (k = greatest(1, round_even({c} * n, 0))), 6) AS risk_{round(100 * c)}" for c in (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) + " FROM curve")
 def aurc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.scores(spark, sf_dir).withColumn("ok", F.col("y") == 1)
-    got = metrics.aurc(metrics.risk_coverage(rows, "ok", "score"))
+    got = metrics.aurc(metrics.stretches(rows, "ok", "score"))
     return _rounded(got, *[c for c in got.columns if c != "n"])
 
 
@@ -91,7 +93,7 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DRAWS = """grp AS (SELECT DISTINCT figure_id FROM outcomes), plc AS (SELECT figure_id, row_number() OVER (ORDER BY sha1(figure_id::varchar)) - 1 AS place, count(*) OVER () AS n FROM grp),
-  drawn AS (SELECT b, ('0x' || substr(sha1('42/' || b || '/' || j), 1, 8))::bigint % n AS place FROM (SELECT max(n) AS n FROM plc), (SELECT unnest(range(40)) AS b), LATERAL (SELECT unnest(range(n)) AS j)),
+  drawn AS (SELECT b, ('0x' || substr(sha1('42/' || b || '/' || j), 1, 8))::bigint % n AS place FROM (SELECT max(n) AS n FROM plc), (SELECT unnest(range(2000)) AS b), LATERAL (SELECT unnest(range(n)) AS j)),
   wts AS (SELECT b, figure_id, count(*) AS w FROM drawn JOIN plc USING (place) GROUP BY 1, 2)"""
 
 
@@ -103,10 +105,10 @@ def _rate(kind: str, action: str) -> str:
 @query(f"""WITH {S.OUTCOMES}, {_DRAWS}, v AS (SELECT b, ({_rate('structural', 'I_crop')} - {_rate('structural', 'I_0')}) - ({_rate('fabrication', 'I_crop')} - {_rate('fabrication', 'I_0')}) AS v FROM outcomes JOIN wts USING (figure_id) GROUP BY b)
   SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, NOT (quantile_cont(v, 0.025) <= 0 AND quantile_cont(v, 0.975) >= 0) AS excludes_zero FROM v""")
 def did_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contrast's interval over 40 cluster draws, from cells per figure, action and type."""
+    """The contrast's interval over 2,000 cluster draws, from cells per figure, action and type."""
     rows = S.outcomes(spark, sf_dir)
     cells = rows.groupBy("figure_id", "failure_type", "intervention").agg(F.sum(F.col("recovered").cast("int")).alias("r"), F.count("*").alias("k"))
-    drawn = cells.join(bootstrap.weights(bootstrap.group_places(rows, "figure_id"), "figure_id", 40), "figure_id")
+    drawn = cells.join(bootstrap.weights(bootstrap.group_places(rows, "figure_id"), "figure_id", DRAWS), "figure_id")
     # A cell stands for k rows of which r recovered.
     rated = drawn.select("b", "failure_type", "intervention", (F.col("r") / F.col("k")).alias("recovered"), (F.col("w") * F.col("k")).alias("w"))
     values = rated.groupBy("b").agg(outcomes.did("I_crop").alias("value"))
@@ -116,15 +118,15 @@ def did_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {S.OUTCOMES}, {_DRAWS}, r AS (SELECT b, failure_type, intervention, sum(recovered::int * w) / sum(w) AS v FROM outcomes JOIN wts USING (figure_id) WHERE failure_type <> 'computation' GROUP BY 1, 2, 3),
   k AS (SELECT *, row_number() OVER (PARTITION BY b, failure_type ORDER BY v DESC, intervention DESC) AS n FROM r), x AS (SELECT b, count(DISTINCT intervention) AS d FROM k WHERE n = 1 GROUP BY 1)
-  SELECT count(*) FILTER (d = 2) / 40.0::double AS stability FROM x""")
+  SELECT count(*) FILTER (d = 2) / 2000.0::double AS stability FROM x""")
 def flip_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.flip_stability(S.outcomes(spark, sf_dir), "figure_id", 40)
+    return bootstrap.flip_stability(S.outcomes(spark, sf_dir), "figure_id", DRAWS)
 
 
 @query()
 def auroc_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the AUROC over 100 draws of figures."""
-    return bootstrap.interval(bootstrap.weighted_auroc(S.scores(spark, sf_dir), "figure_id", "score", F.col("y") == 1, 100), "value")
+    """Interval of the AUROC over 2,000 draws of figures."""
+    return bootstrap.interval(bootstrap.weighted_auroc(S.scores(spark, sf_dir), "figure_id", "score", F.col("y") == 1, DRAWS), "value")
 
 
 @query(f"""WITH {S.CONTROLLER}, u AS (SELECT cls, unnest(['I_0', 'I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS action, unnest([0, 1, 2, 3, 4]) AS ord, unnest([I_0, I_reask, I_upsample, I_crop, I_verify])::int AS ok FROM controller),
@@ -157,18 +159,18 @@ def policy_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """policy, aurc, its interval over 50 draws of figures, and the risks at the coverages, rounded for a report."""
+    """policy, aurc, its interval over 2,000 draws of figures, and the risks at the coverages, rounded for a report."""
     rows = policy.policies(S.controller_items(spark, sf_dir))
-    values = bootstrap.weighted_aurc(rows, "figure_id", "ok", "conf", 50, ["policy"])
+    values = bootstrap.weighted_aurc(rows, "figure_id", "ok", "conf", DRAWS, ["policy"])
     got = policy.evaluate(S.controller_items(spark, sf_dir)).join(bootstrap.interval(values, "value", ["policy"]), "policy")
     return got.select("policy", "n", *[F.round(c, 3).alias(c) for c in got.columns if c not in ("policy", "n")])
 
 
 @query()
 def ablation_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one, other, difference of AURC and its interval (lo, hi) over the same 50 draws for both policies."""
+    """one, other, difference of AURC and its interval (lo, hi) over the same 2,000 draws for both policies."""
     rows = policy.policies(S.controller_items(spark, sf_dir))
-    values = bootstrap.weighted_aurc(rows, "figure_id", "ok", "conf", 50, ["policy"])
+    values = bootstrap.weighted_aurc(rows, "figure_id", "ok", "conf", DRAWS, ["policy"])
     pairs = F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("other")) for a, b in (("controller", "missing"), ("controller", "binary"), ("relook_binary", "binary"))])
     whole = policy.evaluate(S.controller_items(spark, sf_dir)).select(F.lit(-1).cast("long").alias("b"), "policy", F.col("aurc").alias("value"))
 

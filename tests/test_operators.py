@@ -83,7 +83,7 @@ def test_risk_coverage(spark):
     curve = lambda conf: [r["risk"] for r in metrics.risk_coverage(rows(conf), "ok", "conf").orderBy("k").collect()]
     assert curve([0, 0, 0, 0]) == [0.5] * 4
     assert curve([2, 2, 1, 1]) == pytest.approx([0, 0, 1 / 3, 0.5])
-    got = one(metrics.aurc(metrics.risk_coverage(rows([2, 2, 1, 1]), "ok", "conf")))
+    got = one(metrics.aurc(metrics.stretches(rows([2, 2, 1, 1]), "ok", "conf")))
     assert (got["aurc"], got["risk_50"], got["risk_100"]) == (pytest.approx(5 / 24), 0.0, 0.5)
 
 
