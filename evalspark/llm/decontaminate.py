@@ -25,6 +25,8 @@ reported. Long texts are cut into segments of SEGMENT words for the windows. Emp
 
 from __future__ import annotations
 
+import functools
+import math
 import string
 from collections.abc import Callable
 
@@ -40,7 +42,7 @@ BITS, RADIUS = LANES * WIDTH, 3
 _LANE = sum(1 << (WIDTH * i) for i in range(LANES))
 _BLOCK_BITS = BITS // (RADIUS + 1)
 #: Window sizes in words, beside whole texts of less than SHINGLE words. SEGMENT is a multiple of all their strides.
-SIZES, SEGMENT = (4, 8, 12, 16), 4032
+SIZES, SEGMENT = (4, 8, 16), 4096
 #: Item windows up to this many are sent to all tasks, more are met by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -114,24 +116,22 @@ def windows(text: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
     # Single entries are read, as a slice would copy the whole array.
     last = F.least(F.size("words"), (F.col("_part") + 1) * SEGMENT + max(SIZES)) - 1
     cut = cut.select(*keep, "_part", F.transform(F.sequence(F.col("_part") * SEGMENT, last), lambda i: F.xxhash64(F.get("words", i))).alias("_hashes"))
-    pair = lambda k: lambda i: votes(F.get("_hashes", 2 * i), k) + votes(F.get("_hashes", 2 * i + 1), k)
-    pairs = F.sequence(F.lit(0), F.floor(F.size("_hashes") / 2).cast("int") - 1)
+    # Votes are summed by as many words as all strides are multiples of, windows from these sums.
+    unit = math.gcd(*map(stride, sizes)) or 1
+
+    def summed(k: int) -> Callable[[Column], Column]:
+        return lambda i: functools.reduce(lambda x, y: x + y, [votes(F.get("_hashes", unit * i + j), k) for j in range(unit)])
+
+    units = F.when(F.size("_hashes") >= max(unit, SHINGLE), F.sequence(F.lit(0), F.floor(F.size("_hashes") / unit).cast("int") - 1))
     short = F.when((F.size("_hashes") < SHINGLE) & (F.col("_part") == 0), F.array(run_print(F.col("_hashes"))))
-    cut = cut.select(*keep, "_part", F.size("_hashes").alias("_n"), short.alias("_short"), *[F.when(F.size("_hashes") >= SHINGLE, F.transform(pairs, pair(k))).alias(f"_pairs{k}") for k in range(WIDTH)])
+    cut = cut.select(*keep, "_part", F.size("_hashes").alias("_n"), short.alias("_short"), *[F.transform(units, summed(k)).alias(f"_sums{k}") for k in range(WIDTH)])
 
     def prints(size: int) -> Column:
-        step, half = stride(size), size // 2
+        step = stride(size)
         starts = F.sequence(F.lit(0), F.floor((F.least(F.col("_n") - size, F.lit(SEGMENT - step))) / step).cast("int"))
 
         def one(i: Column) -> Column:
-            sums = []
-            for k in range(WIDTH):
-                first = i * (step // 2)
-                total = F.get(f"_pairs{k}", first)
-                for j in range(1, half):
-                    total = total + F.get(f"_pairs{k}", first + j)
-                sums.append(total)
-            return fingerprint(sums, F.lit(size))
+            return fingerprint([functools.reduce(lambda x, y: x + y, [F.get(f"_sums{k}", i * (step // unit) + j) for j in range(size // unit)]) for k in range(WIDTH)], F.lit(size))
 
         return F.struct(F.lit(size).alias("size"), F.lit(step).alias("_step"), F.when((F.col("_n") >= size) & (F.col("_n") >= SHINGLE), F.transform(starts, one)).alias("_prints"))
 
