@@ -87,10 +87,16 @@ def split_stats(items: DataFrame) -> DataFrame:
 
 
 def run_summary(scored: DataFrame) -> DataFrame:
-    """kind, name, n, n_correct: overall, by source, by template and answerable only, by grouping sets in one pass."""
+    """kind, name, n, n_correct, error_rate: overall, by source, by template and answerable only, by grouping sets in one pass."""
     base = scored.select(F.col("source"), F.col("template"), F.col("absent"), F.col("correct").cast("int").alias("c"))
     kinds = F.inline(F.array(F.struct(F.lit("overall").alias("kind"), F.lit("all").alias("name")), F.struct(F.lit("source").alias("kind"), F.col("source").alias("name")), F.struct(F.lit("template").alias("kind"), F.col("template").alias("name")), F.struct(F.lit("answerable").alias("kind"), F.when(~F.col("absent"), "all").alias("name"))))
-    return base.select("c", kinds).where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("n"), F.sum("c").alias("n_correct"))
+    got = base.select("c", kinds).where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("n"), F.sum("c").alias("n_correct"))
+    return got.withColumn("error_rate", F.round(1.0 - F.col("n_correct") / F.col("n"), 4))
+
+
+def absent_outcomes(scored: DataFrame) -> DataFrame:
+    """template, outcome, n of questions about what isn't there."""
+    return scored.where("absent").groupBy("template", "outcome").agg(F.count("*").alias("n"))
 
 
 def vision_tokens(answers: DataFrame, low: int, high: int) -> DataFrame:
@@ -156,3 +162,8 @@ def pilot_outcomes(answers: DataFrame, figures: DataFrame, tolerance: float = X.
     copies = F.exists("values", lambda v: X.within(v.cast("double"), F.col("p"), tolerance))
     near = X.within(F.col("extrapolated"), F.col("p"), tolerance)
     return joined.groupBy("direction").agg(F.count("*").alias("n"), F.count_if(made_up).alias("fabricated"), F.count_if(made_up & copies).alias("copies_bar"), F.count_if(made_up & near).alias("near_line"))
+
+
+def ranked(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows in an order: each task keeps its n, and one task those of all."""
+    return rows.orderBy(*order).limit(n)

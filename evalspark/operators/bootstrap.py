@@ -50,17 +50,27 @@ def order_statistics(values: DataFrame, value: str, keys: list[str] | None = Non
     return got.select(*(keys or []), at(F.floor(n * (alpha / 2)) + 1).alias("lo"), at(F.floor(n * (1 - alpha / 2))).alias("hi"))
 
 
-def weighted_auroc(rows: DataFrame, group: str, score: str, label: Column, draws: int, seed: int = 42) -> DataFrame:
-    """b, value: the AUROC of each replicate from counts per group and score."""
+def weighted_auroc(rows: DataFrame, group: str, score: str, label: Column, draws: int, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """b, keys, value: the AUROC of each replicate from counts per group and score, the same draws for all keys."""
     from evalspark.operators.metrics import prefix_sums
 
-    y = label.cast("int")
-    cells = rows.groupBy(group, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
+    keys, y = keys or [], label.cast("int")
+    cells = rows.where(y.isNotNull() & F.col(score).isNotNull()).groupBy(group, *keys, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
     drawn = cells.join(weights(group_places(rows, group), group, draws, seed), group)
-    groups = drawn.groupBy("b", score).agg(F.sum(F.col("p") * F.col("w")).alias("pos"), F.sum(F.col("q") * F.col("w")).alias("neg"))
-    placed = prefix_sums(groups, ["b"], score, ["neg"])
+    groups = drawn.groupBy("b", *keys, score).agg(F.sum(F.col("p") * F.col("w")).alias("pos"), F.sum(F.col("q") * F.col("w")).alias("neg"))
+    placed = prefix_sums(groups, ["b", *keys], score, ["neg"])
     twice = F.sum(F.col("pos") * (2 * F.col("before_neg") + F.col("neg")))
-    return placed.groupBy("b").agg((twice / F.nullif(2.0 * F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("value"))
+    return placed.groupBy("b", *keys).agg((twice / F.nullif(2.0 * F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("value"))
+
+
+def auroc_interval(rows: DataFrame, group: str, score: str, label: Column, draws: int, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """keys, n_pos, n_neg, auroc and its interval lo, hi over draws of groups."""
+    from evalspark.operators.metrics import auroc
+
+    keys = keys or []
+    span = interval(weighted_auroc(rows, group, score, label, draws, seed, keys), "value", keys)
+    whole = auroc(rows, score, label, keys)
+    return whole.join(span, keys, "left") if keys else whole.crossJoin(span)
 
 
 def weighted_aurc(rows: DataFrame, group: str, ok: str, conf: str, draws: int, keys: list[str] | None = None, seed: int = 42) -> DataFrame:

@@ -168,24 +168,27 @@ def standardised(rows: DataFrame, columns: list[str], fit: Column, keys: list[st
     return joined.select(*[z(c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def residualised(rows: DataFrame, vec: str, surface: list[str], fit: Column) -> DataFrame:
-    """rows with vec less its least-squares prediction from the surface columns, fitted where fit.
+def surface_planes(rows: DataFrame, vec: str, surface: list[str]) -> np.ndarray:
+    """The least-squares planes (intercept first) that predict vec from the surface columns.
 
     The normal equations are sums: (k + 1)² products of surface columns, and k + 1 for each dimension
     of vec. They are as small as a row, whatever the number of rows, and solved on the driver.
     """
     base = [F.lit(1.0), *[F.col(c).cast("double") for c in surface]]
     k = len(base)
-    kept = rows.where(fit)
-    gram = kept.agg(*[F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(base) for j, b in enumerate(base)]).first()
-    dims = kept.select(*[b.alias(f"_b{i}") for i, b in enumerate(base)], F.posexplode(vec).alias("dim", "x"))
+    gram = rows.agg(*[F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(base) for j, b in enumerate(base)]).first()
+    dims = rows.select(*[b.alias(f"_b{i}") for i, b in enumerate(base)], F.posexplode(vec).alias("dim", "x"))
     cross = dims.groupBy("dim").agg(*[F.sum(F.col(f"_b{i}") * F.col("x")).alias(f"c{i}") for i in range(k)]).orderBy("dim").toPandas()
     g = np.array([[gram[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    beta = np.linalg.pinv(g) @ cross[[f"c{i}" for i in range(k)]].to_numpy(dtype=float).T
-    planes = [F.array(*[F.lit(float(x)) for x in beta[i]]) for i in range(k)]
-    left = F.col(vec)
+    return np.linalg.pinv(g) @ cross[[f"c{i}" for i in range(k)]].to_numpy(dtype=float).T
+
+
+def residualised(rows: DataFrame, vec: str, surface: list[str], fit: Column) -> DataFrame:
+    """rows with vec less its least-squares prediction from the surface columns, fitted where fit."""
+    planes = [F.array(*[F.lit(float(x)) for x in row]) for row in surface_planes(rows.where(fit), vec, surface)]
+    base = [F.lit(1.0), *[F.col(c).cast("double") for c in surface]]
     prediction = [F.transform(p, (lambda b: lambda x: x * b)(b)) for p, b in zip(planes, base)]
     total = prediction[0]
     for p in prediction[1:]:
         total = F.zip_with(total, p, lambda a, b: a + b)
-    return rows.withColumn(vec, F.zip_with(left, total, lambda a, b: a.cast("double") - b))
+    return rows.withColumn(vec, F.zip_with(F.col(vec), total, lambda a, b: a.cast("double") - b))

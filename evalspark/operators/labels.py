@@ -78,6 +78,13 @@ def majority(ratings: DataFrame, min_raters: int = 1) -> DataFrame:
     return best.where(F.col("raters") >= min_raters).select("item_id", F.when(F.col("k") > 1, "ambiguous").otherwise(F.col("one")).alias("label"), "raters", (F.col("k") > 1).alias("tie"))
 
 
+def majority_stats(ratings: DataFrame, skipped: DataFrame, min_raters: int = 1) -> DataFrame:
+    """One row: raters, items, ties of the majority labels, and bad_lines, what read_ratings skipped."""
+    found = majority(ratings, min_raters).agg(F.count("*").alias("items"), F.count_if("tie").alias("ties"))
+    raters = ratings.agg(F.countDistinct("rater").alias("raters"))
+    return raters.crossJoin(found).crossJoin(skipped.agg(F.coalesce(F.sum("skipped"), F.lit(0)).alias("bad_lines")))
+
+
 def consensus(ratings: DataFrame, adjudicator: str = "adjudicated", humans: Column | None = None) -> DataFrame:
     """item_id, label, how: adjudicated, agreed, single or unresolved (label NULL)."""
     voters = ratings.where(F.col("rater") != adjudicator)
@@ -126,6 +133,29 @@ def against_truth(annotations: DataFrame, truth: DataFrame) -> DataFrame:
     return got.select("*", (F.col("n_right") / F.nullif(F.col("n_given"), F.lit(0))).alias("precision"), (F.col("n_right") / F.nullif(F.col("n_truth"), F.lit(0))).alias("recall"))
 
 
+def truth_agreement(annotations: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: n, agreement, kappa of annotations (item_id, label) and truth over the labels that occur."""
+    both = annotations.select("item_id", F.col("label").alias("a")).join(truth.select("item_id", F.col("label").alias("b")), "item_id")
+    return kappa_of_cells(both.groupBy("a", "b").agg(F.count("*").alias("n")), [], "a", "b")
+
+
+def truth_disagreements(annotations: DataFrame, truth: DataFrame) -> DataFrame:
+    """item_id, label, truth of the annotations that differ from the truth."""
+    both = annotations.select("item_id", "label").join(truth.select("item_id", F.col("label").alias("truth")), "item_id")
+    return both.where(~F.col("label").eqNullSafe(F.col("truth")))
+
+
+def agreement_intervals(one: DataFrame, other: DataFrame, key: DataFrame, draws: int, seed: int = 42) -> DataFrame:
+    """agreement_by_subset with the interval lo, hi of each kappa over draws of items: order statistics of the replicates."""
+    from evalspark.operators.bootstrap import group_places, order_statistics, weights
+
+    both = one.select("item_id", F.col("label").alias("a")).join(other.select("item_id", F.col("label").alias("c")), "item_id").join(key.select("item_id", "model"), "item_id")
+    drawn = both.join(weights(group_places(both, "item_id"), "item_id", draws, seed), "item_id")
+    cells = drawn.select("b", "w", "a", "c", F.explode(F.array("model", F.lit("overall"))).alias("subset")).groupBy("subset", "b", "a", "c").agg(F.sum("w").alias("n"))
+    spans = order_statistics(kappa_of_cells(cells, ["subset", "b"], "a", "c"), "kappa", ["subset"])
+    return agreement_by_subset(one, other, key).join(spans, "subset", "left")
+
+
 def agreement_by_subset(one: DataFrame, other: DataFrame, key: DataFrame) -> DataFrame:
     """subset (each model, and overall), n, agreement, kappa, passes of two label tables; key: item_id, model."""
     both = one.select("item_id", F.col("label").alias("a")).join(other.select("item_id", F.col("label").alias("b")), "item_id").join(key.select("item_id", "model"), "item_id")

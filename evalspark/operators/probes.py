@@ -1,9 +1,10 @@
 """Linear probes: L2 logistic fits over grids of layers, positions, penalties and folds.
 
-A grid's cells are independent, so cells are the groups of a grouped map, and a fit is a Newton
-iteration in numpy inside the task. No query yet sends cells above MAX_CELL (rows times dimensions)
-to large_cell_scores, which distributes the rows by MLlib: each cell must fit into a task. Roles are a column: "fit"
-rows train, "score" rows are only scored; selection sees what it is given and nothing else.
+The rows that a cell of a grid is fitted on are a group of a grouped map, all penalties and inner folds in one pass
+over it; the fit is Newton's method in numpy, in the space that the rows span where they are fewer than the
+dimensions. A cell of more than MAX_CELL numbers (rows times dimensions) is fitted by MLlib over
+its distributed rows instead, to the same weights. Fits are tables of weights; rows are scored by joining them, so whatever is
+only scored never passes through a group. Roles are explicit: selection sees what it is given and nothing else.
 """
 
 from __future__ import annotations
@@ -13,10 +14,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.bootstrap import auroc_interval
 from evalspark.operators.metrics import auroc
+from evalspark.operators.quality import require_no_leaks
+from evalspark.sources.shared import written
 
 MAX_CELL = 20_000_000
 MIN_TRAIN, MIN_REPORT = 20, 5
+#: Wider systems are solved by conjugate gradients.
+DENSE = 256
+
+
+def spanned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The rows in coordinates of the space that they span, and the matrix that takes weights back; x itself if it has more rows than columns."""
+    if len(x) >= x.shape[1]:
+        return x, None
+    values, vectors = np.linalg.eigh(x @ x.T)
+    keep = values > 1e-12 * max(values.max(), 1e-300)
+    root = np.sqrt(values[keep])
+    return vectors[:, keep] * root, x.T @ (vectors[:, keep] / root)
+
+
+def _newton_step(design: np.ndarray, curvature: np.ndarray, penalty: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+    if design.shape[1] <= DENSE:
+        return np.linalg.solve((design * curvature[:, None]).T @ design + np.diag(penalty + 1e-10), gradient)
+    # Conjugate gradients, scaled by the diagonal.
+    scale = 1.0 / ((design * design).T @ curvature + penalty + 1e-10)
+    step, left = np.zeros_like(gradient), gradient.copy()
+    ahead = scale * left
+    size = left @ ahead
+    for _ in range(4 * 50):
+        image = design.T @ (curvature * (design @ ahead)) + (penalty + 1e-10) * ahead
+        length = size / (ahead @ image)
+        step, left = step + length * ahead, left - length * image
+        again = left @ (scale * left)
+        if again < 1e-18 * (gradient @ (scale * gradient)) or again < 1e-30:
+            break
+        ahead, size = scale * left + again / size * ahead, again
+    return step
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -33,8 +68,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 60) -> t
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(design @ w, -500, 500)))
         gradient = design.T @ (p - y) + penalty * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-10)
-        step, scale = np.linalg.solve(hessian, gradient), 1.0
+        step, scale = _newton_step(design, p * (1 - p), penalty, gradient), 1.0
         while scale > 1e-8 and (after := loss(w - scale * step)) > now + 1e-12:
             scale /= 2
         w, change, now = w - scale * step, now - after, after
@@ -43,65 +77,143 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 60) -> t
     return w[:-1], float(w[-1])
 
 
-def standardise(x: np.ndarray, fit: np.ndarray) -> np.ndarray:
-    mean, sd = x[fit].mean(axis=0), x[fit].std(axis=0)
-    return (x - mean) / np.where(sd < 1e-6, 1.0, sd)
+class Cell:
+    """The fit rows of a cell, standardised (after what the last surface columns explain is taken out), ready to be fitted at any penalty."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, surface: int = 0):
+        self.y, self.surface, self.beta = y, surface, None
+        if surface:
+            base = np.column_stack((np.ones(len(x)), x[:, -surface:]))
+            x = x[:, :-surface]
+            self.beta = np.linalg.pinv(base.T @ base) @ (base.T @ x)
+            x = x - base @ self.beta
+        self.mean, sd = x.mean(axis=0), x.std(axis=0)
+        self.sd = np.where(sd < 1e-6, 1.0, sd)
+        self.z, self.back = spanned((x - self.mean) / self.sd)
+
+    def fit(self, l2: float) -> tuple[np.ndarray, float] | None:
+        """Weights and intercept for the rows as they came; None with one class only."""
+        if len(np.unique(self.y)) < 2:
+            return None
+        w, b = fit_logistic(self.z, self.y, l2)
+        w = (w if self.back is None else self.back @ w) / self.sd
+        b -= float(self.mean @ w)
+        if self.surface:
+            b -= float(self.beta[0] @ w)
+            w = np.concatenate((w, -self.beta[1:] @ w))
+        return w, b
+
+
+def area(y: np.ndarray, s: np.ndarray) -> float | None:
+    """AUROC of scores in memory, ties counted half; None with one class."""
+    if len(np.unique(y)) < 2:
+        return None
+    _, place, count = np.unique(s, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2.0)[place]
+    pos = y > 0
+    return float((rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()))
+
+
+def _split(rows: DataFrame, cell: list[str]) -> tuple[DataFrame, list[dict]]:
+    """(rows of cells that fit into a task, the keys of the others)."""
+    large = rows.groupBy(*cell).agg(F.sum(F.size("vec").cast("long")).alias("_size")).where(F.col("_size") > MAX_CELL).drop("_size")
+    names = [r.asDict() for r in large.collect()]
+    return (rows.join(F.broadcast(large), cell, "left_anti") if names else rows), names
+
+
+def _kinds(rows: DataFrame, cell: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ", ".join(f"`{c}` {kinds[c]}" for c in cell)
+
+
+_FITS = "fits array<struct<l2: double, w: array<double>, b: double>>"
 
 
-def grid_scores(rows: DataFrame, cell: list[str], keep: list[str]) -> DataFrame:
-    """cell, keep, score: each cell's score rows under the probe fitted on its fit rows.
+def fits(rows: DataFrame, cell: list[str], l2: tuple[float, ...], surface: int = 0) -> DataFrame:
+    """cell, fits (l2, w, b): a cell's probe for each penalty, from its rows (cell, y, vec), written to the shared folder.
 
-    rows: cell columns (l2 among them), role ("fit" or "score"), y, vec, and keep. A cell whose fit
-    rows have one class scores NULL.
+    The last surface entries of vec are features whose least-squares prediction of the others is taken out first. A cell
+    with one class has no w.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*cell, *keep]) + ", score double"
+    small, large = _split(rows, cell)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame["vec"].to_numpy()).astype(float)
-        train = (frame["role"] == "fit").to_numpy()
-        out = frame.loc[~train, [*cell, *keep]].copy()
-        y = frame["y"].to_numpy(dtype=float)
-        if len(np.unique(y[train])) < 2:
-            out["score"] = np.nan
-            return out.astype({"score": object}).where(pd.notna(out), None)
-        z = standardise(x, train)
-        w, b = fit_logistic(z[train], y[train], float(frame["l2"].iloc[0]))
-        out["score"] = z[~train] @ w + b
-        return out
-
-    return rows.groupBy(*cell).applyInPandas(fit, schema)
-
-
-def large_cell_scores(rows: DataFrame, l2: float) -> DataFrame:
-    """rows of one cell, role "score", with score, from MLlib's distributed logistic regression."""
+        known = Cell(np.stack(frame["vec"].to_numpy()).astype(float), frame["y"].to_numpy(dtype=float), surface)
+        found = [(x, known.fit(x)) for x in l2]
+        row = frame[cell].iloc[:1].copy()
+        row["fits"] = [[{"l2": x, "w": f[0].tolist() if f else None, "b": f[1] if f else None} for x, f in found]]
+        return row
+
+    got = small.select(*cell, "y", "vec").groupBy(*cell).applyInPandas(fit, f"{_kinds(rows, cell)}, {_FITS}")
+    for names in large:
+        one = _of(rows, names)
+        found = [{"l2": float(x), **dict(zip("wb", large_fit(one, x, surface)))} for x in l2]
+        got = got.unionByName(rows.sparkSession.createDataFrame([(*names.values(), found)], f"{_kinds(rows, list(names))}, {_FITS}").select(*got.columns))
+    return written(got, "probe-fits")
+
+
+def _of(rows: DataFrame, names: dict) -> DataFrame:
+    for k, v in names.items():
+        rows = rows.where(F.col(k).eqNullSafe(F.lit(v)))
+    return rows
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def scored(rows: DataFrame, fitted: DataFrame, cell: list[str], keep: list[str]) -> DataFrame:
+    """cell, l2, keep, score of rows under each fit of their cell: a join with the weights, no group."""
+    each = F.transform("fits", lambda f: F.struct(f["l2"].alias("l2"), (dot(F.col("vec"), f["w"]) + f["b"]).alias("score")))
+    return rows.join(fitted, cell).select(*cell, *keep, F.inline(each))
+
+
+def large_fit(rows: DataFrame, l2: float, surface: int = 0) -> tuple[list[float] | None, float | None]:
+    """The weights and intercept of one cell by MLlib's distributed logistic regression on standardised rows."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    data = rows.withColumn("features", array_to_vector(F.transform("vec", lambda v: v.cast("double"))))
-    train = data.where("role = 'fit'")
-    got = train.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).select("s.mean", "s.variance", "s.count").first()
-    n = got["count"]
+    if rows.select("y").distinct().count() < 2:
+        return None, None
+    data, beta = rows.select("y", F.transform("vec", lambda v: v.cast("double")).alias("vec")), None
+    if surface:
+        from evalspark.operators.features import surface_planes
+
+        parts = data.select("y", F.slice("vec", 1, F.size("vec") - surface).alias("vec"), F.slice("vec", -surface, surface).alias("_s"))
+        parts = parts.select("y", "vec", *[F.get("_s", F.lit(i)).alias(f"_s{i}") for i in range(surface)])
+        names = [f"_s{i}" for i in range(surface)]
+        beta = surface_planes(parts, "vec", names)
+        shift = [F.array(*[F.lit(float(x)) for x in row]) for row in beta]
+        left = F.zip_with("vec", shift[0], lambda a, b: a - b)
+        for i, name in enumerate(names):
+            left = _less(left, shift[i + 1], F.col(name))
+        data = parts.select("y", left.alias("vec"))
+    got = data.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("vec")).alias("s")).select("s.mean", "s.variance", "s.count").first()
+    n, mean = got["count"], got["mean"].toArray()
     sd = np.sqrt(got["variance"].toArray() * (n - 1) / n)
     sd = np.where(sd < 1e-6, 1.0, sd)
-    mean, scale = (F.array(*[F.lit(float(v)) for v in a]) for a in (got["mean"].toArray(), sd))
-    z = F.zip_with(F.zip_with("vec", mean, lambda a, b: a.cast("double") - b), scale, lambda a, b: a / b)
-    data = data.withColumn("features", array_to_vector(z)).withColumn("label", F.col("y").cast("double"))
-    model = LogisticRegression(regParam=l2 / n, elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=500).fit(data.where("role = 'fit'"))
-    scored = model.transform(data.where("role = 'score'"))
-    return scored.withColumn("score", vector_to_array("rawPrediction")[1]).select(*rows.columns, "score")
+    shifted = F.zip_with("vec", F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b)
+    z = F.zip_with(shifted, F.array(*[F.lit(float(v)) for v in sd]), lambda a, b: a / b)
+    train = data.select(array_to_vector(z).alias("features"), F.col("y").cast("double").alias("label"))
+    model = LogisticRegression(regParam=l2 / n, elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=500).fit(train)
+    w = model.coefficients.toArray() / sd
+    b = float(model.intercept - mean @ w)
+    if surface:
+        b -= float(beta[0] @ w)
+        w = np.concatenate((w, -beta[1:] @ w))
+    return w.tolist(), b
 
 
-def exploded_grid(rows: DataFrame, l2: tuple[float, ...]) -> DataFrame:
-    return rows.withColumn("l2", F.explode(F.array(*[F.lit(float(x)) for x in l2])))
+def _less(left: Column, plane: Column, by: Column) -> Column:
+    return F.zip_with(left, F.transform(plane, lambda x: x * by), lambda a, b: a - b)
 
 
-def layer_sweep(rows: DataFrame, l2: tuple[float, ...]) -> DataFrame:
-    """position, layer, l2, auroc on validation rows. rows: split (train or val), position, layer, y, vec. Test rows can't take part."""
-    seen = rows.where(F.col("split").isin("train", "val")).withColumn("role", F.when(F.col("split") == "train", "fit").otherwise("score"))
-    scored = grid_scores(exploded_grid(seen, l2), ["position", "layer", "l2"], ["y"])
-    return auroc(scored, "score", F.col("y") == 1, ["position", "layer", "l2"])
+def layer_sweep(rows: DataFrame, l2: tuple[float, ...], keys: list[str] | None = None, surface: int = 0) -> DataFrame:
+    """keys, position, layer, l2, auroc on validation rows. rows: split (train or val), position, layer, y, vec. Test rows can't take part."""
+    cell = [*(keys or []), "position", "layer"]
+    fitted = fits(rows.where("split = 'train'"), cell, l2, surface)
+    return auroc(scored(rows.where("split = 'val'"), fitted, cell, ["y"]), "score", F.col("y") == 1, [*cell, "l2"])
 
 
 def selected(curve: DataFrame, keys: list[str] | None = None, value: str = "auroc") -> DataFrame:
@@ -111,56 +223,95 @@ def selected(curve: DataFrame, keys: list[str] | None = None, value: str = "auro
     return ranked.where("_r = 1").drop("_r")
 
 
-def test_scores(rows: DataFrame, choice: DataFrame) -> DataFrame:
-    """item_id, figure_id, y, score of the test rows under the chosen configuration, fitted on train only."""
-    one = rows.join(F.broadcast(choice.limit(1).select("position", "layer", "l2")), ["position", "layer"])
-    seen = one.where(F.col("split").isin("train", "test")).withColumn("role", F.when(F.col("split") == "train", "fit").otherwise("score"))
-    return grid_scores(seen, ["position", "layer", "l2"], ["item_id", "figure_id", "y"])
+def test_scores(rows: DataFrame, choice: DataFrame, keys: list[str] | None = None, surface: int = 0, split: str = "test") -> DataFrame:
+    """keys, position, layer, l2, item_id, figure_id, y, score of the test rows under the chosen configuration of each of keys, fitted on train only."""
+    cell = [*(keys or []), "position", "layer"]
+    one = rows.join(choice.select(*cell, "l2"), cell)
+    penalties = tuple(sorted(r["l2"] for r in choice.select("l2").distinct().collect()))
+    fitted = fits(one.where("split = 'train'"), cell, penalties, surface)
+    return scored(one.where(F.col("split") == split).withColumnRenamed("l2", "_l2"), fitted, cell, ["_l2", "item_id", "figure_id", "y"]).where("l2 = _l2").drop("_l2")
 
 
-def one_vs_rest(rows: DataFrame, classes: tuple[str, ...], l2: float) -> DataFrame:
-    """trained_on, tested_on, auroc: the probe of each class scored against each class on validation rows."""
-    each = rows.where(F.col("split").isin("train", "val")).withColumn("trained_on", F.explode(F.array(*map(F.lit, classes))))
-    each = each.withColumn("y", (F.col("cls") == F.col("trained_on")).cast("int")).withColumn("l2", F.lit(float(l2)))
-    each = each.withColumn("role", F.when(F.col("split") == "train", "fit").otherwise("score"))
-    scored = grid_scores(each, ["trained_on", "l2"], ["cls"])
-    crossed = scored.withColumn("tested_on", F.explode(F.array(*map(F.lit, classes))))
-    return auroc(crossed, "score", F.col("cls") == F.col("tested_on"), ["trained_on", "tested_on"])
+def one_vs_rest(rows: DataFrame, classes: tuple[str, ...], l2: float, keys: tuple[str, ...] = ("position", "layer")) -> DataFrame:
+    """keys, trained_on, tested_on, auroc: the probe of each class scored against each class on validation rows."""
+    each = rows.withColumn("trained_on", F.explode(F.array(*map(F.lit, classes)))).withColumn("y", (F.col("cls") == F.col("trained_on")).cast("int"))
+    cell = [*keys, "trained_on"]
+    got = scored(each.where("split = 'val'"), fits(each.where("split = 'train'"), cell, (l2,)), cell, ["cls"])
+    crossed = got.withColumn("tested_on", F.explode(F.array(*map(F.lit, classes))))
+    return auroc(crossed, "score", F.col("cls") == F.col("tested_on"), [*cell, "tested_on"])
 
 
-def nested_cv(rows: DataFrame, l2: tuple[float, ...], folds: int = 5) -> DataFrame:
-    """layer, outer, item_id, figure_id, cls, y, l2, score: out-of-fold scores.
+def nested_cv(rows: DataFrame, l2: tuple[float, ...], folds: int = 5, keys: list[str] | None = None, surface: int = 0) -> DataFrame:
+    """keys, layer, outer, item_id, figure_id, cls, y, l2, inner_auroc, score: out-of-fold scores.
 
     For each outer fold the penalty with the best mean inner AUROC (inner folds of one class left
-    out, ties to the smaller penalty) is fitted on all other folds. rows: layer, fold, y (NULL: only
-    scored), vec. Roles are explicit: an outer fold's rows are never in its inner fits.
+    out, ties to the smaller penalty) is fitted on all other folds; what the last surface entries of vec explain
+    of the rest is taken out by a projection fitted on these folds alone. rows: keys, layer, fold, y (NULL: only
+    scored), vec. An outer fold's rows never reach the group that is fitted for it.
     """
-    known = rows.where("y is not null")
-    pairs = known.withColumn("outer", F.explode(F.array(*map(F.lit, range(folds))))).where("fold <> outer")
-    pairs = pairs.withColumn("inner", F.explode(F.array(*map(F.lit, range(folds))))).where("inner <> outer")
-    inner = exploded_grid(pairs.withColumn("role", F.when(F.col("fold") == F.col("inner"), "score").otherwise("fit")), l2)
-    cell = ["layer", "outer", "inner", "l2"]
-    each = auroc(grid_scores(inner.select(*cell, "role", "y", "vec"), cell, ["y"]), "score", F.col("y") == 1, cell)
-    mean = each.groupBy("layer", "outer", "l2").agg(F.avg("auroc").alias("inner_auroc"))
-    best = mean.withColumn("_r", F.row_number().over(Window.partitionBy("layer", "outer").orderBy(F.col("inner_auroc").desc_nulls_last(), "l2"))).where("_r = 1")
-    outer = rows.withColumn("outer", F.explode(F.array(*map(F.lit, range(folds)))))
-    outer = outer.withColumn("role", F.when(F.col("fold") == F.col("outer"), "score").otherwise("fit")).where("role = 'score' or y is not null")
-    outer = outer.join(best.select("layer", "outer", "l2", "inner_auroc"), ["layer", "outer"])
-    return grid_scores(outer, ["layer", "outer", "l2"], ["inner_auroc", "item_id", "figure_id", "cls", "y"])
-
-
-def assembled(oof: DataFrame) -> DataFrame:
-    """Out-of-fold scores of one layer for each outer fold: that with the best inner AUROC, ties to the shallowest."""
-    best = oof.groupBy("layer", "outer").agg(F.max("inner_auroc").alias("_a"))
-    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("outer").orderBy(F.col("_a").desc_nulls_last(), "layer"))).where("_r = 1")
-    return oof.join(best.select("layer", "outer"), ["layer", "outer"])
-
-
-def type_matrix(scores: DataFrame, targets: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], keys: list[str] | None = None) -> DataFrame:
-    """keys, target, n_pos, n_neg, auroc of scores (cls, score) on contrasts of class sets."""
+    cell = [*(keys or []), "layer", "outer"]
+    known = rows.where("y is not null").withColumn("outer", F.explode(F.array(*map(F.lit, range(folds))))).where("fold <> outer")
+    small, large = _split(known, cell)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y, fold = np.stack(frame["vec"].to_numpy()).astype(float), frame["y"].to_numpy(dtype=float), frame["fold"].to_numpy()
+        if surface:
+            base = np.column_stack((np.ones(len(x)), x[:, -surface:]))
+            beta = np.linalg.pinv(base.T @ base) @ (base.T @ x[:, :-surface])
+            inner_x = x[:, :-surface] - base @ beta
+        else:
+            inner_x = x
+        areas: dict[float, list[float]] = {p: [] for p in l2}
+        for inner in np.unique(fold):
+            held = Cell(inner_x[fold != inner], y[fold != inner])
+            for p in l2:
+                if (f := held.fit(p)) and (value := area(y[fold == inner], inner_x[fold == inner] @ f[0] + f[1])) is not None:
+                    areas[p].append(value)
+        mean = {p: float(np.mean(v)) if v else None for p, v in areas.items()}
+        best = min(l2, key=lambda p: (mean[p] is None, -(mean[p] or 0.0), p))
+        found = Cell(x, y, surface).fit(best)
+        row = frame[cell].iloc[:1].copy()
+        row["inner_auroc"] = mean[best]
+        row["fits"] = [[{"l2": best, "w": found[0].tolist() if found else None, "b": found[1] if found else None}]]
+        return row
+
+    kinds = f"{_kinds(known, cell)}, inner_auroc double, {_FITS}"
+    got = small.select(*cell, "fold", "y", "vec").groupBy(*cell).applyInPandas(fit, kinds)
+    for names in large:
+        one = _of(known, names)
+        inner = [f for f in range(folds) if f != names["outer"]]
+        means = {}
+        for p in l2:
+            values = []
+            for f in inner:
+                w, b = large_fit(one.where(F.col("fold") != f), p, surface)
+                if w is not None:
+                    s = one.where(F.col("fold") == f).withColumn("score", dot(F.col("vec"), F.array(*map(F.lit, w))) + F.lit(b))
+                    values.append(auroc(s, "score", F.col("y") == 1).first()["auroc"])
+            values = [v for v in values if v is not None]
+            means[p] = float(np.mean(values)) if values else None
+        best = min(l2, key=lambda p: (means[p] is None, -(means[p] or 0.0), p))
+        w, b = large_fit(one, best, surface)
+        row = rows.sparkSession.createDataFrame([(*names.values(), means[best], [{"l2": float(best), "w": w, "b": b}])], f"{_kinds(known, list(names))}, inner_auroc double, {_FITS}")
+        got = got.unionByName(row.select(*got.columns))
+    fitted = written(got, "probe-fits")
+    return scored(rows.withColumn("outer", F.col("fold")), fitted, cell, ["inner_auroc", "item_id", "figure_id", "cls", "y"])
+
+
+def assembled(oof: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Out-of-fold scores of one layer for each of keys and outer fold: that with the best inner AUROC, ties to the shallowest."""
+    keys = keys or []
+    best = oof.groupBy(*keys, "layer", "outer").agg(F.max("inner_auroc").alias("_a"))
+    best = best.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "outer").orderBy(F.col("_a").desc_nulls_last(), "layer"))).where("_r = 1")
+    return oof.join(best.select(*keys, "layer", "outer"), [*keys, "layer", "outer"])
+
+
+def type_matrix(scores: DataFrame, targets: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], keys: list[str] | None = None, draws: int = 0) -> DataFrame:
+    """keys, target, n_pos, n_neg, auroc of scores (cls, score) on contrasts of class sets; with draws also its interval lo, hi over draws of figures."""
     cells = [F.when(F.col("cls").isin(*pos, *neg), F.struct(F.lit(name).alias("target"), F.col("cls").isin(*pos).cast("int").alias("t"))) for name, (pos, neg) in targets.items()]
     each = scores.withColumn("_t", F.explode(F.array_compact(F.array(*cells)))).withColumn("target", F.col("_t.target")).withColumn("t", F.col("_t.t"))
-    return auroc(each, "score", F.col("t") == 1, [*(keys or []), "target"])
+    names = [*(keys or []), "target"]
+    return auroc_interval(each, "figure_id", "score", F.col("t") == 1, draws, keys=names) if draws else auroc(each, "score", F.col("t") == 1, names)
 
 
 def usable(rows: DataFrame, keys: list[str], y: str = "y", least: int = MIN_REPORT, splits: tuple[str, ...] = ("val", "test")) -> DataFrame:
@@ -213,19 +364,40 @@ def transfer(source: DataFrame, target: DataFrame, l2: tuple[float, ...], folds:
     Layer and penalty are those with the best AUROC of the source's pooled out-of-fold scores (ties: smaller
     penalty, then shallower layer); the probe is then fitted on all source rows with a y.
     """
-    known = source.where("y is not null").withColumn("outer", F.explode(F.array(*map(F.lit, range(folds)))))
-    known = exploded_grid(known.withColumn("role", F.when(F.col("fold") == F.col("outer"), "score").otherwise("fit")), l2)
-    cell = ["layer", "l2", "outer"]
-    pooled = auroc(grid_scores(known.select(*cell, "role", "y", "vec"), cell, ["y"]), "score", F.col("y") == 1, ["layer", "l2"])
-    best = pooled.orderBy(F.col("auroc").desc_nulls_last(), "l2", "layer").limit(1).select("layer", "l2")
-    columns = ["layer", "item_id", "figure_id", "cls", "y", "vec"]
-    both = source.where("y is not null").select(*columns).withColumn("role", F.lit("fit")).unionByName(target.select(*columns[:4], F.lit(0).alias("y"), "vec").withColumn("role", F.lit("score")))
-    return grid_scores(both.join(F.broadcast(best), "layer"), ["layer", "l2"], ["item_id", "figure_id", "cls"])
+    known = source.where("y is not null")
+    outer = known.withColumn("outer", F.explode(F.array(*map(F.lit, range(folds))))).where("fold <> outer")
+    fitted = fits(outer, ["layer", "outer"], l2)
+    pooled = auroc(scored(known.withColumn("outer", F.col("fold")), fitted, ["layer", "outer"], ["y"]), "score", F.col("y") == 1, ["layer", "l2"])
+    best = pooled.orderBy(F.col("auroc").desc_nulls_last(), "l2", "layer").limit(1).first()
+    whole = fits(known.where(F.col("layer") == best["layer"]), ["layer"], (best["l2"],))
+    return scored(target, whole, ["layer"], ["item_id", "figure_id", "cls"])
+
+
+def frozen_scores(rows: DataFrame, extra: DataFrame, choice: DataFrame) -> DataFrame:
+    """item_id, figure_id, y, score of extra's rows under the chosen probe, fitted on the train rows of rows; an error if they share a figure."""
+    if shared := disjoint(rows, extra).first()["shared"]:
+        raise ValueError(f"{shared} figures are in both tables")
+    both = rows.where("split = 'train'").select("item_id", "figure_id", "split", "position", "layer", "y", "vec")
+    return test_scores(both.unionByName(extra.withColumn("split", F.lit("extra")).select(*both.columns)), choice, split="extra")
 
 
 def contrast_sweep(rows: DataFrame, l2: tuple[float, ...]) -> DataFrame:
     """contrast, position, layer, l2, auroc on validation rows, for contrasts with enough rows of either class."""
-    seen = rows.join(usable(rows, ["contrast"], splits=("train", "val")), "contrast", "left_semi").where(F.col("split").isin("train", "val"))
-    seen = exploded_grid(seen.withColumn("role", F.when(F.col("split") == "train", "fit").otherwise("score")), l2)
-    cell = ["contrast", "position", "layer", "l2"]
-    return auroc(grid_scores(seen.select(*cell, "role", "y", "vec"), cell, ["y"]), "score", F.col("y") == 1, cell)
+    seen = rows.join(usable(rows, ["contrast"], splits=("train", "val")), "contrast", "left_semi")
+    return layer_sweep(seen, l2, ["contrast"])
+
+
+def join_vectors(vectors: DataFrame, answers: DataFrame) -> DataFrame:
+    """vectors with the columns of answers, by item_id: vectors without an answer drop out. A figure_id that differs is an error."""
+    more = [c for c in answers.columns if c not in vectors.columns or c == "item_id"]
+    right = answers.select(*more, F.col("figure_id").alias("_figure")) if "figure_id" in answers.columns and "figure_id" in vectors.columns else answers.select(*more, F.lit(None).cast("string").alias("_figure"))
+    joined = vectors.join(right, "item_id")
+    differs = F.raise_error(F.concat(F.lit("the figures differ of item "), F.col("item_id").cast("string")))
+    same = F.when(F.col("_figure").isNull() | (F.col("_figure") == F.col("figure_id")), F.col("figure_id")).otherwise(differs.cast("string")) if "figure_id" in vectors.columns else None
+    return (joined if same is None else joined.withColumn("figure_id", same)).drop("_figure")
+
+
+def dataset(vectors: DataFrame, answers: DataFrame, labels: DataFrame, task: str, rest: str = "errors") -> DataFrame:
+    """The rows that probes of a task are fitted on: vectors joined with the task's population by item_id; an error if a figure is in two splits."""
+    chosen = population(answers, labels, task, rest).select("item_id", "figure_id", "split", "y")
+    return require_no_leaks(join_vectors(vectors.drop("split", "y"), chosen))

@@ -44,6 +44,12 @@ def id_gaps(vectors: DataFrame, answers: DataFrame) -> DataFrame:
     return both.where("v is null or a is null").select("item_id", F.when(F.col("v").isNull(), "answers").otherwise("vectors").alias("side"))
 
 
+def misaligned(vectors: DataFrame, answers: DataFrame) -> DataFrame:
+    """item_id, figure_id, other: items that the two tables put on different figures."""
+    both = vectors.select("item_id", "figure_id").distinct().join(answers.select("item_id", F.col("figure_id").alias("other")).distinct(), "item_id")
+    return both.where(~F.col("figure_id").eqNullSafe(F.col("other")))
+
+
 def check_labels(labels: DataFrame, batch: DataFrame) -> DataFrame:
     """item_id, problem of a batch of labels: unknown labels, wrong reasons, empty rationales, ids that don't fit the batch."""
     known = F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -86,6 +92,22 @@ def check_figures(figures: DataFrame, gap: int) -> DataFrame:
     return _problems(figures, "figure_id", checks)
 
 
+def check_questions(figures: DataFrame) -> DataFrame:
+    """figure_id, problem of figures with their questions (template, phrasing, asks_about, question, gold_answer): ids that repeat, golds that
+    aren't the bar's value, questions of one template and phrasing whose wording differs, values against the trend."""
+    value = lambda q: F.get("values", (F.array_position("categories", q["asks_about"]) - 1).cast("int")).cast("string")
+    worded = F.array_distinct(F.transform("questions", lambda q: F.struct(q["template"], q["phrasing"], F.replace(q["question"], q["asks_about"], F.lit("*")))))
+    kinds = F.array_distinct(F.transform("questions", lambda q: F.struct(q["template"], q["phrasing"])))
+    rising = F.array_sort("values")
+    checks = {
+        "gold differs": F.exists("questions", lambda q: (q["template"] == "read_value") & ~q["gold_answer"].cast("string").eqNullSafe(value(q))),
+        "wording differs": F.size(worded) != F.size(kinds),
+        "against the trend": ((F.col("trend") == "rising") & (F.col("values") != rising)) | ((F.col("trend") == "falling") & (F.col("values") != F.reverse(rising))),
+    }
+    again = repeated(figures, "figure_id").select("figure_id", F.lit("repeated id").alias("problem"))
+    return _problems(figures, "figure_id", checks).unionByName(again)
+
+
 def check_pairs(figures: DataFrame) -> DataFrame:
     """pair_id of matched pairs that aren't one easy and one hard figure of one split."""
     got = figures.groupBy("pair_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("pair_variant")).alias("v"), F.countDistinct("split").alias("s"))
@@ -111,6 +133,27 @@ def figure_leaks(rows: DataFrame, figure: str = "figure_id", group: str = "split
     return got.where(F.size("groups") > 1)
 
 
+def group_leaks(rows: DataFrame, figure: str = "figure_id", group: str = "split", sample: int = 5) -> DataFrame:
+    """one, other, n, sample: for each two groups that share figures how many they share, and the first of them."""
+    pairs = F.array_sort(F.collect_set(group))
+    each = rows.groupBy(figure).agg(pairs.alias("g")).where(F.size("g") > 1)
+    both = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: b > a), lambda b: F.struct(a.alias("one"), b.alias("other")))))
+    pair = each.select(F.col(figure).alias("_f"), F.inline(both))
+    rank = F.row_number().over(Window.partitionBy("one", "other", "_r").orderBy("_f"))
+    # The first of each of some parts are enough to find the first of all.
+    first = pair.withColumn("_r", F.pmod(F.xxhash64("_f"), F.lit(64))).withColumn("_k", rank).where(F.col("_k") <= sample)
+    names = first.groupBy("one", "other").agg(F.slice(F.array_sort(F.collect_list("_f")), 1, sample).alias("sample"))
+    return pair.groupBy("one", "other").agg(F.count("*").alias("n")).join(names, ["one", "other"])
+
+
+def require_no_leaks(rows: DataFrame, figure: str = "figure_id", group: str = "split") -> DataFrame:
+    """rows, unless a figure is in two groups: that is an error that names five of them."""
+    bad = figure_leaks(rows, figure, group).limit(5).collect()
+    if bad:
+        raise ValueError(f"figures in more than one {group}: {[r[figure] for r in bad]}")
+    return rows
+
+
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """path, state: files of the manifest (path, sha256) that are missing or have other content; files: path, content."""
     seen = files.select("path", F.sha2("content", 256).alias("now"))

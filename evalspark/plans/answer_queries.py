@@ -62,11 +62,16 @@ def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {S.SYNTHETIC}, k AS (SELECT correct::int AS c, unnest([{{'kind': 'overall', 'name': 'all'}}, {{'kind': 'source', 'name': source}}, {{'kind': 'template', 'name': template}}, {{'kind': 'answerable', 'name': CASE WHEN NOT absent THEN 'all' END}}]) AS u FROM synthetic)
-  SELECT u.kind AS kind, u.name AS name, count(*) AS n, sum(c)::bigint AS n_correct FROM k WHERE u.name IS NOT NULL GROUP BY 1, 2""")
+  SELECT u.kind AS kind, u.name AS name, count(*) AS n, sum(c)::bigint AS n_correct, round(1.0 - sum(c) / count(*), 4) AS error_rate FROM k WHERE u.name IS NOT NULL GROUP BY 1, 2""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.run_summary(S.synthetic(spark, sf_dir))
 
 
+@query(f"WITH {S.SYNTHETIC} SELECT template, outcome, count(*) AS n FROM synthetic WHERE absent GROUP BY 1, 2")
+def absent_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.absent_outcomes(S.synthetic(spark, sf_dir))
+
+
 @query(f"WITH {S.ITEMS}, v AS (SELECT length(question) * 10 AS t FROM items) SELECT min(t)::bigint AS lowest, max(t)::bigint AS highest, round(avg(t), 6) AS mean, quantile_cont(t, 0.5)::double AS median, count(*) FILTER (t < 250 OR t > 290) AS outside FROM v")
 def vision_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = A.vision_tokens(S.answers(spark, sf_dir), 250, 290)
@@ -289,10 +294,11 @@ def outcome_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.transitions(S.outcomes(spark, sf_dir))
 
 
-@query(f"""WITH {S.ANSWERS} SELECT item_id, unnest(['I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS intervention, true AS applicable, CAST(NULL AS varchar) AS note FROM answers WHERE event_id % 4 <> 0
-  UNION ALL SELECT item_id, i, i <> 'I_crop', NULL FROM answers, (SELECT unnest(['I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS i) WHERE event_id % 4 = 0""")
+@query(f"""WITH {S.ANSWERS}, i AS (SELECT unnest(['I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS intervention)
+  SELECT item_id, intervention, intervention <> 'I_crop' OR event_id % 4 <> 0 AS applicable, CASE WHEN intervention = 'I_crop' AND event_id % 4 <> 0 AND event_type IN ('view', 'click') THEN 'named category absent; whole figure shown' END AS note FROM answers, i""")
 def intervention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.answers(spark, sf_dir).withColumn("categories", F.array(*map(F.lit, S.CATEGORIES))).withColumn("has_geometry", F.col("event_id") % 4 != 0)
+    """Plans for figures that show three of five event types; every fourth has no geometry."""
+    rows = S.answers(spark, sf_dir).withColumn("categories", F.array(*map(F.lit, S.CATEGORIES[:3]))).withColumn("has_geometry", F.col("event_id") % 4 != 0)
     return outcomes.plan(rows)
 
 
@@ -314,9 +320,12 @@ def pilot_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.pilot_outcomes(rows.withColumn("prediction", F.regexp_replace("prediction", r"%\.$", "%")), shown)
 
 
-@query(f"WITH {S.LABELLED} SELECT count(*) FILTER (NOT correct AND label IS NULL) AS unlabelled, 0::bigint AS extra FROM joined")
+@query(f"WITH {S.LABELLED} SELECT count(*) FILTER (NOT correct AND label IS NULL) AS unlabelled, count(*) FILTER (correct AND event_id % 5 = 0) AS extra FROM joined")
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.coverage_gaps(S.answers(spark, sf_dir), S.labels(spark, sf_dir))
+    """Errors without a label, and labels of right answers: every fifth of these has one here."""
+    rows = S.answers(spark, sf_dir)
+    more = rows.where(F.col("correct") & (F.col("event_id") % 5 == 0)).select("item_id")
+    return A.coverage_gaps(rows, S.labels(spark, sf_dir).select("item_id").unionByName(more))
 
 
 @query(f"WITH {S.LABELLED} SELECT item_id FROM joined WHERE NOT correct AND label IS NULL")

@@ -99,6 +99,41 @@ def against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
 
 
+_TRUTH = "both_ AS (SELECT item_id, x.label AS la, y.label AS lb FROM ratings x JOIN ratings y USING (item_id) WHERE x.rater = 'r1' AND y.rater = 'adjudicated')"
+_TRUTH_CELLS = _TRUTH + ", cells AS (SELECT 1 AS k, la, lb, count(*) AS n FROM both_ GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {S.RATINGS}, {_kappa_sql(_TRUTH_CELLS, 'k')} SELECT n, round(same / n, 6) AS agreement, {_KAPPA} AS kappa FROM kap")
+def truth_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.ratings(spark, sf_dir)
+    return L.truth_agreement(rows.where("rater = 'r1'"), rows.where("rater = 'adjudicated'")).withColumn("agreement", F.round("agreement", 6))
+
+
+@query(f"WITH {S.RATINGS}, {_TRUTH} SELECT item_id, la AS label, lb AS truth FROM both_ WHERE la <> lb")
+def truth_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.ratings(spark, sf_dir)
+    return L.truth_disagreements(rows.where("rater = 'r1'"), rows.where("rater = 'adjudicated'"))
+
+
+@query(f"""WITH {S.RATINGS}, v AS (SELECT * FROM ratings WHERE rater <> 'adjudicated'), c AS (SELECT item_id, label, count(*) AS c FROM v GROUP BY 1, 2), t AS (SELECT item_id, max(c) AS m, sum(c) AS raters FROM c GROUP BY 1),
+  k AS (SELECT item_id, count(*) AS k FROM c JOIN t USING (item_id) WHERE c = m AND raters >= 2 GROUP BY 1)
+  SELECT (SELECT count(DISTINCT rater) FROM v) AS raters, count(*) AS items, count(*) FILTER (k > 1) AS ties, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS bad_lines FROM k""")
+def majority_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a majority vote, from a log whose lines without a label are counted as bad."""
+    rows = S.ratings(spark, sf_dir).where("rater <> 'adjudicated'")
+    missing = S.read(spark, sf_dir, "documents").where("doc_id % 3 = 0").agg(F.count("*").alias("skipped"))
+    return L.majority_stats(rows, missing, 2)
+
+
+@query()
+def agreement_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """agreement_by_subset with the interval of each kappa over 500 draws of items."""
+    rows = S.ratings(spark, sf_dir)
+    one = rows.where("rater = 'r0'")
+    key = one.select("item_id", F.concat(F.lit("m"), (F.col("item_id") % 2).cast("string")).alias("model"))
+    return L.agreement_intervals(one, rows.where("rater = 'r1'"), key, 500)
+
+
 _SUBSETS = "both_ AS (SELECT x.label AS la, y.label AS lb, unnest(['m' || (x.item_id % 2), 'overall']) AS subset FROM ratings x JOIN ratings y USING (item_id) WHERE x.rater = 'r0' AND y.rater = 'r1'), cells AS (SELECT subset, la, lb, count(*) AS n FROM both_ GROUP BY 1, 2, 3)"
 
 

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from evalspark.plans import answer_queries, label_queries, model_queries, score_queries, stream_queries  # noqa: E402, F401
+from evalspark.plans import answer_queries, label_queries, model_queries, score_queries, source_queries, stream_queries  # noqa: E402, F401

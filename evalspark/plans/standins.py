@@ -192,6 +192,41 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("position", F.explode(F.array(F.lit("query_last"), F.lit("vision_mean")))).withColumn("vec", F.when(F.col("position") == "query_last", F.col("vec")).otherwise(F.transform("vec", lambda x: F.abs(x))))
 
 
+def target_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors with y for each of four targets: the item's source, wrong at all, structural and fabricated errors among the wrong ones."""
+    rows = vectors(spark, sf_dir).drop("y")
+    wrong = ~F.col("cls").isin("C", "R")
+    targets = {"source": (F.col("item_id") % 2 == 0).cast("int"), "binary": wrong.cast("int"), "structural": F.when(wrong, (F.col("cls") == "S").cast("int")), "fabrication": F.when(wrong, (F.col("cls") == "F").cast("int"))}
+    each = rows.withColumn("_t", F.explode(F.array(*[F.struct(F.lit(n).alias("target"), y.alias("y")) for n, y in targets.items()])))
+    return each.withColumn("target", F.col("_t.target")).withColumn("y", F.col("_t.y")).drop("_t").where("y is not null")
+
+
+METADATA = ("pilot", "axis_max", "tick_density", "n_bars", "lookalike", "phrasing")
+QUESTION_TEXT = ("asks_about", "compared_with", "phrasing")
+
+
+def metadata_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored synthetic items with what is known of figure and question, and the grid features."""
+    from evalspark.operators.features import grid_features
+
+    i, u = F.col("event_id"), F.regexp_extract("figure_id", "[0-9]+", 0).cast("long")
+    rows = synthetic(spark, sf_dir).withColumn("item_id", i).withColumn("y", (~F.col("correct")).cast("int"))
+    rows = rows.withColumn("pilot", pick(("a", "b"), i % 2)).withColumn("axis_max", pick_long((50, 100, 200), u % 3)).withColumn("tick_density", pick(("sparse", "medium", "dense"), u % 3)).withColumn("n_bars", u % 4 + 3)
+    rows = rows.withColumn("lookalike", F.col("lookalike_of").isNotNull()).withColumn("phrasing", pick(("plain", "polite"), i % 5 % 2)).withColumn("axis_min", F.lit(0))
+    rows = rows.withColumn("values", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: (u * 7 + k * 13) % 50))
+    kept = ["item_id", "figure_id", "y", *METADATA, "asks_about", "compared_with"]
+    return grid_features(rows).select(*kept, "grid_offset", "ten_offset", "rel_grid_offset", "rel_ten_offset")
+
+
+def pick_long(values: tuple[int, ...], at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (at + 1).cast("int"))
+
+
+META = SYNTHETIC + r""", meta AS (SELECT event_id AS item_id, (NOT correct)::int AS y, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS pilot, [50, 100, 200][replace(figure_id, 'f', '')::bigint % 3 + 1] AS axis_max,
+  ['sparse', 'medium', 'dense'][replace(figure_id, 'f', '')::bigint % 3 + 1] AS tick_density, replace(figure_id, 'f', '')::bigint % 4 + 3 AS n_bars, lookalike_of IS NOT NULL AS lookalike,
+  CASE WHEN event_id % 5 % 2 = 0 THEN 'plain' ELSE 'polite' END AS phrasing, CASE WHEN absent THEN 'Guava' ELSE event_type END AS asks_about, CASE WHEN template = 'absent_compare' THEN 'view' END AS compared_with FROM synthetic)"""
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars: figure_id is a brand, category a type, value how many parts, place its order."""
     p = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("figure_id"), F.col("p_type").alias("category")).agg(F.count("*").alias("value"))

@@ -11,7 +11,7 @@ from evalspark.plans.registry import query
 from evalspark.plans.score_queries import accuracy_by_day
 from evalspark.plans.registry import ORACLE_SQL
 from evalspark.sources.shared import shared_path
-from evalspark.streaming.labels import label_stream, running_accuracy, upsert_labels
+from evalspark.streaming.labels import current_labels, label_stream, running_accuracy, upsert_labels
 
 
 @query(f"WITH {S.LABELLED} SELECT item_id, label FROM labels_llm")
@@ -21,16 +21,8 @@ def stream_last_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = S.labels(spark, sf_dir).select(F.lit("llm").alias("rater"), "item_id", "seq", "label")
     log.repartitionByRange(3, "seq").write.parquet(source)
     stream = label_stream(spark, source, "rater string, item_id string, seq long, label string")
-    run = upsert_labels(stream, target, state)
-    run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    while True:  # the last batch may have had no rows and so no version
-        try:
-            return spark.read.parquet(f"{target}/{last}").select("item_id", "label")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) or last == 0:
-                raise
-            last -= 1
+    upsert_labels(stream, target, state).awaitTermination()
+    return current_labels(spark, target).select("item_id", "label")
 
 
 @query(ORACLE_SQL[accuracy_by_day.__name__])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; below a local folder only where that is not set, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/evalspark-shared"
+    """A fresh path below spark.checkpoint.dir; below a local folder only where that is not set and Spark runs on this machine alone, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/evalspark-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

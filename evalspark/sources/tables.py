@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.operators.labels import LABELS
-from evalspark.operators.quality import repeated
+from evalspark.operators.quality import check_labels, repeated
 
 ITEM = "imgname string, query string, label string"
 RATING = "item_id string, label string, reason string, rationale string, annotator string, timestamp string"
@@ -28,9 +28,9 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_ratings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(ratings, skipped): rows of each *.jsonl, rater from the file's name; rows that can't be used are counted by rater."""
+    """(ratings, skipped): rows of each *.jsonl, a file or a folder of files, rater from its name; rows that can't be used are counted by rater."""
     kept = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(RATING + ", _bad string").json(f"{folder}/*.jsonl")
-    rows = kept.withColumn("rater", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1)).withColumn("seq", F.monotonically_increasing_id())
+    rows = kept.withColumn("rater", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)).withColumn("seq", F.monotonically_increasing_id())
     good = F.col("_bad").isNull() & F.col("item_id").isNotNull() & F.coalesce(F.col("label").isin(*LABELS), F.lit(False))
     ratings = rows.where(good).withColumn("ts", F.try_to_timestamp(F.col("timestamp"))).drop("_bad", "timestamp")
     return ratings, rows.where(~good).groupBy("rater").agg(F.count("*").alias("skipped"))
@@ -66,6 +66,25 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
     return n
 
 
+def append_labels(labels: DataFrame, batch: DataFrame, path: str) -> int:
+    """Appends a batch's labels to the table at path, unless one of them is wrong or already there: that is an error and nothing is written."""
+    bad = [f"{r['item_id']}: {r['problem']}" for r in check_labels(labels, batch).limit(5).collect()]
+    if bad:
+        raise ValueError(f"labels refused: {bad}")
+    n = labels.count()
+    try:
+        done = labels.sparkSession.read.schema(labels.schema).parquet(path).select("item_id")
+        again = labels.join(done, "item_id", "left_semi").count()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        again = 0
+    if again:
+        raise ValueError(f"{again} items have labels already")
+    labels.write.mode("append").parquet(path)
+    return n
+
+
 def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").partitionBy("position", "layer").parquet(path)
 
@@ -87,6 +106,10 @@ def merge_shards(shards: list[DataFrame], expected: DataFrame) -> DataFrame:
     again = rows.groupBy("item_id", "layer", "position").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if again:
         raise ValueError(f"item {again[0]['item_id']!r} is in two shards")
+    cells = F.sort_array(F.collect_set(F.struct("layer", "position")))
+    shapes = [s.agg(cells.alias("c")).first()["c"] for s in shards]  # one value for each folder of a vector table
+    if any(x != shapes[0] for x in shapes):
+        raise ValueError("the shards don't hold the same layers and positions")
     ids = rows.select("item_id").distinct()
     lost, extra = expected.join(ids, "item_id", "left_anti").count(), ids.join(expected, "item_id", "left_anti").count()
     if lost or extra:

@@ -15,20 +15,20 @@ def label_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def upsert_labels(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the last record of each rater and item at target/<version>, one version per batch that ran.
+    """Appends each batch's last record of each rater and item to target/batch=<number>; current_labels reads the table.
 
-    A batch's version is written from the version before it, so a batch that is run again after a
-    failure writes the same rows once more.
+    A batch writes its own rows only, however large the table is, and one that is run again after a failure replaces its folder.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{target}/{number - 1}").unionByName(batch)
-        last_labels(rows, ["rater", "item_id"]).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/{number}")
+    def keep(batch: DataFrame, number: int) -> None:
+        last_labels(batch, ["rater", "item_id"]).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_labels(spark: SparkSession, target: str) -> DataFrame:
+    """The last record of each rater and item over all batches."""
+    return last_labels(spark.read.parquet(target).drop("batch"), ["rater", "item_id"])
 
 
 def running_accuracy(answers: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
