@@ -42,13 +42,13 @@ BITS, RADIUS = LANES * WIDTH, 3
 _LANE = sum(1 << (WIDTH * i) for i in range(LANES))
 _BLOCK_BITS = BITS // (RADIUS + 1)
 #: Window sizes in words, beside whole texts of less than SHINGLE words. SEGMENT is a multiple of all their strides.
-SIZES, SEGMENT = (4, 8, 16), 4096
+SIZES, SEGMENT = (4, 8, 12, 16), 4096
 #: Item windows up to this many are sent to all tasks, more are met by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
 
 def stride(size: int) -> int:
-    return size // 2
+    return min(4, size // 2)
 
 
 def least_run(n: int) -> int:
@@ -110,7 +110,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def windows(text: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
-    """keep, size, start, print of the windows of text (keep, words), each size at every second half of it; a text of less than SHINGLE words is one window."""
+    """keep, size, start, print of the windows of text (keep, words), each size at every stride(size)-th word; a text of less than SHINGLE words is one window."""
     parts = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int")))
     cut = text.select(*keep, "words", F.explode(parts).alias("_part"))
     # Single entries are read, as a slice would copy the whole array.

@@ -522,7 +522,7 @@ def test_fingerprints_vote(spark):
         return sum(1 << b for b, v in enumerate(votes) if 2 * v > size)
 
     got = {(r["id"], r["size"], r["start"]): r["print"] for r in decontaminate.windows(df, ["id"], list(decontaminate.SIZES)).collect()}
-    assert got == {(1, size, at): voted(1, at, size) for size in decontaminate.SIZES for at in range(0, 60 - size + 1, size // 2)} | {(2, 3, 0): voted(2, 0, 3)}
+    assert got == {(1, size, at): voted(1, at, size) for size in decontaminate.SIZES for at in range(0, 60 - size + 1, decontaminate.stride(size))} | {(2, 3, 0): voted(2, 0, 3)}
     for size in (1, 3, *decontaminate.SIZES):
         items = spark.createDataFrame([(i, len(texts[i]), size, texts[i]) for i in texts if len(texts[i]) >= size], "item_id int, n int, size int, words array<string>")
         found = {(r["item_id"], r["start"]): r["print"] for r in decontaminate.item_windows(items).collect()}
@@ -533,8 +533,8 @@ def test_windows_of_long_texts_are_whole(spark):
     for n in (2 * decontaminate.SEGMENT + 40, 2 * decontaminate.SEGMENT, decontaminate.SEGMENT + 1):
         df = spark.createDataFrame([(1, [f"w{k}" for k in range(n)])], "id int, words array<string>")
         got = [(r["size"], r["start"]) for r in decontaminate.windows(df, ["id"], list(decontaminate.SIZES)).select("size", "start").collect()]
-        assert sorted(got) == [(s, at) for s in decontaminate.SIZES for at in range(0, n - s + 1, s // 2)]
-    assert all(decontaminate.SEGMENT % decontaminate.stride(s) == 0 and s < 1 << decontaminate.WIDTH - 1 or s == 16 for s in decontaminate.SIZES)
+        assert sorted(got) == [(s, at) for s in decontaminate.SIZES for at in range(0, n - s + 1, decontaminate.stride(s))]
+    assert all(decontaminate.SEGMENT % decontaminate.stride(s) == 0 and s <= 1 << decontaminate.WIDTH - 1 for s in decontaminate.SIZES)
 
 
 @settings(max_examples=300, deadline=None)
