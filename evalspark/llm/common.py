@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java and RE2 class of the characters that words are made of: everything but ASCII white space.
@@ -57,9 +57,22 @@ def hash_fold(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def smallest(df: DataFrame, key: Column, limit: int) -> DataFrame:
-    """The rows with the smallest hash keys, at most limit of them: a bounded seeded sample."""
-    return df.withColumn("_k", key).orderBy("_k").limit(limit).drop("_k")
+def training_sample(rows: DataFrame, label: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """text and label of a bounded seeded sample of rows (doc_id, text, label), whole texts in the order of their ids' hashes.
+
+    The first max_rows different rows take part, as far as their texts come to max_bytes together; a text of
+    more than a sixteenth of that is left out. Rows that repeat id and text count once, with the largest label.
+    """
+    marked = rows.select("doc_id", "text", label, F.xxhash64("text").alias("_t"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    known = marked.where(size * 16 <= max_bytes).groupBy("doc_id", "_t").agg(F.max(size).alias("_n"))
+    first = known.withColumn("_k", F.xxhash64("doc_id")).orderBy("_k", "doc_id", "_t").limit(max_rows)
+    line = Window.orderBy("_k", "doc_id", "_t").rowsBetween(Window.unboundedPreceding, 0)
+    keys = first.withColumn("_sum", F.sum("_n").over(line)).where(F.col("_sum") <= max_bytes).select("doc_id", "_t")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_s"))
+    met = marked.join(F.broadcast(keys.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_s"))), same, "left_semi")
+    once = met.groupBy("doc_id", "_t").agg(F.min("text").alias("text"), F.max(label).alias(label))
+    return once.orderBy(F.xxhash64("doc_id"), "doc_id", "_t").select("text", label)
 
 
 @contextmanager

@@ -7,7 +7,8 @@ language lacks the n-gram. Letters are compared in lower case; whatever is no le
 
 The profiles come from a bounded sample of labelled rows. A null text, or one without letters, is
 "und" with score 0; equal distances go to the language that sorts first; without any labelled row
-every text is "und".
+every text is "und". A letter is what Unicode calls one; each has a code of its own. Repeated rows get the same answer. An empty table gives no rows.
+Columns named lang_pred or score are replaced, others but the text are kept. Long texts are counted in parts that end at white space.
 """
 
 from __future__ import annotations
@@ -21,37 +22,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import hash_fold, pieces, smallest
+from evalspark.llm.common import cut_texts, hash_fold, pieces, training_sample
 
-PROFILE, BITS = 300, 7
-#: At most so many labelled rows are collected for the profiles.
-MAX_TRAINING_ROWS = 2000
-_CODES = 1 << BITS
+PROFILE, BITS = 300, 16
+#: At most so many labelled rows, and bytes of their texts, are collected for the profiles.
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 2000, 64 << 20
+#: Letters beyond the first plane take the place of its private characters.
+_PRIVATE, _PRIVATE_SIZE = 0xE000, 6400
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def _letter_codes() -> np.ndarray:
-    """Code of each UTF-16 unit: 0 for what is no letter, a-z first, other letters by their low bits."""
-    codes = np.zeros(65536, dtype=np.uint32)
+    """Code of each UTF-16 unit: 0 for what is no letter, else the unit of its lower case."""
+    codes = np.zeros(65536, dtype=np.uint64)
     for unit in range(65536):
         char = chr(unit)
-        if 0xD800 <= unit < 0xE000:  # halves of letters beyond the first plane
-            codes[unit] = 27 + unit % (_CODES - 27)
-        elif char.isalpha():
-            low = char.lower()[0]
-            codes[unit] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (_CODES - 27)
+        if char.isalpha():
+            codes[unit] = ord(char.lower()[0])
+    codes[_PRIVATE : _PRIVATE + _PRIVATE_SIZE] = np.arange(_PRIVATE, _PRIVATE + _PRIVATE_SIZE)
     return codes
 
 
 _LETTERS = _letter_codes()
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+_ANY_PRIVATE = re.compile(f"[{chr(_PRIVATE)}-{chr(_PRIVATE + _PRIVATE_SIZE - 1)}]")
 
 
-def counted_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of each text: text number, code, count, sorted by text and code."""
-    units = [np.frombuffer(f" {t} ".encode("utf-16-le", "surrogatepass"), dtype=np.uint16) for t in texts]
+def plane(text: str) -> str:
+    """The text within the first plane: letters beyond it by a private character, other characters beyond it and private ones as blanks."""
+    if text.isascii():
+        return text
+    text = _ANY_PRIVATE.sub(" ", text)
+    return _BEYOND.sub(lambda m: chr(_PRIVATE + ord(m[0].lower()) % _PRIVATE_SIZE) if m[0].isalpha() else " ", text)
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    units = [np.frombuffer(f" {plane(t)} ".encode("utf-16-le", "surrogatepass"), dtype=np.uint16) for t in texts]
     flat = _LETTERS[np.concatenate(units)]
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(u) for u in units])
-    keep = np.flatnonzero((flat > 0) | (np.concatenate(([1], flat[:-1])) > 0))  # one mark between words
+    # One mark between words, and one before the first of each text.
+    keep = np.flatnonzero((flat > 0) | (np.concatenate(([1], flat[:-1])) > 0) | (np.diff(owner, prepend=owner[:1]) != 0))
     flat, owner = flat[keep], owner[keep]
     inside = flat > 0
     keys = []
@@ -63,12 +76,25 @@ def counted_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         for k in range(n):
             code = (code << np.uint64(BITS)) | flat[k : m + k]
         same = (owner[:m] == owner[n - 1 :]) & (inside[:m] | inside[n - 1 :]) if n < 3 else (owner[:m] == owner[n - 1 :]) & inside[1 : m + 1]
-        keys.append((owner[:m][same] << np.uint64(24)) | np.uint64(n << 21) | code[same])
+        keys.append((owner[:m][same] << np.uint64(50)) | np.uint64(n << 48) | code[same])
     key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64)
-    edge = np.flatnonzero(np.diff(key, prepend=np.uint64(2**63)) != 0)
+    edge = np.flatnonzero(np.diff(key, prepend=np.uint64(2**64 - 1)) != 0)
     count = np.diff(np.append(edge, len(key)))
     key = key[edge]
-    return (key >> np.uint64(24)).astype(np.int64), (key & np.uint64(0xFFFFFF)).astype(np.int64), count
+    return (key >> np.uint64(50)).astype(np.int64), (key & np.uint64((1 << 50) - 1)).astype(np.int64), count
+
+
+def counted_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of each text: text number, code, count, sorted by text and code."""
+    parts, owner = cut_texts(texts)
+    if len(parts) == len(texts):
+        return _counted(texts)
+    found = [(owner[at + text], code, count) for at, run in pieces(parts) for text, code, count in [_counted(run)]]
+    text, code, count = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((code, text))
+    text, code, count = text[order], code[order], count[order]
+    edge = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+    return text[edge], code[edge], np.add.reduceat(count, edge) if len(edge) else count
 
 
 def ranked_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,17 +138,17 @@ def fit(texts: list[str | None], langs: list[str]) -> Profiles:
 class Identifier:
     def __init__(self, profiles: Profiles):
         self.names = profiles.names
-        self.place = np.zeros(1 << 24, dtype=np.int32)
-        self.place[profiles.ranks[0]] = 1 + np.arange(profiles.ranks.shape[1])
+        self.codes = profiles.ranks[0]
         absent = np.full((len(self.names), 1), PROFILE)
         self.ranks = np.hstack([absent, profiles.ranks[1:]])
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        letters = np.array([bool(_HAS_LETTER.search(t)) for t in texts])
-        if not self.names or not letters.any():
+        letters = np.array([has_letter(t) for t in texts])
+        if not len(self.codes) or not letters.any():
             return ["und"] * len(texts), np.zeros(len(texts))
         text, code, rank = ranked_grams(texts)
-        at = self.place[code]
+        near = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        at = np.where(self.codes[near] == code, near + 1, 0)
         size = np.maximum(1, np.bincount(text, minlength=len(texts)))
         distance = np.array([np.bincount(text, weights=np.where(r[at] < PROFILE, np.abs(r[at] - rank), PROFILE), minlength=len(texts)) for r in self.ranks])
         distance /= size * PROFILE
@@ -132,11 +158,10 @@ class Identifier:
         return [self.names[b] if h else "und" for b, h in zip(best, letters)], score
 
 
-def training_rows(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """text, lang of at most max_rows rows outside the held-out fold, chosen by a hash of the id."""
+def training_rows(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES) -> DataFrame:
+    """text, lang of a bounded sample of the rows with a language outside the held-out fold."""
     known = docs.where("lang is not null and text is not null").where(hash_fold(F.col("doc_id"), 4) != 2)
-    few = smallest(known.select("doc_id"), F.xxhash64("doc_id"), max_rows).distinct()
-    return known.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").select("text", "lang")
+    return training_sample(known, "lang", max_rows, max_bytes)
 
 
 def fit_rows(rows: DataFrame) -> Profiles:
@@ -153,12 +178,12 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Identifier(shared.value)
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
             names, scores = [], []
-            for _, part in pieces(texts):
-                lang, score = known(part)
-                names += lang
-                scores.append(score)
+            for first in range(0, batch.num_rows, 256):
+                for _, part in pieces(batch.column(len(kept)).slice(first, 256).to_pylist()):
+                    lang, score = known(part)
+                    names += lang
+                    scores.append(score)
             found = [pa.array(names, type=pa.string()), pa.array(np.concatenate(scores) if scores else [], type=pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found], names=[*kept, "lang_pred", "score"])
 

@@ -4,10 +4,12 @@ Zstandard dictionaries are trained from blocks of good and of bad labelled texts
 blocks, each is compressed with either dictionary, and the normalised difference
 (bad - good) / (bad + good) of the sizes says which kind of text it resembles. A logistic fit turns
 the differences of the whole text and of its most extreme blocks, with the plain compression ratio,
-into a calibrated probability; the labelled rows of the fit don't take part in the dictionaries.
+into a calibrated probability. It is fitted on features of rows that took no part in the dictionaries they are measured with, fold by fold;
+the dictionaries that are kept come from all labelled rows of the sample.
 
 Null and empty texts count as one empty block. Without labels, or with labels of one class only,
-every text gets the smoothed share of that class (0.5 without labels).
+every text gets the smoothed share of that class (0.5 without labels). Equal texts and repeated rows get equal scores. An empty table gives no
+rows. A column named as the output is replaced, others are kept. Texts of any length are scored whole, block by block.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import hash_fold, smallest
+from evalspark.llm.common import hash_fold, training_sample
 from evalspark.llm.models import fit_logistic, logistic
 
 BLOCK_BYTES, LEVEL, DICTIONARY_BYTES = 2048, 3, 65536
-#: At most so many labelled rows are collected, and so many bytes of each class train its dictionary.
-MAX_TRAINING_ROWS, MAX_CLASS_BYTES = 6000, 8_000_000
+#: At most so many labelled rows, and bytes of their texts, are collected to fit the model; all of them train the dictionaries.
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 6000, 64 << 20
 
 
 @dataclass
@@ -48,8 +50,6 @@ def _dictionary(texts: list[str | None]) -> bytes:
             half = len(block) // 2
             blocks += [x for x in (block[:half], block[half:]) if len(x) >= 8]
             size += len(block)
-        if size >= MAX_CLASS_BYTES:
-            break
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 4)), blocks).as_bytes()
     except zstandard.ZstdError:  # too few samples to choose from: they are the dictionary themselves
@@ -77,7 +77,7 @@ class Sizes:
 
 
 def fit(texts: list[str | None], quality: np.ndarray) -> QualityModel:
-    """Dictionaries from two thirds of the rows, the calibration from the last third and back again:
+    """Dictionaries from two thirds of the rows, features of the last third, in turn:
     three folds give out-of-fold features, and the dictionaries that are kept come from all rows."""
     quality = np.asarray(quality, dtype=float)
     if not len(texts):
@@ -95,11 +95,12 @@ def fit(texts: list[str | None], quality: np.ndarray) -> QualityModel:
     return QualityModel(*of(fold >= 0), fit_logistic(rows, quality, l2=0.1))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """text, quality of at most max_rows labelled rows outside the held-out fold, chosen by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES) -> DataFrame:
+    """text, quality of a bounded sample of the labelled rows outside the held-out fold; of labels that differ for an id the larger counts."""
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(hash_fold(F.col("doc_id"), 4) != 2)
-    few = smallest(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), F.xxhash64("doc_id"), max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "text").select("text", "quality")
+    # Twice as many ids as rows, as labels may be of ids that have no document.
+    few = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("_k", F.xxhash64("doc_id")).orderBy("_k", "doc_id").limit(2 * max_rows).drop("_k")
+    return training_sample(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "quality", max_rows, max_bytes)
 
 
 def fit_rows(rows: DataFrame) -> QualityModel:

@@ -8,7 +8,8 @@ statistics. starts() adds the number of ids before each document from the per-fi
 
 Encoding remembers the ids of white-space-separated pieces in a bounded cache: the tokenizer drops
 white space and never joins over it, so a text's ids are those of its pieces in a row. Texts with
-the control characters below, or the brackets of special tokens, are encoded whole.
+the control characters below, or the brackets of special tokens, are encoded whole, as are all texts by a tokenizer
+whose file doesn't say that it works so. Long texts are cut at white space for the work arrays.
 
 Null and empty texts have only the end id. Repeated rows are encoded each; extra columns are
 dropped from the files. An empty table gives files without rows.
@@ -16,6 +17,7 @@ dropped from the files. An empty table gives files without rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.common import word_places
+from evalspark.llm.common import cut_texts, pieces, word_places
 
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES = 8 << 20, 64 << 10
@@ -44,6 +46,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def parted_by_blanks(spec: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, lowers letters, ends words with a mark and drops white space without ever joining over it."""
+    steps = lambda part, names: (spec.get(part) or {}).get(names) or [spec.get(part) or {}]
+    normal = [x.get("type") for x in steps("normalizer", "normalizers")]
+    before = steps("pre_tokenizer", "pretokenizers")
+    split = before[0]
+    drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and "[^\\s" in split.get("pattern", {}).get("Regex", "")
+    rest = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in before[1:])
+    model = spec.get("model", {})
+    return bool(drops and rest and "Lowercase" in normal and set(normal) <= {"NFC", "Replace", "Lowercase"} and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>")
+
+
 class Encoder:
     """Encodes lists of texts; keeps the ids of the white-space-separated pieces that it has seen.
 
@@ -55,6 +69,8 @@ class Encoder:
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
+        with open(tokenizer_file, encoding="utf-8") as file:
+            self.by_pieces = parted_by_blanks(json.load(file))
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -116,14 +132,11 @@ class Encoder:
             places[odd] = self._encode_each([pieces[i] for i in odd])
         return places
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, text after text, each text closed by END_ID; and the number of ids of each."""
-        texts = [t or "" for t in texts]
-        whole = [i for i, t in enumerate(texts) if any(x in t for x in _WHOLE)]
-        kept = texts if not whole else ["" if any(x in t for x in _WHOLE) else t for t in texts]
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, end to end, and the number of ids of each."""
         if len(self.starts) > MAX_PIECES:
             self._forget()
-        buffer, starts, ends, hashes, counts = word_places(kept)
+        buffer, starts, ends, hashes, counts = word_places(texts)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, distinct)
         new = np.ones(len(distinct), dtype=bool) if not len(self.hashes) else self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct
@@ -136,7 +149,21 @@ class Encoder:
             at = np.searchsorted(self.hashes, distinct)
         ids, totals = self._gather(self.places[at][inverse] if len(distinct) else np.zeros(0, dtype=np.int64))
         sums = np.concatenate(([0], totals))[np.concatenate(([0], np.cumsum(counts)))]
-        parts = [ids[a:b] for a, b in zip(sums[:-1], sums[1:])]
+        return ids, np.diff(sums)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text after text, each text closed by END_ID; and the number of ids of each."""
+        texts = [t or "" for t in texts]
+        whole = [i for i, t in enumerate(texts) if not self.by_pieces or any(x in t for x in _WHOLE)]
+        kept = list(texts)
+        for i in whole:
+            kept[i] = ""
+        cut, owner = cut_texts(kept)
+        found = [self._encode(run) for _, run in pieces(cut)]
+        ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int32)
+        n = np.bincount(owner, weights=np.concatenate([x for _, x in found]), minlength=len(texts)).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
+        ends = np.cumsum(n)
+        parts = [ids[b - k : b] for b, k in zip(ends, n)]
         for i in whole:
             parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.int32)
         end = np.array([END_ID], dtype=np.int32)
@@ -191,6 +218,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([T.StructField("row", T.LongType()), *IDS_SCHEMA.fields])).parquet(path)
 
 
+def read_documents(spark: SparkSession, path: str, low: int, high: int, ids: bool = True) -> DataFrame:
+    """The documents with low <= doc_id <= high: whole files, row groups and pages of others are skipped by their statistics, ids too if they aren't asked for."""
+    rows = read_tokens(spark, path).where((F.col("doc_id") >= low) & (F.col("doc_id") <= high))
+    return rows if ids else rows.drop("ids")
+
+
 def starts(tokens: DataFrame) -> DataFrame:
     """tokens with start: the ids of all documents before. Only the per-file totals meet in one task."""
     tokens = tokens.withColumn("part", F.shiftright("row", 33))

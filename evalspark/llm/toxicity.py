@@ -10,15 +10,16 @@ lower the similarity and don't destroy it. The Nyström method projects on landm
 support vector machine on that projection is linear in the kernel's own feature space, so scoring a
 word sums one table entry for each of its triples.
 
-The words of whole labelled documents teach it, not sentences: the labels are the documents', and
-nothing tells which sentence of a toxic one earned it. Words that a toxic document may owe its label to
-are positives, words of documents that are not toxic are negatives, in a few rounds
-that replace both by what the last machine confuses. Document features are the highest decision
+Sentences of labelled documents teach it: each has its document's label, since labels are the documents'. Words that a toxic
+document's sentences may owe their label to are positives, words of sentences of other documents are negatives, in a few rounds
+that replace both by what the last machine confuses. Words are chosen by counts over all sentences of the sample: WITNESSES,
+NEGATIVE_LANDMARKS and MAX_NEGATIVE_WORDS bound how many of them stand in one fit. Document features are the highest decision
 value, the mean of the three highest, and how many words are above zero and clearly above it; a logistic fit on
 out-of-fold features turns them into a probability.
 
 Null and empty texts get the features of a text without words. Ties and repeated rows are scored
-alike. An empty labels table gives the constant score 0.5 to every text.
+alike. An empty labels table gives the constant score 0.5 to every text; an empty table of documents gives no rows. A column
+named as the output is replaced, others are kept. Texts of any length are scored whole, 256 rows at a time.
 """
 
 from __future__ import annotations
@@ -33,19 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import column, hash_fold, smallest
+from evalspark.llm.common import column, hash_fold, training_sample
 from evalspark.llm.models import fit_logistic, fit_squared_hinge, logistic
 
 SPAN, DECAY, LETTERS = 5, 0.6, 64
 #: Strings of more than LONGEST letters are cut into windows; an insult with its gaps fits into the overlap.
 LONGEST, WINDOW, STRIDE = 64, 24, 4
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS = 160, 64
-#: At most so many labelled rows are collected to fit the model.
-MAX_TRAINING_ROWS = 4000
+#: At most so many labelled rows, and bytes of their texts, are collected to fit the model.
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 4000, 64 << 20
+#: At most so many words of toxic documents stand in one fit: first ones, kept ones, and those found later.
+WITNESSES, KEPT_WITNESSES, FOUND_WITNESSES = 2000, 500, 6000
 #: At most so many words that are not toxic are used in one fit, and kept in a worker's cache.
 MAX_NEGATIVE_WORDS, MAX_CACHED = 24_000, 400_000
 #: L2 penalty per training word, and the share of the loss that positives carry.
 PENALTY, POSITIVE_SHARE = 3e-6, 0.4
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 _OFFSETS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 
 
@@ -79,7 +83,7 @@ def words_of(text: str) -> set[str]:
 
 @dataclass
 class Triples:
-    """The letter triples of many words: word number, code and weight of each; norms of the words."""
+    """The distinct letter triples of many words: word number, code and weight of each; the norms of the words, the roots of their kernels with themselves."""
 
     word: np.ndarray
     code: np.ndarray
@@ -100,7 +104,10 @@ def triples(words: list[str]) -> Triples:
         code = (codes[at] * LETTERS + codes[at + a]) * LETTERS + codes[at + b]
         parts.append((owner[at], code, np.full(len(at), DECAY ** (b - 2))))
     word, code, weight = (np.concatenate(x) for x in zip(*parts))
-    norm = np.sqrt(np.bincount(word, weights=weight**2, minlength=len(words))) if len(word) else np.zeros(len(words))
+    # A triple that a word has at several places weighs their sum.
+    key, at = np.unique(word * LETTERS**3 + code, return_inverse=True)
+    word, code, weight = key // LETTERS**3, key % LETTERS**3, np.bincount(at, weights=weight, minlength=len(key))
+    norm = np.sqrt(np.bincount(word, weights=weight**2, minlength=len(words)))
     return Triples(word, code, weight, np.maximum(norm, 1e-9))
 
 
@@ -155,12 +162,21 @@ def _order(word: str) -> int:
     return h
 
 
-def fit_machine(docs: list[set[str]], toxic: np.ndarray, rounds: int = 3) -> Machine:
-    """A machine for single words from documents as sets of words and their labels."""
+def sentences(text: str) -> list[str]:
+    """The sentences of a text: what full stops, question and exclamation marks before white space, and line ends part."""
+    return [s for s in _SENTENCE_END.split(text) if s]
+
+
+def fit_machine(sentenced: list[list[set[str]]], toxic: np.ndarray, rounds: int = 3) -> Machine:
+    """A machine for single words from documents, lists of sentences as sets of words, and the documents' labels, which are their sentences' labels."""
     pos, neg = Counter(), Counter()
-    for words, label in zip(docs, toxic):
-        (pos if label else neg).update(words)
-    n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    n_pos = n_neg = 0
+    for parts, label in zip(sentenced, toxic):
+        for words in parts:
+            (pos if label else neg).update(words)
+        n_pos, n_neg = n_pos + len(parts) * bool(label), n_neg + len(parts) * (not label)
+    n_pos, n_neg = max(1, n_pos), max(1, n_neg)
+    docs = [set().union(*parts) for parts in sentenced]
     if not pos or not neg:
         return Machine(np.zeros(LETTERS**3), 0.0)
 
@@ -180,7 +196,7 @@ def fit_machine(docs: list[set[str]], toxic: np.ndarray, rounds: int = 3) -> Mac
     common = [w for w, _ in neg.most_common(400) if w not in strength or strength[w] < 1]
     marks = Landmarks(list(dict.fromkeys(witness[:POSITIVE_LANDMARKS] + common[: NEGATIVE_LANDMARKS // 2] + background[: NEGATIVE_LANDMARKS // 2])))
     frequent = sorted((w for w in neg if purity(w) == 0.0), key=lambda w: (-neg[w], w))[: MAX_NEGATIVE_WORDS // 8]
-    negatives, positives = list(dict.fromkeys(frequent + background[: MAX_NEGATIVE_WORDS // 2])), witness[:2000]
+    negatives, positives = list(dict.fromkeys(frequent + background[: MAX_NEGATIVE_WORDS // 2])), witness[:WITNESSES]
     machine = Machine(np.zeros(LETTERS**3), 0.0)
     all_neg = sorted(neg)
     for _ in range(rounds):
@@ -201,7 +217,7 @@ def fit_machine(docs: list[set[str]], toxic: np.ndarray, rounds: int = 3) -> Mac
             if label and words:
                 best = sorted(words, key=lambda x: (-known[x], x))[:6]
                 chosen.update(x for x in best if known[x] > 0 and pos[x] * n_neg > 3 * neg[x] * n_pos)
-        positives = sorted(set(witness[:500]) | set(chosen))[:6000]
+        positives = sorted(set(witness[:KEPT_WITNESSES]) | set(chosen))[:FOUND_WITNESSES]
         # What was hard once stays: else it would rise again as soon as it is left out.
         sure = set(positives)
         negatives = list(dict.fromkeys(x for x in negatives + hard if x not in sure))
@@ -226,7 +242,7 @@ class ToxicityModel:
 def fit(texts: list[str | None], toxic: np.ndarray, folds: int = 3) -> ToxicityModel:
     # One string for each word, however many documents have it.
     strings: dict[str, str] = {}
-    docs = [{strings.setdefault(w, w) for w in words_of(t or "")} for t in texts]
+    docs = [[{strings.setdefault(w, w) for w in words_of(s)} for s in sentences(t or "")] for t in texts]
     del strings
     toxic = np.asarray(toxic, dtype=float)
     if not len(docs):
@@ -238,7 +254,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, folds: int = 3) -> ToxicityM
             continue
         machine = fit_machine([d for d, h in zip(docs, held) if not h], toxic[~held])
         for i in np.flatnonzero(held):
-            rows.append(document_features(word_values(sorted(docs[i]), machine)))
+            rows.append(document_features(word_values(sorted(set().union(*docs[i])), machine)))
             y.append(toxic[i])
     calibration = fit_logistic(np.array(rows), np.array(y), l2=0.3) if rows else np.zeros(6)
     return ToxicityModel(fit_machine(docs, toxic), calibration)
@@ -268,11 +284,12 @@ class Scorer:
         return logistic(x @ self.model.calibration[:-1] + self.model.calibration[-1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """text, toxic of at most max_rows labelled rows outside the held-out fold, chosen by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES) -> DataFrame:
+    """text, toxic of a bounded sample of the labelled rows outside the held-out fold; of labels that differ for an id the larger counts."""
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(hash_fold(F.col("doc_id"), 3) != 1)
-    few = smallest(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), F.xxhash64("doc_id"), max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "text").select("text", "toxic")
+    # Twice as many ids as rows, as labels may be of ids that have no document.
+    few = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_k", F.xxhash64("doc_id")).orderBy("_k", "doc_id").limit(2 * max_rows).drop("_k")
+    return training_sample(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "toxic", max_rows, max_bytes)
 
 
 def fit_rows(rows: DataFrame) -> ToxicityModel:
@@ -291,8 +308,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 score = pa.array(scorer(part.column(place).to_pylist()), type=pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, score], names=[*part.schema.names, out])
 

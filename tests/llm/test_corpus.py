@@ -235,17 +235,92 @@ def test_toxicity_without_labels_and_odd_rows(spark):
     assert toxicity.score_toxicity(odd.limit(0), model).count() == 0
 
 
+def plain_kernel(a, b):
+    """Every triple of letters in order, at most SPAN places apart, weighs DECAY to the number of letters skipped; normalised."""
+
+    def features(w):
+        w, found = "^" + w, Counter()
+        for i in range(len(w)):
+            for k in range(i + 2, min(len(w), i + toxicity.SPAN + 1)):
+                for j in range(i + 1, k):
+                    found[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i - 2)
+        return found
+
+    x, y = features(a), features(b)
+    dot = lambda p, q: sum(v * q[t] for t, v in p.items())
+    return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+
+
 def test_kernel_of_one_word_with_another():
-    def kernel(a, b):
-        t = toxicity.triples([a, b])
+    words = ["idiot", "idxiot", "banana", "wretchling", "wretchxlxing", "aaaaaa", "abc", "w" * 40 + "retch"]
+    t = toxicity.triples(words)
+    for i, a in enumerate(words):
         table = np.zeros(toxicity.LETTERS**3)
-        for code, weight, word in zip(t.code, t.weight, t.word):
-            if word == 1:
-                table[code] += weight
-        return toxicity.table_sums([a], table)[0] / t.norm[1]
+        table[t.code[t.word == i]] = t.weight[t.word == i]
+        got = toxicity.table_sums(words, table) / t.norm[i]
+        assert got == pytest.approx([plain_kernel(a, b) for b in words], abs=1e-9) and got[i] == pytest.approx(1.0, abs=1e-12)
+    assert plain_kernel("idxiot", "idiot") > 0.4 > plain_kernel("banana", "idiot")
+
+
+def test_nystroem_projection_keeps_the_kernel_of_landmarks():
+    words = ["idiot", "idxiot", "banana", "wretchling", "tarmo", "lensik"]
+    marks = toxicity.Landmarks(words)
+    x = marks.project(words)
+    assert x @ x.T == pytest.approx(np.array([[plain_kernel(a, b) for b in words] for a in words]), abs=1e-4)
+    beta = np.arange(x.shape[1], dtype=float)
+    others = ["idiott", "bandana", "pirus"]
+    assert toxicity.table_sums(others, marks.table(beta)) == pytest.approx(marks.project(others) @ beta, abs=1e-4)
+
+
+def test_sentences_make_up_the_text():
+    assert toxicity.sentences("One here. Two there! Is v1.2 three?\nFour") == ["One here.", "Two there!", "Is v1.2 three?", "Four"]
+    assert toxicity.sentences("") == [] and toxicity.sentences("no end") == ["no end"]
 
-    assert kernel("idiot", "idiot") == pytest.approx(1.0, abs=0.2)
-    assert kernel("idxiot", "idiot") > 0.4 > kernel("banana", "idiot")
+
+def test_toxicity_of_columns_with_clashing_names_and_conflicting_labels(spark):
+    docs, labels = labelled(spark, 60)
+    both = labels.union(labels.withColumn("toxic", 1 - F.col("toxic")))
+    assert {r["toxic"] for r in toxicity.training_rows(docs, both).collect()} == {1}
+    odd = docs_of(spark, ODD_TEXTS)
+    got = toxicity.score_toxicity(odd, toxicity.fit_rows(toxicity.training_rows(docs, labels)))
+    assert got.columns == [c for c in odd.columns if c != "score"] + ["score"] and got.where("score is null").count() == 0
+
+
+def test_training_samples_are_bounded(spark):
+    rows = spark.createDataFrame([(1, "same", 0)] * 500 + [(1, "same", 1), (2, "x" * 300, 0), (3, "y" * 2000, 1)] + [(i, f"t{i}", 0) for i in range(4, 40)], "doc_id long, text string, label int")
+    got = common.training_sample(rows, "label", 20, 16_000).collect()
+    assert len(got) == 20 and all(r["label"] == 1 for r in got if r["text"] == "same") and "y" * 2000 not in {r["text"] for r in got}
+    assert sum(len(r["text"]) for r in common.training_sample(rows, "label", 1000, 320).collect()) <= 320
+    assert common.training_sample(rows.limit(0), "label", 5, 100).count() == 0
+
+
+def test_quality_scores_are_compressed_sizes():
+    """Against sizes compressed one by one, and a calibration worked out again."""
+    import zstandard
+
+    rng = np.random.default_rng(8)
+    good, bad = (["".join(rng.choice(list(s), 900)) for _ in range(40)] for s in ("etaoin shr", "zqxjkv 0123"))
+    texts, y = [t for pair in zip(good, bad) for t in pair], np.array([1, 0] * 40)
+    model = quality.fit(texts, y)
+    assert model.good != model.bad
+    sizes = quality.Sizes(model.good, model.bad)
+    for text in (good[0], bad[0] + good[1] * 4, "", "é" * 3000):
+        data = text.encode()
+        blocks = [data[i : i + quality.BLOCK_BYTES] for i in range(0, len(data), quality.BLOCK_BYTES)] or [b""]
+        size = lambda d: np.array([len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d).compress(b)) for b in blocks], dtype=float)
+        g, b = (size(zstandard.ZstdCompressionDict(d)) for d in (model.good, model.bad))
+        each = (b - g) / (b + g)
+        assert sizes.features(text)[:3] == pytest.approx([10 * (b.sum() - g.sum()) / (b.sum() + g.sum()), 10 * each.min(), 10 * each.max()])
+    x = np.array([sizes.features(t) for t in texts])
+    score = 1 / (1 + np.exp(-(x @ model.calibration[:-1] + model.calibration[-1])))
+    assert (score[y == 1] > 0.7).all() and (score[y == 0] < 0.3).all()
+
+
+def test_a_large_class_is_read_whole():
+    """What stands at the end of a class above eight megabytes changes its dictionary."""
+    filler = ["".join(chr(97 + (i * 7 + k * k) % 26) for k in range(2000)) for i in range(10)]
+    texts = [filler[i % 10] for i in range(4200)] + ["zyxwv unmistakable tail " * 80] * 400
+    assert sum(map(len, texts[:4200])) > 8_000_000 and quality._dictionary(texts) != quality._dictionary(texts[:4200])
 
 
 def test_quality_on_given_documents(spark):
@@ -277,36 +352,55 @@ def test_language_edge_cases(spark):
     train = [("the cat sat on the mat", "en"), ("der hund und die katze", "de")]
     profiles = language.fit(*zip(*train))
     odd = docs_of(spark, ODD_TEXTS).drop("lang")
-    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(odd, profiles).collect() if r["doc_id"] is not None}
+    found = language.identify(odd, profiles)
+    got = {r["doc_id"]: r["lang_pred"] for r in found.collect() if r["doc_id"] is not None}
     assert {got[i] for i in (0, 1, 2, 3)} == {"und"} and "und" not in {got[i] for i in (4, 7, 11)}
+    assert found.columns == [c for c in odd.columns if c not in ("text", "score")] + ["lang_pred", "score"]
     assert language.Identifier(profiles)(["the mat", "und die"])[0] == ["en", "de"]
     assert {r["lang_pred"] for r in language.identify(odd, language.fit([], [])).collect()} == {"und"}
+    assert language.identify(odd.limit(0), profiles).count() == 0
+    # Neither halves, numbers nor emoji are letters; letters of any plane are.
+    names, scores = language.Identifier(profiles)(["½ ² ①", "😀 1!", "\ue000", "\U00010330\U00010331", "ж", ""])
+    assert names[:3] == ["und"] * 3 and "und" not in names[3:5] and names[5] == "und" and list(scores[:3]) == [0, 0, 0]
+
+
+def test_equal_distances_go_to_the_first_language():
+    profiles = language.fit(["aa bb", "aa bb"], ["x", "a"])
+    assert language.Identifier(profiles)(["aa", "zz"]) [0] == ["a", "a"]
 
 
-def test_out_of_place_distance():
-    """Against a direct count of n-grams and ranks."""
-    text = "abab ab, cab"
+def plain_grams(text):
     grams = Counter()
-    padded = [f" {w} " for w in re.findall("[a-z]+", text)]
-    for w in padded:
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        padded = f" {w} "
         for n in (1, 2, 3):
-            for k in range(len(w) - n + 1):
-                g = w[k : k + n]
-                if g.strip():
-                    grams[g] += 1
-    _, code, rank = language.ranked_grams([text])
-    counts = sorted(grams.values(), reverse=True)
-    assert len(code) == len(grams) and sorted(rank.tolist()) == list(range(len(grams)))
-    by_code = Counter()
-    for g, c in grams.items():
-        value = len(g) << 21
-        for ch in g:
-            value += 0
-        letters = 0
-        for ch in g:
-            letters = (letters << language.BITS) | (0 if ch == " " else ord(ch) - 96)
-        by_code[(len(g) << 21) | letters] = c
-    assert [by_code[c] for c in code[np.argsort(rank)]] == counts
+            for k in range(len(padded) - n + 1):
+                if padded[k : k + n].strip():
+                    grams[padded[k : k + n]] += 1
+    return grams
+
+
+def plain_ranks(grams):
+    """Most frequent first; of equal ones the smaller code: fewer letters, then letter by letter with the mark between words first."""
+    order = sorted(grams, key=lambda g: (-grams[g], len(g), [0 if c == " " else ord(c) for c in g]))
+    return {g: k for k, g in enumerate(order[: language.PROFILE])}
+
+
+def test_language_choice_is_the_least_out_of_place_distance(monkeypatch):
+    """Distance, choice and score against a plain count, for whole and for cut texts."""
+    train = {"en": "the cat sat on the mat and the dog ran " * 3, "de": "der hund und die katze über größe " * 3, "ru": "кот сидел на ковре и собака бежала " * 3}
+    profiles = language.fit(list(train.values()), list(train))
+    ranks = {lang: plain_ranks(plain_grams(t)) for lang, t in train.items()}
+    texts = ["the dog and die katze", "größe über alles", "собака and cat", "x", ". the", "mat " * 200 + "hund"]
+    for size in (common.LONG_TEXT, 12):
+        monkeypatch.setattr(common, "LONG_TEXT", size)
+        monkeypatch.setattr(common.cuts, "__defaults__", (size,))
+        names, scores = language.Identifier(profiles)(texts)
+        for text, name, score in zip(texts, names, scores):
+            mine = plain_ranks(plain_grams(text))
+            distance = {lang: sum(abs(r[g] - k) if g in r else language.PROFILE for g, k in mine.items()) / len(mine) / language.PROFILE for lang, r in ranks.items()}
+            best = min(sorted(distance), key=distance.get)
+            assert name == best and score == pytest.approx(1 / sum(np.exp(-20 * (d - distance[best])) for d in distance.values()))
 
 
 PART = "<p>big</p>\r\n\r\n"
@@ -417,13 +511,38 @@ def test_token_files_can_be_read_selectively(spark):
     assert all(group.column(k).has_column_index for k in range(2))
 
 
-def test_encoder_forgets_and_still_agrees():
+def test_documents_can_be_read_by_id(spark):
+    path = common.shared_path(spark, "token-test")
+    tokens.write_tokens(given_docs(spark), path, partitions=2)
+    every = {r["doc_id"]: r["ids"] for r in tokens.read_tokens(spark, path).collect()}
+    got = {r["doc_id"]: r["ids"] for r in tokens.read_documents(spark, path, 40, 60).collect()}
+    assert got == {i: x for i, x in every.items() if 40 <= i <= 60} and "ids" not in tokens.read_documents(spark, path, 40, 60, ids=False).columns
+
+
+def test_encoder_forgets_and_still_agrees(monkeypatch):
     known = tokens.Encoder(tokens.default_tokenizer())
-    texts = ["alpha beta, gamma. " * 3, "Delta epsilon! beta"]
+    texts = ["alpha beta, gamma. " * 3, "Delta epsilon! beta", "", LONG]
+    assert known.by_pieces
     first = known(texts)
     known._forget()
     again = known(texts)
     assert (first[0] == again[0]).all() and (first[1] == again[1]).all()
+    monkeypatch.setattr(common, "LONG_TEXT", 1000)
+    monkeypatch.setattr(common.cuts, "__defaults__", (1000,))
+    cut = known(texts)
+    assert (first[0] == cut[0]).all() and (first[1] == cut[1]).all()
+    known.by_pieces = False
+    whole = known(texts)
+    assert (first[0] == whole[0]).all() and (first[1] == whole[1]).all()
+
+
+def test_other_tokenizers_are_told_from_their_files():
+    import json
+
+    spec = json.loads(Path(tokens.default_tokenizer()).read_text())
+    assert tokens.parted_by_blanks(spec)
+    for part, value in (("normalizer", None), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": False}), ("model", {"type": "Unigram"})):
+        assert not tokens.parted_by_blanks(spec | {part: value})
 
 
 def test_mix(spark):
