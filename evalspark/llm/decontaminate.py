@@ -36,19 +36,19 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import picked, written
 
 SHINGLE, SIMILARITY = 5, 0.75
-#: Fingerprints: LANES lanes of WIDTH bits count the votes of as many bits at once, in WIDTH longs; a lane counts to 31.
-LANES, WIDTH = 12, 5
+#: Fingerprints: LANES lanes of WIDTH bits count the votes of as many bits at once, in WIDTH longs; a lane counts to 15, enough for 16 words.
+LANES, WIDTH = 15, 4
 BITS, RADIUS = LANES * WIDTH, 3
 _LANE = sum(1 << (WIDTH * i) for i in range(LANES))
 _BLOCK_BITS = BITS // (RADIUS + 1)
 #: Window sizes in words, beside whole texts of less than SHINGLE words. SEGMENT is a multiple of all their strides.
 SIZES, SEGMENT = (4, 8, 12, 16), 4096
-#: Item windows up to this many are sent to all tasks, more are met by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Items of up to this many words together are sent to all tasks, more are met by shuffles.
+BROADCAST_WORDS = 1_000_000
 
 
 def stride(size: int) -> int:
-    return min(4, size // 2)
+    return {4: 2, 16: 8}.get(size, 4)
 
 
 def least_run(n: int) -> int:
@@ -146,7 +146,7 @@ def blocks(print_: Column) -> Column:
 
 
 def weighted(items: DataFrame) -> DataFrame:
-    """item_id, n, _weights (shingle to weight), _places (shingle to its places) of items (item_id, n, words)."""
+    """item_id, n, _keys (its shingles), _weights (shingle to weight), _theirs (their sum), _places (shingle to its places), _unknown (the weight of others) of items (item_id, n, words)."""
     each = items.select("item_id", "n", F.posexplode(shingles(F.col("words"))).alias("pos", "shingle"))
     counts = each.groupBy("shingle").agg(F.countDistinct("item_id").alias("_df"))
     total = items.agg(F.count("*").cast("double").alias("_total"))
@@ -154,20 +154,21 @@ def weighted(items: DataFrame) -> DataFrame:
     weight = F.log(1 + (F.col("_total") + 1) / F.col("_df"))
     entries = lambda x: F.map_from_entries(F.collect_list(F.struct("shingle", x)))
     unknown = F.log(1 + F.max(F.col("_total") + 1))
-    return once.groupBy("item_id", "n").agg(entries(weight).alias("_weights"), entries(F.col("at")).alias("_places"), unknown.alias("_unknown"))
+    got = once.groupBy("item_id", "n").agg(entries(weight).alias("_weights"), entries(F.col("at")).alias("_places"), unknown.alias("_unknown"))
+    theirs = F.aggregate(F.map_values("_weights"), F.lit(0.0), lambda acc, x: acc + x)
+    return got.select("*", F.map_keys("_weights").alias("_keys"), theirs.alias("_theirs"))
 
 
-def meetings(text: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, _row, item_id, at: where by their fingerprints items (item_id, n, words) may begin in text (doc_id, _row, words)."""
+def meetings(text: DataFrame, items: DataFrame, few: bool) -> DataFrame:
+    """doc_id, _row, item_id, at: where by their fingerprints items (item_id, n, words) may begin in text (doc_id, _row, words). few: the items can be sent to all tasks."""
     lengths = [r["n"] for r in items.select("n").distinct().collect()]
     of = {n: window_size(n) for n in lengths}
     if not of:
         return text.select("doc_id", "_row", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("at")).limit(0)
     size = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("n"))
-    known = item_windows(items.withColumn("size", size))
-    index = known.select("item_id", "size", F.col("start").alias("_at"), F.col("print").alias("_print"), F.inline(blocks(F.col("print"))))
-    few = known.count() <= BROADCAST_WINDOWS
-    left = windows(text, ["doc_id", "_row"], sorted(set(of.values()) & set(SIZES))).select("*", F.inline(blocks(F.col("print"))))
+    index = item_windows(items.withColumn("size", size)).select("item_id", "size", F.col("start").alias("_at"), F.col("print").alias("_print"), F.inline(blocks(F.col("print"))))
+    left = windows(text, ["doc_id", "_row"], sorted(set(of.values()) & set(SIZES)))
+    left = left.select("*", F.inline(blocks(F.col("print"))))
     near = left.join(F.broadcast(index) if few else index, ["size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("_print"))) <= RADIUS)
     return near.select("doc_id", "_row", "item_id", (F.col("start") - F.col("_at")).alias("at")).distinct()
 
@@ -179,28 +180,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     items = benchmark.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", words(F.col("text")).alias("words"))
     items = written(items.where(F.size("words") > 0).withColumn("n", F.size("words")), "leak-items")
+    few = (items.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_WORDS
     marked = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_row"), "text")
-    met = written(meetings(marked.select("doc_id", "_row", words(F.col("text")).alias("words")), items), "leak-meetings")
+    met = written(meetings(marked.select("doc_id", "_row", words(F.col("text")).alias("words")), items, few), "leak-meetings")
 
     some = picked(marked, met.select("doc_id", "_row").distinct(), ["doc_id", "_row"]).dropDuplicates(["doc_id", "_row"])
-    pairs = met.join(some.select("doc_id", "_row", words(F.col("text")).alias("words")), ["doc_id", "_row"]).join(weighted(items), "item_id")
-    # The words around the place that the windows told, and the shingles of these.
-    low, size = F.greatest(F.lit(0), F.col("at") - F.col("n")), F.size("words")
-    pairs = pairs.select("doc_id", "item_id", "n", "_weights", "_places", "_unknown", size.alias("_size"), low.alias("_low"), F.slice("words", low + 1, 3 * F.col("n")).alias("_near"))
-    pairs = pairs.withColumn("_own", shingles(F.col("_near")))
+    weights = written(weighted(items), "leak-weights")
+    # A document's meetings stay together until its words have been cut to what is near each.
+    ends = met.join(items.select("item_id", "n"), "item_id").groupBy("doc_id", "_row").agg(F.collect_list(F.struct("item_id", "n", "at")).alias("_met"))
+    pairs = ends.join(some.select("doc_id", "_row", words(F.col("text")).alias("words")), ["doc_id", "_row"])
+    pairs = pairs.select("doc_id", F.size("words").alias("_size"), "words", F.inline("_met"))
+    low = F.greatest(F.lit(0), F.col("at") - F.col("n"))
+    near = F.transform(F.sequence(low, F.least(low + 3 * F.col("n"), F.col("_size")) - 1), lambda i: F.get("words", i))
+    pairs = pairs.select("doc_id", "item_id", "n", "_size", low.alias("_low"), near.alias("_near"))
+    pairs = pairs.select("doc_id", "item_id", "_size", "_low", F.size("_near").alias("_room"), shingles(F.col("_near")).alias("_own")).join(F.broadcast(weights) if few else weights, "item_id")
+
+    summed = lambda of, default: F.aggregate(of, F.lit(0.0), lambda acc, s: acc + F.coalesce(F.element_at("_weights", s), default))
+    # What is shared anywhere near bounds what a window shares.
+    bound = summed(F.array_intersect("_keys", "_own"), F.lit(0.0)) >= (similarity - 1e-9) * F.col("_theirs")
     aligned = lambda g, p: F.transform(F.coalesce(F.element_at("_places", g), F.array().cast("array<int>")), lambda q: F.greatest(F.lit(0), F.least(p + F.col("_low") - q, F.col("_size") - F.col("n"))))
-    inside = lambda at: (at >= F.col("_low")) & (at + F.least(F.col("n"), F.col("_size")) <= F.col("_low") + F.size("_near"))
+    inside = lambda at: (at >= F.col("_low")) & (at + F.least(F.col("n"), F.col("_size")) <= F.col("_low") + F.col("_room"))
     starts = F.filter(F.array_distinct(F.flatten(F.transform("_own", aligned))), inside)
-    pairs = pairs.withColumn("_starts", starts).where(F.size("_starts") > 0)
-
     width = F.greatest(F.lit(1), F.least(F.col("n"), F.col("_size")) - (SHINGLE - 1))
-    summed = lambda of, default: F.aggregate(of, F.lit(0.0), lambda acc, s: acc + F.coalesce(F.element_at("_weights", s), default))
-    theirs = F.aggregate(F.map_values("_weights"), F.lit(0.0), lambda acc, x: acc + x)
     own = lambda at: F.array_distinct(F.slice("_own", at - F.col("_low") + 1, width))
-    sums = F.transform("_starts", lambda at: F.struct(at.alias("start"), summed(own(at), F.lit(0.0)).alias("both"), summed(own(at), F.col("_unknown")).alias("mine")))
-    pairs = pairs.select("doc_id", "item_id", "n", "_size", F.lit(1).alias("_one"), theirs.alias("_theirs"), F.inline(sums))
-    scored = pairs.withColumn("similarity", F.col("both") / (F.col("mine") + F.col("_theirs") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-9)
-    best = F.struct(F.round("similarity", 9).alias("rounded"), (-F.col("start")).alias("back"), F.least("n", "_size").alias("size"), "similarity")
+    sums = F.transform(starts, lambda at: F.struct(at.alias("start"), summed(own(at), F.lit(0.0)).alias("both"), summed(own(at), F.col("_unknown")).alias("mine")))
+    scored = pairs.select("doc_id", "item_id", F.least("n", "_size").alias("size"), "_theirs", F.inline(F.when(bound, sums)))
+    scored = scored.withColumn("similarity", F.col("both") / (F.col("mine") + F.col("_theirs") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-9)
+    best = F.struct(F.round("similarity", 9).alias("rounded"), (-F.col("start")).alias("back"), "size", "similarity")
     top = scored.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
     start = -F.col("b.back")
     return top.select("doc_id", "item_id", start.alias("start"), (start + F.col("b.size")).alias("end"), F.col("b.similarity").alias("similarity"))
