@@ -12,57 +12,57 @@ def values(spark, rows, expression, schema):
 
 
 def test_parse_number(spark):
-    cases = {"42": 42.0, "1,234,567": 1234567.0, "$1,200.50": 1200.5, "85%": 85.0, "€99.99": 99.99, "+3.5": 3.5, "yes": None, "": None, "about 50": None, "1e5": None, "5.": None, None: None}
+    cases = {"17": 17.0, "9,876,543": 9876543.0, "£3,400.25": 3400.25, "12.5%": 12.5, " 7 ": 7.0, "-0.75": -0.75, "none": None, "": None, "roughly 8": None, "3e4": None, "9.": None, None: None}
     assert values(spark, [(k,) for k in cases], X.parse_number(F.col("t")), "t string") == list(cases.values())
 
 
 def test_is_correct(spark):
-    cases = [("100", "105", True), ("100", "104.99", True), ("100", "95", True), ("100", "105.01", False), ("100", "94.99", False), ("-200", "-190", True), ("-200", "-189.99", False)]
-    cases += [("0", "0.0", True), ("0", "0.001", False), ("YES", " yes\t", True), ("100", "one hundred", False)]
+    cases = [("40", "42", True), ("40", "38", True), ("40", "42.1", False), ("40", "37.9", False), ("-60", "-57", True), ("-60", "-56.9", False)]
+    cases += [("0", "0.00", True), ("0", "0.01", False), ("Blue", " blue\t", True), ("40", "forty", False)]
     assert values(spark, [c[:2] for c in cases], X.is_correct(F.col("g"), F.col("p")), "g string, p string") == [c[2] for c in cases]
 
 
 def test_rescaled(spark):
-    cases = [("43", "0.43", True), ("0.6", "60", True), ("47.6", "0.48", True), ("43", "0.5", False), ("43", "43", False), ("yes", "0.43", False), ("43", "no", False)]
+    cases = [("71", "0.71", True), ("0.25", "25", True), ("38.2", "0.38", True), ("71", "0.6", False), ("71", "71", False), ("red", "0.71", False), ("71", "red", False)]
     assert values(spark, [c[:2] for c in cases], X.rescaled_match(F.col("g"), F.col("p")), "g string, p string") == [c[2] for c in cases]
 
 
 def test_classify_absent(spark):
-    cases = {"35": "fabricated", "42.5%": "fabricated", "1,200.": "fabricated", "0": "zero", "0.0": "zero", "Not shown": "rejected", "None": "rejected", "N/A": "rejected", "No data": "rejected", "Unknown.": "rejected", "There is no Guava bar": "rejected", "Mango": "unclear", "45 (not shown)": "unclear", "": "unclear"}
+    cases = {"18": "fabricated", "6.25%": "fabricated", "2,750.": "fabricated", "0": "zero", "0.00": "zero", "Not in the chart": "rejected", "None": "rejected", "N/A": "rejected", "No value": "rejected", "Papaya": "unclear", "12 (not drawn)": "unclear", "": "unclear"}
     assert values(spark, [(k,) for k in cases], X.classify_absent(F.col("t")), "t string") == list(cases.values())
 
 
 def test_classify_compare(spark):
     none = F.array().cast("array<string>")
-    cases = {"Guava": "fabricated", "guava.": "fabricated", "Apple": "picked_present", "Guava is not shown": "rejected", "None": "rejected", "Both": "unclear"}
-    assert values(spark, [(k,) for k in cases], X.classify_compare(F.col("t"), F.lit("Guava"), F.lit("Apple"), none), "t string") == list(cases.values())
-    assert values(spark, [("Osaka",)], X.classify_compare(F.col("t"), F.lit("Oslo"), F.lit("Seoul"), F.array(F.lit("Osaka"))), "t string") == ["fabricated"]
+    cases = {"Plum": "fabricated", "plum.": "fabricated", "Cherry": "picked_present", "Plum is not drawn": "rejected", "None": "rejected", "Both": "unclear"}
+    assert values(spark, [(k,) for k in cases], X.classify_compare(F.col("t"), F.lit("Plum"), F.lit("Cherry"), none), "t string") == list(cases.values())
+    assert values(spark, [("Lima",)], X.classify_compare(F.col("t"), F.lit("Quito"), F.lit("Bogota"), F.array(F.lit("Lima"))), "t string") == ["fabricated"]
 
 
 def test_verified_answer(spark):
-    cases = {"It is so.\nAnswer: 35": ("35", True), "x\n**Answer:** 35": ("35", True), "Answer: 1\nAnswer: 2": ("2", True), "It is 35.": ("It is 35.", False)}
+    cases = {"Let me look.\nAnswer: 12": ("12", True), "y\n**Answer:** 12": ("12", True), "Answer: 7\nAnswer: 9": ("9", True), "Twelve, I think.": ("Twelve, I think.", False)}
     assert [tuple(v) for v in values(spark, [(k,) for k in cases], X.verified_answer(F.col("t")), "t string")] == list(cases.values())
 
 
 def test_question_targets(spark):
-    letters = F.array(*[F.lit(c) for c in "ABCDE"])
-    cases = {"category A?": [0], "B or D": [1, 3], "category F": [], "Are Bars Equal?": []}
+    letters = F.array(*[F.lit(c) for c in "PQRST"])
+    cases = {"category P?": [0], "Q or S": [1, 3], "category U": [], "Quite Red Tones?": []}
     assert values(spark, [(k,) for k in cases], X.question_targets(F.col("t"), letters), "t string") == list(cases.values())
 
 
 def test_sanitize(spark):
-    assert values(spark, [("  Ann Other ",)], X.sanitize(F.col("t")), "t string") == ["ann_other"]
+    assert values(spark, [("  Bob Stone ",)], X.sanitize(F.col("t")), "t string") == ["bob_stone"]
     with pytest.raises(Exception, match="no usable characters"):
-        values(spark, [("!!",)], X.sanitize(F.col("t")), "t string")
+        values(spark, [("??",)], X.sanitize(F.col("t")), "t string")
 
 
 def test_surface(spark):
-    texts = F.array(F.lit("45.0"), F.lit("Apple"))
-    cases = [("45", True, "numeric"), ("apple ", True, "categorical"), ("45.3", True, "numeric"), ("47", False, "numeric"), ("", False, "other"), ("Yes", False, "boolean")]
+    texts = F.array(F.lit("12.0"), F.lit("Pear"))
+    cases = [("12", True, "numeric"), ("pear ", True, "categorical"), ("12.1", True, "numeric"), ("13", False, "numeric"), ("", False, "other"), ("No", False, "boolean")]
     rows = [c[:1] for c in cases]
     assert values(spark, rows, X.answer_in_figure(F.col("t"), texts), "t string") == [c[1] for c in cases]
     assert values(spark, rows, X.answer_type(F.col("t")), "t string") == [c[2] for c in cases]
-    assert values(spark, [("-3.5",), ("1.2.3",), ("12",), ("x",)], X.is_digits(F.col("t")), "t string") == [True, False, True, False]
+    assert values(spark, [("-7.25",), ("4.5.6",), ("80",), ("y",)], X.is_digits(F.col("t")), "t string") == [True, False, True, False]
 
 
 def test_ids(spark):
@@ -79,6 +79,6 @@ def test_ids(spark):
 
 
 def test_ratio_splits_are_exact(spark):
-    figures = spark.range(103).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("figure_id"))
-    got = {r["split"]: r["count"] for r in ids.ratio_splits(figures, {"train": 0.7, "val": 0.15, "test": 0.15}).groupBy("split").count().collect()}
-    assert got == ids.ratio_counts(103, {"train": 0.7, "val": 0.15, "test": 0.15}) and sum(got.values()) == 103
+    figures = spark.range(97).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("figure_id"))
+    got = {r["split"]: r["count"] for r in ids.ratio_splits(figures, {"train": 0.6, "val": 0.25, "test": 0.15}).groupBy("split").count().collect()}
+    assert got == ids.ratio_counts(97, {"train": 0.6, "val": 0.25, "test": 0.15}) and sum(got.values()) == 97

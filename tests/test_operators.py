@@ -29,7 +29,7 @@ def ratings(spark, votes):
     return spark.createDataFrame([(f"r{k}", i, {"S": "structural", "F": "fabrication"}[v]) for i, vs in enumerate(votes) for k, v in enumerate(vs)], "rater string, item_id int, label string")
 
 
-@pytest.mark.parametrize("votes, expected", [(["SS", "SS", "FF", "SF"], 7 / 15), (["SS", "FF"], 1.0), (["SS"] * 5, None), (["S", "F"], None)])
+@pytest.mark.parametrize("votes, expected", [(["SSS", "SSF", "FF", "SF"], 19 / 144), (["SSS", "FFF"], 1.0), (["FF"] * 4, None), (["F", "S"], None)])
 def test_fleiss(spark, votes, expected):
     got = one(L.fleiss_kappa(ratings(spark, votes)))["kappa"]
     assert got is None if expected is None else got == pytest.approx(expected)
@@ -51,16 +51,16 @@ def test_allocation(spark):
         rows = spark.createDataFrame([(str(i), k) for i, k in enumerate(counts)], "label string, k long")
         return [r["take"] for r in L.allocate(rows, n, floor).orderBy("label").collect()]
 
-    got = take([112, 93, 71, 40, 1], 100, 5)
-    assert sum(got) == 100 and got[4] == 1
-    assert take([990, 10], 100, 5)[1] == 5
+    got = take([80, 60, 33, 2], 50, 4)
+    assert sum(got) == 50 and got[3] == 2
+    assert take([495, 5], 50, 3)[1] == 3
     with pytest.raises(Exception, match="can't draw"):
         take([3, 4], 10, 1)
 
 
 def test_water_fill():
-    assert L.water_fill({"a": 5, "b": 2, "c": 2}, 7) == {"a": 1, "b": 3, "c": 3}
-    assert L.water_fill({"a": 0, "b": 0}, 5) == {"a": 3, "b": 2}
+    assert L.water_fill({"x": 4, "y": 1, "z": 1}, 6) == {"x": 0, "y": 3, "z": 3}
+    assert L.water_fill({"p": 2, "q": 2}, 3) == {"p": 2, "q": 1}
 
 
 @pytest.mark.parametrize("y, s, expected", [([0, 0, 1, 1], [1, 2, 3, 4], 1.0), ([1, 1, 0, 0], [1, 2, 3, 4], 0.0), ([0, 1, 0, 1], [5, 5, 5, 5], 0.5), ([1, 1], [1, 2], None)])
@@ -79,12 +79,45 @@ def test_auroc_by_pairs(spark):
 
 
 def test_risk_coverage(spark):
-    rows = lambda conf: spark.createDataFrame(list(zip([True, True, False, False], conf)), "ok boolean, conf int")
+    rows = lambda conf: spark.createDataFrame(list(zip([True, True, True, False], conf)), "ok boolean, conf int")
     curve = lambda conf: [r["risk"] for r in metrics.risk_coverage(rows(conf), "ok", "conf").orderBy("k").collect()]
-    assert curve([0, 0, 0, 0]) == [0.5] * 4
-    assert curve([2, 2, 1, 1]) == pytest.approx([0, 0, 1 / 3, 0.5])
-    got = one(metrics.aurc(metrics.stretches(rows([2, 2, 1, 1]), "ok", "conf")))
-    assert (got["aurc"], got["risk_50"], got["risk_100"]) == (pytest.approx(5 / 24), 0.0, 0.5)
+    assert curve([7, 7, 7, 7]) == [0.25] * 4
+    assert curve([3, 3, 1, 1]) == pytest.approx([0, 0, 1 / 6, 1 / 4])
+    got = one(metrics.aurc(metrics.stretches(rows([3, 3, 1, 1]), "ok", "conf")))
+    assert (got["aurc"], got["risk_50"], got["risk_100"]) == (pytest.approx(5 / 48), 0.0, 0.25)
+
+
+def test_a_tie_of_a_million_rows(spark):
+    rows = spark.range(1_000_000).select((F.col("id") % 8 != 0).alias("ok"), F.when(F.col("id") < 100, 1).otherwise(0).alias("conf"))
+    got = one(metrics.aurc(metrics.stretches(rows, "ok", "conf")))
+    k = np.arange(1, 1_000_001)
+    risk = np.where(k <= 100, 0.13, (13 + (k - 100) * (125_000 - 13) / 999_900) / k)
+    assert got["aurc"] == pytest.approx(risk.mean(), rel=1e-9) and got["risk_50"] == pytest.approx(risk[499_999])
+    assert metrics.risk_coverage(rows, "ok", "conf").count() == 1_000_000
+
+
+@pytest.mark.parametrize("low, g", [(0, 1), (0, 5), (3, 100), (63, 2), (64, 1), (65, 1), (500, 20_000), (10**9, 3)])
+def test_harmonic_differences(spark, low, g):
+    got = spark.range(1).select(metrics.harmonic_difference(F.lit(low).cast("long"), F.lit(g).cast("long"))).first()[0]
+    assert got == pytest.approx(sum(1.0 / i for i in range(low + 1, low + g + 1)), rel=1e-11)
+
+
+def test_absent_names_of_a_large_vocabulary(spark):
+    """Each name may be the one: those shown are passed over, however many names there are."""
+    import hashlib
+
+    names = [f"n{i}" for i in range(20_000)]
+    circle = sorted(names, key=lambda n: hashlib.sha1(n.encode()).hexdigest())
+    place = {n: k for k, n in enumerate(circle)}
+    points, expected = [], {}
+    for f in range(30):
+        start = int(hashlib.sha1(f"42/f{f}".encode()).hexdigest()[:8], 16) % len(circle)
+        points += [(f"f{f}", circle[(start + k) % len(circle)]) for k in range(f)] + [(f"f{f}", "another"), (f"f{f}", circle[(start + 500) % len(circle)])]
+        expected[f"f{f}"] = circle[(start + f) % len(circle)]
+    got = features.absent_names(spark.createDataFrame(points, "figure_id string, category string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert {r["figure_id"]: r["absent"] for r in got.collect()} == expected and len(place) == 20_000
+    every = spark.createDataFrame([("f", "a"), ("f", "b")], "figure_id string, category string")
+    assert features.absent_names(every, spark.createDataFrame([("a",), ("b",)], "name string")).count() == 0
 
 
 def outcome_rows(spark, rows):
@@ -107,10 +140,10 @@ def test_universe_refuses_missing_outcomes(spark):
 
 
 def test_grid_features(spark):
-    rows = [(c, ["A", "B", "C"], [34, 50, 134], 0, 200, "medium") for c in ("A", "B", "C", "Z")]
+    rows = [(c, ["D", "E", "F"], [12, 40, 71], 0, 100, "sparse") for c in ("D", "E", "F", "Y")]
     got = features.grid_features(spark.createDataFrame(rows, "asks_about string, categories array<string>, values array<int>, axis_min int, axis_max int, tick_density string"))
     table = [[r[n] for n in features.GRID_FEATURES] for r in got.orderBy("asks_about").collect()]
-    assert np.allclose(table, [[0.3, 0.4, 6 / 34, 4 / 34], [0.5, 0, 0.2, 0], [0.3, 0.4, 6 / 134, 4 / 134], [0, 0, 0, 0]])
+    assert np.allclose(table, [[0.4, 0.2, 8 / 12, 2 / 12], [0, 0, 0, 0], [0.45, 0.1, 9 / 71, 1 / 71], [0, 0, 0, 0]])
 
 
 def vectors(spark, layers=(0, 3, 7), signal=7, n=240, seed=0):
@@ -137,14 +170,67 @@ def test_planted_layer_is_found(spark):
     assert sorted(map(tuple, probes.layer_sweep(poisoned, (1.0, 10.0)).collect())) == sorted(map(tuple, curve.collect()))
 
 
-def test_nested_cv_and_mllib_agree(spark):
+def test_nested_cv_and_mllib_agree(spark, monkeypatch):
     rows = vectors(spark, layers=(7,))
     oof = probes.assembled(probes.nested_cv(rows, (1.0,)))
     assert oof.count() == 240 and one(metrics.auroc(oof, "score", F.col("y") == 1))["auroc"] > 0.85
-    roles = rows.withColumn("role", F.when(F.col("split") == "train", "fit").otherwise("score")).withColumn("l2", F.lit(1.0))
-    small = {r["item_id"]: r["score"] for r in probes.grid_scores(roles, ["layer", "l2"], ["item_id"]).collect()}
-    large = {r["item_id"]: r["score"] for r in probes.large_cell_scores(roles, 1.0).collect()}
-    assert max(abs(small[k] - large[k]) for k in small) < 1e-4 and small.keys() == large.keys()
+    train, rest = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    for surface in (0, 2):
+        small = {(r["item_id"], r["l2"]): r["score"] for r in probes.scored(rest, probes.fits(train, ["layer"], (1.0, 10.0), surface), ["layer"], ["item_id"]).collect()}
+        monkeypatch.setattr(probes, "MAX_CELL", 10)
+        large = {(r["item_id"], r["l2"]): r["score"] for r in probes.scored(rest, probes.fits(train, ["layer"], (1.0, 10.0), surface), ["layer"], ["item_id"]).collect()}
+        again = {r["item_id"]: r["score"] for r in probes.nested_cv(rows, (1.0,), folds=2, surface=surface).collect()} if surface else None
+        monkeypatch.undo()
+        assert max(abs(small[k] - large[k]) for k in small) < 1e-4 and small.keys() == large.keys()
+        if again:
+            grouped = {r["item_id"]: r["score"] for r in probes.nested_cv(rows, (1.0,), folds=2, surface=surface).collect()}
+            assert max(abs(again[k] - grouped[k]) for k in grouped) < 1e-4
+
+
+def test_fits_of_wide_cells_are_the_same_in_the_space_of_their_rows():
+    rng = np.random.default_rng(6)
+    for n, d in ((40, 300), (300, 40), (400, 700)):
+        x, y = rng.normal(size=(n, d)), rng.integers(0, 2, n).astype(float)
+        cell = probes.Cell(x, y)
+        w, b = cell.fit(5.0)
+        z = (x - x.mean(axis=0)) / x.std(axis=0)
+        design, v = np.column_stack((z, np.ones(n))), np.append(w * x.std(axis=0), b + x.mean(axis=0) @ w)
+        p = 1 / (1 + np.exp(-design @ v))
+        gradient = design.T @ (p - y) + np.append(5.0 * v[:-1], 0.0)
+        assert np.abs(gradient).max() < 1e-4
+
+
+def test_joins_refuse_other_figures_and_datasets_refuse_leaks(spark):
+    v = spark.createDataFrame([("a", "f1", 0, [1.0]), ("b", "f2", 0, [2.0])], "item_id string, figure_id string, layer int, vec array<double>")
+    good = spark.createDataFrame([("a", "f1", 1), ("c", "f9", 0)], "item_id string, figure_id string, y int")
+    assert [(r["item_id"], r["y"]) for r in probes.join_vectors(v, good).collect()] == [("a", 1)]
+    with pytest.raises(Exception, match="figures differ"):
+        probes.join_vectors(v, good.withColumn("figure_id", F.lit("x"))).collect()
+    leaky = spark.createDataFrame([("f1", "train"), ("f1", "test"), ("f2", "val")], "figure_id string, split string")
+    with pytest.raises(ValueError, match="f1"):
+        quality.require_no_leaks(leaky)
+    assert quality.require_no_leaks(leaky.where("split <> 'test'")).count() == 2
+    with pytest.raises(ValueError, match="figures are in both"):
+        probes.frozen_scores(vectors(spark), vectors(spark), probes.selected(probes.layer_sweep(vectors(spark), (1.0,))))
+
+
+def test_labels_are_appended_whole_or_not_at_all(spark, tmp_path):
+    batch = spark.createDataFrame([("a",), ("b",)], "item_id string")
+    labels = spark.createDataFrame([("a", "structural", None, "r"), ("b", "computation", None, "r")], "item_id string, label string, reason string, rationale string")
+    path = str(tmp_path / "labels")
+    with pytest.raises(ValueError, match="refused"):
+        tables.append_labels(labels.where("item_id = 'a'"), batch, path)
+    assert tables.append_labels(labels, batch, path) == 2
+    with pytest.raises(ValueError, match="already"):
+        tables.append_labels(labels, batch, path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_kappa_refuses_labels_outside_the_categories(spark):
+    cells = spark.createDataFrame([("S", "S", 5), ("S", "odd", 1)], "a string, b string, n long")
+    assert one(L.kappa_of_cells(cells, [], "a", "b"))["n"] == 6
+    with pytest.raises(Exception, match="none of the categories"):
+        L.kappa_of_cells(cells, [], "a", "b", labels=("S", "F")).collect()
 
 
 def test_residualising_removes_a_surface_signal(spark):
