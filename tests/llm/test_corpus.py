@@ -599,6 +599,35 @@ def test_mixed_documents_deliver_the_targets(spark):
     assert sorted(map(tuple, mixing.mixed_documents(df.repartition(7)).collect())) == sorted(map(tuple, kept))
 
 
+def test_taken_words_are_the_overlaps_with_the_chosen_blocks(spark, monkeypatch):
+    """taken of every document, from quotas dealt one by one and blocks chosen one by one."""
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 900)
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(0, 150)), f"s{i % 4}" if i % 9 else None) for i in range(160)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by_source = defaultdict(lambda: defaultdict(list))
+    for r in got:
+        by_source[r["source"]][r["shard"]].append(r)
+    sizes = {s: sum(r["size"] for x in shards.values() for r in x) for s, shards in by_source.items()}
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    names = {s: f"{k:03d}" for k, s in enumerate(order)}
+    targets = plain.fill_targets({names[s]: sizes[s] for s in order}, {names[s]: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(order)})
+    quotas = plain.sainte_lague(targets, round(sum(targets.values()) / mixing.BLOCK))
+    assert len(got) == len(rows) and max(len(x) for x in by_source.values()) > 3
+    for s, shards in by_source.items():
+        tokens_of = {k: sum(r["size"] for r in x) for k, x in shards.items()}
+        quota = plain.sainte_lague({f"{k:04d}": v for k, v in tokens_of.items()}, quotas[names[s]])
+        for k, docs in shards.items():
+            n = -(-tokens_of[k] // mixing.BLOCK)
+            blocks = spark.range(n).select("id", F.xxhash64(F.lit(17 + 2), F.lit(s).cast("string"), F.lit(k).cast("long"), "id").alias("h")).collect()
+            ranked = [r["id"] for r in sorted(blocks, key=lambda r: (r["h"], r["id"]))]
+            q = min(quota[f"{k:04d}"], 3 * n)
+            times = {b: q // n + (place < q % n) for place, b in enumerate(ranked)}
+            for r in docs:
+                words = range(r["_start"], r["_start"] + r["size"])
+                assert r["taken"] == sum(times[w // mixing.BLOCK] for w in words)
+
+
 def test_apportionment_is_sainte_lague(spark):
     rng = np.random.default_rng(2)
     for case in range(6):
@@ -705,6 +734,34 @@ def test_query_equals_its_sql(spark, name):
     assert oracle.rows_of(queries.QUERIES[name](spark, plain.SF)) == oracle.sql_rows(con, queries.ORACLE_SQL[name])
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    import corpus_pipeline
+
+    odd = docs_of(spark, ODD_TEXTS).withColumnRenamed("score", "_toxicity_").withColumn("taken", F.lit("t"))
+    for docs in (odd, odd.limit(0)):
+        ids = {r["doc_id"] for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = common.written(stage(spark, docs, plain.SF), "odd-test")
+            assert after.columns == docs.columns, name
+            kept = {r["doc_id"] for r in after.collect()}
+            assert kept <= ids and (name == "mix" or not ids or {None, 0, 1} <= kept), name
+            docs = after
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, plain.SF)
+        assert last.count() == docs.count() and {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(last.columns)
+
+
+def test_pipeline_rejects_what_the_scorer_scores_high(spark):
+    """The toxicity stage against the scorer in memory, the mix against its words."""
+    import corpus_pipeline
+
+    docs = given_docs(spark)
+    model = toxicity.fit_rows(toxicity.training_rows(docs, spark.read.parquet(f"{plain.SF}/labels.parquet")))
+    rows = pairs(docs)
+    scores_ = toxicity.Scorer(model)([t for _, t in rows])
+    kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, plain.SF)
+    assert {r["doc_id"] for r in kept.collect()} == {i for (i, _), s in zip(rows, scores_) if s < 0.7}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
