@@ -1,6 +1,11 @@
 """A corpus pipeline: documents in, token files of a clean, deduplicated, decontaminated mix out.
 
 run() applies STAGES in order; each takes the rows its predecessor kept, written as Parquet.
+
+Null and empty texts pass the first three stages, are kept once by the mix, and end as documents of the end id alone. Rows with a NULL
+doc_id have no component and can't be reported as contaminated: they stay. Repeated rows are one group of copies by their doc_id: all of
+them stay, as the row with the group's smallest doc_id does. NULL sources are a source of their own. Extra columns stay until the token files,
+whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
