@@ -2,7 +2,8 @@
 
 Pages are grouped by host. A line's ratio is the share of the host's pages that contain it; lines
 above MAX_RATIO on a host with at least MIN_PAGES pages are boilerplate there and are dropped from
-all of that host's pages, wherever in the page they stand. Elsewhere the same line is kept.
+all of that host's pages, wherever in the page they stand. Elsewhere the same line is kept. A ratio of just MAX_RATIO keeps
+the line, as does a line of a single page, which says nothing of the site.
 
 Counting is a distinct per page, then a grouped count with map-side combine, so a host with a third
 of all pages is spread over its lines. Lines are compared by a digest of their text without blanks at the
@@ -44,7 +45,7 @@ def line_key(line: Column) -> Column:
 def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, host_pages, n_lines, n_dropped, text of every page: its lines that stay, joined by line feeds."""
     cut = pages.select("page_id", host(F.col("url")).alias("host"), lines(F.col("html")).alias("lines"))
-    cut = written(cut.withColumn("_row", F.xxhash64(F.lit(0), "page_id", F.monotonically_increasing_id())), "line-pages")
+    cut = written(cut, "line-pages")
     totals = cut.groupBy("host").agg(F.count("*").alias("host_pages"))
     each = cut.select("host", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("line"))
     often = each.groupBy("host", "line").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= 2)

@@ -726,6 +726,16 @@ def test_boilerplate(spark):
     assert boilerplate.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_boilerplate_at_the_ratio_and_of_long_pages(spark):
+    """A line on just MAX_RATIO of the pages stays, one on more goes; hosts of few pages keep all; long pages are read whole."""
+    long = "<br>".join(f"line {i}" for i in range(20_000))
+    rows = [(i, "http://h.org/a", "<p>own " + str(i) + "</p>" + ("<p>three</p>" if i < 3 else "") + ("<p>four</p>" if i < 4 else "") + (long if i == 9 else "")) for i in range(10)]
+    rows += [(20 + i, "http://few.org/", "<p>same</p>") for i in range(boilerplate.MIN_PAGES - 1)]
+    got = {r["page_id"]: r for r in boilerplate.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0]["text"] == "own 0\nthree" and got[3]["text"] == "own 3" and got[9]["n_lines"] == 20_001 and got[9]["n_dropped"] == 0
+    assert all(got[20 + i]["text"] == "same" for i in range(boilerplate.MIN_PAGES - 1))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     from tests import oracle
