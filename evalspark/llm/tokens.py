@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.common import cut_texts, pieces, word_places
+from evalspark.llm.common import LONG_TEXT, cut_texts, pieces, word_places
 
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES = 8 << 20, 64 << 10
@@ -159,7 +159,8 @@ class Encoder:
         for i in whole:
             kept[i] = ""
         cut, owner = cut_texts(kept)
-        found = [self._encode(run) for _, run in pieces(cut)]
+        # Large runs, as each that has new pieces sorts all known ones again.
+        found = [self._encode(run) for _, run in pieces(cut, max_docs=len(cut) + 1, max_chars=2 * LONG_TEXT)]
         ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int32)
         n = np.bincount(owner, weights=np.concatenate([x for _, x in found]), minlength=len(texts)).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
         ends = np.cumsum(n)
