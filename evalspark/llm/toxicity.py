@@ -133,8 +133,8 @@ class Landmarks:
 
     def project(self, words: list[str]) -> np.ndarray:
         out = []
-        for i in range(0, len(words), 2000):
-            t = triples(words[i : i + 2000])
+        for i in range(0, len(words), 500):
+            t = triples(words[i : i + 500])
             at = self.place[t.code]
             known = at >= 0
             sparse = np.zeros((len(t.norm), len(self.codes)), dtype=np.float32)
@@ -167,8 +167,8 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE_END.split(text) if s]
 
 
-def fit_machine(sentenced: list[list[set[str]]], toxic: np.ndarray, rounds: int = 3) -> Machine:
-    """A machine for single words from documents, lists of sentences as sets of words, and the documents' labels, which are their sentences' labels."""
+def fit_machine(sentenced: list[list[tuple[str, ...]]], toxic: np.ndarray, rounds: int = 3) -> Machine:
+    """A machine for single words from documents, lists of sentences as tuples of their distinct words, and the documents' labels, which are their sentences' labels."""
     pos, neg = Counter(), Counter()
     n_pos = n_neg = 0
     for parts, label in zip(sentenced, toxic):
@@ -176,7 +176,7 @@ def fit_machine(sentenced: list[list[set[str]]], toxic: np.ndarray, rounds: int
             (pos if label else neg).update(words)
         n_pos, n_neg = n_pos + len(parts) * bool(label), n_neg + len(parts) * (not label)
     n_pos, n_neg = max(1, n_pos), max(1, n_neg)
-    docs = [set().union(*parts) for parts in sentenced]
+    found_in = [set().union(*parts) for parts, label in zip(sentenced, toxic) if label]
     if not pos or not neg:
         return Machine(np.zeros(LETTERS**3), 0.0)
 
@@ -213,8 +213,8 @@ def fit_machine(sentenced: list[list[set[str]]], toxic: np.ndarray, rounds: int
         fresh = [x for x in pos if x not in known]
         known.update(zip(fresh, word_values(fresh, machine)))
         chosen = Counter()
-        for words, label in zip(docs, toxic):
-            if label and words:
+        for words in found_in:
+            if words:
                 best = sorted(words, key=lambda x: (-known[x], x))[:6]
                 chosen.update(x for x in best if known[x] > 0 and pos[x] * n_neg > 3 * neg[x] * n_pos)
         positives = sorted(set(witness[:KEPT_WITNESSES]) | set(chosen))[:FOUND_WITNESSES]
@@ -242,7 +242,7 @@ class ToxicityModel:
 def fit(texts: list[str | None], toxic: np.ndarray, folds: int = 3) -> ToxicityModel:
     # One string for each word, however many documents have it.
     strings: dict[str, str] = {}
-    docs = [[{strings.setdefault(w, w) for w in words_of(s)} for s in sentences(t or "")] for t in texts]
+    docs = [[tuple(strings.setdefault(w, w) for w in words_of(s)) for s in sentences(t or "")] for t in texts]
     del strings
     toxic = np.asarray(toxic, dtype=float)
     if not len(docs):
@@ -261,7 +261,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, folds: int = 3) -> ToxicityM
 
 
 def word_values(words: list[str], machine: Machine) -> np.ndarray:
-    parts = [table_sums(words[i : i + 5000], machine.weights) for i in range(0, len(words), 5000)]
+    parts = [table_sums(words[i : i + 1000], machine.weights) for i in range(0, len(words), 1000)]
     return np.concatenate(parts) + machine.bias if parts else np.zeros(0)
 
 
