@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import boilerplate, decontaminate, exact_dedup, language, mixing, ngram_join, quality, tokens, toxicity, warc
+from evalspark.llm import boilerplate, conversations, decontaminate, exact_dedup, language, merkle, mixing, ngram_join, quality, simhash, tokens, toxicity, warc
 from evalspark.llm.common import hash_fold, shared_path, table
 
 
@@ -72,7 +72,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "host_pages", "n_lines", "n_dropped", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_exact_dedup, op3_ngram_join, op4_toxicity, op5_warc, op6_tokens, op7_quality, op8_decontaminate, op9_mix, op10_line_dedup)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language, op2_exact_dedup, op3_ngram_join, op4_toxicity, op5_warc, op6_tokens, op7_quality, op8_decontaminate, op9_mix, op10_line_dedup)
+    + (op11_simhash, op12_manifest, op13_repair)
+}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 _SHINGLES = "CASE WHEN len({0}) = 0 THEN [] WHEN len({0}) < 5 THEN [array_to_string({0}, ' ')] ELSE [array_to_string({0}[i:i + 4], ' ') FOR i IN range(1, len({0}) - 3)] END"
