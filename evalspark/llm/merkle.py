@@ -59,19 +59,20 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tree.alias("tree"), leaf(*columns).alias("digest"), F.when(touched, leaf(*more)).alias("tampered"))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with level 0, idx (its place, from 0, among the rows of its tree in order) and n (how many these are), in that order within each task."""
+def numbered(rows: DataFrame, order: list[str], name: str, few: bool = False) -> DataFrame:
+    """rows with level 0, idx (its place, from 0, among the rows of its tree in order) and n (how many these are), in that order within each task; few: in one task."""
     by = ["tree", *order]
     partition, over = Window.partitionBy("tree"), Window.partitionBy("tree").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), name)
+    dealt = rows.coalesce(1) if few else rows.repartitionByRange(*by)
+    placed = written(dealt.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), name)
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     runs = placed.groupBy("tree", "_part").agg(F.min("_at").alias("_from"), F.count("*").alias("_k"))
     starts = runs.select("tree", "_part", (F.coalesce(F.sum("_k").over(over), F.lit(0)) - F.col("_from")).alias("_shift"), F.sum("_k").over(partition).alias("n"))
     starts = written(starts, f"{name}-runs")
-    few = starts.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
-    joined = placed.join(F.broadcast(starts) if few else starts, ["tree", "_part"])
+    sent = starts.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    joined = placed.join(F.broadcast(starts) if sent else starts, ["tree", "_part"])
     joined = joined.select(*rows.columns, F.lit(0).alias("level"), (F.col("_at") + F.col("_shift")).alias("idx"), "n")
-    return joined if few else joined.repartitionByRange("tree", "idx").sortWithinPartitions("tree", "idx")
+    return joined if sent else joined.repartitionByRange("tree", "idx").sortWithinPartitions("tree", "idx")
 
 
 class Appender:
@@ -166,7 +167,8 @@ def witnesses(nodes: DataFrame, extra: list[str], name: str, above: Callable[[Da
         tasks = wanted if tasks is None else max(1, min(wanted, tasks // 2))  # fewer each time, so that it ends however nodes fall to tasks
         height = height if tasks > 1 else 64
         at = F.expr("shiftleft(idx, level)")
-        nodes, level_zero = roots.repartitionByRange(tasks, "tree", at).sortWithinPartitions("tree", at), []
+        dealt = roots.repartitionByRange(tasks, "tree", at) if tasks > 1 else roots.coalesce(1)
+        nodes, level_zero = dealt.sortWithinPartitions("tree", at), []
     chain = above(roots.select("tree", F.col("digest").alias("subroot")))
     more = [c for c in chain.columns if c not in ("tree", "_above")]
     chain = roots.select("tree", F.col("level").alias("top_level"), F.col("idx").alias("top_idx")).join(chain, "tree")
@@ -201,7 +203,8 @@ def manifest(docs: DataFrame, height: int = HEIGHT, each: int = NODES) -> DataFr
     nodes = numbered(flat, ["doc_id", "digest"], "merkle-sorted").withColumn("leaf", F.col("digest"))
 
     def above(subroots: DataFrame) -> DataFrame:
-        trees = numbered(subroots.withColumnsRenamed({"tree": "lang_tree", "subroot": "digest"}).withColumn("tree", F.lit("")), ["lang_tree"], "merkle-trees").withColumn("subroot", F.col("digest"))
+        trees = subroots.withColumnsRenamed({"tree": "lang_tree", "subroot": "digest"}).withColumn("tree", F.lit(""))
+        trees = numbered(trees, ["lang_tree"], "merkle-trees", trees.limit(each + 1).count() <= each).withColumn("subroot", F.col("digest"))
         found = witnesses(trees, ["lang_tree", "subroot"], "merkle-top", lambda roots: roots.select("tree", F.col("subroot").alias("root"), F.lit(b"").alias("_above")), height, each)
         return found.select(F.col("lang_tree").alias("tree"), "subroot", "root", F.col("idx").alias("tree_idx"), F.col("n").alias("trees"), F.col("witness").alias("_above"))
 
