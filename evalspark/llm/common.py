@@ -121,6 +121,19 @@ def pieces(texts: list[str | None], max_docs: int = 512, max_chars: int = LONG_T
         yield at, run
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or one with underscores after it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1 ...: names that mapInArrow can look up, which it can't where one has a dot."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

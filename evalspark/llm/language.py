@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import cut_texts, hash_fold, pieces, training_sample
+from evalspark.llm.common import cut_texts, hash_fold, pieces, plain_names, training_sample
 
 PROFILE, BITS = 300, 16
 #: At most so many labelled rows, and bytes of their texts, are collected for the profiles.
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     """docs with lang_pred and score instead of the text; all other columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
+    docs = plain_names(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Identifier(shared.value)
@@ -185,9 +185,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
                     names += lang
                     scores.append(score)
             found = [pa.array(names, type=pa.string()), pa.array(np.concatenate(scores) if scores else [], type=pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found], names=[*batch.schema.names[: len(kept)], "lang_pred", "score"])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = docs.select(*docs.columns[:-1], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     for name in ("lang_pred", "score"):
         schema[name].nullable = True
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*kept, "lang_pred", "score")

@@ -156,8 +156,11 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     counts = copies(mix(docs, seed), seed)
     counts = counts.groupBy("_row", F.col("doc_id").alias("_d"), F.col("source").alias("_s")).agg(F.sum("_copies").alias("_sum"), F.count("*").alias("_rows"))
     same = Window.partitionBy("_row", "_d", "_s").orderBy("_row")
-    rows = docs.withColumn("_mark", mark).join(counts, (F.col("_mark") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
+    # The rows' own columns are one column meanwhile, so that no name can clash.
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    rows = docs.select(mark.alias("_mark"), F.col("doc_id").alias("_i"), F.col("source").alias("_from"), own.alias("_own"))
+    rows = rows.join(counts, (F.col("_mark") == F.col("_row")) & F.col("_i").eqNullSafe(F.col("_d")) & F.col("_from").eqNullSafe(F.col("_s")))
     rows = rows.withColumn("_at", F.row_number().over(same))
     each = F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.col("_at") <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)
     rows = rows.withColumn("_times", each.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[F.col(f"_own.c{k}").alias(c) for k, c in enumerate(docs.columns)])

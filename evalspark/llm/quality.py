@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import hash_fold, training_sample
+from evalspark.llm.common import hash_fold, plain_names, training_sample
 from evalspark.llm.models import fit_logistic, logistic
 
 BLOCK_BYTES, LEVEL, DICTIONARY_BYTES = 2048, 3, 65536
@@ -112,7 +112,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out:
     """docs with the column out, the probability that the text is of good quality; all other columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != out]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    docs = plain_names(docs.select(*[F.col(f"`{c}`") for c in kept]))
     place = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,4 +125,4 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out:
 
     schema = docs.select("*", F.lit(0.0).alias(out)).schema
     schema[out].nullable = True
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*kept, out)

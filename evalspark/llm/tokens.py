@@ -61,7 +61,7 @@ def parted_by_blanks(spec: dict) -> bool:
 class Encoder:
     """Encodes lists of texts; keeps the ids of the white-space-separated pieces that it has seen.
 
-    Pieces are found by their hashes, A-Z lowered as the tokenizer does. A new piece that is a word of letters and
+    Pieces are found by their hashes, A-Z lowered as the tokenizer does. A new piece that is a word of letters, lowered and normalised too, and
     marks after it is encoded as the two, for the tokenizer cuts there; new words are encoded many
     at a time, their ids told apart by the ends of words.
     """
@@ -114,9 +114,13 @@ class Encoder:
             places = self._store(ids, np.diff(ends, prepend=0)) if len(ends) == len(part) else self._encode_each(part)
             self.words.update(zip(part, places.tolist()))
 
+    def _letters(self, core: str) -> bool:
+        """Whether the tokenizer sees letters only: lower-casing and normalising may leave a mark at the end, which goes with what follows."""
+        return core.isalpha() and (core.isascii() or self.tokenizer.normalizer.normalize_str(core).isalpha())
+
     def _learn(self, pieces: list[str]) -> np.ndarray:
         cores = [p if p.isalpha() else p.rstrip(_MARKS) for p in pieces]
-        plain = np.array([c.isalpha() for c in cores], dtype=bool)
+        plain = np.array([self._letters(c) for c in cores], dtype=bool)
         tails = [p[len(c) :] for p, c in zip(pieces, cores)]
         fresh = {x for c, t, k in zip(cores, tails, plain) if k for x in (c, t) if x}
         self._learn_words([x for x in fresh if x not in self.words])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import column, hash_fold, training_sample
+from evalspark.llm.common import column, hash_fold, plain_names, training_sample
 from evalspark.llm.models import fit_logistic, fit_squared_hinge, logistic
 
 SPAN, DECAY, LETTERS = 5, 0.6, 64
@@ -300,9 +300,8 @@ def fit_rows(rows: DataFrame) -> ToxicityModel:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the column out, the probability that the text is toxic; all other columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text)
     kept = [c for c in docs.columns if c != out]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    docs = plain_names(docs.select(*[F.col(f"`{c}`") for c in kept]))
     place = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,4 +314,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ou
 
     schema = docs.select("*", F.lit(0.0).alias(out)).schema
     schema[out].nullable = True
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*kept, out)
