@@ -11,16 +11,18 @@ whatever their names; empty tables give empty tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evalspark.llm import decontaminate, mixing, ngram_join, tokens, toxicity
-from evalspark.llm.common import shared_path, table, written
+from evalspark.llm.common import fresh, shared_path, table, written
 from evalspark.llm.queries import token_report
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model, fitted on the labelled ones, scores below 0.7."""
     model = toxicity.fit_rows(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score_toxicity(docs, model, out="_toxicity").where("_toxicity < 0.7").drop("_toxicity")
+    score = fresh(docs, "_toxicity")
+    return toxicity.score_toxicity(docs, model, out=score).where(F.col(score) < 0.7).drop(score)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
