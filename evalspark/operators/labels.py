@@ -146,12 +146,15 @@ def truth_disagreements(annotations: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def agreement_intervals(one: DataFrame, other: DataFrame, key: DataFrame, draws: int, seed: int = 42) -> DataFrame:
-    """agreement_by_subset with the interval lo, hi of each kappa over draws of items: order statistics of the replicates."""
-    from evalspark.operators.bootstrap import group_places, order_statistics, weights
+    """agreement_by_subset with the interval lo, hi of each kappa over draws of items: order statistics of the replicates.
+
+    Items are drawn as counts of the cells (model, label, label), which overall adds up: all subsets see the same draws.
+    """
+    from evalspark.operators.bootstrap import cell_replicates, order_statistics
 
     both = one.select("item_id", F.col("label").alias("a")).join(other.select("item_id", F.col("label").alias("c")), "item_id").join(key.select("item_id", "model"), "item_id")
-    drawn = both.join(weights(group_places(both, "item_id"), "item_id", draws, seed), "item_id")
-    cells = drawn.select("b", "w", "a", "c", F.explode(F.array("model", F.lit("overall"))).alias("subset")).groupBy("subset", "b", "a", "c").agg(F.sum("w").alias("n"))
+    drawn = cell_replicates(both.groupBy("model", "a", "c").agg(F.count("*").alias("n")), ["model", "a", "c"], "n", draws, seed)
+    cells = drawn.select("b", "n", "a", "c", F.explode(F.array("model", F.lit("overall"))).alias("subset")).groupBy("subset", "b", "a", "c").agg(F.sum("n").alias("n"))
     spans = order_statistics(kappa_of_cells(cells, ["subset", "b"], "a", "c"), "kappa", ["subset"])
     return agreement_by_subset(one, other, key).join(spans, "subset", "left")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.operators import bootstrap, quality
 from evalspark.operators import labels as L
+from evalspark.plans import draw_sql
 from evalspark.plans import standins as S
 from evalspark.plans.registry import query
 from evalspark.sources import tables
@@ -125,16 +126,31 @@ def majority_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.majority_stats(rows, missing, 2)
 
 
-@query()
+#: Draws of an interval.
+DRAWS = 2000
+_SUBSETS = "both_ AS (SELECT x.label AS la, y.label AS lb, unnest(['m' || (x.item_id % 2), 'overall']) AS subset FROM ratings x JOIN ratings y USING (item_id) WHERE x.rater = 'r0' AND y.rater = 'r1'), cells AS (SELECT subset, la, lb, count(*) AS n FROM both_ GROUP BY 1, 2, 3)"
+
+
+def _kappa_interval_sql(cells: str, subset: str) -> str:
+    """Draws of cells (key, la, lb, m), and spans (subset, lo, hi): of the kappas of each subset, in order, those at 2.5 and 97.5 percent."""
+    each = f"each_ AS (SELECT {subset}, b AS rep, la, lb, n FROM cnt JOIN place USING (r))"
+    drawn = _kappa_sql(f"{each}, cells AS (SELECT subset, rep, la, lb, sum(n)::bigint AS n FROM each_ GROUP BY ALL)", "subset, rep")
+    return f"""{cells}, place AS (SELECT row_number() OVER (ORDER BY key, la, lb) - 1 AS r, * FROM all_), lf AS (SELECT r, m FROM place), {draw_sql.counts(DRAWS)}, {drawn},
+  ks AS (SELECT subset, list_sort(list({_KAPPA})) AS v FROM kap GROUP BY 1), spans AS (SELECT subset, v[greatest(1, floor(len(v) * 0.025)::int + 1)] AS lo, v[greatest(1, floor(len(v) * 0.975)::int)] AS hi FROM ks)"""
+
+
+_PAIR_CELLS = "all_ AS (SELECT {0} AS key, x.label AS la, y.label AS lb, count(*) AS m FROM ratings x JOIN ratings y USING (item_id) WHERE x.rater = 'r0' AND y.rater = 'r1' GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH RECURSIVE {S.RATINGS}, {_kappa_interval_sql(_PAIR_CELLS.format("'m' || (x.item_id % 2)"), "unnest([key, 'overall']) AS subset")},
+  whole AS (WITH {_kappa_sql(_SUBSETS, 'subset')} SELECT subset, n, same / n AS agreement, {_KAPPA} AS kappa, {_KAPPA} >= 0.6 AS passes FROM kap)
+  SELECT subset, n, round(agreement, 6) AS agreement, kappa, passes, lo, hi FROM whole LEFT JOIN spans USING (subset)""")
 def agreement_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """agreement_by_subset with the interval of each kappa over 500 draws of items."""
+    """agreement_by_subset with the interval of each kappa over 2,000 draws of items."""
     rows = S.ratings(spark, sf_dir)
     one = rows.where("rater = 'r0'")
     key = one.select("item_id", F.concat(F.lit("m"), (F.col("item_id") % 2).cast("string")).alias("model"))
-    return L.agreement_intervals(one, rows.where("rater = 'r1'"), key, 500)
-
-
-_SUBSETS = "both_ AS (SELECT x.label AS la, y.label AS lb, unnest(['m' || (x.item_id % 2), 'overall']) AS subset FROM ratings x JOIN ratings y USING (item_id) WHERE x.rater = 'r0' AND y.rater = 'r1'), cells AS (SELECT subset, la, lb, count(*) AS n FROM both_ GROUP BY 1, 2, 3)"
+    return L.agreement_intervals(one, rows.where("rater = 'r1'"), key, DRAWS).withColumn("agreement", F.round("agreement", 6))
 
 
 @query(f"WITH {S.RATINGS}, {_kappa_sql(_SUBSETS, 'subset')} SELECT subset, n, round(same / n, 6) AS agreement, {_KAPPA} AS kappa, {_KAPPA} >= 0.6 AS passes FROM kap")
@@ -212,12 +228,11 @@ def annotation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.annotation_items(S.items(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {S.RATINGS}, {_kappa_interval_sql(_PAIR_CELLS.format('0'), '0 AS subset')} SELECT lo, hi FROM spans")
 def kappa_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lo, hi of Cohen's kappa of two raters over 2,000 item bootstraps, from confusion cells per replicate."""
+    """lo, hi of Cohen's kappa of two raters over 2,000 item bootstraps, drawn as counts of the confusion cells."""
     rows = S.ratings(spark, sf_dir)
     a = rows.where("rater = 'r0'").select("item_id", F.col("label").alias("a"))
     both = a.join(rows.where("rater = 'r1'").select("item_id", F.col("label").alias("b_label")), "item_id")
-    drawn = both.join(bootstrap.weights(bootstrap.group_places(both, "item_id"), "item_id", 2000), "item_id")
-    cells = drawn.groupBy("b", "a", "b_label").agg(F.sum("w").alias("n"))
+    cells = bootstrap.cell_replicates(both.groupBy("a", "b_label").agg(F.count("*").alias("n")), ["a", "b_label"], "n", DRAWS)
     return bootstrap.order_statistics(L.kappa_of_cells(cells, ["b"], "a", "b_label"), "kappa")

@@ -12,8 +12,10 @@ from evalspark.plans import standins as S
 from evalspark.plans.registry import query
 from evalspark.sources.shared import written
 
-L2 = (0.1, 1.0, 10.0, 100.0, 1000.0)
-DRAWS = 500
+# The penalties of the published sweeps.
+L2 = (1.0, 10.0, 100.0, 1000.0, 10000.0)
+#: Draws of an interval.
+DRAWS = 2000
 SEEDS = (42, 1, 2, 3, 4)
 TARGETS = {"S_vs_C": (("S",), ("C",)), "F_vs_C": (("F",), ("C",)), "Z_vs_C": (("Z",), ("C",)), "F_vs_Z": (("F",), ("Z",)), "SFZ_vs_CR": (("S", "F", "Z"), ("C", "R"))}
 #: The layer column of nested cross-validation numbers layers and positions together.

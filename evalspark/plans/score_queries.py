@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import is_correct
 from evalspark.operators import bootstrap, metrics, outcomes, policy
+from evalspark.plans import draw_sql
 from evalspark.plans import standins as S
 from evalspark.plans.registry import query
 from evalspark.streaming.labels import running_accuracy
@@ -92,45 +93,41 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.scores(spark, sf_dir).withColumn("fold", F.col("fold").cast("long")).cube("cls", "fold").agg(F.count("*").alias("n"))
 
 
-_DRAWS = """grp AS (SELECT DISTINCT figure_id FROM outcomes), plc AS (SELECT figure_id, row_number() OVER (ORDER BY sha1(figure_id::varchar)) - 1 AS place, count(*) OVER () AS n FROM grp),
-  drawn AS (SELECT b, ('0x' || substr(sha1('42/' || b || '/' || j), 1, 8))::bigint % n AS place FROM (SELECT max(n) AS n FROM plc), (SELECT unnest(range(2000)) AS b), LATERAL (SELECT unnest(range(n)) AS j)),
-  wts AS (SELECT b, figure_id, count(*) AS w FROM drawn JOIN plc USING (place) GROUP BY 1, 2)"""
-
-
 def _rate(kind: str, action: str) -> str:
     inside = f"FILTER (failure_type = '{kind}' AND intervention = '{action}')"
     return f"(sum(recovered::int * w) {inside} / sum(w) {inside})"
 
 
-@query(f"""WITH {S.OUTCOMES}, {_DRAWS}, v AS (SELECT b, ({_rate('structural', 'I_crop')} - {_rate('structural', 'I_0')}) - ({_rate('fabrication', 'I_crop')} - {_rate('fabrication', 'I_0')}) AS v FROM outcomes JOIN wts USING (figure_id) GROUP BY b)
+@query(f"""WITH RECURSIVE {S.OUTCOMES}, {draw_sql.weights('outcomes', 'figure_id', DRAWS)}, v AS (SELECT b, ({_rate('structural', 'I_crop')} - {_rate('structural', 'I_0')}) - ({_rate('fabrication', 'I_crop')} - {_rate('fabrication', 'I_0')}) AS v FROM outcomes JOIN wts USING (figure_id) GROUP BY b)
   SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, NOT (quantile_cont(v, 0.025) <= 0 AND quantile_cont(v, 0.975) >= 0) AS excludes_zero FROM v""")
 def did_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contrast's interval over 2,000 cluster draws, from cells per figure, action and type."""
     rows = S.outcomes(spark, sf_dir)
-    cells = rows.groupBy("figure_id", "failure_type", "intervention").agg(F.sum(F.col("recovered").cast("int")).alias("r"), F.count("*").alias("k"))
-    drawn = cells.join(bootstrap.weights(bootstrap.group_places(rows, "figure_id"), "figure_id", DRAWS), "figure_id")
-    # A cell stands for k rows of which r recovered.
-    rated = drawn.select("b", "failure_type", "intervention", (F.col("r") / F.col("k")).alias("recovered"), (F.col("w") * F.col("k")).alias("w"))
-    values = rated.groupBy("b").agg(outcomes.did("I_crop").alias("value"))
+    values = bootstrap.cell_rates(rows, "figure_id", DRAWS).groupBy("b").agg(outcomes.did("I_crop").alias("value"))
     got = bootstrap.interval(values, "value")
     return got.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), (~((F.col("lo") <= 0) & (F.col("hi") >= 0))).alias("excludes_zero"))
 
 
-@query(f"""WITH {S.OUTCOMES}, {_DRAWS}, r AS (SELECT b, failure_type, intervention, sum(recovered::int * w) / sum(w) AS v FROM outcomes JOIN wts USING (figure_id) WHERE failure_type <> 'computation' GROUP BY 1, 2, 3),
+@query(f"""WITH RECURSIVE {S.OUTCOMES}, {draw_sql.weights('outcomes', 'figure_id', DRAWS)}, r AS (SELECT b, failure_type, intervention, sum(recovered::int * w) / sum(w) AS v FROM outcomes JOIN wts USING (figure_id) WHERE failure_type <> 'computation' GROUP BY 1, 2, 3),
   k AS (SELECT *, row_number() OVER (PARTITION BY b, failure_type ORDER BY v DESC, intervention DESC) AS n FROM r), x AS (SELECT b, count(DISTINCT intervention) AS d FROM k WHERE n = 1 GROUP BY 1)
   SELECT count(*) FILTER (d = 2) / 2000.0::double AS stability FROM x""")
 def flip_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.flip_stability(S.outcomes(spark, sf_dir), "figure_id", DRAWS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.SCORES}, {draw_sql.weights('scores', 'figure_id', DRAWS)}, g AS (SELECT b, score, sum(w * y)::bigint AS pos, sum(w * (1 - y))::bigint AS neg FROM scores JOIN wts USING (figure_id) GROUP BY 1, 2),
+  c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS nb FROM g), v AS (SELECT b, sum(pos * (2 * nb + neg)) / nullif(2.0 * sum(pos) * sum(neg), 0) AS v FROM c GROUP BY 1)
+  SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM v""")
 def auroc_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the AUROC over 2,000 draws of figures."""
-    return bootstrap.interval(bootstrap.weighted_auroc(S.scores(spark, sf_dir), "figure_id", "score", F.col("y") == 1, DRAWS), "value")
+    return _rounded(bootstrap.interval(bootstrap.weighted_auroc(S.scores(spark, sf_dir), "figure_id", "score", F.col("y") == 1, DRAWS), "value"), "lo", "hi")
+
+
+_BEST = """u AS (SELECT cls, unnest(['I_0', 'I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS action, unnest([0, 1, 2, 3, 4]) AS ord, unnest([I_0, I_reask, I_upsample, I_crop, I_verify])::int AS ok FROM controller),
+  a AS (SELECT cls, action, ord, avg(ok) AS accuracy FROM u GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY accuracy DESC, ord) AS k FROM a)"""
 
 
-@query(f"""WITH {S.CONTROLLER}, u AS (SELECT cls, unnest(['I_0', 'I_reask', 'I_upsample', 'I_crop', 'I_verify']) AS action, unnest([0, 1, 2, 3, 4]) AS ord, unnest([I_0, I_reask, I_upsample, I_crop, I_verify])::int AS ok FROM controller),
-  a AS (SELECT cls, action, ord, avg(ok) AS accuracy FROM u GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY accuracy DESC, ord) AS k FROM a) SELECT cls, action, round(accuracy, 6) AS accuracy FROM r WHERE k = 1""")
+@query(f"WITH {S.CONTROLLER}, {_BEST} SELECT cls, action, round(accuracy, 6) AS accuracy FROM r WHERE k = 1")
 def oracle_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(policy.oracle_plan(S.controller_items(spark, sf_dir)), "accuracy")
 
@@ -148,8 +145,11 @@ def relook_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(got.withColumn("fold", F.col("fold").cast("long")), "threshold")
 
 
-@query(f"""WITH {S.CONTROLLER}, {_RULES}, rl AS (SELECT c.*, b.repair, coalesce(c.misread > b.threshold, false) AS again FROM controller c LEFT JOIN b ON b.k = c.fold AND b.n = 1),
-  fin AS (SELECT *, CASE WHEN again THEN CASE repair WHEN 'I_reask' THEN I_reask WHEN 'I_upsample' THEN I_upsample WHEN 'I_crop' THEN I_crop ELSE I_verify END ELSE I_0 END AS final FROM rl)
+_FINAL = f"""{_RULES}, rl AS (SELECT c.*, b.repair, coalesce(c.misread > b.threshold, false) AS again FROM controller c LEFT JOIN b ON b.k = c.fold AND b.n = 1),
+  fin AS (SELECT *, CASE WHEN again THEN CASE repair WHEN 'I_reask' THEN I_reask WHEN 'I_upsample' THEN I_upsample WHEN 'I_crop' THEN I_crop ELSE I_verify END ELSE I_0 END AS final FROM rl)"""
+
+
+@query(f"""WITH {S.CONTROLLER}, {_FINAL}
   SELECT 'plain' AS policy, count(*) AS n, round(avg(I_0::int), 6) AS accuracy FROM fin UNION ALL SELECT 'binary', count(*), round(avg(I_0::int), 6) FROM fin UNION ALL SELECT 'missing', count(*), round(avg(I_0::int), 6) FROM fin
   UNION ALL SELECT 'controller', count(*), round(avg(final::int), 6) FROM fin UNION ALL SELECT 'relook_binary', count(*), round(avg(final::int), 6) FROM fin""")
 def policy_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,20 @@ def policy_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(got.select("policy", "n", "accuracy"), "accuracy")
 
 
-@query()
+_AREAS = f"""{S.CONTROLLER}, {_FINAL}, {_BEST}, {draw_sql.weights('scores', 'figure_id', DRAWS)}, every AS (SELECT * FROM wts UNION ALL SELECT -1, figure_id, 1 FROM grp),
+  ideal AS (SELECT fin.*, r.accuracy, CASE action WHEN 'I_0' THEN I_0 WHEN 'I_reask' THEN I_reask WHEN 'I_upsample' THEN I_upsample WHEN 'I_crop' THEN I_crop ELSE I_verify END AS best FROM fin JOIN r ON r.cls = fin.cls AND r.k = 1),
+  pol AS (SELECT figure_id, unnest(['plain', 'binary', 'missing', 'controller', 'relook_binary', 'oracle']) AS policy, unnest([I_0, I_0, I_0, final, final, best])::int AS ok, unnest([0.0::double, -"binary", -missing, -missing, -"binary", accuracy]) AS conf FROM ideal),
+  tie AS (SELECT policy, b, conf, sum(w)::bigint AS g, sum(w * (1 - ok))::bigint AS e FROM pol JOIN every USING (figure_id) GROUP BY 1, 2, 3),
+  run AS MATERIALIZED (SELECT *, (sum(g) OVER o - g)::bigint AS bg, (sum(e) OVER o - e)::bigint AS be FROM tie WINDOW o AS (PARTITION BY policy, b ORDER BY conf DESC)),
+  val AS MATERIALIZED (SELECT policy, b, sum(list_sum([(be + i * e / g) / (bg + i) FOR i IN range(1, g + 1)])) / sum(g) AS v FROM run GROUP BY 1, 2)"""
+_COVERAGES = (100, 90, 80, 70, 60, 50)
+
+
+@query(f"""WITH RECURSIVE {_AREAS}, n AS (SELECT policy, sum(g)::bigint AS n FROM run WHERE b = -1 GROUP BY 1), pt AS (SELECT policy, n, unnest({list(_COVERAGES)}) AS c, greatest(1, round_even(unnest({[c / 100 for c in _COVERAGES]}) * n, 0)) AS k FROM n),
+  risk AS (SELECT policy, c, (be + (k - bg) * e / g) / k AS risk FROM pt JOIN run USING (policy) WHERE b = -1 AND k > bg AND k <= bg + g), acc AS (SELECT policy, avg(ok) AS accuracy FROM pol GROUP BY 1),
+  span AS (SELECT policy, round(quantile_cont(v, 0.025), 3) AS lo, round(quantile_cont(v, 0.975), 3) AS hi FROM val WHERE b >= 0 GROUP BY 1)
+  SELECT policy, n, round(v, 3) AS aurc, """ + ", ".join(f"(SELECT round(risk, 3) FROM risk WHERE risk.policy = n.policy AND c = {c}) AS risk_{c}" for c in _COVERAGES) + """, round(accuracy, 3) AS accuracy, lo, hi
+  FROM n JOIN acc USING (policy) JOIN span USING (policy) JOIN val USING (policy) WHERE b = -1""")
 def policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """policy, aurc, its interval over 2,000 draws of figures, and the risks at the coverages, rounded for a report."""
     rows = policy.policies(S.controller_items(spark, sf_dir))
@@ -166,7 +179,9 @@ def policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("policy", "n", *[F.round(c, 3).alias(c) for c in got.columns if c not in ("policy", "n")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_AREAS}, pairs AS (SELECT unnest(['controller', 'controller', 'relook_binary']) AS one, unnest(['missing', 'binary', 'binary']) AS other),
+  d AS (SELECT one, other, x.b, x.v - y.v AS d FROM pairs JOIN val x ON x.policy = one JOIN val y ON y.policy = other AND y.b = x.b)
+  SELECT one, other, round(max(d) FILTER (b = -1), 6) AS difference, round(quantile_cont(d, 0.025) FILTER (b >= 0), 6) AS lo, round(quantile_cont(d, 0.975) FILTER (b >= 0), 6) AS hi FROM d GROUP BY 1, 2""")
 def ablation_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one, other, difference of AURC and its interval (lo, hi) over the same 2,000 draws for both policies."""
     rows = policy.policies(S.controller_items(spark, sf_dir))
@@ -179,7 +194,7 @@ def ablation_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
         return left.join(of.select("b", F.col("policy").alias("other"), F.col("value").alias("w")), ["b", "other"]).withColumn("d", F.col("v") - F.col("w"))
 
     point = differences(whole).select("one", "other", F.col("d").alias("difference"))
-    return point.join(bootstrap.interval(differences(values), "d", ["one", "other"]), ["one", "other"])
+    return _rounded(point.join(bootstrap.interval(differences(values), "d", ["one", "other"]), ["one", "other"]), "difference", "lo", "hi")
 
 
 @query(f"""WITH {S.OUTCOMES} SELECT failure_type, """ + ", ".join(f"round(avg(recovered::int) FILTER (intervention = '{a}'), 3) AS {a}, count(*) FILTER (intervention = '{a}') AS {a}_n" for a in S.ACTIONS) + " FROM outcomes GROUP BY 1")

@@ -311,58 +311,6 @@ def test_surface_baseline(spark):
     assert close(got["auroc"], area([r["y"] for r in test], np.round(s, 9)))
 
 
-def draws(groups, n, seed=42):
-    """How often each replicate draws each group."""
-    order = sorted(groups, key=lambda g: hashlib.sha1(str(g).encode()).hexdigest())
-    for b in range(n):
-        weight = dict.fromkeys(order, 0)
-        for j in range(len(order)):
-            weight[order[int(hashlib.sha1(f"{seed}/{b}/{j}".encode()).hexdigest()[:8], 16) % len(order)]] += 1
-        yield weight
-
-
-def test_auroc_bootstrap(spark):
-    rows = S.scores(spark, oracle.SF).select("figure_id", "score", "y").collect()
-    values = []
-    for w in draws({r["figure_id"] for r in rows}, 2000):
-        pos, neg = ({}, {})
-        for r in rows:
-            side = pos if r["y"] else neg
-            side[r["score"]] = side.get(r["score"], 0) + w[r["figure_id"]]
-        s = sorted(set(pos) | set(neg))
-        p, q = (np.array([d.get(k, 0) for k in s], dtype=float) for d in (pos, neg))
-        values.append((p * (np.cumsum(q) - q / 2)).sum() / (p.sum() * q.sum()))
-    (got,) = run(spark, "auroc_bootstrap")
-    assert (got["lo"], got["hi"]) == pytest.approx(tuple(np.percentile(values, [2.5, 97.5])))
-
-
-def kappa(pairs):
-    n = sum(w for *_, w in pairs)
-    same = sum(w for a, b, w in pairs if a == b)
-    left, right = {}, {}
-    for a, b, w in pairs:
-        left[a], right[b] = left.get(a, 0) + w, right.get(b, 0) + w
-    chance = sum(left[k] * right.get(k, 0) for k in left) / n / n
-    return 1.0 if chance >= 1 else round((same / n - chance) / (1 - chance), 4)
-
-
-def test_kappa_intervals(spark):
-    rows = S.ratings(spark, oracle.SF).collect()
-    a, b = ({r["item_id"]: r["label"] for r in rows if r["rater"] == x} for x in ("r0", "r1"))
-    both = [(i, a[i], b[i]) for i in a if i in b]
-    for name, n in (("kappa_bootstrap", 2000), ("agreement_intervals", 500)):
-        subsets = {"overall": both} if n == 2000 else {"overall": both, "m0": [r for r in both if r[0] % 2 == 0], "m1": [r for r in both if r[0] % 2]}
-        values = {s: [] for s in subsets}
-        for w in draws([i for i, *_ in both], n):
-            for s, kept in subsets.items():
-                values[s].append(kappa([(x, y, w[i]) for i, x, y in kept if w[i]]))
-        for r in run(spark, name):
-            v = sorted(values[r.get("subset", "overall")])
-            assert (r["lo"], r["hi"]) == pytest.approx((v[int(0.025 * n)], v[int(0.975 * n) - 1]), abs=1.1e-4)
-            if "kappa" in r:
-                assert r["kappa"] == pytest.approx(kappa([(x, y, 1) for _, x, y in subsets[r["subset"]]]), abs=1e-4)
-
-
 def test_policy_report(spark):
     """Risks and areas of the policies against the curve laid out row by row; the intervals hold the areas."""
     from evalspark.operators import policy
