@@ -1,7 +1,7 @@
 """Ranking and calibration statistics over score tables.
 
-Running sums over all scores are taken in two steps: within score ranges cut by approximate
-quantiles, then over the ranges' totals. No window holds more than a range. Rows with one confidence are one row of
+Running sums over all scores are taken in two steps: within ranges of (key, score), into which rows are dealt
+once, then over the ranges' totals. No window holds more than a range. Rows with one confidence are one row of
 counts; what their risks sum to has a closed form, so that a tie of any size costs no more.
 """
 
@@ -10,31 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Score ranges: COARSE of COARSE each, so that a score finds its range among two short lists.
-COARSE = 64
-RANGES = COARSE * COARSE
+from evalspark.sources.shared import written
+
+#: Harmonic numbers up to this one are listed, others computed.
+LISTED = 64
 #: Rows of a curve that are made at once.
 CURVE_STEP = 4096
 
 
-def prefix_sums(rows: DataFrame, keys: list[str], order: str, sums: list[str], ranges: int = RANGES, descending: bool = False) -> DataFrame:
+def same(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """right with its keys renamed, and the condition that they equal left's, NULLs too."""
+    right = right.withColumnsRenamed({k: f"_same_{i}" for i, k in enumerate(keys)})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_same_{i}"))
+    return right, on
+
+
+def ranged(rows: DataFrame, keys: list[str], order: str, descending: bool = False) -> tuple[DataFrame, Column]:
+    """rows, written with _part, the number of the range of (keys, order) that they are in; and the direction of order."""
+    direction = F.col(order).desc() if descending else F.col(order).asc()
+    return written(rows.repartitionByRange(*keys, direction).withColumn("_part", F.spark_partition_id()), "prefix"), direction
+
+
+def prefix_sums(rows: DataFrame, keys: list[str], order: str, sums: list[str], descending: bool = False) -> DataFrame:
     """rows with before_<s> for each of sums: its total over the rows of the same keys that come before in order.
 
-    rows must have one row for each key and order value.
+    rows must have one row for each key and order value. They are cut once into ranges of (keys, order), so that a range holds as much
+    of a key as a task can take, however close its values lie; a key's ranges pass on their totals.
     """
-    cuts = rows.agg(F.array_distinct(F.percentile_approx(order, F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)]), 10000)).alias("_cuts"))
-    marks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / COARSE).cast("int")), lambda i: F.get("_cuts", i * COARSE))
-    cuts = cuts.select("_cuts", F.when(F.size("_cuts") > 0, marks).otherwise(F.col("_cuts")).alias("_marks"))
-    cut = rows.crossJoin(F.broadcast(cuts)).withColumn("_coarse", F.greatest(F.lit(0), F.size(F.filter("_marks", lambda c: c < F.col(order))) - 1) * COARSE)
-    fine = F.size(F.filter(F.slice("_cuts", F.col("_coarse") + 1, F.lit(COARSE)), lambda c: c < F.col(order)))
-    cut = cut.withColumn("_range", F.col("_coarse") + fine).drop("_cuts", "_marks", "_coarse")
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    within = Window.partitionBy(*keys, "_range").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy(*keys).orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_range").agg(*[F.sum(s).alias(s) for s in sums])
-    before = totals.select(*keys, "_range", *[F.coalesce(F.sum(s).over(over), F.lit(0)).alias(f"_before_{s}") for s in sums])
-    joined = cut.join(before, [*keys, "_range"])
-    return joined.select(*rows.columns, *[(F.coalesce(F.sum(s).over(within), F.lit(0)) + F.col(f"_before_{s}")).alias(f"before_{s}") for s in sums])
+    cut, direction = ranged(rows, keys, order, descending)
+    totals = cut.groupBy(*keys, "_part").agg(*[F.sum(s).alias(s) for s in sums])
+    over = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_part", *[F.coalesce(F.sum(s).over(over), F.lit(0)).alias(f"_before_{s}") for s in sums])
+    within = Window.partitionBy(*keys, "_part").orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+    before, on = same(cut, before, [*keys, "_part"])
+    return cut.join(before, on).select(*rows.columns, *[(F.coalesce(F.sum(s).over(within), F.lit(0)) + F.col(f"_before_{s}")).alias(f"before_{s}") for s in sums])
 
 
 def average_ranks(rows: DataFrame, score: str, keys: list[str] | None = None) -> DataFrame:
@@ -43,7 +54,8 @@ def average_ranks(rows: DataFrame, score: str, keys: list[str] | None = None) ->
     groups = rows.groupBy(*keys, score).agg(F.count("*").alias("_g"))
     placed = prefix_sums(groups, keys, score, ["_g"])
     placed = placed.withColumn("rank", F.col("before__g") + (F.col("_g") + 1) / 2.0).drop("_g", "before__g")
-    return rows.join(placed, [*keys, score])
+    placed, on = same(rows, placed, [*keys, score])
+    return rows.join(placed, on).select(*rows.columns, "rank")
 
 
 def auroc(rows: DataFrame, score: str, label: Column, keys: list[str] | None = None) -> DataFrame:
@@ -69,17 +81,17 @@ def calibration(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
 
 def harmonic_difference(low: Column, g: Column) -> Column:
     """1 / (low + 1) + ... + 1 / (low + g)."""
-    small = [sum(1.0 / i for i in range(1, n + 1)) for n in range(COARSE + 1)]
+    small = [sum(1.0 / i for i in range(1, n + 1)) for n in range(LISTED + 1)]
 
     def rest(n: Column) -> Column:
         return 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * n * n * n * n)
 
     def whole(n: Column) -> Column:
         x = n.cast("double")
-        return F.when(n <= COARSE, F.get(F.array(*map(F.lit, small)), F.least(n, F.lit(COARSE)).cast("int"))).otherwise(F.log(x) + 0.5772156649015329 + rest(x))
+        return F.when(n <= LISTED, F.get(F.array(*map(F.lit, small)), F.least(n, F.lit(LISTED)).cast("int"))).otherwise(F.log(x) + 0.5772156649015329 + rest(x))
 
     a, b = low.cast("double"), (low + g).cast("double")
-    return F.when(low <= COARSE, whole(low + g) - whole(low)).otherwise(F.log1p(g / a) + rest(b) - rest(a))
+    return F.when(low <= LISTED, whole(low + g) - whole(low)).otherwise(F.log1p(g / a) + rest(b) - rest(a))
 
 
 def tied_area(before_g: Column, before_e: Column, g: Column, e: Column) -> Column:
@@ -93,7 +105,10 @@ def stretches(rows: DataFrame, ok: str, conf: str, keys: list[str] | None = None
     groups = rows.groupBy(*keys, conf).agg(F.count("*").alias("g"), F.sum(F.when(F.col(ok), 0).otherwise(1)).alias("e"))
     placed = prefix_sums(groups, keys, conf, ["g", "e"], descending=True)
     total = groups.groupBy(*keys).agg(F.sum("g").alias("n")) if keys else groups.agg(F.sum("g").alias("n"))
-    return placed.join(total, keys) if keys else placed.crossJoin(total)
+    if not keys:
+        return placed.crossJoin(total)
+    total, on = same(placed, total, keys)
+    return placed.join(total, on).select(*placed.columns, "n")
 
 
 def _risk_at(k: Column) -> Column:

@@ -78,6 +78,21 @@ def test_auroc_by_pairs(spark):
         assert one(metrics.auroc(rows, "s", F.col("y") == 1))["auroc"] == pytest.approx(pairs)
 
 
+def test_auroc_of_a_key_with_a_narrow_span(spark):
+    """A million scores of one key between two neighbouring scores of another, and a NULL key: ranges are cut within the key."""
+    i = F.col("id")
+    narrow = spark.range(1_000_000).select(F.lit("narrow").alias("k"), (1 + (i * 7919 % 1_000_003) / 1e9).alias("s"), (i % 3 == 0).alias("y"))
+    wide = spark.range(1000).select(F.when(i % 2 == 0, "wide").alias("k"), (i / 2).cast("double").alias("s"), (i % 5 < 2).alias("y"))
+    rows = narrow.union(wide)
+    cut, _ = metrics.ranged(rows.groupBy("k", "s").count().repartition(8), ["k"], "s")
+    sizes = [r["count"] for r in cut.groupBy("_part").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 600_000
+    got = {r["k"]: r["auroc"] for r in metrics.auroc(rows, "s", F.col("y"), ["k"]).collect()}
+    for key in ("narrow", "wide", None):
+        frame = rows.where(F.col("k").eqNullSafe(F.lit(key))).toPandas()
+        assert got[key] == pytest.approx(probes.area(frame["y"].to_numpy().astype(int), frame["s"].to_numpy()))
+
+
 def test_risk_coverage(spark):
     rows = lambda conf: spark.createDataFrame(list(zip([True, True, True, False], conf)), "ok boolean, conf int")
     curve = lambda conf: [r["risk"] for r in metrics.risk_coverage(rows(conf), "ok", "conf").orderBy("k").collect()]
