@@ -46,7 +46,8 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_report(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the documents in the token files at path."""
-    read = tokens.starts(tokens.id_checksums(tokens.read_tokens(spark, path)))
+    files = tokens.read_tokens(spark, path)
+    read = tokens.starts(tokens.id_checksums(files), files)
     return read.select("doc_id", "start", "n_tokens", F.col("_crc").alias("ids_crc32"))
 
 

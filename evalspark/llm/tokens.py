@@ -229,10 +229,10 @@ def read_documents(spark: SparkSession, path: str, low: int, high: int, ids: boo
     return rows if ids else rows.drop("ids")
 
 
-def starts(tokens: DataFrame) -> DataFrame:
-    """tokens with start: the ids of all documents before. Only the per-file totals meet in one task."""
+def starts(tokens: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """tokens with start: the ids of all documents before. Only the per-file totals meet in one task; lengths: where row and n_tokens of all are cheaper to read."""
     tokens = tokens.withColumn("part", F.shiftright("row", 33))
-    totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    totals = (tokens if lengths is None else lengths).groupBy(F.shiftright("row", 33).alias("part")).agg(F.sum("n_tokens").alias("_n"))
     before = totals.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     return tokens.join(F.broadcast(before), "part").withColumn("start", F.col("_before") + within).drop("_before")
