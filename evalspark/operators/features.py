@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, StructField, StructType
 
 from evalspark.functions import text as X
 from evalspark.operators.bootstrap import group_places
+from evalspark.sources.shared import written
 
 # Gridlines of the three tick densities.
 TICK_COUNTS = {"sparse": 6, "medium": 11, "dense": 21}
@@ -128,20 +135,84 @@ def path_questions(graphs: DataFrame) -> DataFrame:
     return graphs.where(F.size("path_nodes") > 1).select("figure_id", F.inline(cells)).where("question is not null and gold is not null")
 
 
+class Pool:
+    """What pooling needs of some tokens of an item: counts, sums and greatest values of the image tokens, counts and sums of the text tokens, and the last token."""
+
+    def __init__(self, width: int) -> None:
+        self.image, self.text = np.zeros((2, width)), np.zeros((2, width))
+        self.most, self.last = np.full(width, -np.inf), (None, None)
+
+    def add(self, pos: int | None, kind: str, x: np.ndarray, known: np.ndarray) -> None:
+        if kind == "image":
+            self.image += known, np.where(known, x, 0.0)
+            self.most = np.where(known, np.maximum(self.most, x), self.most)
+        elif kind == "text":
+            self.text += known, np.where(known, x, 0.0)
+        if pos is not None:
+            self.later(pos, [v if k else None for v, k in zip(x.tolist(), known.tolist())])
+
+    def later(self, pos: int, vec: list) -> None:
+        rank = lambda p, v: (p, [(x is not None, x or 0.0) for x in v])
+        if self.last[0] is None or rank(pos, vec) > rank(*self.last):
+            self.last = pos, vec
+
+    def merge(self, other: Pool) -> None:
+        self.image, self.text, self.most = self.image + other.image, self.text + other.text, np.maximum(self.most, other.most)
+        if other.last[0] is not None:
+            self.later(*other.last)
+
+    def vectors(self) -> dict[str, list]:
+        mean = lambda x: [s / n if n else None for n, s in x.T.tolist()]
+        most = [v if n else None for n, v in zip(self.image[0], self.most.tolist())]
+        return {"vision_mean": mean(self.image), "vision_max": most, "query_last": self.last[1] or [None] * len(self.most), "query_mean": mean(self.text)}
+
+
+#: Items of which a task keeps pools at once.
+POOLS = 256
+
+
 def pooled(tokens: DataFrame) -> DataFrame:
     """item_id, layer, position, vec from tokens (item_id, layer, pos, kind, vec): mean and max over image tokens,
-    the last token, the mean over text tokens."""
-    each = tokens.select("item_id", "layer", "pos", "kind", F.posexplode("vec").alias("dim", "x"))
-    image, text = F.col("kind") == "image", F.col("kind") == "text"
-    dims = each.groupBy("item_id", "layer", "dim").agg(
-        F.avg(F.when(image, F.col("x"))).alias("vision_mean"),
-        F.max(F.when(image, F.col("x").cast("double"))).alias("vision_max"),
-        F.max_by(F.col("x").cast("double"), "pos").alias("query_last"),
-        F.avg(F.when(text, F.col("x"))).alias("query_mean"),
-    )
-    long = dims.select("item_id", "layer", "dim", F.inline(F.array(*[F.struct(F.lit(p).alias("position"), F.col(p).alias("x")) for p in ("vision_mean", "vision_max", "query_last", "query_mean")])))
-    vec = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])
-    return long.groupBy("item_id", "layer", "position").agg(vec.alias("vec"))
+    the last token, the mean over text tokens. NULL entries are left out; what no token tells is NULL.
+
+    Vectors stay whole: a task adds its tokens of an item up, and what it sends is one row an item and layer.
+    """
+    kinds = tokens.select("item_id", "layer").schema
+    part, out = StructType([*kinds.fields, StructField("pool", BinaryType())]), StructType([*kinds.fields, StructField("position", StringType()), StructField("vec", ArrayType(DoubleType()))])
+    schema, made = to_arrow_schema(part), to_arrow_schema(out)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools: dict[tuple, Pool] = {}
+
+        def full() -> pa.RecordBatch:
+            keys = list(zip(*pools)) or [[], []]
+            rows = pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(keys, schema.types)), pa.array([pickle.dumps(p) for p in pools.values()], pa.binary())], names=schema.names)
+            pools.clear()
+            return rows
+
+        for batch in batches:
+            item, layer, pos, kind = (batch.column(i).to_pylist() for i in range(4))
+            for i, vec in enumerate(batch.column(4)):
+                values = vec.values
+                known = values.is_valid().to_numpy(zero_copy_only=False)
+                if (item[i], layer[i]) not in pools and len(pools) >= POOLS:
+                    yield full()
+                pools.setdefault((item[i], layer[i]), Pool(len(known))).add(pos[i], kind[i], values.to_numpy(zero_copy_only=False).astype(float), known)
+        yield full()
+
+    def merge(rows: pa.Table) -> pa.Table:
+        whole = None
+        for x in rows.column("pool"):
+            one = pickle.loads(x.as_py())
+            whole = one if whole is None else whole
+            if one is not whole:
+                whole.merge(one)
+        vectors = whole.vectors()
+        keys = [pa.array([rows.column(c)[0].as_py()] * len(vectors), t) for c, t in zip(("item_id", "layer"), made.types)]
+        return pa.Table.from_arrays([*keys, pa.array(list(vectors)), pa.array(list(vectors.values()), made.types[3])], names=made.names)
+
+    whole = tokens.where("vec is not null").select("item_id", "layer", "pos", "kind", "vec").mapInArrow(add, part)
+    return whole.groupBy("item_id", "layer").applyInArrow(merge, out)
 
 
 def questions(figures: DataFrame) -> DataFrame:
@@ -168,27 +239,36 @@ def standardised(rows: DataFrame, columns: list[str], fit: Column, keys: list[st
     return joined.select(*[z(c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def surface_planes(rows: DataFrame, vec: str, surface: list[str]) -> np.ndarray:
-    """The least-squares planes (intercept first) that predict vec from the surface columns.
+def residualised(rows: DataFrame, vec: str, surface: list[str], fit: Column, keys: list[str] | None = None) -> DataFrame:
+    """rows with vec less its least-squares prediction from the surface columns, fitted where fit, for each of keys; NULL where nothing was fitted.
 
-    The normal equations are sums: (k + 1)² products of surface columns, and k + 1 for each dimension
-    of vec. They are as small as a row, whatever the number of rows, and solved on the driver.
+    The planes come from sums that each task takes over whole vectors: products of the surface columns with each other and with vec.
+    Rows with a NULL surface column take no part in a fit.
     """
-    base = [F.lit(1.0), *[F.col(c).cast("double") for c in surface]]
-    k = len(base)
-    gram = rows.agg(*[F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(base) for j, b in enumerate(base)]).first()
-    dims = rows.select(*[b.alias(f"_b{i}") for i, b in enumerate(base)], F.posexplode(vec).alias("dim", "x"))
-    cross = dims.groupBy("dim").agg(*[F.sum(F.col(f"_b{i}") * F.col("x")).alias(f"c{i}") for i in range(k)]).orderBy("dim").toPandas()
-    g = np.array([[gram[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    return np.linalg.pinv(g) @ cross[[f"c{i}" for i in range(k)]].to_numpy(dtype=float).T
-
-
-def residualised(rows: DataFrame, vec: str, surface: list[str], fit: Column) -> DataFrame:
-    """rows with vec less its least-squares prediction from the surface columns, fitted where fit."""
-    planes = [F.array(*[F.lit(float(x)) for x in row]) for row in surface_planes(rows.where(fit), vec, surface)]
-    base = [F.lit(1.0), *[F.col(c).cast("double") for c in surface]]
-    prediction = [F.transform(p, (lambda b: lambda x: x * b)(b)) for p, b in zip(planes, base)]
-    total = prediction[0]
-    for p in prediction[1:]:
-        total = F.zip_with(total, p, lambda a, b: a + b)
-    return rows.withColumn(vec, F.zip_with(F.col(vec), total, lambda a, b: a.cast("double") - b))
+    from evalspark.operators.descent import planes, same
+
+    keys = keys or []
+    known = rows.where(fit)
+    for c in surface:
+        known = known.where(F.col(c).isNotNull())
+    names = written(known.select(*keys).distinct().withColumn("_code", F.monotonically_increasing_id()), "planes-keys") if keys else None
+    with_surface = F.concat(F.transform(vec, lambda x: x.cast("double")), F.array(*[F.col(c).cast("double") for c in surface])).alias("vec")
+    if names is None:
+        data = known.select(F.lit(0).cast("long").alias("code"), F.lit(0.0).alias("y"), with_surface)
+    else:
+        renamed = names.withColumnsRenamed({k: f"_{k}" for k in keys})
+        data = known.join(renamed, same(keys)).select(F.col("_code").alias("code"), F.lit(0.0).alias("y"), with_surface)
+    found = written(planes(data, len(surface)), "planes")
+    if names is None:
+        joined = rows.join(F.broadcast(found.select(F.col("planes").alias("_planes"))), F.lit(True), "left")
+    else:
+        told = renamed.join(found.select(F.col("code").alias("_code"), F.col("planes").alias("_planes")), "_code").drop("_code")
+        joined = rows.join(told, same(keys), "left")
+    left = F.zip_with(F.col(vec), F.col("_planes")[0], lambda a, b: a.cast("double") - b)
+    for i, c in enumerate(surface):
+        left = _less(left, F.col("_planes")[i + 1], F.col(c).cast("double"))
+    return joined.select(*[left.alias(vec) if c == vec else F.col(c) for c in rows.columns])
+
+
+def _less(left: Column, plane: Column, by: Column) -> Column:
+    return F.zip_with(left, plane, lambda a, b: a - b * by)

@@ -2,8 +2,8 @@
 
 The rows that a cell of a grid is fitted on are a group of a grouped map, all penalties and inner folds in one pass
 over it; the fit is Newton's method in numpy, in the space that the rows span where they are fewer than the
-dimensions. A cell of more than MAX_CELL numbers (rows times dimensions) is fitted by MLlib over
-its distributed rows instead, to the same weights. Fits are tables of weights; rows are scored by joining them, so whatever is
+dimensions. Cells of more than MAX_CELL numbers (rows times dimensions) are fitted together by a descent over
+their distributed rows instead, to the same weights. Fits are tables of weights; rows are scored by joining them, so whatever is
 only scored never passes through a group. Roles are explicit: selection sees what it is given and nothing else.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.operators.bootstrap import auroc_interval
+from evalspark.operators.descent import large_fits
+from evalspark.operators.features import residualised
 from evalspark.operators.metrics import auroc
 from evalspark.operators.quality import require_no_leaks
 from evalspark.sources.shared import written
@@ -114,11 +116,13 @@ def area(y: np.ndarray, s: np.ndarray) -> float | None:
     return float((rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()))
 
 
-def _split(rows: DataFrame, cell: list[str]) -> tuple[DataFrame, list[dict]]:
-    """(rows of cells that fit into a task, the keys of the others)."""
+def _split(rows: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of cells that fit into a task, those of the others, None if there are none)."""
     large = rows.groupBy(*cell).agg(F.sum(F.size("vec").cast("long")).alias("_size")).where(F.col("_size") > MAX_CELL).drop("_size")
-    names = [r.asDict() for r in large.collect()]
-    return (rows.join(F.broadcast(large), cell, "left_anti") if names else rows), names
+    large = written(large, "probe-large")
+    if large.isEmpty():
+        return rows, None
+    return rows.join(F.broadcast(large), cell, "left_anti"), rows.join(F.broadcast(large), cell, "left_semi")
 
 
 def _kinds(rows: DataFrame, cell: list[str]) -> str:
@@ -145,19 +149,11 @@ def fits(rows: DataFrame, cell: list[str], l2: tuple[float, ...], surface: int =
         return row
 
     got = small.select(*cell, "y", "vec").groupBy(*cell).applyInPandas(fit, f"{_kinds(rows, cell)}, {_FITS}")
-    for names in large:
-        one = _of(rows, names)
-        found = [{"l2": float(x), **dict(zip("wb", large_fit(one, x, surface)))} for x in l2]
-        got = got.unionByName(rows.sparkSession.createDataFrame([(*names.values(), found)], f"{_kinds(rows, list(names))}, {_FITS}").select(*got.columns))
+    if large is not None:
+        got = got.unionByName(large_fits(large.select(*cell, "y", "vec"), cell, l2, surface))
     return written(got, "probe-fits")
 
 
-def _of(rows: DataFrame, names: dict) -> DataFrame:
-    for k, v in names.items():
-        rows = rows.where(F.col(k).eqNullSafe(F.lit(v)))
-    return rows
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -168,47 +164,6 @@ def scored(rows: DataFrame, fitted: DataFrame, cell: list[str], keep: list[str])
     return rows.join(fitted, cell).select(*cell, *keep, F.inline(each))
 
 
-def large_fit(rows: DataFrame, l2: float, surface: int = 0) -> tuple[list[float] | None, float | None]:
-    """The weights and intercept of one cell by MLlib's distributed logistic regression on standardised rows."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
-    if rows.select("y").distinct().count() < 2:
-        return None, None
-    data, beta = rows.select("y", F.transform("vec", lambda v: v.cast("double")).alias("vec")), None
-    if surface:
-        from evalspark.operators.features import surface_planes
-
-        parts = data.select("y", F.slice("vec", 1, F.size("vec") - surface).alias("vec"), F.slice("vec", -surface, surface).alias("_s"))
-        parts = parts.select("y", "vec", *[F.get("_s", F.lit(i)).alias(f"_s{i}") for i in range(surface)])
-        names = [f"_s{i}" for i in range(surface)]
-        beta = surface_planes(parts, "vec", names)
-        shift = [F.array(*[F.lit(float(x)) for x in row]) for row in beta]
-        left = F.zip_with("vec", shift[0], lambda a, b: a - b)
-        for i, name in enumerate(names):
-            left = _less(left, shift[i + 1], F.col(name))
-        data = parts.select("y", left.alias("vec"))
-    got = data.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("vec")).alias("s")).select("s.mean", "s.variance", "s.count").first()
-    n, mean = got["count"], got["mean"].toArray()
-    sd = np.sqrt(got["variance"].toArray() * (n - 1) / n)
-    sd = np.where(sd < 1e-6, 1.0, sd)
-    shifted = F.zip_with("vec", F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b)
-    z = F.zip_with(shifted, F.array(*[F.lit(float(v)) for v in sd]), lambda a, b: a / b)
-    train = data.select(array_to_vector(z).alias("features"), F.col("y").cast("double").alias("label"))
-    model = LogisticRegression(regParam=l2 / n, elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=500).fit(train)
-    w = model.coefficients.toArray() / sd
-    b = float(model.intercept - mean @ w)
-    if surface:
-        b -= float(beta[0] @ w)
-        w = np.concatenate((w, -beta[1:] @ w))
-    return w.tolist(), b
-
-
-def _less(left: Column, plane: Column, by: Column) -> Column:
-    return F.zip_with(left, F.transform(plane, lambda x: x * by), lambda a, b: a - b)
-
-
 def layer_sweep(rows: DataFrame, l2: tuple[float, ...], keys: list[str] | None = None, surface: int = 0) -> DataFrame:
     """keys, position, layer, l2, auroc on validation rows. rows: split (train or val), position, layer, y, vec. Test rows can't take part."""
     cell = [*(keys or []), "position", "layer"]
@@ -277,27 +232,30 @@ def nested_cv(rows: DataFrame, l2: tuple[float, ...], folds: int = 5, keys: list
 
     kinds = f"{_kinds(known, cell)}, inner_auroc double, {_FITS}"
     got = small.select(*cell, "fold", "y", "vec").groupBy(*cell).applyInPandas(fit, kinds)
-    for names in large:
-        one = _of(known, names)
-        inner = [f for f in range(folds) if f != names["outer"]]
-        means = {}
-        for p in l2:
-            values = []
-            for f in inner:
-                w, b = large_fit(one.where(F.col("fold") != f), p, surface)
-                if w is not None:
-                    s = one.where(F.col("fold") == f).withColumn("score", dot(F.col("vec"), F.array(*map(F.lit, w))) + F.lit(b))
-                    values.append(auroc(s, "score", F.col("y") == 1).first()["auroc"])
-            values = [v for v in values if v is not None]
-            means[p] = float(np.mean(values)) if values else None
-        best = min(l2, key=lambda p: (means[p] is None, -(means[p] or 0.0), p))
-        w, b = large_fit(one, best, surface)
-        row = rows.sparkSession.createDataFrame([(*names.values(), means[best], [{"l2": float(best), "w": w, "b": b}])], f"{_kinds(known, list(names))}, inner_auroc double, {_FITS}")
-        got = got.unionByName(row.select(*got.columns))
+    if large is not None:
+        got = got.unionByName(_large_nested(large.select(*cell, "fold", "y", "vec"), cell, l2, folds, surface))
     fitted = written(got, "probe-fits")
     return scored(rows.withColumn("outer", F.col("fold")), fitted, cell, ["inner_auroc", "item_id", "figure_id", "cls", "y"])
 
 
+def _large_nested(rows: DataFrame, cell: list[str], l2: tuple[float, ...], folds: int, surface: int) -> DataFrame:
+    """cell, inner_auroc, fits (the chosen penalty's) of cells (cell, fold, y, vec) too large for a task: all inner folds of all cells are one descent, all cells another."""
+    inner_rows = rows
+    if surface:
+        names = [f"_s{i}" for i in range(surface)]
+        parts = rows.select("*", *[F.element_at("vec", i - surface).alias(n) for i, n in enumerate(names)]).withColumn("vec", F.slice("vec", 1, F.size("vec") - surface))
+        inner_rows = residualised(parts, "vec", names, F.lit(True), cell).drop(*names)
+    inner = [*cell, "inner"]
+    each = inner_rows.withColumn("inner", F.explode(F.array(*map(F.lit, range(folds))))).where("inner <> outer and fold <> inner")
+    fitted = written(large_fits(each.select(*inner, "y", "vec"), inner, l2), "probe-inner")
+    held = auroc(scored(inner_rows.withColumn("inner", F.col("fold")), fitted, inner, ["y"]), "score", F.col("y") == 1, [*inner, "l2"])
+    means = held.groupBy(*cell, "l2").agg(F.avg("auroc").alias("inner_auroc"))
+    best = Window.partitionBy(*cell).orderBy(F.round("inner_auroc", 12).desc_nulls_last(), "l2")
+    choice = means.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*cell, F.col("l2").alias("_l2"), "inner_auroc")
+    whole = large_fits(rows.select(*cell, "y", "vec"), cell, l2, surface).join(choice, cell)
+    return whole.select(*cell, "inner_auroc", F.filter("fits", lambda f: f["l2"] == F.col("_l2")).alias("fits"))
+
+
 def assembled(oof: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Out-of-fold scores of one layer for each of keys and outer fold: that with the best inner AUROC, ties to the shallowest."""
     keys = keys or []

@@ -185,7 +185,7 @@ def test_planted_layer_is_found(spark):
     assert sorted(map(tuple, probes.layer_sweep(poisoned, (1.0, 10.0)).collect())) == sorted(map(tuple, curve.collect()))
 
 
-def test_nested_cv_and_mllib_agree(spark, monkeypatch):
+def test_fits_in_tasks_and_over_tasks_agree(spark, monkeypatch):
     rows = vectors(spark, layers=(7,))
     oof = probes.assembled(probes.nested_cv(rows, (1.0,)))
     assert oof.count() == 240 and one(metrics.auroc(oof, "score", F.col("y") == 1))["auroc"] > 0.85
@@ -202,6 +202,28 @@ def test_nested_cv_and_mllib_agree(spark, monkeypatch):
             assert max(abs(again[k] - grouped[k]) for k in grouped) < 1e-4
 
 
+@pytest.mark.parametrize("surface", [0, 2])
+def test_a_descent_reaches_the_fit_of_a_task(surface):
+    """Penalties from 1 to 10,000 on badly scaled columns: the weights of Newton's method, in fewer passes than PASSES."""
+    from evalspark.operators import descent
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 12)) * 10.0 ** np.append(rng.integers(-3, 4, 10), [0, 1]) + rng.normal(size=12) * np.append(np.full(10, 50), [3, 3])
+    y = (x[:, 0] / x[:, 0].std() + rng.normal(size=400) > x[:, 0].mean() / x[:, 0].std()).astype(float)
+    base = np.column_stack((np.ones(400), x[:, 12 - surface :]))
+    for l2 in (1.0, 100.0, 10_000.0):
+        now = descent.Descent(descent.Moments(400.0, y.sum(), base.T @ x, (x * x).sum(axis=0)), l2)
+        for passes in range(descent.PASSES):
+            if now.done:
+                break
+            w = now.weights()
+            z = x @ w[:-1] + w[-1]
+            rest = 1 / (1 + np.exp(-z)) - y
+            now.told(float(np.logaddexp(0, np.where(y > 0, -z, z)).sum()), np.append(x.T @ rest, rest.sum()))
+        w, b = probes.Cell(x, y, surface).fit(l2)
+        assert passes < 120 and np.abs(x @ (now.weights()[:-1] - w) + now.weights()[-1] - b).max() < 1e-5
+
+
 def test_fits_of_wide_cells_are_the_same_in_the_space_of_their_rows():
     rng = np.random.default_rng(6)
     for n, d in ((40, 300), (300, 40), (400, 700)):
@@ -256,6 +278,47 @@ def test_residualising_removes_a_surface_signal(spark):
     assert max(abs(r["vec"][0]) for r in got.collect()) < 1e-8
 
 
+def test_residualising_by_key(spark):
+    """Each key has planes of its own, fitted where told; NULL is a key; a key without fitted rows has none."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        k, s, t = ("a", "b", None)[i % 3], float(rng.normal()), float(rng.normal())
+        slope = {"a": 2.0, "b": -1.0, None: 5.0}[k]
+        rows.append((i, k, s, t, [slope * s + 1, 3.0 - t * slope, float(rng.normal())]))
+    df = spark.createDataFrame(rows + [(999, "c", 1.0, 1.0, [1.0, 2.0, 3.0])], "i int, k string, s double, t double, vec array<double>")
+    got = features.residualised(df, "vec", ["s", "t"], F.col("i") < 200, ["k"])
+    assert got.columns == df.columns
+    left = {r["i"]: r["vec"] for r in got.collect()}
+    assert left.keys() == {r[0] for r in rows} | {999} and left[999] is None
+    assert max(abs(x) for i, v in left.items() if i != 999 for x in v[:2]) < 1e-9
+    plan = got._jdf.queryExecution().toString()
+    assert "explode" not in plan
+
+
+def test_pooling_keeps_vectors_whole(spark):
+    """Tokens of an item in many tasks, NULL entries, an item without image tokens; no row for a number."""
+    rng = np.random.default_rng(5)
+    rows = [(f"i{k % 7}", k % 2, k, "text" if k % 7 == 3 or k % 5 == 0 else "image", [None if k % 11 == 0 and d == 2 else float(x) for d, x in enumerate(rng.normal(size=6))]) for k in range(700)]
+    df = spark.createDataFrame(rows, "item_id string, layer int, pos int, kind string, vec array<double>").repartition(6)
+    got = features.pooled(df)
+    assert "explode" not in got._jdf.queryExecution().toString()
+    found = {(r["item_id"], r["layer"], r["position"]): r["vec"] for r in got.collect()}
+    assert len(found) == 7 * 2 * 4
+    for item in {r[0] for r in rows}:
+        for layer in (0, 1):
+            mine = [r for r in rows if r[:2] == (item, layer)]
+            of = {kind: np.array([r[4] for r in mine if r[3] == kind], dtype=float) for kind in ("image", "text")}
+            want = {"query_last": mine[-1][4], "vision_mean": None, "vision_max": None, "query_mean": None}
+            if len(of["image"]):
+                want |= {"vision_mean": np.nanmean(of["image"], axis=0), "vision_max": np.nanmax(of["image"], axis=0)}
+            if len(of["text"]):
+                want["query_mean"] = np.nanmean(of["text"], axis=0)
+            for position, vec in want.items():
+                mine = found[item, layer, position]
+                assert mine == [None] * 6 if vec is None else mine == pytest.approx([None if x is None or np.isnan(x) else x for x in vec])
+
+
 def test_bootstrap_interval(spark):
     rows = spark.createDataFrame([(f"g{i}", float(i % 7)) for i in range(60)], "g string, x double")
     mean = F.sum(F.col("x") * F.col("w")) / F.sum("w")
