@@ -48,6 +48,26 @@ def prefix_sums(rows: DataFrame, keys: list[str], order: str, sums: list[str], d
     return cut.join(before, on).select(*rows.columns, *[(F.coalesce(F.sum(s).over(within), F.lit(0)) + F.col(f"_before_{s}")).alias(f"before_{s}") for s in sums])
 
 
+def quantile_rows(placed: DataFrame, keys: list[str], value: str, count: str, shares: list[float], keep: list[str]) -> DataFrame:
+    """keys, place, cut and keep: for each of shares its exact quantile, interpolated as percentile does, and columns of the largest value up to it.
+
+    placed: prefix sums of count over one row for each key and value. Only the rows that hold a rank leave their range; none is
+    gathered: a quantile is two rows at most.
+    """
+    total = placed.groupBy(*keys).agg(F.sum(count).alias("_n"))
+    total, on = same(placed, total, keys)
+    spots = F.transform(F.array(*map(F.lit, shares)), lambda s: s * (F.col("_n") - 1))
+    inside = lambda rank: (rank >= F.col(f"before_{count}")) & (rank < F.col(f"before_{count}") + F.col(count))
+    held = lambda step: F.filter(F.transform(spots, lambda x, i: F.struct(i.alias("place"), x.alias("spot"))), lambda x: inside(step(x["spot"])))
+    known = placed.join(total, on)
+    low = known.select(*keys, F.col(value).alias("_low"), *keep, F.inline(held(F.floor)))
+    high = known.select(*keys, F.col(value).alias("_high"), F.inline(held(F.ceil))).drop("spot")
+    high, on = same(low, high, [*keys, "place"])
+    part = F.col("spot") - F.floor("spot")
+    cut = F.when(part == 0, F.col("_low")).otherwise((F.ceil("spot") - F.col("spot")) * F.col("_low") + part * F.col("_high"))
+    return low.join(high, on).select(*keys, "place", cut.alias("cut"), *keep)
+
+
 def average_ranks(rows: DataFrame, score: str, keys: list[str] | None = None) -> DataFrame:
     """rows with rank: the mean of the places that equal scores share, from 1."""
     keys = keys or []

@@ -79,9 +79,28 @@ def relook_effect(rows: DataFrame) -> DataFrame:
 
 
 def edge_crossings(edges: DataFrame) -> DataFrame:
-    """figure_id, crossings of edges (figure_id, eid, a, b, ax, ay, bx, by): pairs without a shared node that cross strictly."""
-    p = edges.select("figure_id", *[F.col(c).alias(f"p_{c}") for c in ("eid", "a", "b", "ax", "ay", "bx", "by")])
-    q = edges.select("figure_id", *[F.col(c).alias(f"q_{c}") for c in ("eid", "a", "b", "ax", "ay", "bx", "by")])
+    """figure_id, crossings of edges (figure_id, eid, a, b, ax, ay, bx, by): pairs of different eid without a shared node that cross strictly. Figures of one eid have no row.
+
+    Each figure has grids of 1, 4, 16 ... cells, up to about one for each two edges. An edge stands in the grid whose cells are the smallest that its
+    box fits into, and so in four cells of it at most, and in the cells of its box in all coarser grids; it meets the edges of its own grid
+    and of finer ones. Edges that are far from each other have no cell in common, a figure's cells are dealt to all tasks, and a pair that shares several
+    cells counts in the first of them.
+    """
+    low = lambda c: F.least(F.col(f"a{c}"), F.col(f"b{c}"))
+    high = lambda c: F.greatest(F.col(f"a{c}"), F.col(f"b{c}"))
+    frames = edges.groupBy("figure_id").agg(F.count("*").alias("_k"), (F.min("eid") < F.max("eid")).alias("_pairs"), F.min(low("x")).alias("_x"), F.min(low("y")).alias("_y"), F.max(high("x")).alias("_xx"), F.max(high("y")).alias("_yy"))
+    frames = frames.where("_pairs").select(F.col("figure_id").alias("_f"), "_k", "_x", "_y", F.greatest(F.col("_xx") - F.col("_x"), F.col("_yy") - F.col("_y")).cast("double").alias("_side"))
+    size = F.greatest(high("x") - low("x"), high("y") - low("y")).cast("double")
+    finest = F.floor(F.log2(F.greatest(F.col("_k") / 2, F.lit(1.0))) / 2)
+    level = F.greatest(F.lit(0), F.least(finest, F.floor(F.log2(F.col("_side") / F.greatest(size, F.col("_side") * 1e-12))))).cast("int")
+    placed = edges.join(frames, F.col("figure_id").eqNullSafe(F.col("_f"))).withColumn("_own", F.coalesce(level, F.lit(0)))
+    placed = placed.withColumn("_grid", F.explode(F.sequence(F.lit(0), F.col("_own"))))
+    cell = lambda value, edge: F.coalesce(F.floor((value - F.col(edge)) / F.nullif(F.col("_side"), F.lit(0.0)) * F.pow(F.lit(2.0), F.col("_grid"))), F.lit(0)).cast("int")
+    placed = placed.select("*", cell(low("x"), "_x").alias("_x0"), cell(high("x"), "_x").alias("_x1"), cell(low("y"), "_y").alias("_y0"), cell(high("y"), "_y").alias("_y1"))
+    placed = placed.withColumn("_cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("_cy", F.explode(F.sequence("_y0", "_y1")))
+    kept = ["eid", "a", "b", "ax", "ay", "bx", "by", "_own", "_x0", "_y0"]
+    p = placed.where("_own = _grid").select("figure_id", "_grid", "_cx", "_cy", *[F.col(c).alias(f"p_{c}") for c in kept])
+    q = placed.select(F.col("figure_id").alias("_g"), *[F.col(c).alias(f"q{c}") for c in ("_grid", "_cx", "_cy")], *[F.col(c).alias(f"q_{c}") for c in kept])
 
     def side(x1: str, y1: str, x2: str, y2: str, x3: str, y3: str) -> Column:
         c = F.col
@@ -90,5 +109,8 @@ def edge_crossings(edges: DataFrame) -> DataFrame:
     apart = ~(F.col("p_a").isin(F.col("q_a"), F.col("q_b")) | F.col("p_b").isin(F.col("q_a"), F.col("q_b")))
     one = side("p_ax", "p_ay", "p_bx", "p_by", "q_ax", "q_ay") * side("p_ax", "p_ay", "p_bx", "p_by", "q_bx", "q_by")
     two = side("q_ax", "q_ay", "q_bx", "q_by", "p_ax", "p_ay") * side("q_ax", "q_ay", "q_bx", "q_by", "p_bx", "p_by")
-    met = p.join(q, "figure_id").where(F.col("p_eid") < F.col("q_eid"))
-    return met.groupBy("figure_id").agg(F.count_if(apart & (one < 0) & (two < 0)).alias("crossings"))
+    meet = F.col("figure_id").eqNullSafe(F.col("_g")) & (F.col("_grid") == F.col("q_grid")) & (F.col("_cx") == F.col("q_cx")) & (F.col("_cy") == F.col("q_cy"))
+    once = (F.col("p_eid") < F.col("q_eid")) | ((F.col("p_eid") > F.col("q_eid")) & (F.col("q__own") > F.col("p__own")))
+    first = (F.col("_cx") == F.greatest("p__x0", "q__x0")) & (F.col("_cy") == F.greatest("p__y0", "q__y0"))
+    crossed = p.join(q, meet & once & first).where(apart & (one < 0) & (two < 0)).groupBy(F.col("figure_id").alias("_c")).agg(F.count("*").alias("crossings"))
+    return frames.join(crossed, F.col("_f").eqNullSafe(F.col("_c")), "left").select(F.col("_f").alias("figure_id"), F.coalesce("crossings", F.lit(0)).cast("long").alias("crossings"))

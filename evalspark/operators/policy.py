@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.operators.metrics import aurc, stretches
+from evalspark.operators.metrics import aurc, prefix_sums, quantile_rows, stretches
 from evalspark.operators.outcomes import BASELINE, REPAIRS
+from evalspark.sources.shared import written
 
 POLICIES = ("plain", "binary", "missing", "controller", "relook_binary", "oracle")
 
@@ -15,19 +16,21 @@ def relook_rules(items: DataFrame, repairs: tuple[str, ...] = REPAIRS, steps: in
     """fold, repair, threshold: the rule that is best on the other folds; repair NULL means never to look again.
 
     Thresholds are quantiles from the median up; candidates must beat the plain answer and each
-    other by more than 1e-12, in the order of repairs, then thresholds.
+    other by more than 1e-12, in the order of repairs, then thresholds. Items are counted by score; thresholds, and what looking again
+    above them gains, are read off the running sums of these counts, so no task holds a fold's scores.
     """
-    folds = items.select("fold").distinct()
-    other = folds.withColumnRenamed("fold", "k").join(items, F.col("k") != F.col("fold"))
-    shares = F.array(*[F.lit(0.5 + 0.5 * i / (steps - 1)) for i in range(steps)])
-    grid = other.groupBy("k").agg(F.array_distinct(F.percentile("misread", shares)).alias("cuts"), F.avg(F.col(BASELINE).cast("int")).alias("plain"), F.count("*").alias("n"))
-    gains = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(r).alias("repair"), (F.col(r).cast("int") - F.col(BASELINE).cast("int")).alias("gain")) for i, r in enumerate(repairs)])
-    # What looking again at scores above a cut gains is a sum over ranges between cuts: each row adds to one.
-    ranged = other.join(grid, "k").withColumn("_at", F.size(F.filter("cuts", lambda c: c < F.col("misread"))))
-    each = ranged.select("k", "_at", F.inline(gains)).groupBy("k", "at", "repair", "_at").agg(F.sum("gain").alias("gain"))
-    cells = grid.select("k", "plain", "n", F.posexplode("cuts").alias("place", "threshold"))
-    # Row in range r lies above cuts 0 .. r - 1.
-    total = cells.join(each, "k").where(F.col("_at") > F.col("place")).groupBy("k", "at", "repair", "place", "threshold", "n").agg(F.sum("gain").alias("gain"))
+    gains = [f"_gain{i}" for i in range(len(repairs))]
+    own = items.where("misread is not null").groupBy("fold", "misread").agg(F.count("*").alias("_c"), *[F.sum(F.col(r).cast("int") - F.col(BASELINE).cast("int")).alias(g) for r, g in zip(repairs, gains)])
+    folds = written(items.select("fold").distinct(), "relook-folds")
+    others = own.withColumn("k", F.explode(F.array(*[F.lit(r["fold"]) for r in folds.where("fold is not null").collect()]))).where("k <> fold")
+    others = others.groupBy("k", "misread").agg(*[F.sum(c).alias(c) for c in ("_c", *gains)])
+    placed = prefix_sums(others, ["k"], "misread", ["_c", *gains])
+    upto = [(F.col(f"before_{g}") + F.col(g)).alias(f"_upto{i}") for i, g in enumerate(gains)]
+    names = [f"_upto{i}" for i in range(len(gains))]
+    cuts = quantile_rows(placed.select("*", *upto), ["k"], "misread", "_c", [0.5 + 0.5 * i / (steps - 1) for i in range(steps)], names)
+    whole = others.groupBy(F.col("k").alias("_k")).agg(*[F.sum(g).alias(g) for g in gains])
+    each = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(r).alias("repair"), (F.col(g) - F.col(f"_upto{i}")).alias("gain")) for i, (r, g) in enumerate(zip(repairs, gains))])
+    total = cuts.join(whole, F.col("k") == F.col("_k")).select("k", F.col("cut").alias("threshold"), F.inline(each))
     first = Window.partitionBy("k").orderBy(F.col("gain").desc(), "at", "threshold")
     best = total.where("gain > 0").withColumn("_r", F.row_number().over(first)).where("_r = 1")
     return folds.join(best.select(F.col("k").alias("fold"), "repair", "threshold"), "fold", "left")

@@ -319,6 +319,42 @@ def test_pooling_keeps_vectors_whole(spark):
                 assert mine == [None] * 6 if vec is None else mine == pytest.approx([None if x is None or np.isnan(x) else x for x in vec])
 
 
+def test_crossings_of_a_large_figure(spark):
+    """20,000 short edges and some long ones in one figure: as a plain count says, from pairs that are near each other only."""
+    rng = np.random.default_rng(2)
+    k = 20_000
+    start = rng.uniform(0, 1000, (k, 2)).round(3)
+    end = start + rng.normal(0, 3, (k, 2)).round(3)
+    end[:20] = rng.uniform(0, 1000, (20, 2))
+    end[20:24] = start[20:24]
+    rows = [(f, int(e), 2 * int(e), 2 * int(e) + 1, *map(float, (*start[e], *end[e]))) for f, n in (("large", k), ("small", 40), ("one", 1)) for e in range(n)]
+    edges = spark.createDataFrame(rows, "figure_id string, eid int, a int, b int, ax double, ay double, bx double, by double").repartition(5)
+    got = outcomes.edge_crossings(edges)
+    found = {r["figure_id"]: r["crossings"] for r in got.collect()}
+
+    def plain(n):
+        p, q, total = start[:n], end[:n], 0
+        side = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
+        for i in range(n - 1):
+            c, d = p[i + 1 : n], q[i + 1 : n]
+            a, b = np.broadcast_to(p[i], c.shape), np.broadcast_to(q[i], c.shape)
+            total += int(((side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)).sum())
+        return total
+
+    assert found == {"large": plain(k), "small": plain(40)}
+
+
+@pytest.mark.parametrize("shares", [[0.0, 0.5, 1.0], [0.5 + 0.01 * i for i in range(51)]])
+def test_quantiles_by_selection(spark, shares):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"), (F.col("id") * 7919 % 97 / 8).alias("v"))
+    counted = rows.groupBy("k", "v").agg(F.count("*").alias("c"))
+    got = metrics.quantile_rows(metrics.prefix_sums(counted, ["k"], "v", ["c"]), ["k"], "v", "c", shares, [])
+    frame = rows.toPandas()
+    want = {(k, i): np.quantile(frame["v"][frame["k"].isna() if k is None else frame["k"] == k], s) for k in ("a", "b", None) for i, s in enumerate(shares)}
+    found = {(r["k"], r["place"]): r["cut"] for r in got.collect()}
+    assert found.keys() == want.keys() and all(found[x] == pytest.approx(want[x]) for x in want)
+
+
 def test_bootstrap_interval(spark):
     rows = spark.createDataFrame([(f"g{i}", float(i % 7)) for i in range(60)], "g string, x double")
     mean = F.sum(F.col("x") * F.col("w")) / F.sum("w")
