@@ -205,8 +205,59 @@ def repair(rows: DataFrame, spill: int = SPILL) -> DataFrame:
 
     names = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     types = [pa.int64()] * 7 + [pa.string()] * 2
-    marked = faulty(rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", "copies"))
-    # Of rows that are alike all but one are duplicates: the sound one first, whatever its number.
-    placed = marked.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text", F.col("fault") == DUPLICATE)
+    placed = in_order(faulty(_typed(rows)))
     with arrow_rows(rows.sparkSession, TEXT_ROWS):
         return written(placed.mapInArrow(run, ", ".join(f"{x} {'string' if k > 6 else 'long'}" for k, x in enumerate(names))), "repair")
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", "copies")
+
+
+def in_order(marked: DataFrame, *first: Column) -> DataFrame:
+    """A conversation's rows in one task, by turn, role and text. Of rows that are alike all but one are duplicates: the other one comes before them."""
+    return marked.repartition("conv_id").sortWithinPartitions("conv_id", *first, F.col("turn").asc_nulls_first(), "role", "text", F.col("fault") == DUPLICATE)
+
+
+def repaired(rows: DataFrame, report: DataFrame) -> DataFrame:
+    """conv_id, place (from 1), role, text: the conversations of rows (conv_id, turn, role, text, copies) after the edits that their reports tell; one of which nothing is left has no rows.
+
+    A conversation's audit comes before its rows in the stream, and each row is edited as it passes.
+    """
+    audits = report.select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.col("audit").alias("text"), F.lit(-1).alias("copies"), F.lit(0).alias("fault"))
+    both = in_order(faulty(_typed(rows)).unionByName(audits), F.col("copies") >= 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, audit, at, end, place, out = None, "", 0, START, 0, []
+
+        def put(made: list[tuple[str, str]]) -> None:
+            nonlocal place
+            for role, text in made:
+                place += 1
+                out.append((conv, place, role, text))
+
+        def inserted() -> None:
+            nonlocal at, end
+            while at < len(audit) and audit[at] == "I":
+                at, end = at + 1, _INSERTED[end]
+                put([(_ROLES[end], "")])
+
+        for batch in batches:
+            for this, _, role, text, copies, _ in zip(*(x.to_pylist() for x in batch.columns)):
+                if copies < 0:
+                    inserted()
+                    conv, audit, at, end, place = this, text, 0, START, 0
+                for _ in range(max(copies, 0)):
+                    inserted()
+                    end, made = edited(end, audit[at], role, text)
+                    at += 1
+                    put(made)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
+                out.clear()
+        inserted()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
+
+    names, kinds = ["conv_id", "place", "role", "text"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return both.mapInArrow(run, "conv_id long, place long, role string, text string")

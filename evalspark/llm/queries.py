@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import boilerplate, conversations, decontaminate, exact_dedup, language, merkle, mixing, ngram_join, quality, simhash, tokens, toxicity, warc
+from evalspark.llm import boilerplate, conversations, decontaminate, exact_dedup, language, merkle, mixing, ngram_join, quality, simhash, structure_sql, tokens, toxicity, warc
 from evalspark.llm.common import hash_fold, shared_path, table
 
 
@@ -96,6 +96,8 @@ _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 _SHINGLES = "CASE WHEN len({0}) = 0 THEN [] WHEN len({0}) < 5 THEN [array_to_string({0}, ' ')] ELSE [array_to_string({0}[i:i + 4], ' ') FOR i IN range(1, len({0}) - 3)] END"
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_manifest": structure_sql.MANIFEST,
+    "op13_repair": structure_sql.REPAIR,
     "op2_exact_dedup": f"""WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
   SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
     "op3_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, list_distinct({_SHINGLES.format('w')}) AS s FROM w),

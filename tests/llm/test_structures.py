@@ -284,6 +284,17 @@ def test_repair_of_odd_conversations(spark, monkeypatch, spill, batch):
     assert reported(made_up(spark, rows).limit(0)) == []
 
 
+def test_repaired_rows_are_those_of_the_report(spark):
+    rows = conversations.damaged(spark.read.parquet(f"{plain.SF}/conversations.parquet"))
+    report = conversations.repair(rows)
+    found = defaultdict(list)
+    for r in conversations.repaired(rows, report).orderBy("conv_id", "place").collect():
+        found[r["conv_id"]].append(f"{r['role']}:{r['text']}")
+        assert r["place"] == len(found[r["conv_id"]])
+    for r in report.collect():
+        assert hashlib.sha256("\n".join(found[r["conv_id"]]).encode()).hexdigest() == r["repaired_sha256"]
+
+
 def test_audits_against_all_edits():
     """Every role and fault of up to three rows, against all edits with up to two inserts anywhere."""
     texts = {"": "Yes{}.", "truncated": "No{}", "blank": " "}
