@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,10 +18,10 @@ REAL_ERRORS = ("structural", "fabrication", "computation")
 MIN_PAIR_ITEMS, KAPPA_GATE = 30, 0.6
 
 
-def last_labels(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """The last record of each key; equal places in the order go to the larger record."""
-    rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("_last"))
+def last_labels(rows: DataFrame, keys: list[str], order: str | Sequence[str] = "seq") -> DataFrame:
+    """The last record of each key in the order of one or more columns; equal places go to the larger record."""
+    rest, order = [c for c in rows.columns if c not in keys], [order] if isinstance(order, str) else list(order)
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("_last"))
     return best.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 

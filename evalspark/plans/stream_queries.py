@@ -11,7 +11,7 @@ from evalspark.plans.registry import query
 from evalspark.plans.score_queries import accuracy_by_day
 from evalspark.plans.registry import ORACLE_SQL
 from evalspark.sources.shared import shared_path
-from evalspark.streaming.labels import current_labels, label_stream, running_accuracy, upsert_labels
+from evalspark.streaming.labels import current_labels, finished_windows, label_stream, running_accuracy, upsert_labels, windowed_accuracy
 
 
 @query(f"WITH {S.LABELLED} SELECT item_id, label FROM labels_llm")
@@ -21,7 +21,7 @@ def stream_last_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = S.labels(spark, sf_dir).select(F.lit("llm").alias("rater"), "item_id", "seq", "label")
     log.repartitionByRange(3, "seq").write.parquet(source)
     stream = label_stream(spark, source, "rater string, item_id string, seq long, label string")
-    upsert_labels(stream, target, state).awaitTermination()
+    upsert_labels(stream, target, state, compact=2).awaitTermination()
     return current_labels(spark, target).select("item_id", "label")
 
 
@@ -40,3 +40,19 @@ def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.awaitTermination()
     windows = spark.read.parquet(target).select("start", "source", F.col("batch").alias("seq"), "n", "n_correct")
     return last_labels(windows, ["start", "source"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "source", "n", "n_correct")
+
+
+@query(f"""WITH {S.ANSWERS}, b AS (SELECT floor(epoch(ts))::bigint % 3 AS k, time_bucket(INTERVAL 1 day, ts) AS start, ts, source, correct::int AS ok FROM answers), m AS (SELECT k, max(max(ts)) OVER (ORDER BY k) - INTERVAL 10 days AS mark FROM b GROUP BY k),
+  r AS (SELECT b.*, coalesce(start + INTERVAL 1 day <= m.mark, false) AS late FROM b LEFT JOIN m ON m.k = b.k - 1)
+  SELECT strftime(start, '%Y-%m-%d') AS day, source, count(*) FILTER (NOT late) AS n, coalesce(sum(ok) FILTER (NOT late), 0)::bigint AS n_correct, count(*) FILTER (late) AS late
+  FROM r WHERE start + INTERVAL 1 day <= (SELECT max(mark) FROM m) GROUP BY 1, 2""")
+def stream_late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of answers that the watermark has passed, from a stream whose three files each span all days: what came too late is counted beside."""
+    source, target, state = (shared_path(spark, f"late-{x}") for x in ("log", "windows", "state"))
+    rows = S.items(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "source", "gold", "prediction", (F.unix_timestamp(F.col("ts").cast("timestamp")) % 3).alias("k"))
+    for k in range(3):
+        rows.where(F.col("k") == k).drop("k").coalesce(1).write.mode("append").parquet(source)
+    stream = label_stream(spark, source, "ts timestamp, source string, gold string, prediction string")
+    windowed_accuracy(stream, target, state, late="10 days").awaitTermination()
+    got = finished_windows(spark, target)
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "source", "n", "n_correct", "late")
