@@ -188,12 +188,16 @@ def test_scores(rows: DataFrame, choice: DataFrame, keys: list[str] | None = Non
 
 
 def one_vs_rest(rows: DataFrame, classes: tuple[str, ...], l2: float, keys: tuple[str, ...] = ("position", "layer")) -> DataFrame:
-    """keys, trained_on, tested_on, auroc: the probe of each class scored against each class on validation rows."""
+    """keys, trained_on, tested_on, auroc, degenerate: the probe of each class scored against each class on validation rows.
+
+    degenerate: the rows have two classes at most, so that the probes are one with its sign turned and what one says of the other's class is 1 less its own area by construction.
+    """
     each = rows.withColumn("trained_on", F.explode(F.array(*map(F.lit, classes)))).withColumn("y", (F.col("cls") == F.col("trained_on")).cast("int"))
     cell = [*keys, "trained_on"]
     got = scored(each.where("split = 'val'"), fits(each.where("split = 'train'"), cell, (l2,)), cell, ["cls"])
     crossed = got.withColumn("tested_on", F.explode(F.array(*map(F.lit, classes))))
-    return auroc(crossed, "score", F.col("cls") == F.col("tested_on"), [*cell, "tested_on"])
+    found = rows.where("split in ('train', 'val')").groupBy(*keys).agg((F.countDistinct("cls") <= 2).alias("degenerate"))
+    return auroc(crossed, "score", F.col("cls") == F.col("tested_on"), [*cell, "tested_on"]).join(found, list(keys))
 
 
 def nested_cv(rows: DataFrame, l2: tuple[float, ...], folds: int = 5, keys: list[str] | None = None, surface: int = 0) -> DataFrame:

@@ -72,6 +72,12 @@ def cross_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(probes.one_vs_rest(S.vectors(spark, sf_dir), ("C", "S", "F"), 10.0), "auroc")
 
 
+@query()
+def cross_transfer_of_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cross_transfer among two classes of errors alone, which is degenerate and says so."""
+    return _rounded(probes.one_vs_rest(S.vectors(spark, sf_dir).where("cls in ('S', 'F')"), ("S", "F"), 10.0), "auroc")
+
+
 @query()
 def nested_type_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The S against C probe's out-of-fold scores on each contrast, with intervals, by position."""

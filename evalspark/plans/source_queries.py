@@ -94,13 +94,13 @@ def task_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("layer", "split", "y").agg(F.count("*").alias("n"))
 
 
-_LEAKS = "g AS (SELECT p_brand AS figure_id, CASE WHEN p_size % 3 = 0 THEN 'test' WHEN p_size % 3 = 1 THEN 'train' ELSE 'val' END AS split FROM part WHERE p_size < 25), d AS (SELECT DISTINCT * FROM g)"
+_LEAKS = "g AS (SELECT p_brand AS figure_id, CASE WHEN p_size % 3 = 0 THEN 'test' WHEN p_size % 3 = 1 THEN 'train' ELSE 'val' END AS split FROM part), d AS (SELECT DISTINCT * FROM g)"
 
 
 @query(f"WITH {_LEAKS} SELECT a.split AS one, b.split AS other, count(*) AS n, array_to_string(list(a.figure_id ORDER BY a.figure_id)[1:5], ',') AS sample FROM d a JOIN d b ON a.figure_id = b.figure_id AND a.split < b.split GROUP BY 1, 2")
 def leaks_by_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.when(F.col("p_size") % 3 == 0, "test").when(F.col("p_size") % 3 == 1, "train").otherwise("val")
-    rows = S.read(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_brand").alias("figure_id"), split.alias("split"))
+    rows = S.read(spark, sf_dir, "part").select(F.col("p_brand").alias("figure_id"), split.alias("split"))
     return quality.group_leaks(rows).select("one", "other", "n", F.array_join("sample", ",").alias("sample"))
 
 

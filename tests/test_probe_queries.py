@@ -182,7 +182,11 @@ def test_cross_transfer(spark, vectors):
     for r in got:
         cell = [dict(x, y=int(x["cls"] == r["trained_on"])) for x in of(vectors, position=r["position"], layer=r["layer"])]
         test = of(cell, split="val")
-        assert close(r["auroc"], area([x["cls"] == r["tested_on"] for x in test], scores(of(cell, split="train"), test, 10.0)))
+        assert close(r["auroc"], area([x["cls"] == r["tested_on"] for x in test], scores(of(cell, split="train"), test, 10.0))) and not r["degenerate"]
+    few = {(r["position"], r["layer"], r["trained_on"], r["tested_on"]): r for r in run(spark, "cross_transfer_of_errors")}
+    assert len(few) == 2 * 4 * 4 and all(r["degenerate"] for r in few.values())
+    for (position, layer, trained, tested), r in few.items():
+        assert close(r["auroc"], few[position, layer, trained, trained]["auroc"] if trained == tested else 1 - few[position, layer, trained, trained]["auroc"])
 
 
 def test_nested_probes(spark, vectors):
