@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, Str
 
 from evalspark.functions import text as X
 from evalspark.operators.bootstrap import group_places
+from evalspark.operators.metrics import prefix_sums
 from evalspark.sources.shared import written
 
 # Gridlines of the three tick densities.
@@ -34,8 +35,8 @@ def surface_columns() -> list[Column]:
 def one_hot(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
     """key, feature ("column=value"), place of each row's categories; places number the sorted features from 0."""
     each = rows.select(key, F.explode(F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])).alias("feature"))
-    names = each.select("feature").distinct().withColumn("place", F.row_number().over(Window.orderBy("feature")) - 1)
-    return each.join(names, "feature").select(key, "feature", "place")
+    names = prefix_sums(each.select("feature").distinct().withColumn("_one", F.lit(1)), [], "feature", ["_one"])
+    return each.join(names.select("feature", F.col("before__one").cast("int").alias("place")), "feature").select(key, "feature", "place")
 
 
 def dense_one_hot(hot: DataFrame, key: str) -> DataFrame:

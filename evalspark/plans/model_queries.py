@@ -10,7 +10,8 @@ from evalspark.operators import answers as A
 from evalspark.operators import bootstrap, features, metrics, probes, quality
 from evalspark.plans import standins as S
 from evalspark.plans.registry import query
-from evalspark.sources.shared import written
+from evalspark.sources import tables
+from evalspark.sources.shared import shared_path, written
 
 # The penalties of the published sweeps.
 L2 = (1.0, 10.0, 100.0, 1000.0, 10000.0)
@@ -211,14 +212,29 @@ def missing_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.missing_cells(S.vectors(spark, sf_dir), cells)
 
 
-@query(f"WITH {S.ANSWERS} SELECT vec_id AS item_id, position, layer::int AS layer, (NOT correct)::int AS y, length(prediction)::bigint AS answer_length, 16::bigint AS width FROM embeddings JOIN answers ON vec_id = event_id, (SELECT unnest([0, 1, 2, 3]) AS layer), (SELECT unnest(['query_last', 'vision_mean']) AS position) WHERE source = 'human'")
-def vectors_with_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors joined with their answers by item_id; items that weren't answered drop out."""
+_WITH_ANSWERS = f"WITH {S.ANSWERS} SELECT vec_id AS item_id, position, layer::int AS layer, (NOT correct)::int AS y, length(prediction)::bigint AS answer_length, 16::bigint AS width FROM embeddings JOIN answers ON vec_id = event_id, (SELECT unnest([0, 1, 2, 3]) AS layer), (SELECT unnest(['query_last', 'vision_mean']) AS position) WHERE source = 'human'"
+
+
+def _answered(spark: SparkSession, sf_dir: str, vectors: DataFrame) -> DataFrame:
     answers = S.answers(spark, sf_dir).where("source = 'human'").select(F.col("event_id").alias("item_id"), (~F.col("correct")).cast("int").alias("wrong"), F.length("prediction").cast("long").alias("answer_length"))
-    joined = probes.join_vectors(S.vectors(spark, sf_dir).drop("y"), answers)
+    joined = probes.join_vectors(vectors.drop("y"), answers)
     return joined.select("item_id", "position", "layer", F.col("wrong").alias("y"), "answer_length", F.size("vec").cast("long").alias("width"))
 
 
+@query(_WITH_ANSWERS)
+def vectors_with_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors joined with their answers by item_id; items that weren't answered drop out."""
+    return _answered(spark, sf_dir, S.vectors(spark, sf_dir))
+
+
+@query(_WITH_ANSWERS)
+def bucketed_vectors_with_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from vectors in buckets by item_id, which stay where they are."""
+    path = shared_path(spark, "vectors")
+    tables.write_bucketed(S.vectors(spark, sf_dir), path, 8)
+    return _answered(spark, sf_dir, tables.open_bucketed(spark, path))
+
+
 @query("SELECT count(*) AS shared FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0 INTERSECT SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 1)")
 def shared_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.read(spark, sf_dir, "events")

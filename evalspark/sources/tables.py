@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +101,30 @@ def scan_vectors(spark: SparkSession, path: str, position: str, layers: list[int
     return rows.where(F.col("layer").isin(*(layers or have)))
 
 
+def write_bucketed(vectors: DataFrame, path: str, buckets: int = 64) -> None:
+    """Vectors in a folder for each position and layer, within it in buckets by item_id, sorted: what is joined by item_id with a table that open_bucketed opens moves no vector.
+
+    One file a bucket and folder; choose as many buckets as make files of some hundred MB.
+    """
+    spark, name = vectors.sparkSession, f"vectors_{uuid.uuid4().hex}"
+    dealt = vectors.repartition(buckets, "item_id").sortWithinPartitions("position", "layer", "item_id")
+    dealt.write.partitionBy("position", "layer").bucketBy(buckets, "item_id").sortBy("item_id").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    layout = vectors.select([c for c in vectors.columns if c not in ("position", "layer")]).schema.json(), vectors.select("position", "layer").schema.json()
+    spark.createDataFrame([(buckets, *layout)], "buckets int, columns string, folders string").coalesce(1).write.json(f"{path}/_layout")
+
+
+def open_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors that write_bucketed has written to path, by any session."""
+    layout = spark.read.schema("buckets int, columns string, folders string").json(f"{path}/_layout").first()
+    columns, folders = (T.StructType.fromJson(json.loads(layout[k])) for k in ("columns", "folders"))
+    name = f"vectors_{uuid.uuid4().hex}"
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*columns.fields, *folders.fields])
+    spark.sql(f"CREATE TABLE {name} ({spec}) USING parquet PARTITIONED BY (position, layer) CLUSTERED BY (item_id) SORTED BY (item_id) INTO {layout['buckets']} BUCKETS LOCATION '{path}'")
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
 def merge_shards(shards: list[DataFrame], expected: DataFrame) -> DataFrame:
     """The union of vector shards; an error if an item is in two, or the items aren't the expected ones."""
     rows = shards[0]

@@ -355,6 +355,26 @@ def test_quantiles_by_selection(spark, shares):
     assert found.keys() == want.keys() and all(found[x] == pytest.approx(want[x]) for x in want)
 
 
+def test_bucketed_vectors_stay_where_they_are(spark, tmp_path):
+    """A join by item_id, and one of two such tables, move the other side alone; a position and layer are a folder."""
+    rows = spark.range(2000).select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("item_id"), F.lit("f").alias("figure_id"), F.lit("query_last").alias("position"), (F.col("id") % 4).cast("int").alias("layer"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    path = str(tmp_path / "v")
+    tables.write_bucketed(rows, path, 4)
+    vectors = tables.open_bucketed(spark, path)
+    assert sorted(map(str, vectors.select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    answers = spark.range(0, 4000, 2).select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("item_id"), (F.col("id") % 2).alias("y"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = probes.join_vectors(vectors, answers)._jdf.queryExecution().executedPlan().toString()
+        twice = vectors.join(tables.open_bucketed(spark, path).select("item_id", F.col("vec").alias("w")), "item_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1 and "Range" in plan.split("Exchange")[1] and "Exchange" not in twice
+    pruned = vectors.where("layer = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(layer" in pruned and vectors.where("layer = 2").count() == 500
+
+
 def test_bootstrap_interval(spark):
     rows = spark.createDataFrame([(f"g{i}", float(i % 7)) for i in range(60)], "g string, x double")
     mean = F.sum(F.col("x") * F.col("w")) / F.sum("w")
