@@ -77,6 +77,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters: set[str] = set()
         self._forget()
 
     def _forget(self) -> None:
@@ -116,7 +117,12 @@ class Encoder:
 
     def _letters(self, core: str) -> bool:
         """Whether the tokenizer sees letters only: lower-casing and normalising may leave a mark at the end, which goes with what follows."""
-        return core.isalpha() and (core.isascii() or self.tokenizer.normalizer.normalize_str(core).isalpha())
+        return core.isalpha() and (core.isascii() or self.letters.issuperset(core) or self._seen(core))
+
+    def _seen(self, core: str) -> bool:
+        """Looks at new letters one by one: letters that stay letters by themselves do so together."""
+        self.letters |= {c for c in core if self.tokenizer.normalizer.normalize_str(c).isalpha()}
+        return self.letters.issuperset(core)
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         cores = [p if p.isalpha() else p.rstrip(_MARKS) for p in pieces]
