@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -126,12 +126,13 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         cores = [p if p.isalpha() else p.rstrip(_MARKS) for p in pieces]
-        plain = np.array([self._letters(c) for c in cores], dtype=bool)
-        tails = [p[len(c) :] for p, c in zip(pieces, cores)]
-        fresh = {x for c, t, k in zip(cores, tails, plain) if k for x in (c, t) if x}
-        self._learn_words([x for x in fresh if x not in self.words])
+        letters = list(map(self._letters, cores))
+        plain = np.array(letters, dtype=bool)
+        tails = ["" if len(p) == len(c) else p[len(c) :] for p, c in zip(pieces, cores)]
+        words = list(compress(cores, letters))
+        self._learn_words([x for x in {*words, *compress(tails, letters)} if x and x not in self.words])
         places = np.full(len(pieces), -1)
-        places[plain] = [self.words[c] for c, k in zip(cores, plain) if k]
+        places[plain] = list(map(self.words.__getitem__, words))
         marked = np.flatnonzero(plain & np.array([bool(t) for t in tails], dtype=bool))
         if len(marked):
             pairs = np.column_stack((places[marked], [self.words[tails[i]] for i in marked])).ravel()
