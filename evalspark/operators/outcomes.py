@@ -92,8 +92,10 @@ def edge_crossings(edges: DataFrame) -> DataFrame:
     frames = frames.where("_pairs").select(F.col("figure_id").alias("_f"), "_k", "_x", "_y", F.greatest(F.col("_xx") - F.col("_x"), F.col("_yy") - F.col("_y")).cast("double").alias("_side"))
     size = F.greatest(high("x") - low("x"), high("y") - low("y")).cast("double")
     finest = F.floor(F.log2(F.greatest(F.col("_k") / 2, F.lit(1.0))) / 2)
-    level = F.greatest(F.lit(0), F.least(finest, F.floor(F.log2(F.col("_side") / F.greatest(size, F.col("_side") * 1e-12))))).cast("int")
-    placed = edges.join(frames, F.col("figure_id").eqNullSafe(F.col("_f"))).withColumn("_own", F.coalesce(level, F.lit(0)))
+    fits = F.floor(F.log2(F.col("_side") / F.nullif(F.greatest(size, F.col("_side") * 1e-12), F.lit(0.0))))
+    # A figure whose nodes are all at one place, or at none, has the coarsest grid alone.
+    level = F.when(F.col("_side") > 0, F.greatest(F.lit(0), F.least(finest, fits))).otherwise(0).cast("int")
+    placed = edges.join(frames, F.col("figure_id").eqNullSafe(F.col("_f"))).withColumn("_own", level)
     placed = placed.withColumn("_grid", F.explode(F.sequence(F.lit(0), F.col("_own"))))
     cell = lambda value, edge: F.coalesce(F.floor((value - F.col(edge)) / F.nullif(F.col("_side"), F.lit(0.0)) * F.pow(F.lit(2.0), F.col("_grid"))), F.lit(0)).cast("int")
     placed = placed.select("*", cell(low("x"), "_x").alias("_x0"), cell(high("x"), "_x").alias("_x1"), cell(low("y"), "_y").alias("_y0"), cell(high("y"), "_y").alias("_y1"))

@@ -344,6 +344,16 @@ def test_crossings_of_a_large_figure(spark):
     assert found == {"large": plain(k), "small": plain(40)}
 
 
+def test_crossings_of_figures_at_one_place(spark):
+    """Figures whose nodes are all at one place, or have none, cross nowhere; that is no division by their size."""
+    at = lambda x, y, k: (2 * k, 2 * k + 1, x, y, x, y)
+    rows = [("point", e, *at(3, 4, e)) for e in range(9)] + [("nowhere", e, *at(None, None, e)) for e in range(9)]
+    rows += [("point and line", 1, 0, 1, 5, 5, 5, 5), ("point and line", 2, 2, 3, 0, 5, 9, 5), ("cross", 1, 0, 1, 0, 0, 2, 2), ("cross", 2, 2, 3, 0, 2, 2, 0)]
+    edges = spark.createDataFrame(rows, "figure_id string, eid int, a long, b long, ax long, ay long, bx long, by long")
+    found = {r["figure_id"]: r["crossings"] for r in outcomes.edge_crossings(edges).collect()}
+    assert found == {"point": 0, "nowhere": 0, "point and line": 0, "cross": 1}
+
+
 @pytest.mark.parametrize("shares", [[0.0, 0.5, 1.0], [0.5 + 0.01 * i for i in range(51)]])
 def test_quantiles_by_selection(spark, shares):
     rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"), (F.col("id") * 7919 % 97 / 8).alias("v"))
