@@ -269,7 +269,7 @@ def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     AND sign((q.bx - q.ax) * (p.ay - q.ay) - (q.by_ - q.ay) * (p.ax - q.ax)) * sign((q.bx - q.ax) * (p.by_ - q.ay) - (q.by_ - q.ay) * (p.bx - q.ax)) < 0) AS crossings
   FROM edges p JOIN edges q ON p.figure_id = q.figure_id AND p.eid < q.eid GROUP BY 1""")
 def edge_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.edge_crossings(S.edges(spark, sf_dir))
+    return outcomes.edge_crossings(S.edges(spark, sf_dir).where("figure_id is not null"))
 
 
 @query(f"WITH {S.OUTCOMES} SELECT failure_type, intervention, count(*) AS n, sum(recovered::int)::bigint AS recovered, round(avg(recovered::int), 6) AS rate FROM outcomes GROUP BY 1, 2")
