@@ -115,12 +115,23 @@ def answer_type(answer: Column) -> Column:
     )
 
 
+def figure_terms(texts: Column) -> Column:
+    """struct(names, numbers) of a figure's texts, ready to be met by answers: its texts as answers are normalised, and the numbers among them."""
+    numbers = F.filter(F.transform(texts, surface_number), lambda n: n.isNotNull())
+    return F.struct(F.array_distinct(F.transform(texts, normalise_answer)).alias("names"), F.array_distinct(numbers).alias("numbers"))
+
+
+def answer_among(answer: Column, terms: Column, tolerance: float = FIGURE_TOLERANCE) -> Column:
+    """Whether answer is one of a figure's terms, or a number close to one of them; the answer is normalised once, however many these are."""
+    near = lambda number: F.exists(terms["numbers"], lambda n: F.abs(number - n) <= tolerance * F.greatest(F.abs(n), F.lit(1.0)))
+    told = F.transform(F.array(normalise_answer(answer)), lambda t: F.struct(t.alias("name"), F.when(t.rlike(SURFACE_NUMBER), t.try_cast("double")).alias("number")))
+    found = lambda t: (t["name"] != "") & (F.coalesce(F.array_contains(terms["names"], t["name"]), F.lit(False)) | F.coalesce(near(t["number"]), F.lit(False)))
+    return F.get(F.transform(told, found), 0)
+
+
 def answer_in_figure(answer: Column, texts: Column, tolerance: float = FIGURE_TOLERANCE) -> Column:
-    """Whether answer is one of the texts, or a number close to one of them."""
-    target, number = normalise_answer(answer), surface_number(answer)
-    equal = F.exists(texts, lambda t: normalise_answer(t) == target)
-    near = F.exists(texts, lambda t: F.abs(number - surface_number(t)) <= tolerance * F.greatest(F.abs(surface_number(t)), F.lit(1.0)))
-    return (target != "") & (F.coalesce(equal, F.lit(False)) | F.coalesce(near, F.lit(False)))
+    """Whether answer is one of the texts, or a number close to one of them. Where a figure has many answers, take its figure_terms first and then answer_among."""
+    return answer_among(answer, figure_terms(texts), tolerance)
 
 
 def figure_text(figure_type: Column, categories: Column, values: Column, path_nodes: Column, edges: Column) -> Column:

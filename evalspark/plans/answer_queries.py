@@ -137,10 +137,10 @@ def surface_features(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT p_partkey, near OR odd AS in_figure, CASE WHEN odd THEN 'categorical' ELSE 'numeric' END AS kind FROM j""")
 def answers_in_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = X.figure_text(F.lit("bar_chart"), F.col("categories"), F.col("values"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<array<string>>"))
-    shown = S.figures(spark, sf_dir).select(F.col("figure_id").alias("p_brand"), texts.alias("texts"))
+    shown = S.figures(spark, sf_dir).select(F.col("figure_id").alias("p_brand"), X.figure_terms(texts).alias("terms"))
     part = S.read(spark, sf_dir, "part").join(shown, "p_brand")
     given = F.when(F.col("p_size") % 9 == 0, F.upper("p_type")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".0 %")))
-    return part.select("p_partkey", X.answer_in_figure(given, F.col("texts")).alias("in_figure"), X.answer_type(given).alias("kind"))
+    return part.select("p_partkey", X.answer_among(given, F.col("terms")).alias("in_figure"), X.answer_type(given).alias("kind"))
 
 
 @query(f"WITH {S.ANSWERS} SELECT item_id, occurrence::bigint AS occurrence FROM answers")

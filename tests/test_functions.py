@@ -56,6 +56,20 @@ def test_sanitize(spark):
         values(spark, [("??",)], X.sanitize(F.col("t")), "t string")
 
 
+def test_answers_meet_terms_that_are_normalised_before(spark):
+    """A figure's texts are normalised once, not for each answer; NULLs among texts and answers are no match."""
+    from evalspark.plans import answer_queries
+
+    texts = F.array(F.lit("12.0"), F.lit(" PEAR%"), F.lit(None).cast("string"), F.lit("0"), F.lit("-4"))
+    cases = [("12 %", True), ("Pear", True), ("12.1", True), ("12.13", False), (None, False), ("", False), ("0.01", True), ("-4.05", False), ("-4.03", True), ("nan", False)]
+    assert values(spark, [c[:1] for c in cases], X.answer_among(F.col("t"), X.figure_terms(texts)), "t string") == [c[1] for c in cases]
+    none = F.lit(None).cast("array<string>")
+    assert values(spark, [("12",)], X.answer_among(F.col("t"), X.figure_terms(none)), "t string") == values(spark, [("12",)], X.answer_in_figure(F.col("t"), none), "t string") == [False]
+    plan = answer_queries.answers_in_figures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "terms" in above and "texts" not in above
+
+
 def test_surface(spark):
     texts = F.array(F.lit("12.0"), F.lit("Pear"))
     cases = [("12", True, "numeric"), ("pear ", True, "categorical"), ("12.1", True, "numeric"), ("13", False, "numeric"), ("", False, "other"), ("No", False, "boolean")]
