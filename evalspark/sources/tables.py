@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from evalspark.operators.labels import LABELS
 from evalspark.operators.quality import check_labels, repeated
 
+#: Rows of either side that a task of append_new sorts.
+ROWS_A_TASK = 1_000_000
 ITEM = "imgname string, query string, label string"
 RATING = "item_id string, label string, reason string, rationale string, annotator string, timestamp string"
 
@@ -57,7 +59,10 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
     spark = rows.sparkSession
     try:
         done = spark.read.schema(rows.schema).parquet(path)
-        rows = rows.join(done.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
+        # As many parts as the rows need: what a task sorts doesn't grow with the table, and no table of keys is sent to all tasks.
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(rows.count(), done.count()) // ROWS_A_TASK))
+        done = done.select(*keys).repartition(parts, *keys).hint("merge")
+        rows = rows.repartition(parts, *keys).join(done, keys, "left_anti").select(*rows.columns)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -437,6 +437,19 @@ def test_sources(spark, tmp_path):
     assert (tables.append_new(rows, target, ["k"]), tables.append_new(rows.union(rows.selectExpr("k + 1", "v")), target, ["k"])) == (2, 1)
 
 
+def test_appending_to_a_large_table_takes_more_tasks(spark, tmp_path, monkeypatch):
+    """No task sorts more rows, or about so many, than ROWS_A_TASK: the parts grow with the table."""
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100, raising=False)
+    rows = spark.range(4000).select(F.col("id").alias("k"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    target = str(tmp_path / "out")
+    assert tables.append_new(rows.where("k % 4 = 0"), target, ["k"]) == 1000
+    before = {r["f"] for r in spark.read.parquet(target).select(F.input_file_name().alias("f")).distinct().collect()}
+    assert tables.append_new(rows, target, ["k"]) == 3000 and tables.append_new(rows, target, ["k"]) == 0
+    added = spark.read.parquet(target).groupBy(F.input_file_name().alias("f")).count().collect()
+    assert max(r["count"] for r in added if r["f"] not in before) <= 200
+    assert sorted(r["k"] for r in spark.read.parquet(target).collect()) == list(range(4000))
+
+
 def test_vector_table(spark, tmp_path):
     rows = spark.createDataFrame([("a", "f", 0, "query_last", [1.0]), ("a", "f", 1, "query_last", [2.0])], tables.VECTOR_SCHEMA)
     tables.write_vectors(rows, str(tmp_path / "v"))
