@@ -2,17 +2,19 @@
 
 The rows that a cell of a grid is fitted on are a group of a grouped map, all penalties and inner folds in one pass
 over it; the fit is Newton's method in numpy, in the space that the rows span where they are fewer than the
-dimensions. Cells of more than MAX_CELL numbers (rows times dimensions) are fitted together by a descent over
-their distributed rows instead, to the same weights. Fits are tables of weights; rows are scored by joining them, so whatever is
+dimensions. Cells of more than MAX_CELL numbers (rows times dimensions and ROW more) are fitted together by a descent over
+their distributed rows instead, to the same weights. Where vectors repeat, equal rows of a cell are one with a weight. Fits are tables of weights; rows are scored by joining them, so whatever is
 only scored never passes through a group. Roles are explicit: selection sees what it is given and nothing else.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from evalspark.operators.bootstrap import auroc_interval
 from evalspark.operators.descent import large_fits
@@ -22,6 +24,10 @@ from evalspark.operators.quality import require_no_leaks
 from evalspark.sources.shared import written
 
 MAX_CELL = 20_000_000
+#: Numbers that a fit holds for a row besides its vector: label, weight, margin, probability and the like.
+ROW = 8
+#: Rows of a product, so that no second copy of a cell is made.
+STEP = 65_536
 MIN_TRAIN, MIN_REPORT = 20, 5
 #: Wider systems are solved by conjugate gradients.
 DENSE = 256
@@ -39,9 +45,13 @@ def spanned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
 
 def _newton_step(design: np.ndarray, curvature: np.ndarray, penalty: np.ndarray, gradient: np.ndarray) -> np.ndarray:
     if design.shape[1] <= DENSE:
-        return np.linalg.solve((design * curvature[:, None]).T @ design + np.diag(penalty + 1e-10), gradient)
+        hessian = np.diag(penalty + 1e-10)
+        for at in range(0, len(design), STEP):
+            part = design[at : at + STEP]
+            hessian += (part * curvature[at : at + STEP, None]).T @ part
+        return np.linalg.solve(hessian, gradient)
     # Conjugate gradients, scaled by the diagonal.
-    scale = 1.0 / ((design * design).T @ curvature + penalty + 1e-10)
+    scale = 1.0 / (np.einsum("i,ij,ij->j", curvature, design, design) + penalty + 1e-10)
     step, left = np.zeros_like(gradient), gradient.copy()
     ahead = scale * left
     size = left @ ahead
@@ -58,19 +68,23 @@ def _newton_step(design: np.ndarray, curvature: np.ndarray, penalty: np.ndarray,
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Minimum of the summed logistic loss plus l2 / 2 times the squared weights; the intercept is free."""
-    design = np.column_stack((x, np.ones(len(x))))
-    penalty = np.append(np.full(x.shape[1], float(l2)), 0.0)
+    return _fitted(np.column_stack((x, np.ones(len(x)))), y, np.ones(len(y)), l2, rounds)
+
+
+def _fitted(design: np.ndarray, y: np.ndarray, n: np.ndarray, l2: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """fit_logistic of rows that end in a 1 and count n times."""
+    penalty = np.append(np.full(design.shape[1] - 1, float(l2)), 0.0)
     w = np.zeros(design.shape[1])
 
     def loss(w: np.ndarray) -> float:
         z = design @ w
-        return float(np.logaddexp(0.0, np.where(y > 0, -z, z)).sum() + 0.5 * (penalty * w * w).sum())
+        return float(n @ np.logaddexp(0.0, np.where(y > 0, -z, z)) + 0.5 * (penalty * w * w).sum())
 
     now = loss(w)
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(design @ w, -500, 500)))
-        gradient = design.T @ (p - y) + penalty * w
-        step, scale = _newton_step(design, p * (1 - p), penalty, gradient), 1.0
+        gradient = design.T @ (n * (p - y)) + penalty * w
+        step, scale = _newton_step(design, n * p * (1 - p), penalty, gradient), 1.0
         while scale > 1e-8 and (after := loss(w - scale * step)) > now + 1e-12:
             scale /= 2
         w, change, now = w - scale * step, now - after, after
@@ -79,25 +93,49 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 60) -> t
     return w[:-1], float(w[-1])
 
 
+def _plane(x: np.ndarray, surface: int, n: np.ndarray) -> np.ndarray:
+    """Intercept and slopes by which the last surface columns of x, whose rows count n times, predict the others."""
+    base = np.column_stack((np.ones(len(x)), x[:, -surface:]))
+    return np.linalg.pinv(base.T @ (base * n[:, None])) @ ((base * n[:, None]).T @ x[:, :-surface])
+
+
+def _without(x: np.ndarray, surface: int, beta: np.ndarray) -> np.ndarray:
+    """x without its last surface columns and what beta says of the others."""
+    left = x[:, :-surface].astype(float)
+    for at in range(0, len(x), STEP):
+        part = x[at : at + STEP]
+        left[at : at + STEP] -= np.column_stack((np.ones(len(part)), part[:, -surface:])) @ beta
+    return left
+
+
 class Cell:
-    """The fit rows of a cell, standardised (after what the last surface columns explain is taken out), ready to be fitted at any penalty."""
+    """The fit rows of a cell, which count n times, standardised (after what the last surface columns explain is taken out), ready to be fitted at any penalty."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, surface: int = 0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, surface: int = 0, n: np.ndarray | None = None):
         self.y, self.surface, self.beta = y, surface, None
+        self.n = np.ones(len(y)) if n is None else n
         if surface:
-            base = np.column_stack((np.ones(len(x)), x[:, -surface:]))
-            x = x[:, :-surface]
-            self.beta = np.linalg.pinv(base.T @ base) @ (base.T @ x)
-            x = x - base @ self.beta
-        self.mean, sd = x.mean(axis=0), x.std(axis=0)
+            self.beta = _plane(x, surface, self.n)
+            x = _without(x, surface, self.beta)
+        # The one copy of the rows: standardised where it stands, with a last column of ones.
+        self.design = np.empty((len(x), x.shape[1] + 1))
+        self.design[:, -1] = 1.0
+        z = self.design[:, :-1]
+        z[:] = x
+        self.mean = self.n @ z / self.n.sum()
+        z -= self.mean
+        sd = np.sqrt(np.einsum("i,ij,ij->j", self.n, z, z) / self.n.sum())
         self.sd = np.where(sd < 1e-6, 1.0, sd)
-        self.z, self.back = spanned((x - self.mean) / self.sd)
+        z /= self.sd
+        rows, self.back = spanned(z)
+        if self.back is not None:
+            self.design = np.column_stack((rows, np.ones(len(rows))))
 
     def fit(self, l2: float) -> tuple[np.ndarray, float] | None:
         """Weights and intercept for the rows as they came; None with one class only."""
         if len(np.unique(self.y)) < 2:
             return None
-        w, b = fit_logistic(self.z, self.y, l2)
+        w, b = _fitted(self.design, self.y, self.n, l2)
         w = (w if self.back is None else self.back @ w) / self.sd
         b -= float(self.mean @ w)
         if self.surface:
@@ -106,23 +144,46 @@ class Cell:
         return w, b
 
 
-def area(y: np.ndarray, s: np.ndarray) -> float | None:
-    """AUROC of scores in memory, ties counted half; None with one class."""
+def area(y: np.ndarray, s: np.ndarray, n: np.ndarray | None = None) -> float | None:
+    """AUROC of scores in memory, of rows that count n times, ties counted half; None with one class."""
     if len(np.unique(y)) < 2:
         return None
-    _, place, count = np.unique(s, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(count) - (count - 1) / 2.0)[place]
-    pos = y > 0
-    return float((rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()))
+    n = np.ones(len(y)) if n is None else n
+    _, place = np.unique(s, return_inverse=True)
+    pos, neg = np.bincount(place, n * (y > 0)), np.bincount(place, n * (y <= 0))
+    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).cast(pa.float64()).to_numpy()
+
 
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a table of them, one row each, in the type that they have."""
+    column = table.column("vec").combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def _split(rows: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of cells that fit into a task, those of the others, None if there are none)."""
-    large = rows.groupBy(*cell).agg(F.sum(F.size("vec").cast("long")).alias("_size")).where(F.col("_size") > MAX_CELL).drop("_size")
+
+def _told(table: pa.Table, cell: list[str], found: list[tuple[float, tuple[np.ndarray, float] | None]], schema: pa.Schema, **more: float | None) -> pa.Table:
+    """One row: the table's cell, more, and the fits found for penalties."""
+    row = {c: table.column(c)[0].as_py() for c in cell} | more
+    return pa.Table.from_pylist([row | {"fits": [{"l2": x, "w": f[0].tolist() if f else None, "b": f[1] if f else None} for x, f in found]}], schema=schema)
+
+
+def _split(rows: DataFrame, cell: list[str], each: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of cells that fit into a task, those of the others, None if there are none); the others' from each, the rows that rows weigh, if it is given."""
+    large = rows.groupBy(*cell).agg(F.sum(F.size("vec").cast("long") + ROW).alias("_size")).where(F.col("_size") > MAX_CELL).drop("_size")
     large = written(large, "probe-large")
     if large.isEmpty():
         return rows, None
-    return rows.join(F.broadcast(large), cell, "left_anti"), rows.join(F.broadcast(large), cell, "left_semi")
+    return rows.join(F.broadcast(large), cell, "left_anti"), (rows if each is None else each).join(F.broadcast(large), cell, "left_semi")
+
+
+def _weighed(rows: DataFrame, columns: list[str], repeats: bool) -> DataFrame:
+    """columns, y, vec, n: with repeats one row for all that are equal in these, which counts n times; else the rows as they are."""
+    if not repeats:
+        return rows.select(*columns, "y", "vec", F.lit(1.0).alias("n"))
+    return written(rows.groupBy(*columns, "y", "vec").agg(F.count("*").cast("double").alias("n")), "probe-weighed")
 
 
 def _kinds(rows: DataFrame, cell: list[str]) -> str:
@@ -133,22 +194,21 @@ def _kinds(rows: DataFrame, cell: list[str]) -> str:
 _FITS = "fits array<struct<l2: double, w: array<double>, b: double>>"
 
 
-def fits(rows: DataFrame, cell: list[str], l2: tuple[float, ...], surface: int = 0) -> DataFrame:
+def fits(rows: DataFrame, cell: list[str], l2: tuple[float, ...], surface: int = 0, repeats: bool = False) -> DataFrame:
     """cell, fits (l2, w, b): a cell's probe for each penalty, from its rows (cell, y, vec), written to the shared folder.
 
     The last surface entries of vec are features whose least-squares prediction of the others is taken out first. A cell
-    with one class has no w.
+    with one class has no w. repeats: vectors are few and come often, so that a task gets each of a cell's once.
     """
-    small, large = _split(rows, cell)
+    small, large = _split(_weighed(rows, cell, repeats), cell, rows)
+    kinds = f"{_kinds(rows, cell)}, {_FITS}"
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        known = Cell(np.stack(frame["vec"].to_numpy()).astype(float), frame["y"].to_numpy(dtype=float), surface)
-        found = [(x, known.fit(x)) for x in l2]
-        row = frame[cell].iloc[:1].copy()
-        row["fits"] = [[{"l2": x, "w": f[0].tolist() if f else None, "b": f[1] if f else None} for x, f in found]]
-        return row
+    def fit(table: pa.Table) -> pa.Table:
+        known = Cell(_matrix(table), _numbers(table, "y"), surface, _numbers(table, "n"))
+        return _told(table, cell, [(x, known.fit(x)) for x in l2], schema)
 
-    got = small.select(*cell, "y", "vec").groupBy(*cell).applyInPandas(fit, f"{_kinds(rows, cell)}, {_FITS}")
+    got = small.groupBy(*cell).applyInArrow(fit, kinds)
     if large is not None:
         got = got.unionByName(large_fits(large.select(*cell, "y", "vec"), cell, l2, surface))
     return written(got, "probe-fits")
@@ -164,10 +224,10 @@ def scored(rows: DataFrame, fitted: DataFrame, cell: list[str], keep: list[str])
     return rows.join(fitted, cell).select(*cell, *keep, F.inline(each))
 
 
-def layer_sweep(rows: DataFrame, l2: tuple[float, ...], keys: list[str] | None = None, surface: int = 0) -> DataFrame:
+def layer_sweep(rows: DataFrame, l2: tuple[float, ...], keys: list[str] | None = None, surface: int = 0, repeats: bool = False) -> DataFrame:
     """keys, position, layer, l2, auroc on validation rows. rows: split (train or val), position, layer, y, vec. Test rows can't take part."""
     cell = [*(keys or []), "position", "layer"]
-    fitted = fits(rows.where("split = 'train'"), cell, l2, surface)
+    fitted = fits(rows.where("split = 'train'"), cell, l2, surface, repeats)
     return auroc(scored(rows.where("split = 'val'"), fitted, cell, ["y"]), "score", F.col("y") == 1, [*cell, "l2"])
 
 
@@ -178,12 +238,12 @@ def selected(curve: DataFrame, keys: list[str] | None = None, value: str = "auro
     return ranked.where("_r = 1").drop("_r")
 
 
-def test_scores(rows: DataFrame, choice: DataFrame, keys: list[str] | None = None, surface: int = 0, split: str = "test") -> DataFrame:
+def test_scores(rows: DataFrame, choice: DataFrame, keys: list[str] | None = None, surface: int = 0, split: str = "test", repeats: bool = False) -> DataFrame:
     """keys, position, layer, l2, item_id, figure_id, y, score of the test rows under the chosen configuration of each of keys, fitted on train only."""
     cell = [*(keys or []), "position", "layer"]
     one = rows.join(choice.select(*cell, "l2"), cell)
     penalties = tuple(sorted(r["l2"] for r in choice.select("l2").distinct().collect()))
-    fitted = fits(one.where("split = 'train'"), cell, penalties, surface)
+    fitted = fits(one.where("split = 'train'"), cell, penalties, surface, repeats)
     return scored(one.where(F.col("split") == split).withColumnRenamed("l2", "_l2"), fitted, cell, ["_l2", "item_id", "figure_id", "y"]).where("l2 = _l2").drop("_l2")
 
 
@@ -200,42 +260,37 @@ def one_vs_rest(rows: DataFrame, classes: tuple[str, ...], l2: float, keys: tupl
     return auroc(crossed, "score", F.col("cls") == F.col("tested_on"), [*cell, "tested_on"]).join(found, list(keys))
 
 
-def nested_cv(rows: DataFrame, l2: tuple[float, ...], folds: int = 5, keys: list[str] | None = None, surface: int = 0) -> DataFrame:
+def nested_cv(rows: DataFrame, l2: tuple[float, ...], folds: int = 5, keys: list[str] | None = None, surface: int = 0, repeats: bool = False) -> DataFrame:
     """keys, layer, outer, item_id, figure_id, cls, y, l2, inner_auroc, score: out-of-fold scores.
 
     For each outer fold the penalty with the best mean inner AUROC (inner folds of one class left
     out, ties to the smaller penalty) is fitted on all other folds; what the last surface entries of vec explain
     of the rest is taken out by a projection fitted on these folds alone. rows: keys, layer, fold, y (NULL: only
-    scored), vec. An outer fold's rows never reach the group that is fitted for it.
+    scored), vec. An outer fold's rows never reach the group that is fitted for it. repeats: vectors are few and come often, so that a
+    task gets each of a fold's once.
     """
     cell = [*(keys or []), "layer", "outer"]
-    known = rows.where("y is not null").withColumn("outer", F.explode(F.array(*map(F.lit, range(folds))))).where("fold <> outer")
-    small, large = _split(known, cell)
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y, fold = np.stack(frame["vec"].to_numpy()).astype(float), frame["y"].to_numpy(dtype=float), frame["fold"].to_numpy()
-        if surface:
-            base = np.column_stack((np.ones(len(x)), x[:, -surface:]))
-            beta = np.linalg.pinv(base.T @ base) @ (base.T @ x[:, :-surface])
-            inner_x = x[:, :-surface] - base @ beta
-        else:
-            inner_x = x
+    known = rows.where("y is not null")
+    dealt = lambda rows: rows.withColumn("outer", F.explode(F.array(*map(F.lit, range(folds))))).where("fold <> outer")
+    small, large = _split(dealt(_weighed(known, [*cell[:-1], "fold"], repeats)), cell, dealt(known))
+    kinds = f"{_kinds(small, cell)}, inner_auroc double, {_FITS}"
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+
+    def fit(table: pa.Table) -> pa.Table:
+        x, y, n, fold = _matrix(table), _numbers(table, "y"), _numbers(table, "n"), _numbers(table, "fold")
+        inner_x = _without(x, surface, _plane(x, surface, n)) if surface else x
         areas: dict[float, list[float]] = {p: [] for p in l2}
         for inner in np.unique(fold):
-            held = Cell(inner_x[fold != inner], y[fold != inner])
+            rest, out = fold != inner, fold == inner
+            held = Cell(inner_x[rest], y[rest], n=n[rest])
             for p in l2:
-                if (f := held.fit(p)) and (value := area(y[fold == inner], inner_x[fold == inner] @ f[0] + f[1])) is not None:
+                if (f := held.fit(p)) and (value := area(y[out], inner_x[out] @ f[0] + f[1], n[out])) is not None:
                     areas[p].append(value)
         mean = {p: float(np.mean(v)) if v else None for p, v in areas.items()}
         best = min(l2, key=lambda p: (mean[p] is None, -(mean[p] or 0.0), p))
-        found = Cell(x, y, surface).fit(best)
-        row = frame[cell].iloc[:1].copy()
-        row["inner_auroc"] = mean[best]
-        row["fits"] = [[{"l2": best, "w": found[0].tolist() if found else None, "b": found[1] if found else None}]]
-        return row
-
-    kinds = f"{_kinds(known, cell)}, inner_auroc double, {_FITS}"
-    got = small.select(*cell, "fold", "y", "vec").groupBy(*cell).applyInPandas(fit, kinds)
+        return _told(table, cell, [(best, Cell(x, y, surface, n).fit(best))], schema, inner_auroc=mean[best])
+
+    got = small.select(*cell, "fold", "y", "vec", "n").groupBy(*cell).applyInArrow(fit, kinds)
     if large is not None:
         got = got.unionByName(_large_nested(large.select(*cell, "fold", "y", "vec"), cell, l2, folds, surface))
     fitted = written(got, "probe-fits")

@@ -281,9 +281,11 @@ def vision_only_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metadata_rows(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    rows = S.metadata_items(spark, sf_dir)
-    vec = features.dense_one_hot(features.one_hot(rows, columns, "item_id"), "item_id")
-    rows = rows.join(vec, "item_id").withColumn("fold", fold_of(F.col("figure_id"))).withColumn("layer", F.lit(0))
+    rows = S.metadata_items(spark, sf_dir).withColumn("_values", F.to_json(F.struct(*columns)))
+    # A vector for each row of values that there is, not for each item.
+    values = written(rows.select("_values", *columns).distinct(), "metadata-values")
+    vec = features.dense_one_hot(features.one_hot(values, columns, "_values"), "_values")
+    rows = rows.join(written(vec, "metadata-vectors"), "_values").drop("_values").withColumn("fold", fold_of(F.col("figure_id"))).withColumn("layer", F.lit(0))
     return rows.withColumn("cls", F.lit("-"))
 
 
@@ -299,7 +301,7 @@ def metadata_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold AUROC of a probe on what the question's text says: the bar asked about, the one compared with, the phrasing."""
-    oof = probes.nested_cv(_metadata_rows(spark, sf_dir, list(S.QUESTION_TEXT)), L2)
+    oof = probes.nested_cv(_metadata_rows(spark, sf_dir, list(S.QUESTION_TEXT)), L2, repeats=True)
     return _rounded(metrics.auroc(oof, "score", F.col("y") == 1), "auroc")
 
 

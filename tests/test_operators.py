@@ -224,6 +224,46 @@ def test_a_descent_reaches_the_fit_of_a_task(surface):
         assert passes < 120 and np.abs(x @ (now.weights()[:-1] - w) + now.weights()[-1] - b).max() < 1e-5
 
 
+@pytest.mark.parametrize("surface", [0, 2])
+def test_a_row_that_counts_n_times_is_n_rows(surface):
+    rng = np.random.default_rng(9)
+    x, y, n = rng.integers(0, 4, (60, 6)).astype("float32"), rng.integers(0, 2, 60).astype(float), rng.integers(1, 9, 60)
+    w, b = probes.Cell(x, y, surface, n.astype(float)).fit(2.0)
+    each = np.repeat(np.arange(60), n)
+    v, c = probes.Cell(x[each], y[each], surface).fit(2.0)
+    assert np.abs(w - v).max() < 1e-6 and abs(b - c) < 1e-6
+    s = np.round(x @ w, 2)
+    assert probes.area(y, s, n.astype(float)) == pytest.approx(probes.area(y[each], s[each]), abs=1e-12)
+
+
+def test_tasks_get_equal_rows_once(spark, monkeypatch):
+    """Cells of few vectors that come often never are too large for a task, and their fits are those of all rows."""
+    rows = spark.range(2000).select(F.col("id").alias("item_id"), F.lit("f").alias("figure_id"), F.lit("-").alias("cls"), F.lit(0).alias("layer"), (F.col("id") % 5).alias("fold"), ((F.col("id") * 7919 % 11) < F.col("id") % 4 * 2 + 2).cast("int").alias("y"), F.array((F.col("id") % 4).cast("double"), (F.col("id") % 3).cast("double")).alias("vec"))
+    told = lambda df: {r["item_id"]: (r["l2"], r["score"]) for r in df.collect()}
+    want = told(probes.nested_cv(rows, (1.0, 100.0))), told(probes.scored(rows, probes.fits(rows, ["layer"], (1.0,)), ["layer"], ["item_id"]))
+
+    def refused(*_):
+        raise AssertionError("a cell went over tasks")
+
+    monkeypatch.setattr(probes, "large_fits", refused)
+    monkeypatch.setattr(probes, "MAX_CELL", 2000)
+    got = told(probes.nested_cv(rows, (1.0, 100.0), repeats=True)), told(probes.scored(rows, probes.fits(rows, ["layer"], (1.0,), repeats=True), ["layer"], ["item_id"]))
+    for g, w in zip(got, want):
+        assert len(w) == 2000 and all(g[k][0] == w[k][0] and abs(g[k][1] - w[k][1]) < 1e-6 for k in w)
+
+
+def test_a_fit_holds_one_copy_of_its_rows():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300_000, 16)), rng.integers(0, 2, 300_000).astype(float)
+    tracemalloc.start()
+    probes.Cell(x, y).fit(1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / len(x) < 8 * 17 + 8 * 20
+
+
 def test_fits_of_wide_cells_are_the_same_in_the_space_of_their_rows():
     rng = np.random.default_rng(6)
     for n, d in ((40, 300), (300, 40), (400, 700)):
