@@ -295,7 +295,7 @@ def metadata_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _metadata_rows(spark, sf_dir, list(S.METADATA))
     wider = rows.withColumn("vec", F.concat("vec", F.array(*features.GRID_FEATURES)))
     both = rows.withColumn("kind", F.lit("metadata")).unionByName(wider.withColumn("kind", F.lit("metadata_and_grid")))
-    return _rounded(metrics.auroc(probes.nested_cv(both, L2, keys=["kind"]), "score", F.col("y") == 1, ["kind"]), "auroc")
+    return _rounded(metrics.auroc(probes.nested_cv(both, L2, keys=["kind"], repeats=True), "score", F.col("y") == 1, ["kind"]), "auroc")
 
 
 @query()
