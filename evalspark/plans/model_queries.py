@@ -111,8 +111,9 @@ def surface_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probe on surface features alone, its penalty chosen on validation rows."""
     rows = S.answers(spark, sf_dir).select("item_id", "figure_id", (~F.col("correct")).cast("int").alias("y"), *features.surface_columns())
     rows = rows.withColumn("split", figure_split(F.col("figure_id"))).withColumn("position", F.lit("surface")).withColumn("layer", F.lit(0))
-    rows = rows.withColumn("vec", F.array("is_human", "question_length", "vision_tokens", "numeric_gold"))
-    return _rounded(metrics.auroc(probes.test_scores(rows, probes.selected(probes.layer_sweep(rows, L2))), "score", F.col("y") == 1), "auroc")
+    rows = written(rows.withColumn("vec", F.array("is_human", "question_length", "vision_tokens", "numeric_gold")), "surface-rows")
+    choice = written(probes.selected(probes.layer_sweep(rows, L2, repeats=True)), "surface-choice")
+    return _rounded(metrics.auroc(probes.test_scores(rows, choice, repeats=True), "score", F.col("y") == 1), "auroc")
 
 
 @query()
