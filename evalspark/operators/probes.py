@@ -1,7 +1,7 @@
 """Linear probes: L2 logistic fits over grids of layers, positions, penalties and folds.
 
 The rows that a cell of a grid is fitted on are a group of a grouped map, all penalties and inner folds in one pass
-over it; the fit is Newton's method in numpy, in the space that the rows span where they are fewer than the
+over it, whose rows stay as they came; the fit is Newton's method in numpy, some rows at a time, in the space that the rows span where they are fewer than the
 dimensions. Cells of more than MAX_CELL numbers (rows times dimensions and ROW more) are fitted together by a descent over
 their distributed rows instead, to the same weights. Where vectors repeat, equal rows of a cell are one with a weight. Fits are tables of weights; rows are scored by joining them, so whatever is
 only scored never passes through a group. Roles are explicit: selection sees what it is given and nothing else.
@@ -9,6 +9,8 @@ only scored never passes through a group. Roles are explicit: selection sees wha
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +28,8 @@ from evalspark.sources.shared import written
 MAX_CELL = 20_000_000
 #: Numbers that a fit holds for a row besides its vector: label, weight, margin, probability and the like.
 ROW = 8
-#: Rows of a product, so that no second copy of a cell is made.
-STEP = 65_536
+#: Numbers that a pass makes of a cell's rows at once, so that no second copy of them is made.
+STEP = 131_072
 MIN_TRAIN, MIN_REPORT = 20, 5
 #: Wider systems are solved by conjugate gradients.
 DENSE = 256
@@ -43,20 +45,23 @@ def spanned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return vectors[:, keep] * root, x.T @ (vectors[:, keep] / root)
 
 
-def _newton_step(design: np.ndarray, curvature: np.ndarray, penalty: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-    if design.shape[1] <= DENSE:
-        hessian = np.diag(penalty + 1e-10)
-        for at in range(0, len(design), STEP):
-            part = design[at : at + STEP]
-            hessian += (part * curvature[at : at + STEP, None]).T @ part
-        return np.linalg.solve(hessian, gradient)
-    # Conjugate gradients, scaled by the diagonal.
-    scale = 1.0 / (np.einsum("i,ij,ij->j", curvature, design, design) + penalty + 1e-10)
+Parts = Callable[[], Iterator[tuple[slice, np.ndarray]]]
+
+
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Places of rows of so many numbers, STEP numbers at a time."""
+    step = max(1, STEP // width)
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def _conjugate(parts: Parts, curvature: np.ndarray, penalty: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+    """Newton's step by conjugate gradients, scaled by the diagonal."""
+    scale = 1.0 / (sum(np.einsum("i,ij,ij->j", curvature[at], part, part) for at, part in parts()) + penalty + 1e-10)
     step, left = np.zeros_like(gradient), gradient.copy()
     ahead = scale * left
     size = left @ ahead
     for _ in range(4 * 50):
-        image = design.T @ (curvature * (design @ ahead)) + (penalty + 1e-10) * ahead
+        image = sum(part.T @ (curvature[at] * (part @ ahead)) for at, part in parts()) + (penalty + 1e-10) * ahead
         length = size / (ahead @ image)
         step, left = step + length * ahead, left - length * image
         again = left @ (scale * left)
@@ -68,74 +73,101 @@ def _newton_step(design: np.ndarray, curvature: np.ndarray, penalty: np.ndarray,
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Minimum of the summed logistic loss plus l2 / 2 times the squared weights; the intercept is free."""
-    return _fitted(np.column_stack((x, np.ones(len(x)))), y, np.ones(len(y)), l2, rounds)
-
-
-def _fitted(design: np.ndarray, y: np.ndarray, n: np.ndarray, l2: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """fit_logistic of rows that end in a 1 and count n times."""
-    penalty = np.append(np.full(design.shape[1] - 1, float(l2)), 0.0)
-    w = np.zeros(design.shape[1])
-
-    def loss(w: np.ndarray) -> float:
-        z = design @ w
-        return float(n @ np.logaddexp(0.0, np.where(y > 0, -z, z)) + 0.5 * (penalty * w * w).sum())
-
-    now = loss(w)
+    design = np.column_stack((x, np.ones(len(x))))
+    return _fitted(lambda: ((at, design[at]) for at in _slices(*design.shape)), design.shape[1], y, np.ones(len(y)), l2, rounds)
+
+
+def _fitted(parts: Parts, width: int, y: np.ndarray, n: np.ndarray, l2: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """fit_logistic of rows of width numbers that end in a 1 and count n times; each pass over them takes them from parts, some at a time."""
+    penalty, dense = np.append(np.full(width - 1, float(l2)), 0.0), width <= DENSE
+
+    def told(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient and curvature: a matrix, of wide rows what each of them has."""
+        loss, gradient = 0.5 * float((penalty * w * w).sum()), penalty * w
+        curvature = np.diag(penalty + 1e-10) if dense else np.empty(len(y))
+        for at, part in parts():
+            z = part @ w
+            p = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+            curve = n[at] * p * (1 - p)
+            loss += float(n[at] @ np.logaddexp(0.0, np.where(y[at] > 0, -z, z)))
+            gradient = gradient + part.T @ (n[at] * (p - y[at]))
+            if dense:
+                curvature += (part * curve[:, None]).T @ part
+            else:
+                curvature[at] = curve
+        return loss, gradient, curvature
+
+    w = np.zeros(width)
+    now, gradient, curvature = told(w)
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(design @ w, -500, 500)))
-        gradient = design.T @ (n * (p - y)) + penalty * w
-        step, scale = _newton_step(design, n * p * (1 - p), penalty, gradient), 1.0
-        while scale > 1e-8 and (after := loss(w - scale * step)) > now + 1e-12:
+        step, scale = np.linalg.solve(curvature, gradient) if dense else _conjugate(parts, curvature, penalty, gradient), 1.0
+        # What a sum over many rows can't tell from 0 is none.
+        while (after := told(w - scale * step))[0] > now + 1e-12 * max(1.0, now) and scale > 1e-8:
             scale /= 2
-        w, change, now = w - scale * step, now - after, after
-        if change < 1e-10:
+        w, change, (now, gradient, curvature) = w - scale * step, now - after[0], after
+        if change < max(1e-10, 1e-13 * now):
             break
     return w[:-1], float(w[-1])
 
 
 def _plane(x: np.ndarray, surface: int, n: np.ndarray) -> np.ndarray:
     """Intercept and slopes by which the last surface columns of x, whose rows count n times, predict the others."""
-    base = np.column_stack((np.ones(len(x)), x[:, -surface:]))
-    return np.linalg.pinv(base.T @ (base * n[:, None])) @ ((base * n[:, None]).T @ x[:, :-surface])
+    inner, crossed = np.zeros((surface + 1, surface + 1)), np.zeros((surface + 1, x.shape[1] - surface))
+    for at in _slices(*x.shape):
+        base = np.column_stack((np.ones(len(x[at])), x[at, -surface:]))
+        weighed = (base * n[at, None]).T
+        inner += weighed @ base
+        crossed += weighed @ x[at, :-surface]
+    return np.linalg.pinv(inner) @ crossed
 
 
-def _without(x: np.ndarray, surface: int, beta: np.ndarray) -> np.ndarray:
-    """x without its last surface columns and what beta says of the others."""
-    left = x[:, :-surface].astype(float)
-    for at in range(0, len(x), STEP):
-        part = x[at : at + STEP]
-        left[at : at + STEP] -= np.column_stack((np.ones(len(part)), part[:, -surface:])) @ beta
-    return left
+class Cell:
+    """The fit rows of a cell, which count n times (0: not at all), ready to be fitted at any penalty as standardised rows, after what the last surface columns explain is taken out.
 
+    beta: the plane by which these explain the others, if not that of the rows. The rows stay as they came, in the type that they have; a
+    pass standardises STEP numbers at a time. Only of wide rows, which are passed over often, a standardised copy is held.
+    """
 
-class Cell:
-    """The fit rows of a cell, which count n times, standardised (after what the last surface columns explain is taken out), ready to be fitted at any penalty."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, surface: int = 0, n: np.ndarray | None = None):
-        self.y, self.surface, self.beta = y, surface, None
-        self.n = np.ones(len(y)) if n is None else n
-        if surface:
-            self.beta = _plane(x, surface, self.n)
-            x = _without(x, surface, self.beta)
-        # The one copy of the rows: standardised where it stands, with a last column of ones.
-        self.design = np.empty((len(x), x.shape[1] + 1))
-        self.design[:, -1] = 1.0
-        z = self.design[:, :-1]
-        z[:] = x
-        self.mean = self.n @ z / self.n.sum()
-        z -= self.mean
-        sd = np.sqrt(np.einsum("i,ij,ij->j", self.n, z, z) / self.n.sum())
+    def __init__(self, x: np.ndarray, y: np.ndarray, surface: int = 0, n: np.ndarray | None = None, beta: np.ndarray | None = None):
+        n, width = np.ones(len(y)) if n is None else n, x.shape[1] - surface
+        wide = np.count_nonzero(n) < width or width >= DENSE
+        if wide and not n.all():
+            x, y, n = x[n > 0], y[n > 0], n[n > 0]
+        self.x, self.y, self.n, self.surface, self.design, self.back = x, y, n, surface, None, None
+        self.beta = _plane(x, surface, n) if surface and beta is None else beta
+        self.mean, self.sd = np.zeros(width), np.ones(width)
+        self.mean = sum(n[at] @ part[:, :-1] for at, part in self._parts()) / n.sum()
+        sd = np.sqrt(sum(np.einsum("i,ij,ij->j", n[at], part[:, :-1], part[:, :-1]) for at, part in self._parts()) / n.sum())
         self.sd = np.where(sd < 1e-6, 1.0, sd)
-        z /= self.sd
-        rows, self.back = spanned(z)
-        if self.back is not None:
-            self.design = np.column_stack((rows, np.ones(len(rows))))
+        if wide:
+            design = np.empty((len(x), width + 1))
+            for at, part in self._parts():
+                design[at] = part
+            rows, self.back = spanned(design[:, :-1])
+            self.design = design if self.back is None else np.column_stack((rows, np.ones(len(rows))))
+
+    def _parts(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Places and standardised rows, which end in a 1."""
+        if self.design is not None:
+            yield from ((at, self.design[at]) for at in _slices(*self.design.shape))
+            return
+        width = len(self.sd)
+        for at in _slices(len(self.x), self.x.shape[1] + 1):
+            x = self.x[at]
+            part = np.ones((len(x), width + 1))
+            z = part[:, :-1]
+            z[:] = x[:, :width]
+            if self.surface:
+                z -= np.column_stack((np.ones(len(x)), x[:, width:])) @ self.beta
+            z -= self.mean
+            z /= self.sd
+            yield at, part
 
     def fit(self, l2: float) -> tuple[np.ndarray, float] | None:
         """Weights and intercept for the rows as they came; None with one class only."""
-        if len(np.unique(self.y)) < 2:
+        if not 0 < self.n @ (self.y > 0) < self.n.sum():
             return None
-        w, b = _fitted(self.design, self.y, self.n, l2)
+        w, b = _fitted(self._parts, len(self.sd) + 1 if self.design is None else self.design.shape[1], self.y, self.n, l2)
         w = (w if self.back is None else self.back @ w) / self.sd
         b -= float(self.mean @ w)
         if self.surface:
@@ -154,6 +186,21 @@ def area(y: np.ndarray, s: np.ndarray, n: np.ndarray | None = None) -> float | N
     return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
 
 
+def _best(x: np.ndarray, y: np.ndarray, n: np.ndarray, fold: np.ndarray, l2: tuple[float, ...], surface: int) -> tuple[float, float | None, tuple[np.ndarray, float] | None]:
+    """The penalty with the best mean AUROC over the inner folds, that mean, and the fit of all rows at it; a fold that is held out counts 0 times, so that no rows are copied to leave it out."""
+    beta = _plane(x, surface, n) if surface else None
+    areas: dict[float, list[float]] = {p: [] for p in l2}
+    for inner in np.unique(fold):
+        out = fold == inner
+        held, seen = Cell(x, y, surface, np.where(out, 0.0, n), beta), x[out]
+        for p in l2:
+            if (f := held.fit(p)) and (value := area(y[out], np.concatenate([seen[at] @ f[0] + f[1] for at in _slices(*seen.shape)]), n[out])) is not None:
+                areas[p].append(value)
+    mean = {p: float(np.mean(v)) if v else None for p, v in areas.items()}
+    best = min(l2, key=lambda p: (mean[p] is None, -(mean[p] or 0.0), p))
+    return best, mean[best], Cell(x, y, surface, n, beta).fit(best)
+
+
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).cast(pa.float64()).to_numpy()
 
@@ -277,18 +324,8 @@ def nested_cv(rows: DataFrame, l2: tuple[float, ...], folds: int = 5, keys: list
     schema = to_arrow_schema(StructType.fromDDL(kinds))
 
     def fit(table: pa.Table) -> pa.Table:
-        x, y, n, fold = _matrix(table), _numbers(table, "y"), _numbers(table, "n"), _numbers(table, "fold")
-        inner_x = _without(x, surface, _plane(x, surface, n)) if surface else x
-        areas: dict[float, list[float]] = {p: [] for p in l2}
-        for inner in np.unique(fold):
-            rest, out = fold != inner, fold == inner
-            held = Cell(inner_x[rest], y[rest], n=n[rest])
-            for p in l2:
-                if (f := held.fit(p)) and (value := area(y[out], inner_x[out] @ f[0] + f[1], n[out])) is not None:
-                    areas[p].append(value)
-        mean = {p: float(np.mean(v)) if v else None for p, v in areas.items()}
-        best = min(l2, key=lambda p: (mean[p] is None, -(mean[p] or 0.0), p))
-        return _told(table, cell, [(best, Cell(x, y, surface, n).fit(best))], schema, inner_auroc=mean[best])
+        best, mean, found = _best(_matrix(table), _numbers(table, "y"), _numbers(table, "n"), _numbers(table, "fold"), l2, surface)
+        return _told(table, cell, [(best, found)], schema, inner_auroc=mean)
 
     got = small.select(*cell, "fold", "y", "vec", "n").groupBy(*cell).applyInArrow(fit, kinds)
     if large is not None:

@@ -264,6 +264,35 @@ def test_a_fit_holds_one_copy_of_its_rows():
     assert peak / len(x) < 8 * 17 + 8 * 20
 
 
+@pytest.mark.parametrize("surface", [0, 2])
+def test_a_fit_copies_no_rows(surface):
+    """What a fit and a choice over inner folds hold besides the rows is a few numbers a row, however wide these are."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, fold = rng.normal(size=(300_000, 18)).astype("float32"), rng.integers(0, 4, 300_000)
+    y, n = (x[:, 0] + rng.normal(size=300_000) > 0).astype(float), np.ones(300_000)
+    for what, numbers in ((lambda: probes.Cell(x, y, surface, n).fit(1.0), 4), (lambda: probes._best(x, y, n, fold, (1.0,), surface), 8)):
+        tracemalloc.start()
+        what()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak / len(x) < 8 * numbers
+
+
+def test_a_fold_that_counts_no_times_is_left_out():
+    """Narrow and wide rows, with a plane of all of them: the fits are those of the other folds' rows alone."""
+    rng = np.random.default_rng(5)
+    for size, width in ((90, 6), (30, 40)):
+        x, y, out = rng.normal(size=(size, width)), rng.integers(0, 2, size).astype(float), np.arange(size) % 3 == 0
+        beta = probes._plane(x, 2, np.ones(size))
+        w, b = probes.Cell(x, y, 2, np.where(out, 0.0, 1.0), beta).fit(2.0)
+        left = x[:, :-2] - np.column_stack((np.ones(size), x[:, -2:])) @ beta
+        v, c = probes.Cell(left[~out], y[~out]).fit(2.0)
+        assert np.abs(x @ w + b - left @ v - c).max() < 1e-8
+        assert probes.Cell(x, out.astype(float), 2, np.where(out, 0.0, 1.0), beta).fit(2.0) is None
+
+
 def test_fits_of_wide_cells_are_the_same_in_the_space_of_their_rows():
     rng = np.random.default_rng(6)
     for n, d in ((40, 300), (300, 40), (400, 700)):
